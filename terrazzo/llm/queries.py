@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import chat, quality, sharding, warc
+from terrazzo.llm import bpe, chat, quality, sharding, warc
 from terrazzo.session import ship
 
 
@@ -46,6 +46,12 @@ FROM f
 """
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write(_table(spark, sf_dir, "pages"))
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
@@ -129,6 +135,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_byte_bpe": op3_byte_bpe,
         "op5_warc": op5_warc,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_sharding": op7_sharding,
