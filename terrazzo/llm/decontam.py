@@ -85,8 +85,10 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def runs(of) -> Column:
-        each = [F.transform(_shingles(F.col("words"), w, of), lambda s, w=w: F.struct(F.lit(w).alias("w"), s.alias("key"))) for w in widths]
-        return F.array_distinct(F.concat(*each))
+        def keyed(w: int) -> Column:
+            return _shingles(F.col("words"), w, lambda run: F.struct(F.lit(w).alias("w"), of(run).alias("key")))
+
+        return F.array_distinct(F.concat(*[keyed(w) for w in widths]))
 
     worded = texts.select("doc_id", _words(F.col("text")).alias("words"))
     hashed = worded.select("doc_id", F.inline(runs(_hash)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import bpe, chat, quality, sharding, warc
+from terrazzo.llm import bpe, chat, decontam, quality, sharding, warc
 from terrazzo.session import ship
 
 
@@ -133,6 +133,27 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+s AS (
+  SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY id),
+c AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+  FROM s d JOIN s i ON d.shingle = i.shingle AND d.side = 'd' AND i.side = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM c JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.75)
+"""
+
+
 def queries() -> dict:
     return {
         "op3_byte_bpe": op3_byte_bpe,
@@ -140,8 +161,9 @@ def queries() -> dict:
         "op6_chat_formatting": op6_chat_formatting,
         "op7_sharding": op7_sharding,
         "op9_quality_rules": op9_quality_rules,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_warc": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op5_warc": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_decontamination": OP10_SQL}
