@@ -37,8 +37,13 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: as a lambda's variable it cannot be inlined into inner loops."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def _shingles(words: Column, width: int, of) -> Column:
-    """``of`` applied to each run of ``width`` words."""
+    """``of`` applied to each run of ``width`` words; ``words`` is a bound variable."""
     n = F.size(words) - (width - 1)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: of([words[i + k] for k in range(width)]))
@@ -52,14 +57,23 @@ def _text(run: list[Column]) -> Column:
     return F.concat_ws(" ", *run)
 
 
+def _keyed(text: Column, widths: list[int], of) -> Column:
+    """Distinct (w, key): ``of`` over the runs of each width.  Plain values are made distinct, not structs, which Spark compares pairwise."""
+
+    def of_width(words: Column, w: int) -> Column:
+        return F.transform(F.array_distinct(_shingles(words, w, of)), lambda key: F.struct(F.lit(w).alias("w"), key.alias("key")))
+
+    return _bound(_words(text), lambda v: F.concat(*[of_width(v, w) for w in widths]))
+
+
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """item_id, w (words in its shingles), shingle, hash and n (distinct shingles), a row a shingle."""
     words = items.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words")).where(F.size("words") > 0)
     rows = None
     for w in range(1, width + 1):
         fits = F.size("words") >= width if w == width else F.size("words") == w
-        runs = _shingles(F.col("words"), w, lambda run: F.struct(_text(run).alias("shingle"), _hash(run).alias("hash")))
-        part = words.where(fits).select("item_id", F.lit(w).alias("w"), F.array_distinct(runs).alias("runs"))
+        runs = _bound(F.col("words"), lambda v: _shingles(v, w, lambda run: F.struct(_text(run).alias("shingle"), _hash(run).alias("hash"))))  # noqa: B023
+        part = words.where(fits).select("item_id", F.lit(w).alias("w"), runs.alias("runs"))
         rows = part if rows is None else rows.unionByName(part)
     exploded = rows.select("item_id", "w", F.inline("runs")).distinct()  # repeated ids: the union of their shingles
     sizes = exploded.groupBy("item_id").agg(F.count("*").alias("n"))
@@ -84,19 +98,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
     widths = sorted(r[0] for r in shingles.select("w").distinct().collect()) or [width]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def runs(of) -> Column:
-        def keyed(w: int) -> Column:
-            return _shingles(F.col("words"), w, lambda run: F.struct(F.lit(w).alias("w"), of(run).alias("key")))
-
-        return F.array_distinct(F.concat(*[keyed(w) for w in widths]))
-
-    worded = texts.select("doc_id", _words(F.col("text")).alias("words"))
-    hashed = worded.select("doc_id", F.inline(runs(_hash)))
+    hashed = texts.select("doc_id", F.inline(_keyed(F.col("text"), widths, _hash)))
     pairs = hashed.join(sketch.withColumnRenamed("hash", "key"), ["w", "key"]).select("doc_id", "item_id").distinct()
     pairs = written(pairs, "bench-candidates")
 
     suspects = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    exact = suspects.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", F.inline(runs(_text)))
+    exact = suspects.select("doc_id", F.inline(_keyed(F.col("text"), widths, _text)))
     found = exact.join(shingles.withColumnRenamed("shingle", "key"), ["w", "key"]).select("doc_id", "item_id", "n", "key").distinct()
     # every item a suspect shares shingles with is counted; those that pass the threshold are candidates by the sketch argument
     counted = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("n").alias("n_item")).join(pairs, ["doc_id", "item_id"], "left_semi")
