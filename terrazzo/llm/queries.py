@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import bpe, chat, decontam, quality, sharding, warc
+from terrazzo.llm import bpe, chat, decontam, quality, sharding, sitetree, warc
 from terrazzo.session import ship
 
 
@@ -52,6 +52,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write(_table(spark, sf_dir, "pages"))
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
@@ -157,6 +161,7 @@ FROM c JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.75)
 def queries() -> dict:
     return {
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_html_extraction": op4_html_extraction,
         "op5_warc": op5_warc,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_sharding": op7_sharding,
