@@ -270,7 +270,7 @@ class WarcReader(DataSourceReader):
         if MANIFEST in names:
             with fs.open_input_stream(f"{base}/{MANIFEST}") as f:
                 files = json.loads(f.read())
-            chunks = [_Chunk(f"{base}/{x['file']}", a, b) for x in files for a, b in zip(x["offsets"], [*x["offsets"][1:], x["size"]], strict=True)]
+            chunks = [_Chunk(f"{base}/{x['file']}", a, b) for x in files if x["size"] for a, b in zip(x["offsets"], [*x["offsets"][1:], x["size"]], strict=True)]
         else:
             chunks = [_Chunk(f"{base}/{n}", 0, None) for n in sorted(names) if n.endswith((".warc", ".warc.gz"))]
         return chunks or [_Chunk("", 0, 0)]
