@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import bpe, chat, decontam, ngramjoin, quality, sharding, sitetree, warc
+from terrazzo.llm import bpe, chat, decontam, ngramjoin, pii, quality, secretscan, sharding, sitetree, warc
 from terrazzo.session import ship
 
 
@@ -67,6 +67,22 @@ FROM f
 """
 
 
+def _span_digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The contract's columns from (doc_id, spans): counts and digest of the base spans, and all spans."""
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[of_kind(k) for k in kinds], F.sha2(F.encode(said(base), "UTF-8"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secretscan.scan(_table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.scan(_table(spark, sf_dir, "documents")), pii.TYPES)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -181,6 +197,8 @@ FROM c JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.75)
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_pii": op2_pii,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_html_extraction": op4_html_extraction,
         "op5_warc": op5_warc,
