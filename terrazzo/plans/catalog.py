@@ -1,19 +1,554 @@
-"""The engine's registered queries and their SQL twins."""
+"""The engine's registered queries and their SQL twins.
+
+Test tables have no geometry, so shapes are made from keys by arithmetic; results
+in doubles are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrazzo.functions import crs, tiles
+from terrazzo.functions import geometry as geo
+from terrazzo.functions.expressions import compile_expression, legacy_filter
+from terrazzo.model import AggregateQuery, AggregateSpec, Box, FeatureQuery, OrderTerm
+from terrazzo.operators import edits, raster, related, shapes, spatial, temporal
+from terrazzo.plans import execute
+from terrazzo.plans.dataset import ID, Dataset
+from terrazzo.plans.parse import from_wire, parse_filter, parse_where
+from terrazzo.session import ship
+from terrazzo.sources import demo, ingest, vector_tiles
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its own name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return geo.register(ship(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> Dataset:
+    return Dataset(table(spark, sf_dir, "lineitem"), ("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber"), "lineitem")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Dataset:
+    return Dataset(table(spark, sf_dir, "orders"), ("o_orderkey",), ("o_orderkey",), "orders")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Customers with a score that is null for each seventh."""
+    df = table(spark, sf_dir, "customer").withColumn("score", F.expr("if(c_custkey % 7 = 0, null, c_custkey % 50)"))
+    return Dataset(df, ("c_custkey",), ("c_custkey",), "customer")
+
+
+def sites(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Line items as points on the globe."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.expr("cast(l_partkey % 360 - 180 as double)").alias("x"), F.expr("cast(l_suppkey % 180 - 90 as double)").alias("y"))
+    return Dataset(df.withColumn("shape", geo.point(F.col("x"), F.col("y"))), ("l_orderkey", "l_linenumber"), (), "sites")
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Parts as rectangles."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr("cast(p_partkey * 7 % 300 as double)").alias("x0"), F.expr("cast(p_partkey * 11 % 200 as double)").alias("y0"), F.expr("cast(1 + p_size % 5 as double)").alias("w"), F.expr("cast(1 + p_partkey % 4 as double)").alias("h"))
+    return Dataset(df.withColumn("shape", geo.box(F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h"))), ("p_partkey",), ("p_partkey",), "parcels")
+
+
+PARCELS_SQL = "(SELECT p_partkey, p_brand, CAST(p_partkey * 7 % 300 AS DOUBLE) AS x0, CAST(p_partkey * 11 % 200 AS DOUBLE) AS y0, CAST(1 + p_size % 5 AS DOUBLE) AS w, CAST(1 + p_partkey % 4 AS DOUBLE) AS h FROM part)"
+SITES_SQL = "(SELECT *, CAST(l_partkey % 360 - 180 AS DOUBLE) AS x, CAST(l_suppkey % 180 - 90 AS DOUBLE) AS y FROM lineitem)"
+CUSTOMERS_SQL = "(SELECT *, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 50 END AS score FROM customer)"
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 30")
-    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return agg_having(spark, sf_dir)
+
+
+# --- selection ---------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey || '|' || l_linenumber AS __feature_id, l_quantity, l_returnflag FROM lineitem WHERE l_quantity > 30 AND (l_returnflag = 'R' OR l_discount <= 0.02)")
+def filter_compare(spark, sf_dir):
+    q = FeatureQuery(where=parse_filter("l_quantity > 30 AND (l_returnflag = 'R' OR l_discount <= 0.02)"), projection=("l_quantity", "l_returnflag"))
+    return execute.features(lineitem(spark, sf_dir), q)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS __feature_id, score FROM " + CUSTOMERS_SQL + " WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND score IS NOT NULL AND score NOT IN (1, 2, 3)")
+def filter_in_not_in(spark, sf_dir):
+    q = FeatureQuery(where=parse_filter("c_mktsegment IN ('BUILDING', 'MACHINERY') AND score NOT IN (1, 2, 3, NULL, 'x')"), projection=("score",))
+    return execute.features(customers(spark, sf_dir), q)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS __feature_id, p_name FROM part WHERE p_name LIKE '%1_' AND p_brand LIKE 'Brand#1%'")
+def filter_like(spark, sf_dir):
+    ds = Dataset(table(spark, sf_dir, "part"), ("p_partkey",))
+    return execute.features(ds, FeatureQuery(where=parse_filter("p_name LIKE '%1_' AND p_brand LIKE 'Brand#1%'"), projection=("p_name",)))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS __feature_id, p_type FROM part WHERE lower(p_type) LIKE '%e%' AND lower(p_brand) LIKE 'brand#2%'")
+def filter_ilike(spark, sf_dir):
+    ds = Dataset(table(spark, sf_dir, "part"), ("p_partkey",))
+    return execute.features(ds, FeatureQuery(where=parse_filter("p_type ILIKE '%E%' AND p_brand ILIKE 'bRAND#2%'"), projection=("p_type",)))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS __feature_id, c_name FROM " + CUSTOMERS_SQL + " WHERE score IS NULL")
+def filter_null(spark, sf_dir):
+    return execute.features(customers(spark, sf_dir), FeatureQuery(where=parse_filter("score IS NULL"), projection=("c_name",)))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS __feature_id, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-06-01 12:00:00' AND o_orderdate <> TIMESTAMP '1995-03-15'")
+def filter_time_window(spark, sf_dir):
+    q = FeatureQuery(where=parse_where("o_orderdate >= DATE '1995-01-01' AND o_orderdate < TIMESTAMP '1996-06-01 12:00:00' AND o_orderdate <> 795225600000"), projection=("o_orderdate",))
+    return execute.features(orders(spark, sf_dir), q)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS __feature_id, c_acctbal FROM customer WHERE c_acctbal >= 100.5 AND FALSE IS NOT NULL AND NOT (c_mktsegment IS NULL)")
+def filter_wire_and_mismatch(spark, sf_dir):
+    """The JSON tree; a term of the wrong kind matches nothing instead of failing."""
+    tree = {"op": "and", "terms": [{"op": "compare", "field": "c_acctbal", "operator": "greaterOrEqual", "value": {"kind": "decimal", "number": 100.5}}, {"op": "or", "terms": [{"op": "isNull", "field": "c_mktsegment", "negated": True}, {"op": "compare", "field": "c_acctbal", "operator": "equals", "value": {"kind": "string", "text": "x"}}]}]}
+    return execute.features(customers(spark, sf_dir), FeatureQuery(where=from_wire(tree), projection=("c_acctbal",)))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS __feature_id, o_totalprice FROM orders WHERE o_orderkey IN (1, 2, 3, 7, 32, 100)")
+def lookup_ids(spark, sf_dir):
+    return execute.features(orders(spark, sf_dir), FeatureQuery(ids=("1", "2", "3", "7", "32", "100", "nothing"), projection=("o_totalprice",)))
+
+
+@query("SELECT l_orderkey || '|' || l_linenumber AS __feature_id, x, y FROM " + SITES_SQL + " WHERE x BETWEEN -10 AND 5 AND y BETWEEN 36 AND 55 AND l_quantity > 10")
+def bbox_filter(spark, sf_dir):
+    q = FeatureQuery(where=parse_filter("l_quantity > 10"), box=Box(-10, 36, 5, 55), projection=("x", "y"))
+    return execute.features(sites(spark, sf_dir), q)
+
+
+# --- order and paging --------------------------------------------------------------------------
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS __feature_id, score FROM " + CUSTOMERS_SQL + " ORDER BY score DESC NULLS FIRST, CAST(c_custkey AS VARCHAR) LIMIT 300")
+def order_nulls(spark, sf_dir):
+    return execute.features(customers(spark, sf_dir), FeatureQuery(order=(OrderTerm("score", True),), limit=300, projection=("score",)))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS __feature_id, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS FIRST, CAST(o_orderkey AS VARCHAR) LIMIT 50 OFFSET 120")
+def page_offset(spark, sf_dir):
+    q = FeatureQuery(where=parse_filter("o_totalprice > 1000"), order=(OrderTerm("o_orderpriority"), OrderTerm("o_totalprice", True)), limit=50, offset=120, projection=("o_orderpriority", "o_totalprice"))
+    return execute.features(orders(spark, sf_dir), q)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS __feature_id, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, CAST(o_orderkey AS VARCHAR) LIMIT 25 OFFSET 25")
+def page_cursor(spark, sf_dir):
+    """The second page, by the first page's cursor."""
+    q = FeatureQuery(order=(OrderTerm("o_totalprice", True),), limit=25, projection=("o_totalprice",))
+    again = FeatureQuery(order=q.order, limit=25, projection=q.projection, cursor=execute.cursor_for(q, 25))
+    return execute.features(orders(spark, sf_dir), again)
+
+
+@query("SELECT l_orderkey || '|' || l_linenumber AS __feature_id, l_quantity FROM lineitem WHERE l_quantity > 45 ORDER BY l_quantity DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 40")
+def served_order(spark, sf_dir):
+    """The served order keeps match order among ties, without the id."""
+    q = FeatureQuery(where=parse_filter("l_quantity > 45"), order=(OrderTerm("l_quantity", True),), limit=40, projection=("l_quantity",))
+    return execute.features(lineitem(spark, sf_dir), q, tie_by_id=False)
+
+
+# --- reductions --------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 5000")
+def distinct_combo(spark, sf_dir):
+    return execute.distinct(orders(spark, sf_dir), FeatureQuery(where=parse_filter("o_totalprice > 5000")), ("o_orderstatus", "o_orderpriority"))
+
+
+@query("SELECT count(*) AS count FROM (SELECT DISTINCT score, c_mktsegment FROM " + CUSTOMERS_SQL + ")")
+def count_distinct_combo(spark, sf_dir):
+    shapes.check_shapes({"count_only", "distinct_values"})
+    return shapes.count_distinct(customers(spark, sf_dir), FeatureQuery(), ("score", "c_mktsegment"))
+
+
+@query("SELECT count(*) AS count FROM lineitem WHERE l_quantity <= 10")
+def count_only(spark, sf_dir):
+    return shapes.count_only(lineitem(spark, sf_dir), FeatureQuery(where=parse_filter("l_quantity <= 10")))
+
+
+_STATS = (
+    AggregateSpec("count", "*", "rows"),
+    AggregateSpec("count", "score", "scored"),
+    AggregateSpec("sum", "score", "total"),
+    AggregateSpec("avg", "score", "mean"),
+    AggregateSpec("min", "c_name", "first"),
+    AggregateSpec("max", "c_name", "last"),
+    AggregateSpec("var", "score", "var"),
+    AggregateSpec("stddev", "score", "sd"),
+)
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
+@query("SELECT c_mktsegment, count(*) AS rows, nullif(count(score), 0) AS scored, CAST(sum(score) AS BIGINT) AS total, round(avg(score), 6) AS mean, min(c_name) AS first, max(c_name) AS last, round(var_samp(score), 6) AS var, round(stddev_samp(score), 6) AS sd FROM " + CUSTOMERS_SQL + " GROUP BY c_mktsegment")
+def agg_all_stats(spark, sf_dir):
+    return _rounded(execute.aggregate(customers(spark, sf_dir), FeatureQuery(), AggregateQuery(_STATS, ("c_mktsegment",))))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.75), 6) AS p25_desc, round(quantile_disc(l_quantity, 0.5), 6) AS p50 FROM lineitem GROUP BY l_returnflag")
+def agg_percentiles(spark, sf_dir):
+    specs = (AggregateSpec("percentile_cont", "l_extendedprice", "p90", 0.9), AggregateSpec("percentile_cont", "l_extendedprice", "p25_desc", 0.25, True), AggregateSpec("percentile_disc", "l_quantity", "p50", 0.5))
+    return _rounded(execute.aggregate(lineitem(spark, sf_dir), FeatureQuery(), AggregateQuery(specs, ("l_returnflag",))))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_quantity, 0.9), 4) AS p90 FROM lineitem WHERE l_quantity > 30 GROUP BY ALL HAVING count(*) > 10")
+def agg_having(spark, sf_dir):
+    specs = (AggregateSpec("count", "*", "n"), AggregateSpec("avg", "l_extendedprice", "mean"), AggregateSpec("percentile_cont", "l_quantity", "p90", 0.9))
+    a = AggregateQuery(specs, ("l_returnflag", "l_linestatus"), parse_filter("n > 10"))
+    return _rounded(execute.aggregate(lineitem(spark, sf_dir), FeatureQuery(where=parse_filter("l_quantity > 30")), a), 4)
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 2 ORDER BY n DESC, o_custkey LIMIT 20 OFFSET 5")
+def agg_group_page(spark, sf_dir):
+    specs = (AggregateSpec("count", "*", "n"), AggregateSpec("sum", "o_totalprice", "total"))
+    a = AggregateQuery(specs, ("o_custkey",), parse_filter("n >= 2"), (OrderTerm("n", True), OrderTerm("o_custkey")), 20, 5)
+    return _rounded(execute.aggregate(orders(spark, sf_dir), FeatureQuery(), a), 2)
+
+
+@query("SELECT count(*) AS rows, nullif(count(score), 0) AS scored, CAST(sum(score) AS BIGINT) AS total, round(avg(score), 6) AS mean, min(c_name) AS first, max(c_name) AS last, round(var_samp(score), 6) AS var, round(stddev_samp(score), 6) AS sd FROM " + CUSTOMERS_SQL + " WHERE score > 1000")
+def agg_over_nothing(spark, sf_dir):
+    return _rounded(execute.aggregate(customers(spark, sf_dir), FeatureQuery(where=parse_filter("score > 1000")), AggregateQuery(_STATS)))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS rows, CAST(NULL AS DOUBLE) AS mean")
+def served_statistics_over_nothing(spark, sf_dir):
+    a = AggregateQuery((AggregateSpec("count", "*", "rows"), AggregateSpec("avg", "score", "mean")))
+    return shapes.served_statistics(customers(spark, sf_dir), FeatureQuery(where=parse_filter("score > 1000")), a)
+
+
+@query("SELECT min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy, count(*) AS count FROM " + SITES_SQL + " WHERE l_quantity > 20")
+def extent(spark, sf_dir):
+    return shapes.extent_only(sites(spark, sf_dir), FeatureQuery(where=parse_filter("l_quantity > 20")))
+
+
+@query("SELECT p_brand, min(x0) AS minx, min(y0) AS miny, max(x0 + w) AS maxx, max(y0 + h) AS maxy FROM " + PARCELS_SQL + " GROUP BY p_brand")
+def agg_envelope(spark, sf_dir):
+    rows = execute.aggregate(parcels(spark, sf_dir), FeatureQuery(), AggregateQuery((AggregateSpec("envelope", "shape", "box"),), ("p_brand",)))
+    return rows.select("p_brand", "box.*")
+
+
+@query("WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), c AS (SELECT unnest(range(1, 6)) AS k) SELECT CAST(k AS INTEGER) AS class, round(lo + (hi - lo) * (k - 1) / 5, 6) AS low, round(CASE WHEN k = 5 THEN hi ELSE lo + (hi - lo) * k / 5 END, 6) AS high FROM e, c")
+def class_breaks(spark, sf_dir):
+    return _rounded(shapes.class_breaks(orders(spark, sf_dir), FeatureQuery(), "o_totalprice", 5))
+
+
+@query("SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL")
+def unique_values(spark, sf_dir):
+    return shapes.unique_values(orders(spark, sf_dir), FeatureQuery(), "o_orderpriority")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS object_id FROM part WHERE p_size < 5")
+def ids_only(spark, sf_dir):
+    return shapes.ids_only(Dataset(table(spark, sf_dir, "part"), ("p_partkey",)), FeatureQuery(where=parse_filter("p_size < 5")))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN lower(p_name) LIKE '%a1%' THEN 'p_name' WHEN lower(p_brand) LIKE '%a1%' THEN 'p_brand' ELSE 'p_type' END AS found_field FROM part WHERE lower(p_name) LIKE '%a1%' OR lower(p_brand) LIKE '%a1%' OR lower(p_type) LIKE '%a1%'")
+def find_text(spark, sf_dir):
+    return shapes.find_text(Dataset(table(spark, sf_dir, "part"), ("p_partkey",)), "A1", ("p_name", "p_brand", "p_type")).select("p_partkey", "found_field")
+
+
+@query("SELECT 'customer' AS layer, c_nationkey AS nation, c_acctbal AS balance FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'supplier', s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 7000")
+def service_layers(spark, sf_dir):
+    c = Dataset(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")))
+    s = Dataset(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")))
+    defs = {"customer": (c, "balance > 5000"), "supplier": (s, "balance > 7000")}
+    return shapes.layers({n: execute.select(ds, FeatureQuery(where=parse_where(w))).df for n, (ds, w) in defs.items()}).select("layer", "nation", "balance")
+
+
+# --- time --------------------------------------------------------------------------------------
+
+_START, _END = 1704067200000, 1706745600000
+
+
+def _events(spark, sf_dir) -> Dataset:
+    """Events as extents: each third open at the end, each fifth at the start."""
+    df = table(spark, sf_dir, "events").select("event_id", F.expr("if(event_id % 5 = 0, null, ts)").alias("began"), F.expr("if(event_id % 3 = 0, null, ts + make_dt_interval(cast(event_id % 20 as int)))").alias("ended"))
+    return Dataset(df, ("event_id",), ("event_id",), "events", "began", "ended")
+
+
+_EVENTS_SQL = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS began, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + to_days(CAST(event_id % 20 AS INTEGER)) END AS ended FROM events)"
+_WINDOW = "TIMESTAMP '2024-01-01'", "TIMESTAMP '2024-02-01'"
+
+
+@query(f"SELECT event_id FROM {_EVENTS_SQL} WHERE (began IS NULL OR ended IS NULL OR began <= ended) AND (ended IS NULL OR ended >= {_WINDOW[0]}) AND (began IS NULL OR began < {_WINDOW[1]} + INTERVAL 1 MILLISECOND)")
+def temporal_overlaps(spark, sf_dir):
+    return temporal.extent(_events(spark, sf_dir), _START, _END).select("event_id")
+
+
+@query(f"SELECT event_id FROM {_EVENTS_SQL} WHERE (began IS NULL OR ended IS NULL OR began <= ended) AND (began IS NULL OR began < {_WINDOW[0]} + INTERVAL 1 MILLISECOND) AND (ended IS NULL OR ended >= {_WINDOW[1]})")
+def temporal_contains(spark, sf_dir):
+    return temporal.extent(_events(spark, sf_dir), _START, _END, "contains").select("event_id")
+
+
+@query(f"SELECT event_id FROM {_EVENTS_SQL} WHERE began <= ended AND began >= {_WINDOW[0]} AND ended < {_WINDOW[1]} + INTERVAL 1 MILLISECOND")
+def temporal_within(spark, sf_dir):
+    return temporal.extent(_events(spark, sf_dir), _START, _END, "within").select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate IS NULL OR o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-12-31' + INTERVAL 1 MILLISECOND")
+def temporal_any_date(spark, sf_dir):
+    return temporal.any_date(orders(spark, sf_dir), 788918400000, 820368000000).select("o_orderkey")
+
+
+# --- relationships -----------------------------------------------------------------------------
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS __origin, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_quantity > 40")
+def related_one_many(spark, sf_dir):
+    o = execute.select(orders(spark, sf_dir), FeatureQuery(where=parse_filter("o_orderstatus = 'F'")))
+    return related.related(o, lineitem(spark, sf_dir), related.Relationship("o_orderkey", "l_orderkey"), parse_filter("l_quantity > 40"), projection=("l_linenumber", "l_quantity"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS __origin, s_suppkey, s_name FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size < 10 AND s_acctbal > 0")
+def related_many_many(spark, sf_dir):
+    parts = Dataset(table(spark, sf_dir, "part").where("p_size < 10"), ("p_partkey",))
+    suppliers = Dataset(table(spark, sf_dir, "supplier"), ("s_suppkey",))
+    r = related.Relationship("p_partkey", "s_suppkey", "l_partkey", "l_suppkey")
+    return related.related(parts, suppliers, r, parse_filter("s_acctbal > 0"), table(spark, sf_dir, "lineitem"), ("s_suppkey", "s_name"))
+
+
+@query("SELECT __origin, l_linenumber FROM (SELECT CAST(o_orderkey AS VARCHAR) AS __origin, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_extendedprice DESC, l_orderkey || '|' || l_linenumber) AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE k <= 2")
+def related_top_per_origin(spark, sf_dir):
+    return related.related(orders(spark, sf_dir), lineitem(spark, sf_dir), related.Relationship("o_orderkey", "l_orderkey"), projection=("l_linenumber",), order=(OrderTerm("l_extendedprice", True),), limit=2)
+
+
+# --- geometry ----------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, round(w * h, 6) AS area, round(2 * (w + h), 6) AS perimeter, round(x0 + w / 2, 6) AS cx, round(y0 + h / 2, 6) AS cy FROM " + PARCELS_SQL)
+def geometry_measures(spark, sf_dir):
+    wkb = F.col("shape.wkb")
+    middle = geo.call("st_bounds", geo.call("st_centroid", wkb))
+    df = parcels(spark, sf_dir).df.select("p_partkey", geo.call("st_area", wkb).alias("area"), geo.call("st_length", wkb).alias("perimeter"), middle[0].alias("cx"), middle[1].alias("cy"))
+    return _rounded(df)
+
+
+@query("SELECT p_partkey, round(w * h, 6) AS area, round(2 * (w + h), 6) AS length FROM " + PARCELS_SQL)
+def native_measures(spark, sf_dir):
+    """Shoelace area and path length over coordinate arrays, in expressions."""
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
+    df = parcels(spark, sf_dir).df.withColumn("ring", F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1), p(x0, y0)))
+    return _rounded(df.select("p_partkey", geo.ring_area(F.col("ring")).alias("area"), geo.path_length(F.col("ring")).alias("length")))
+
+
+@query("SELECT p_partkey, CAST(ceil(w / 0.7) AS BIGINT) + 1 AS n FROM " + PARCELS_SQL)
+def densify(spark, sf_dir):
+    line = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct((F.col("x0") + F.col("w")).alias("x"), F.col("y0").alias("y")))
+    return parcels(spark, sf_dir).df.withColumn("line", line).select("p_partkey", F.size(geo.densify_path(F.col("line"), 0.7)).cast("long").alias("n"))
+
+
+@query("SELECT p_partkey, round(greatest(0, least(x0 + w, 101) - greatest(x0, 50)) * greatest(0, least(y0 + h, 93.5) - greatest(y0, 40)), 6) AS inside, round(w * h - greatest(0, least(x0 + w, 101) - greatest(x0, 50)) * greatest(0, least(y0 + h, 93.5) - greatest(y0, 40)), 6) AS outside FROM " + PARCELS_SQL + " WHERE x0 <= 101 AND x0 + w >= 50 AND y0 <= 93.5 AND y0 + h >= 40")
+def overlay_areas(spark, sf_dir):
+    """Intersection with, and difference from, one rectangle."""
+    window = F.lit(geo.wkb_box(50, 40, 101, 93.5))
+    near = execute.select(parcels(spark, sf_dir), FeatureQuery(box=Box(50, 40, 101, 93.5))).df
+    area = lambda f: geo.call("st_area", geo.call(f, F.col("shape.wkb"), window))
+    return _rounded(near.select("p_partkey", area("st_intersection").alias("inside"), area("st_difference").alias("outside")))
+
+
+@query("SELECT p_partkey FROM " + PARCELS_SQL + " WHERE x0 >= 20 AND y0 >= 10 AND x0 + w <= 150.5 AND y0 + h <= 120.5")
+def relation_contains(spark, sf_dir):
+    """The protocol's ``contains``: the feature lies within the query geometry."""
+    q = spatial.QueryGeometry(geo.wkb_box(20, 10, 150.5, 120.5), (20, 10, 150.5, 120.5), 2)
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", q, "within", mask="T*F**F***").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM " + PARCELS_SQL + " WHERE x0 <= 150.5 AND x0 + w >= 20 AND y0 <= 120.5 AND y0 + h >= 10")
+def relation_intersects(spark, sf_dir):
+    q = spatial.QueryGeometry(geo.wkb_box(20, 10, 150.5, 120.5), (20, 10, 150.5, 120.5), 2)
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", q, "intersects").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM " + PARCELS_SQL + " WHERE NOT (x0 <= 150.5 AND x0 + w >= 20 AND y0 <= 120.5 AND y0 + h >= 10)")
+def relation_disjoint(spark, sf_dir):
+    q = spatial.QueryGeometry(geo.wkb_box(20, 10, 150.5, 120.5), (20, 10, 150.5, 120.5), 2)
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", q, "disjoint").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM " + PARCELS_SQL + " WHERE x0 < 150.5 AND x0 + w > 20 AND y0 < 120.5 AND y0 + h > 10 AND NOT (x0 >= 20 AND y0 >= 10 AND x0 + w <= 150.5 AND y0 + h <= 120.5)")
+def relation_overlaps(spark, sf_dir):
+    q = spatial.QueryGeometry(geo.wkb_box(20, 10, 150.5, 120.5), (20, 10, 150.5, 120.5), 2)
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", q, "overlaps").select("p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM " + SITES_SQL + " WHERE sqrt((x - 10) ** 2 + (y - 20) ** 2) <= 12.5")
+def distance_band(spark, sf_dir):
+    q = spatial.QueryGeometry(geo.wkb_point(10, 20), (10, 20, 10, 20), 0)
+    return spatial.within_distance(sites(spark, sf_dir).df, "shape", q, 12.5).select("l_orderkey", "l_linenumber")
+
+
+_RECTS_SQL = "(SELECT s_suppkey, CAST(s_suppkey * 13 % 290 AS DOUBLE) AS a0, CAST(s_suppkey * 17 % 190 AS DOUBLE) AS b0 FROM supplier)"
+
+
+@query("SELECT p_partkey, s_suppkey FROM " + PARCELS_SQL + ", " + _RECTS_SQL + " WHERE x0 <= a0 + 8.5 AND x0 + w >= a0 AND y0 <= b0 + 6.5 AND y0 + h >= b0")
+def spatial_join(spark, sf_dir):
+    """Rectangles that meet, by grid cell, each pair once."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("cast(s_suppkey * 13 % 290 as double)").alias("a0"), F.expr("cast(s_suppkey * 17 % 190 as double)").alias("b0"))
+    s = s.select("s_suppkey", geo.box(F.col("a0"), F.col("b0"), F.col("a0") + 8.5, F.col("b0") + 6.5).alias("zone"))
+    return spatial.join(parcels(spark, sf_dir).df.select("p_partkey", "shape"), s, "shape", "zone", 8.0).select("p_partkey", "s_suppkey")
+
+
+@query("WITH c AS (SELECT DISTINCT p_brand, x0 + i AS x, y0 + j AS y FROM " + PARCELS_SQL + ", (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 4)) AS j) WHERE i < w AND j < h) SELECT p_brand, round(CAST(count(*) AS DOUBLE), 6) AS area FROM c GROUP BY p_brand")
+def union_aggregate(spark, sf_dir):
+    """The area that each brand's rectangles cover together."""
+    merged = geo.dissolve(parcels(spark, sf_dir).df, ["p_brand"], F.col("shape.wkb"))
+    return _rounded(merged.select("p_brand", geo.call("st_area", "wkb").alias("area")))
+
+
+@query()
+def hull_aggregate(spark, sf_dir):
+    hulls = geo.dissolve(parcels(spark, sf_dir).df, ["p_brand"], F.col("shape.wkb"), "hull")
+    return _rounded(hulls.select("p_brand", geo.call("st_area", "wkb").alias("area")), 4)
+
+
+@query()
+def buffer_simplify_repair(spark, sf_dir):
+    """Constructions without a closed form in SQL; the tests hold them against known shapes."""
+    g = F.col("shape.wkb")
+    round_ = geo.call("st_buffer", g, F.lit(1.0), F.lit(8))
+    label = geo.call("st_labelpoint", g)
+    df = parcels(spark, sf_dir).df.select(
+        "p_partkey",
+        geo.call("st_area", round_).alias("buffered"),
+        geo.call("st_area", geo.call("st_simplify", round_, F.lit(0.05))).alias("simplified"),
+        geo.call("st_area", geo.call("st_generalize", round_, F.lit(0.05))).alias("generalized"),
+        geo.call("st_isvalid", geo.call("st_makevalid", g)).alias("valid"),
+        geo.call("st_matches", geo.call("st_relate", label, g), F.lit("T*F**F***")).alias("label_inside"),
+    )
+    return _rounded(df)
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even(x / 7, 2) AS rx, CAST(round((x - 3) / 2.5) * 2.5 + 3 AS DOUBLE) AS qx FROM " + SITES_SQL)
+def quantize_and_round(spark, sf_dir):
+    return sites(spark, sf_dir).df.select("l_orderkey", "l_linenumber", geo.round_ordinates(F.col("x") / 7, 2).alias("rx"), geo.quantize(F.col("x"), 3.0, 2.5).alias("qx"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(radians(x) * 6378137.0, 3) AS mx, round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0, 3) AS my FROM " + SITES_SQL + " WHERE abs(y) < 85")
+def web_mercator(spark, sf_dir):
+    x, y = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
+    return sites(spark, sf_dir).df.where("abs(y) < 85").select("l_orderkey", "l_linenumber", F.round(x, 3).alias("mx"), F.round(y, 3).alias("my"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(x, 6) AS x, round(y, 6) AS y FROM " + SITES_SQL + " WHERE x BETWEEN 6 AND 12 AND y BETWEEN 0 AND 80")
+def utm_round_trip(spark, sf_dir):
+    df = sites(spark, sf_dir).df.where("x between 6 and 12 and y between 0 and 80")
+    e, n = crs.transform(F.col("x"), F.col("y"), 4326, 32632)
+    there = df.select("l_orderkey", "l_linenumber", e.alias("e"), n.alias("n"))
+    x, y = crs.transform(F.col("e"), F.col("n"), 32632, 4326)
+    return there.select("l_orderkey", "l_linenumber", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query("SELECT CAST(least(greatest(floor((x + 180) / 360 * 64), 0), 63) AS INTEGER) AS tile_x, CAST(least(greatest(floor((0.5 - ln(tan(pi() / 4 + radians(greatest(least(y, 85.0511287798066), -85.0511287798066)) / 2)) / (2 * pi())) * 64), 0), 63) AS INTEGER) AS tile_y, count(*) AS n FROM " + SITES_SQL + " GROUP BY ALL")
+def tile_counts(spark, sf_dir):
+    tx, ty = tiles.tile_of(F.col("x"), F.col("y"), 6)
+    return sites(spark, sf_dir).df.groupBy(tx.alias("tile_x"), ty.alias("tile_y")).agg(F.count("*").alias("n"))
+
+
+@query()
+def vector_tile(spark, sf_dir):
+    df = sites(spark, sf_dir).df.where("abs(y) < 85 and l_quantity > 48")
+    mx, my = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
+    return vector_tiles.encode(df.withColumn("m", geo.point(mx, my)["wkb"]), 3, "x", "y", "m", ["l_orderkey", "l_quantity"]).select("z", "x", "y", "n", F.sha2("tile", 256).alias("tile"))
+
+
+@query("SELECT 'point-' || lpad(CAST(k AS VARCHAR), 3, '0') AS __feature_id, CAST(k % 11 - 5 + k // 11 - 4 AS DOUBLE) AS value FROM (SELECT unnest(range(0, 110)) AS k) WHERE k % 11 - 5 BETWEEN -2 AND 3 AND k // 11 - 4 BETWEEN 0 AND 2")
+def demo_points(spark, sf_dir):
+    return execute.features(demo.points(spark), FeatureQuery(box=Box(-2, 0, 3, 2.5), projection=("value",)))
+
+
+# --- expressions, rasters, edits, files --------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 AND o_orderstatus = 'O' THEN 'big' WHEN o_orderstatus IN ('F', 'P') THEN 'done' ELSE 'other' END AS class, o_orderstatus || '-' || o_orderpriority AS tag FROM orders")
+def expr_case(spark, sf_dir):
+    df = orders(spark, sf_dir).df
+    e = ["case", ["all", [">", ["get", "o_totalprice"], 200000], ["==", ["get", "o_orderstatus"], "O"]], "big", ["in", ["get", "o_orderstatus"], ["literal", ["F", "P"]]], "done", "other"]
+    return df.select("o_orderkey", compile_expression(df, e).alias("class"), compile_expression(df, ["concat", ["get", "o_orderstatus"], "-", ["get", "o_orderpriority"]]).alias("tag"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 THEN 'c' WHEN o_totalprice >= 100000 THEN 'b' ELSE 'a' END AS step, round(CASE WHEN o_totalprice <= 1000 THEN 1 WHEN o_totalprice >= 300000 THEN 20 ELSE 1 + 19 * (o_totalprice - 1000) / 299000 END, 6) AS linear, round(CASE WHEN o_totalprice <= 1000 THEN 1 WHEN o_totalprice >= 300000 THEN 20 ELSE 1 + 19 * pow((o_totalprice - 1000) / 299000, 2) END, 6) AS exponential FROM orders")
+def expr_step_interpolate(spark, sf_dir):
+    df, price = orders(spark, sf_dir).df, ["get", "o_totalprice"]
+    ramp = lambda mode: compile_expression(df, ["interpolate", mode, price, 1000, 1, 300000, 20])
+    return _rounded(df.select("o_orderkey", compile_expression(df, ["step", price, "a", 100000, "b", 200000, "c"]).alias("step"), ramp(["linear"]).alias("linear"), ramp(["exponential", 2]).alias("exponential")))
+
+
+@query("SELECT c_custkey FROM " + CUSTOMERS_SQL + " WHERE NOT (coalesce(score = 5, FALSE)) AND NOT (c_mktsegment = 'BUILDING' OR c_acctbal < 0)")
+def legacy_filters(spark, sf_dir):
+    df = customers(spark, sf_dir).df
+    keep = legacy_filter(["all", ["!=", "score", 5], ["none", ["==", "c_mktsegment", "BUILDING"], ["<", "c_acctbal", 0]]])
+    return df.where(compile_expression(df, keep)).select("c_custkey")
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.lit("r").alias("raster_id"), F.col("l_linenumber").alias("band"), F.expr("cast(l_orderkey % 500 as int)").alias("row"), F.expr("cast(l_partkey % 500 as int)").alias("col"), F.expr("l_quantity * 4").alias("value"))
+
+
+_CELLS_SQL = "(SELECT 'r' AS raster_id, l_linenumber AS band, l_orderkey % 500 AS row, l_partkey % 500 AS col, l_quantity * 4 AS value FROM lineitem)"
+
+
+@query(f"SELECT raster_id, band, CAST(CASE WHEN lo = hi THEN 128 ELSE least(floor((value - lo) * 256 / (hi - lo)), 255) END AS INTEGER) AS bin, count(*) AS n FROM {_CELLS_SQL} JOIN (SELECT band AS b, min(value) AS lo, max(value) AS hi FROM {_CELLS_SQL} GROUP BY band) ON b = band GROUP BY ALL")
+def raster_histogram(spark, sf_dir):
+    return raster.histogram(_cells(spark, sf_dir))
+
+
+@query(f"SELECT raster_id, band, CAST(least(greatest(floor(value + 0.5), 0), 255) AS INTEGER) AS bin, count(*) AS n FROM {_CELLS_SQL} GROUP BY ALL")
+def raster_histogram_8bit(spark, sf_dir):
+    return raster.histogram(_cells(spark, sf_dir), eight_bit=True)
+
+
+@query(f"SELECT raster_id, band, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev FROM {_CELLS_SQL} GROUP BY ALL")
+def raster_statistics(spark, sf_dir):
+    return _rounded(raster.band_statistics(_cells(spark, sf_dir)))
+
+
+@query(f"SELECT raster_id, band, value FROM {_CELLS_SQL} WHERE row = 7 AND col = 11")
+def raster_identify(spark, sf_dir):
+    return raster.identify(_cells(spark, sf_dir), "r", 7, 11)
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 10 <> 3 AND NOT s_acctbal < 0 UNION ALL SELECT s_suppkey, CAST(1 AS DOUBLE) FROM supplier WHERE s_suppkey % 10 = 3 UNION ALL SELECT 1000000 + s_suppkey, s_acctbal FROM supplier WHERE s_suppkey < 4 AND NOT s_acctbal < 0")
+def edit_snapshot(spark, sf_dir):
+    """Adds (one of them a duplicate), updates and a delete by predicate, as the next snapshot."""
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    ds = Dataset(df, ("s_suppkey",))
+    fresh = df.where("s_suppkey < 4").selectExpr("1000000L + s_suppkey as s_suppkey", "s_acctbal").unionByName(df.where("s_suppkey = 5"))
+    _, added = edits.add(ds, fresh)
+    _, updated = edits.update(ds.with_df(added), df.where("s_suppkey % 10 = 3").selectExpr("s_suppkey", "1D as s_acctbal"))
+    return edits.delete_where(ds.with_df(updated), parse_filter("s_acctbal < 0"))
+
+
+@query()
+def geojson_features(spark, sf_dir):
+    df = sites(spark, sf_dir).df.select(F.concat_ws("|", "l_orderkey", "l_linenumber").alias("id"), "x", "y", "l_quantity")
+    return ingest.to_geojson(df, "id", "x", "y")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def queries() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
 
 
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["ID", "flagship", "oracle_sql", "queries", "query"]
