@@ -5,12 +5,12 @@ equal sets are one node from the start, named by a hash of the set, so a group o
 copies costs one entry a task.  Two nodes link when 7 |A n B| >= 3 (|A| + |B|),
 that is Jaccard >= 3/4.
 
-Under any global order of shingles, linked sets share one within their prefixes:
-of the smaller set the first ``n - ceil(6n/7) + 1``, of the larger the first
-``n - ceil(3n/4) + 1``.  That holds for every order at once, so a pair is a
-candidate only if it shares prefix shingles under all ORDERS orders.  Each order
-sorts shingles by how frequent they are among all documents, so boilerplate comes
-last, and by a hash of its own among equals.
+Under any global order of shingles, linked sets share one within their prefixes,
+the first ``n - ceil(3n/4) + 1``; and of their first common shingle, at least
+``3 (|A| + |B|) / 7`` stand at or after it in both.  That holds for every order at
+once, so a pair is a candidate only if it passes under all ORDERS orders.  Each
+order sorts shingles by how frequent they are among all documents, so boilerplate
+comes last, and by a hash of its own among equals.
 
 Frequencies are counted by task chunks and summed; the table of frequent shingles
 has at most HOT_TOKENS rows (it is broadcast).  A shingle missing from it is
@@ -18,7 +18,7 @@ merely sorted as rare: any order is a right order, so this bound costs nothing
 but time.
 
 Large groups never become all pairs.  First every bucket (a shared shingle) is
-tied to its smallest member: these pairs are verified and give components.  Then
+tied to its most central member: these pairs are verified and give components.  Then
 pairs are formed only between different components of a bucket, of members
 outside its largest component with all others: no link between components can be
 missed, and links inside one would not change it.
@@ -56,31 +56,26 @@ class Sets:
         low = textvec.lowered(data)
         w = textvec.Words(low, offsets)
         h = textvec.span_hashes(low, w.start, w.end)
-        parts, docs = [], []
-        for width in range(1, WIDTH + 1):
-            # texts shorter than WIDTH words are one shingle: all their words
-            run = textvec.windows(h, width) + np.uint64(width)
-            if not len(run):
-                continue
-            here = w.doc[: len(run)]
-            fits = here == w.doc[width - 1 :]
-            fits &= w.count[here] >= WIDTH if width == WIDTH else w.count[here] == width
-            k = np.flatnonzero(fits)
-            parts.append(run[k])
-            docs.append(here[k])
-        n = len(offsets) - 1
-        token = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        order = np.lexsort((token, doc))
-        token, doc = token[order], doc[order]
-        fresh = np.ones(len(token), dtype=bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        self.tokens, self.doc = token[fresh], doc[fresh]
-        self.at = np.searchsorted(self.doc, np.arange(n + 1))
+        run = textvec.windows(h, WIDTH) + np.uint64(WIDTH)
+        parts = [np.zeros(0, np.uint64)]
+        at = np.zeros(len(offsets), dtype=np.int64)
+        for d, (a, n) in enumerate(zip(w.first.tolist(), w.count.tolist(), strict=False)):
+            if n >= WIDTH:
+                x = np.sort(run[a : a + n - WIDTH + 1])
+                if len(x) > 1:
+                    fresh = np.empty(len(x), dtype=bool)
+                    fresh[0] = True
+                    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+                    x = x[fresh]
+            else:  # a text shorter than WIDTH words is one shingle: all its words
+                x = textvec.windows(h[a : a + n], n) + np.uint64(n) if n else parts[0]
+            parts.append(x)
+            at[d + 1] = len(x)
+        self.tokens, self.at = np.concatenate(parts), np.cumsum(at)
         self.size = np.diff(self.at)
-        run = np.zeros(len(self.tokens) + 1, dtype=np.uint64)
-        np.cumsum(textvec.mix(self.tokens + np.uint64(0x51)), out=run[1:])
-        self.sig = textvec.mix(run[self.at[1:]] - run[self.at[:-1]] + self.size.astype(np.uint64)).view(np.int64)
+        total = np.zeros(len(self.tokens) + 1, dtype=np.uint64)
+        np.cumsum(textvec.mix(self.tokens + np.uint64(0x51)), out=total[1:])
+        self.sig = textvec.mix(total[self.at[1:]] - total[self.at[:-1]] + self.size.astype(np.uint64)).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
@@ -128,7 +123,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         for _, _, s in _sets(batches):
             new = _fresh(s, seen)
-            held.append(s.tokens[new[s.doc]])
+            held.append(s.tokens[np.repeat(new, s.size)])
             if sum(map(len, held)) >= CHUNK_TOKENS:
                 yield flush()
                 held.clear()
@@ -151,54 +146,78 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], n[order]
 
 
-def prefixes(docs: DataFrame, hot, order: int, want_hot: bool) -> DataFrame:
-    """(token, sig, n, idx): prefix shingles under an order; idx marks the shorter prefix of a pair's smaller set.
+class Frequencies:
+    """A class for each shingle: 0 for those not in the frequent table, else by the logarithm of its count."""
+
+    def __init__(self, token: np.ndarray, n: np.ndarray):
+        self.token = token
+        self.level = np.clip(8 * np.log2(np.maximum(n, 1)) + 1, 1, 255).astype(np.uint64)
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[token >> np.uint64(42)] = True
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), dtype=np.uint64)
+        ask = np.flatnonzero(self.maybe[tokens >> np.uint64(42)])
+        if len(ask):
+            k = np.searchsorted(self.token, tokens[ask])
+            k[k == len(self.token)] = 0
+            same = self.token[k] == tokens[ask]
+            out[ask[same]] = self.level[k[same]]
+        return out
+
+
+def prefixes(docs: DataFrame, hot, orders: list[int], want_hot: bool) -> DataFrame:
+    """(order_no, token, sig, n, pos): the prefix shingles of every set under some orders, pos being the place in the order.
 
     Of these, the frequent shingles or the others (their buckets are handled apart).
     """
-    salt = np.uint64((0x9E3779B97F4A7C15 * (order + 1)) & 0xFFFFFFFFFFFFFFFF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = hot.value
-        seen: set[int] = set()
+        frequencies, seen = Frequencies(*hot.value), set()
         for _, _, s in _sets(batches):
-            new = _fresh(s, seen)
-            if not new.any():
-                continue
-            df = np.zeros(len(s.tokens), dtype=np.int64)
-            if len(known):
-                k = np.searchsorted(known, s.tokens)
-                k[k == len(known)] = 0
-                same = known[k] == s.tokens
-                df[same] = count[k[same]]
-            by = np.lexsort((textvec.mix(s.tokens ^ salt), df, s.doc))
-            place = np.arange(len(by)) - s.at[s.doc]  # documents keep their bounds
-            n = s.size[s.doc]
-            take = (place < n - (3 * n + 3) // 4 + 1) & new[s.doc]
-            mine = by[take]
-            short = (place < n - (6 * n + 6) // 7 + 1)[take]
-            chosen = (df[mine] > 0) == want_hot
-            mine, short = mine[chosen], short[chosen]
-            doc = s.doc[mine]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.tokens[mine].view(np.int64)), pa.array(s.sig[doc]), pa.array(s.size[doc], pa.int32()), pa.array(short)], names=["token", "sig", "n", "idx"]
-            )
-
-    return _texts(docs).mapInArrow(run, "token long, sig long, n int, idx boolean")
-
-
-def buckets(docs: DataFrame, hot, order: int) -> DataFrame:
-    """Prefix rows whose shingle is in several sets, with ``lead``, the smallest of these; written."""
-    w = W.partitionBy("token")
-    # a rare shingle's bucket is small: one shuffle, the bucket's bounds beside each row
-    rare = prefixes(docs, hot, order, want_hot=False).withColumns({"lead": F.min("sig").over(w), "_last": F.max("sig").over(w), "_any": F.max("idx").over(w)})
-    rare = rare.where("lead < _last and _any")
-    # a frequent shingle's bounds are summed up before the shuffle, and skewed joins are split
-    common = prefixes(docs, hot, order, want_hot=True)
-    bounds = common.groupBy("token").agg(F.min("sig").alias("lead"), F.max("sig").alias("_last"), F.max("idx").alias("_any")).where("lead < _last and _any")
-    common = common.join(bounds, "token")
-    columns = ["token", "sig", "n", "idx", "lead"]
-    return written(rare.select(columns).unionByName(common.select(columns)).dropDuplicates(["token", "sig"]), f"buckets-{order}")
+            rows = np.flatnonzero(_fresh(s, seen)).tolist()
+            level = frequencies.of(s.tokens) << np.uint64(56)
+            at, size = s.at.tolist(), s.size.tolist()
+            for order in orders:
+                salt = np.uint64((0x9E3779B97F4A7C15 * (order + 1)) & 0xFFFFFFFFFFFFFFFF)
+                key = level | (textvec.mix(s.tokens ^ salt) >> np.uint64(8))
+                token, sig, n, pos = [], [], [], []
+                for r in rows:
+                    a, m = at[r], size[r]
+                    first = np.argsort(key[a : a + m])[: m - (3 * m + 3) // 4 + 1]
+                    here = np.flatnonzero((level[a + first] > 0) == want_hot)
+                    if len(here):
+                        token.append(s.tokens[a + first[here]])
+                        pos.append(here)
+                        sig.append(r)
+                        n.append(len(here))
+                if token:
+                    owner = np.repeat(np.array(sig), n)
+                    columns = [np.full(len(owner), order, np.int32), np.concatenate(token).view(np.int64), s.sig[owner], s.size[owner].astype(np.int32), np.concatenate(pos).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["order_no", "token", "sig", "n", "pos"])
+
+    return _texts(docs).mapInArrow(run, "order_no int, token long, sig long, n int, pos int")
+
+
+def buckets(docs: DataFrame, hot, orders: int) -> list[DataFrame]:
+    """For each order its prefix rows whose shingle is in several sets; written.
+
+    ``lead`` is the bucket's most central set: that with the fewest rarer shingles, so the smallest pos.
+    """
+    columns = ["token", "sig", "n", "pos", "lead"]
+    central = F.min(F.struct("pos", "sig", "n"))
+    # a frequent shingle's lead is summed up before the shuffle, and skewed joins are split
+    common = written(prefixes(docs, hot, list(range(orders)), want_hot=True), "frequent-prefixes")
+    leads = common.groupBy("order_no", "token").agg(central.alias("lead"), F.max("sig").alias("_last"), F.min("sig").alias("_first")).where("_first < _last")
+    common = common.join(leads, ["order_no", "token"])
+    out = []
+    for k in range(orders):
+        w = W.partitionBy("token")
+        # a rare shingle's bucket is small: one shuffle, the bucket's bounds beside each row
+        rare = prefixes(docs, hot, [k], want_hot=False).withColumns({"lead": central.over(w), "_last": F.max("sig").over(w), "_first": F.min("sig").over(w)})
+        both = rare.where("_first < _last").select(columns).unionByName(common.where(F.col("order_no") == k).select(columns))
+        out.append(written(both.dropDuplicates(["token", "sig"]), f"buckets-{k}"))
+    return out
 
 
 def payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -245,9 +264,9 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
-def _near(a: Column, b: Column) -> Column:
-    """Sizes that a link allows."""
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+def _admits(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
+    """What a link allows of a first common shingle: no more can be shared than stands at or after it in both sets."""
+    return 7 * F.least(n - pos, other_n - other_pos) >= 3 * (n + other_n)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -258,13 +277,15 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def cross_pairs(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Pairs of a bucket in different components that the prefixes of this order admit."""
-    rows = _labelled(rows.select("token", "sig", "n", "idx"), labels)
+    rows = _labelled(rows.select("token", "sig", "n", "pos"), labels)
     counted = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     largest = counted.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     mixed = written(rows.join(largest, "token").withColumn("minor", F.col("label") != F.col("most")).drop("most", "labels"), "mixed")
     x, y = mixed.where("minor").alias("x"), mixed.alias("y")
-    admitted = F.when(F.col("x.n") < F.col("y.n"), F.col("x.idx")).when(F.col("x.n") > F.col("y.n"), F.col("y.idx")).otherwise(F.col("x.idx") | F.col("y.idx"))
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & _near(F.col("x.n"), F.col("y.n")) & admitted)
+    admitted = _admits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    # of two members outside the largest component one order is enough
+    once = ~F.col("y.minor") | (F.col("x.sig") < F.col("y.sig"))
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & admitted)
     return found.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
@@ -273,16 +294,13 @@ def near_duplicates(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
     spark = docs.sparkSession
     rows = written(signatures(docs), "signatures")
     hot = spark.sparkContext.broadcast(frequent(docs))
-    tables = [buckets(docs, hot, k) for k in range(orders)]
+    tables = buckets(docs, hot, orders)
     # every pair that is ever verified shares a bucket of the first order
     bodies = payloads(docs, tables[0].select("sig").distinct())
 
-    first = tables[0]
-    lead = first.select(F.col("sig").alias("lead"), F.col("n").alias("lead_n")).distinct()
-    star = first.where("sig <> lead").groupBy("lead", "sig").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    # a first look that need not be complete: pairs that share a good part of a prefix
-    star = star.where(F.col("shared") * 30 >= F.col("n")).join(lead, "lead").where(_near(F.col("n"), F.col("lead_n")))
-    links = written(verify(star.select(F.col("lead").alias("a"), F.col("sig").alias("b")), bodies), "links")
+    star = tables[0].where((F.col("sig") != F.col("lead.sig")) & _admits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    star = star.select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct()
+    links = written(verify(star, bodies), "links")
     labels = graph.components(links)
 
     pairs = cross_pairs(tables[0], labels)
