@@ -76,7 +76,9 @@ def relation(feature_wkb: Column, query_wkb: Column, name: str, query_dimension:
         out = F.lit(False)
         for (a, b), m in DIMENSIONED[name].items():
             if query_dimension in (None, b):
-                out = F.when(dimension_of(feature_wkb) == a, test(m)).otherwise(out)
+                fits = dimension_of(feature_wkb) == a
+                fits = fits if query_dimension == b else fits & (dimension_of(query_wkb) == b)
+                out = F.when(fits, test(m)).otherwise(out)
         return out
     raise PlanError(f"unknown relation {name!r}")
 
