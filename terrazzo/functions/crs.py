@@ -106,3 +106,25 @@ def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
     if b.kind == "projected":
         x, y = _utm(b, x, y) if b.zone else _mercator(x, y)
     return x, y
+
+
+def _frame(c: Crs) -> str:
+    kind = 0 if c.kind == "geographic" else 2 if c.zone else 1
+    return f"{kind},{c.ellipsoid[0]!r},{c.ellipsoid[1]!r},{(c.zone or 0) * 6 - 183},{10000000 if c.south else 0}"
+
+
+def transform_geometry(wkb: Column, source: int, target: int) -> Column:
+    """A whole geometry in the target system; the stated source must be its own."""
+    return wkb if source == target else F.call_function("st_reproject", wkb, F.lit(_frame(describe(source))), F.lit(_frame(describe(target))))
+
+
+def find_transformations(source: int, target: int) -> list[dict]:
+    """Candidate operations between two catalogued systems, best accuracy (metres) first.
+
+    Systems of one datum differ by projection alone; between datums the ballpark identity is offered.
+    """
+    a, b = describe(source), describe(target)
+    datum = lambda c: c.name.split(" / ")[0]
+    if datum(a) == datum(b):
+        return [{"name": f"{a.name} to {b.name}", "accuracy": 0.0, "method": "projection"}]
+    return [{"name": f"{datum(a)} to {datum(b)} (identity)", "accuracy": 2.0, "method": "ballpark"}]

@@ -26,6 +26,8 @@ FUNCTIONS = (
     ("st_matches", "Matches", "boolean"),
     ("st_isvalid", "Valid", "boolean"),
     ("st_buffer", "Buffer", "binary"),
+    ("st_geodesicbuffer", "GeodesicBuffer", "binary"),
+    ("st_reproject", "Reproject", "binary"),
     ("st_intersection", "Intersection", "binary"),
     ("st_difference", "Difference", "binary"),
     ("st_union_all", "UnionAll", "binary"),

@@ -69,3 +69,20 @@ class Transaction:
 
     def rollback(self) -> None:
         self.staged = {}
+
+
+def relate(table: DataFrame, key: str, pairs: DataFrame, column: str) -> DataFrame:
+    """The next snapshot with ``column`` set for the keys in ``pairs`` (key, value); a null value unrelates."""
+    given = pairs.select(F.col(quoted(key)).alias(key), F.col("value").alias("__value"), F.lit(True).alias("__set"))
+    joined = table.join(given, key, "left")
+    changed = F.when(F.col("__set"), F.col("__value").cast(table.schema[column].dataType)).otherwise(F.col(quoted(column)))
+    return joined.withColumn(column, changed).select(*[quoted(c) for c in table.columns])
+
+
+def link(joins: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A join set with pairs added, each once."""
+    return joins.unionByName(pairs.select(joins.columns)).distinct()
+
+
+def unlink(joins: DataFrame, pairs: DataFrame) -> DataFrame:
+    return joins.join(pairs.select(joins.columns).distinct(), joins.columns, "left_anti")

@@ -15,7 +15,7 @@ from terrazzo.functions import crs, tiles
 from terrazzo.functions import geometry as geo
 from terrazzo.functions.expressions import compile_expression, legacy_filter
 from terrazzo.model import AggregateQuery, AggregateSpec, Box, FeatureQuery, OrderTerm
-from terrazzo.operators import edits, raster, related, shapes, spatial, temporal
+from terrazzo.operators import attachments, edits, identify, raster, related, shapes, spatial, temporal
 from terrazzo.plans import execute
 from terrazzo.plans.dataset import ID, Dataset
 from terrazzo.plans.parse import from_wire, parse_filter, parse_where
@@ -475,6 +475,43 @@ def demo_points(spark, sf_dir):
     return execute.features(demo.points(spark), FeatureQuery(box=Box(-2, 0, 3, 2.5), projection=("value",)))
 
 
+@query("SELECT p_partkey, round(radians(x0) * 6378137.0, 2) AS minx, round(ln(tan(pi() / 4 + radians(y0 * 0.4) / 2)) * 6378137.0, 2) AS miny FROM " + PARCELS_SQL + " WHERE x0 < 170")
+def reprojected_shapes(spark, sf_dir):
+    """Whole geometries to web Mercator, as a page with another output system has them."""
+    df = parcels(spark, sf_dir).df.where("x0 < 170")
+    g = geo.box(F.col("x0"), F.col("y0") * 0.4, F.col("x0") + F.col("w"), F.col("y0") * 0.4 + 1)["wkb"]
+    b = geo.call("st_bounds", crs.transform_geometry(g, 4326, 3857))
+    return df.select("p_partkey", F.round(b[0], 2).alias("minx"), F.round(b[1], 2).alias("miny"))
+
+
+@query("SELECT s_suppkey, TRUE AS close FROM supplier")
+def geodesic_buffer(spark, sf_dir):
+    """Ground buffers of 10 km: the area in metres is that of the circle within the tolerance."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", geo.point(F.expr("double(s_suppkey % 170)"), F.expr("double(s_suppkey % 60)"))["wkb"].alias("g"))
+    ring = geo.call("st_geodesicbuffer", "g", F.lit(10000.0), F.lit(16))
+    flat = geo.call("st_bounds", ring)
+    return s.select("s_suppkey", (F.abs((flat[3] - flat[1]) * 111000 - 20000) < 300).alias("close"))
+
+
+@query("SELECT 'sites' AS layer, l_orderkey || '|' || l_linenumber AS feature_id FROM " + SITES_SQL + " WHERE sqrt((x - 10) ** 2 + (y - 20) ** 2) <= 4 AND l_quantity > 25 UNION ALL SELECT 'parcels', CAST(p_partkey AS VARCHAR) FROM " + PARCELS_SQL + " WHERE sqrt(greatest(x0 - 10, 0, 10 - x0 - w) ** 2 + greatest(y0 - 20, 0, 20 - y0 - h) ** 2) <= 4")
+def identify_layers(spark, sf_dir):
+    q = spatial.QueryGeometry(geo.wkb_point(10, 20), (10, 20, 10, 20), 0)
+    reach = identify.tolerance((0, 0, 400, 200), 200, 100, 2)
+    layers = {"sites": (sites(spark, sf_dir), "shape"), "parcels": (parcels(spark, sf_dir), "shape")}
+    return identify.identify(layers, q, reach, {"sites": parse_filter("l_quantity > 25")}).select("layer", "feature_id")
+
+
+@query("SELECT attachment_id, name, content_type, size FROM (SELECT 3 AS attachment_id, 'c' AS name, 'text/plain' AS content_type, 4 AS size UNION ALL SELECT 1, 'a', 'text/plain', 7)")
+def attachment_edits(spark, sf_dir):
+    """Add three, replace one, delete one, list."""
+    table_ = spark.createDataFrame([], attachments.SCHEMA)
+    rows = spark.sql("SELECT 'd' AS dataset, '1' AS feature_id, n AS name, 'text/plain' AS content_type, encode(n || n || n || n, 'UTF-8') AS content FROM VALUES ('a'), ('b'), ('c') AS t(n)")
+    added = attachments.add(table_, rows)
+    updated = attachments.update(added, spark.sql("SELECT 'd' AS dataset, '1' AS feature_id, 1L AS attachment_id, 'a' AS name, 'text/plain' AS content_type, encode('changed', 'UTF-8') AS content"))
+    left = attachments.delete(updated, spark.sql("SELECT 'd' AS dataset, '1' AS feature_id, 2L AS attachment_id"))
+    return attachments.listed(left, "d", "1")
+
+
 # --- expressions, rasters, edits, files --------------------------------------------------------
 
 
