@@ -5,7 +5,8 @@ spans (kind ``crf``) where token shape, neighbouring words and features of the w
 text speak for a secret that no pattern covers.
 
 A token is a run without white space, quotes, brackets, ``, ; : =`` and ``|``.  Tokens
-that are plain words (1 to 15 letters without inner capitals, perhaps a stop after them) are outside on every
+that are plain words (1 to 15 letters without inner capitals, perhaps stops after them) or
+junk words (such a word, or none, with symbols behind it) are outside on every
 best path: ``ChainCRF.certain`` proves that from the weights when the model is loaded.
 So decoding runs only over the other tokens, with the plain word's label as the
 neighbour on both sides, and is still the Viterbi path of the whole text.
@@ -43,12 +44,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # of maximal runs those that are long enoug
 
 _STOP = r"""\s"'`,;:=(){}<>\[\]|"""
 _TOKEN = re.compile(rf"[^{_STOP}]+")
-_WORD = r"(?:[^\W\d_][^\W\d_A-Z]{0,14}|[A-Z]{1,15})[.!?]?"
+_WORD = r"(?:[^\W\d_][^\W\d_A-Z]{0,14}|[A-Z]{1,15})[.!?]{0,2}"
 _PLAIN = re.compile(_WORD)
-#: A token that is no plain word.
-_ODD = re.compile(rf"(?<![^{_STOP}])(?!{_WORD}(?![^{_STOP}]))[^{_STOP}]+")
-#: A run without white space that has plain words as its only tokens.
-_CALM = re.compile(rf"""["'`(\[]*(?:{_WORD})?["'`,;:.!?)\]]*(?<![.!?][.!?])""")
+#: A word (or nothing) with junk symbols behind it.
+_MARKS = r"(?:[^\W\d_][^\W\d_A-Z]{0,14}|[A-Z]{1,15})?[.!?]?[#*$%&]{1,9}"
+_JUNK_WORD = re.compile(_MARKS)
+#: A token that is neither a plain word nor a junk word.
+_ODD = re.compile(rf"(?<![^{_STOP}])(?!(?:{_WORD}|{_MARKS})(?![^{_STOP}]))[^{_STOP}]+")
+#: A run without white space whose only tokens are plain or junk words.
+_CALM = re.compile(rf"""["'`(\[|=]*(?:{_WORD}|{_MARKS})?["'`,;:)\]|=]*(?:[#*$%&]{{1,9}})?""")
 _KEY = re.compile(r"(?i)pass(?:word|wd|phrase)?\b|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|auth|bearer|private[_ -]?key")
 # How keys of well-known services begin.
 _PREFIX = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk_test_|rk_live_|xox[abprs]-|AIza|eyJ|ya29\.|npm_|pypi-|SG\.)")
@@ -58,7 +62,7 @@ _FILE = re.compile(r"[{};]\s*$|^\s*(?:import|export|def|var|const|let)\s", re.M)
 FEATURES = (
     "bias", "plain", "len8", "len16", "len24", "len32", "digit", "inner_upper", "lower", "letter_digit", "hex", "base64", "prefix", "diverse",
     "digits_only", "few_digits", "junk", "address", "letters_only", "key_near", "after_sign", "after_quote", "before_quote", "is_key",
-    "file_code", "file_key", "key_and_mixed", "sign_and_mixed", "long_mixed", "long_mixed_case", "snake",
+    "file_code", "file_key", "key_and_mixed", "sign_and_mixed", "long_mixed", "long_mixed_case", "snake", "junk_word",
 )
 _AT = {n: k for k, n in enumerate(FEATURES)}
 OUTSIDE, BEGIN, INSIDE = range(3)
@@ -88,7 +92,7 @@ def token_features(text: str, start: int, end: int, file: list[int]) -> np.ndarr
         "junk": _JUNK.search(w), "address": re.search(r"@|//|www\.|\.(?:com|org|net|html?)\b", w), "letters_only": body.isalpha(),
         "key_near": key, "after_sign": gap.endswith(("=", ":")), "after_quote": before.endswith(("'", '"', "`")), "before_quote": text[end : end + 1] in ("'", '"', "`") and end < len(text),
         "is_key": _KEY.fullmatch(body), "key_and_mixed": key and mixed, "sign_and_mixed": mixed and gap.endswith(("=", ":")),
-        "long_mixed": long_mixed, "long_mixed_case": long_mixed and re.search(r"[a-z]", body) and re.search(r"[A-Z]", body), "snake": re.fullmatch(r"[A-Za-z]+(?:[_-][A-Za-z]+)+", body),
+        "long_mixed": long_mixed, "long_mixed_case": long_mixed and re.search(r"[a-z]", body) and re.search(r"[A-Z]", body), "snake": re.fullmatch(r"[A-Za-z]+(?:[_-][A-Za-z]+)+", body), "junk_word": _JUNK_WORD.fullmatch(w),
     }
     for name, value in on.items():
         if value:
@@ -107,9 +111,11 @@ def model() -> ChainCRF:
 
 
 def proven(crf: ChainCRF) -> bool:
-    """Plain words and lone separators are outside on every best path."""
-    perhaps = [_AT[n] for n in ("len8", "len16", "lower", "key_near", "after_sign", "after_quote", "before_quote", "is_key", "file_code", "file_key", "snake")]
-    return crf.certain([_AT["bias"], _AT["plain"], _AT["letters_only"]], perhaps, OUTSIDE)
+    """Plain words and junk words are outside on every best path."""
+    around = ["len8", "len16", "lower", "key_near", "after_sign", "after_quote", "before_quote", "file_code", "file_key"]
+    at = lambda names: [_AT[n] for n in names]
+    plain = crf.certain(at(["bias", "plain", "letters_only"]), at([*around, "is_key"]), OUTSIDE)
+    return plain and crf.certain(at(["bias", "junk", "junk_word"]), at([*around, "len24", "diverse"]), OUTSIDE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -299,8 +305,8 @@ def train(seed: int = 7, lines: int = 1500) -> ChainCRF:
     rng = random.Random(seed)
     rows = [s for s in (sequence(*invented(rng)) for _ in range(lines)) if len(s[1])]
     crf = fit(rows, 3, steps=200, decay=0.0005)
-    while not proven(crf):  # no plain word of the sentences is a secret: their bias is raised until that holds for every text
-        crf.emit[_AT["plain"], OUTSIDE] += 0.25
+    while not proven(crf):  # no plain or junk word of the sentences is a secret: their bias is raised until that holds for every text
+        crf.emit[[_AT["plain"], _AT["junk_word"]], OUTSIDE] += 0.25
     return crf
 
 
