@@ -501,7 +501,7 @@ def identify_layers(spark, sf_dir):
     return identify.identify(layers, q, reach, {"sites": parse_filter("l_quantity > 25")}).select("layer", "feature_id")
 
 
-@query("SELECT attachment_id, name, content_type, size FROM (SELECT 3 AS attachment_id, 'c' AS name, 'text/plain' AS content_type, 4 AS size UNION ALL SELECT 1, 'a', 'text/plain', 7)")
+@query("SELECT attachment_id, name, content_type, size FROM (SELECT CAST(3 AS BIGINT) AS attachment_id, 'c' AS name, 'text/plain' AS content_type, 4 AS size UNION ALL SELECT 1, 'a', 'text/plain', 7)")
 def attachment_edits(spark, sf_dir):
     """Add three, replace one, delete one, list."""
     table_ = spark.createDataFrame([], attachments.SCHEMA)
