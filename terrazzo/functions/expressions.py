@@ -17,6 +17,51 @@ from pyspark.sql import types as T
 from terrazzo.model import PlanError
 from terrazzo.plans.dataset import quoted
 
+# Colour names.
+COLOURS = {
+    "white": (255, 255, 255),
+    "black": (0, 0, 0),
+    "red": (255, 0, 0),
+    "green": (0, 128, 0),
+    "blue": (0, 0, 255),
+    "yellow": (255, 255, 0),
+    "orange": (255, 165, 0),
+    "gray": (128, 128, 128),
+    "grey": (128, 128, 128),
+    "lightgray": (211, 211, 211),
+    "lightgrey": (211, 211, 211),
+    "darkgray": (169, 169, 169),
+    "darkgrey": (169, 169, 169),
+}
+CHANNELS = ("r", "g", "b", "a")
+
+
+def colour(channels: list[Column]) -> Column:
+    """A colour value: struct<r,g,b,a:int>, 0 to 255."""
+    return F.struct(*[c.cast("int").alias(n) for n, c in zip(CHANNELS, channels, strict=True)])
+
+
+def parse_colour(text: Column) -> Column:
+    """A colour from text: a name, ``#`` with 3, 4, 6 or 8 digits, ``rgb()`` or ``rgba()``; null for other text."""
+    t = F.lower(F.trim(text))
+    digits = F.substring(t, 2, 8)
+    short = F.length(t).isin(4, 5)
+    pair = lambda k: F.when(short, F.repeat(F.substring(digits, k + 1, 1), 2)).otherwise(F.substring(digits, 2 * k + 1, 2))
+    byte = lambda k: F.conv(pair(k), 16, 10).cast("int")
+    out = F.lit(None).cast("struct<r:int,g:int,b:int,a:int>")
+    parts = F.split(F.regexp_extract(t, r"^rgba?\(([0-9., ]+)\)$", 1), r"\s*,\s*")
+    number = lambda k: F.try_element_at(parts, F.lit(k + 1)).try_cast("double")
+    alpha = F.when(F.size(parts) == 4, F.bround(number(3) * 255)).otherwise(F.lit(255))
+    proper = F.size(parts).isin(3, 4) & number(0).between(0, 255) & number(1).between(0, 255) & number(2).between(0, 255) & alpha.between(0, 255)
+    out = F.when(t.startswith("rgb") & proper, colour([number(0), number(1), number(2), alpha])).otherwise(out)
+    hexed = colour([byte(0), byte(1), byte(2), F.when(F.length(t).isin(5, 9), byte(3)).otherwise(F.lit(255))])
+    out = F.when(t.rlike("^#([0-9a-f]{3}|[0-9a-f]{4}|[0-9a-f]{6}|[0-9a-f]{8})$"), hexed).otherwise(out)
+    out = F.when(t == "transparent", colour([F.lit(0)] * 4)).otherwise(out)
+    for name, rgb in COLOURS.items():
+        out = F.when(t == name, colour([F.lit(v) for v in (*rgb, 255)])).otherwise(out)
+    return out
+
+
 _ORDER = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
@@ -75,7 +120,7 @@ class Compiler:
             return F.lit(float(e))
         if not isinstance(e, list) or not e or not isinstance(e[0], str):
             raise PlanError(f"not an expression: {e!r}")
-        method = getattr(self, "_" + {"==": "eq", "!=": "ne", "+": "add", "-": "sub", "*": "mul", "/": "div", "%": "mod", "!": "not", "in": "is_in", "geometry-type": "gtype", "at-interpolate": "at"}.get(e[0], e[0] if e[0] not in _ORDER else "order"), None)
+        method = getattr(self, "_" + {"==": "eq", "!=": "ne", "+": "add", "-": "sub", "*": "mul", "/": "div", "%": "mod", "!": "not", "in": "is_in", "geometry-type": "gtype", "at-interpolate": "at", "to-color": "to_color"}.get(e[0], e[0] if e[0] not in _ORDER else "order"), None)
         if method is None:
             raise PlanError(f"unknown operator {e[0]!r}")
         return method(e, scope)
@@ -218,7 +263,19 @@ class Compiler:
             return at((found["lo"] + found["hi"]) / 2, y1, y2)
         raise PlanError(f"unknown interpolation {mode[0]!r}")
 
+    def _to_color(self, e, scope):
+        kind, c = self.kind(e[1], scope), self.compile(e[1], scope)
+        if kind == "number":
+            grey = F.bround(F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)) * 255)
+            return F.when(c.isNotNull(), colour([grey, grey, grey, F.lit(255)]))
+        if kind == "boolean":
+            raise PlanError("to-color reads a number or a colour name")
+        parsed = parse_colour(c.cast("string"))
+        return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("not a colour: "), c.cast("string")))).otherwise(parsed)
+
     def _interpolate(self, e, scope):
+        if all(isinstance(v, list) and v and v[0] == "to-color" or self.kind(v, scope) == "text" for v in e[4::2]):
+            return self._interpolate_colours(e, scope)
         x, stops = self._number(e[2], scope), [float(s) for s in e[3::2]]
         values = [self._number(v, scope) for v in e[4::2]]
         out = values[-1]
@@ -227,6 +284,17 @@ class Compiler:
             out = F.when(x < F.lit(stops[k + 1]), values[k] + (values[k + 1] - values[k]) * self._progress(e[1], p)).otherwise(out)
         return F.when(x.isNotNull(), F.when(x <= F.lit(stops[0]), values[0]).otherwise(out))
 
+    def _interpolate_colours(self, e, scope):
+        """Each channel along the ramp, rounded half to even."""
+        x, stops = self._number(e[2], scope), [float(s) for s in e[3::2]]
+        values = [self.compile(v if isinstance(v, list) and v[0] == "to-color" else ["to-color", v], scope) for v in e[4::2]]
+        out = values[-1]
+        for k in range(len(stops) - 2, -1, -1):
+            p = self._progress(e[1], (x - stops[k]) / (stops[k + 1] - stops[k]))
+            mixed = colour([F.bround(values[k][n] + (values[k + 1][n] - values[k][n]) * p) for n in CHANNELS])
+            out = F.when(x < F.lit(stops[k + 1]), mixed).otherwise(out)
+        return F.when(x.isNotNull(), F.when(x <= F.lit(stops[0]), values[0]).otherwise(out))
+
     def _at(self, e, scope):
         inner = e[2]
         return self._interpolate(["interpolate", inner[1], e[1], *inner[3:]], scope)

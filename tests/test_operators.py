@@ -62,6 +62,17 @@ def test_bezier_and_errors(spark):
     assert df.where(keep).count() == 1
 
 
+def test_colours(spark):
+    df = spark.createDataFrame([("x", 3, "#0f08")], "s string, n int, c string")
+    get = lambda e: df.select(compile_expression(df, e)).first()[0]
+    assert tuple(get(["to-color", 0.5])) == (128, 128, 128, 255) and tuple(get(["to-color", ["get", "c"]])) == (0, 255, 0, 136)
+    assert tuple(get(["to-color", "rgba(1, 2, 3, 0.5)"])) == (1, 2, 3, 128) and tuple(get(["to-color", "Orange"])) == (255, 165, 0, 255)
+    assert tuple(get(["interpolate", ["linear"], ["get", "n"], 1, "black", 5, "#ffffff"])) == (128, 128, 128, 255)
+    assert get(["to-color", ["get", "missing"]]) is None
+    with pytest.raises(Exception, match="not a colour"):
+        get(["to-color", ["get", "s"]])
+
+
 @pytest.fixture(scope="module")
 def spans(spark):
     rows = [(1, 0, 10), (2, 5, None), (3, None, 3), (4, 9, 2), (5, None, None), (6, 20, 30)]
