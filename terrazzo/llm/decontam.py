@@ -18,7 +18,7 @@ symbols cannot hide a copy.
 Defined results: null or empty texts contain nothing; an item with 1 to 4 words
 is one shingle of that many words; an item without words is contained in nothing;
 repeated items are reported each; a repeated document id is searched as the union of
-its rows' shingles; empty tables give no rows.
+its rows' shingles; a null document id is never reported; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` that contain no item; rows with a null id are searched and kept or dropped as one."""
+    """The rows of ``docs`` that contain no item; rows with a null id stay."""
     hits = written(contained(docs, items, threshold, width).select("doc_id").distinct(), "bench-hits")
     key = F.col("doc_id").cast("long").eqNullSafe(F.col("_hit"))
     return docs.join(hits.withColumnRenamed("doc_id", "_hit"), key, "left_anti")
