@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrazzo.llm import graph, textvec
-from terrazzo.llm.storage import written
+from terrazzo.llm.storage import release, written
 
 WIDTH = 5
 ORDERS = 2
@@ -217,6 +217,8 @@ def buckets(docs: DataFrame, hot, orders: int) -> list[DataFrame]:
         rare = prefixes(docs, hot, [k], want_hot=False).withColumns({"lead": central.over(w), "_last": F.max("sig").over(w), "_first": F.min("sig").over(w)})
         both = rare.where("_first < _last").select(columns).unionByName(common.where(F.col("order_no") == k).select(columns))
         out.append(written(both.dropDuplicates(["token", "sig"]), f"buckets-{k}"))
+        del rare, both
+        release(docs.sparkSession)  # the prefixes' shuffle is this operator's largest
     return out
 
 
@@ -319,6 +321,7 @@ def near_duplicates(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
 def keep_one(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id (equal rows: one of them); rows without shingles stay."""
     classes = near_duplicates(docs, orders)
+    release(docs.sparkSession)
     stay = written(classes.where("n_shingles = 0 or doc_id <=> component_id").select("doc_id", "sig", "n_shingles").distinct(), "keepers")
     columns, schema = docs.columns, docs.schema
 
