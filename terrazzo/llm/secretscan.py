@@ -2,7 +2,7 @@
 
 The patterns (``assign``, ``access``, ``hex``) are always reported.  The chain adds
 spans (kind ``crf``) where token shape, neighbouring words and features of the whole
-text speak for a secret that no pattern covers.
+text speak for a secret: those parts of them that no pattern covers.
 
 A token is a run without white space, quotes, brackets, ``, ; : =`` and ``|``.  Tokens
 that are plain words (1 to 15 letters without inner capitals, perhaps stops after them) or
@@ -157,10 +157,19 @@ def chain_spans(text: str, crf: ChainCRF) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _ in spans]
 
 
+def uncovered(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of [a, b) that none of the sorted ``base`` spans covers, without the white space around them."""
+    for s, e in [(s, e) for s, _, e in base if s < b and a < e] + [(b, b)]:
+        part = text[a : max(a, s)]
+        if part.strip():
+            yield a + len(part) - len(part.lstrip()), a + len(part.rstrip())
+        a = max(a, e)
+
+
 def find(text: str, crf: ChainCRF) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans), each (start, kind, end); the chain's spans are those that no base span touches."""
+    """(base spans, all spans), each (start, kind, end); the chain's are the parts of its spans that no base span covers."""
     base = base_spans(text)
-    added = [(a, 3, b) for a, b in chain_spans(text, crf) if not any(s < b and a < e for s, _, e in base)]
+    added = [(s, 3, e) for a, b in chain_spans(text, crf) for s, e in uncovered(text, a, b, base)]
     return base, sorted(base + added)
 
 
@@ -186,7 +195,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each span (overlapping ones together) replaced; other columns as they are, n_chars counted anew where there is one."""
+    """``docs`` with each span (overlapping or adjoining ones together) replaced; other columns as they are, n_chars counted anew where there is one."""
     crf, schema = model(), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +204,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             for text in batch.column("text"):
                 text, parts, at = text.as_py(), [], 0
                 for a, _, b in find(text or "", crf)[1]:
-                    if a >= at:
+                    if a > at or not parts:
                         parts += [text[at:a], mark]
                     at = max(at, b)
                 texts.append("".join([*parts, text[at:]]) if parts else text)
