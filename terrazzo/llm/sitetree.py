@@ -39,8 +39,6 @@ from pyspark.sql import functions as F
 from terrazzo.llm.storage import written
 
 THRESHOLD = 0.2
-#: Nodes below this depth count for their ancestor at it.
-DEPTH = 12
 
 # Elements and class names of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -86,20 +84,24 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+#: The path of what stands above all elements.
+ROOT = 0
+
+
 class _Open:
-    """An element that is open: ``step`` names it, ``path`` hashes its way from the root."""
+    """An element that is open: ``path`` hashes its way from the root, ``parent`` that of the element above; ``low`` tells a branch that leaves."""
 
-    __slots__ = ("tag", "path", "branch", "noise", "article", "children", "own")
+    __slots__ = ("tag", "path", "parent", "noise", "article", "low", "children", "own")
 
-    def __init__(self, tag: str, path: str, branch: tuple[int, ...], noise: bool, article: bool):
-        self.tag, self.path, self.branch, self.noise, self.article = tag, path, branch, noise, article
+    def __init__(self, tag: str, path: int, parent: int, noise: bool, article: bool, low: bool):
+        self.tag, self.path, self.parent, self.noise, self.article, self.low = tag, path, parent, noise, article, low
         self.children: list[str] = []
         self.own: list[str] = []
 
 
-def walk(html: str, closed=None) -> Iterator[tuple[_Open, str]]:
+def walk(html: str, closed=None, low: frozenset[int] = frozenset()) -> Iterator[tuple[_Open, str]]:
     """(element, text) in page order, and (element, "") wherever a block begins or ends; ``closed`` sees each finished element."""
-    root = _Open("", "", (), False, False)
+    root = _Open("", ROOT, ROOT, False, False, False)
     stack = [root]
 
     def shut(k: int) -> Iterator[tuple[_Open, str]]:
@@ -115,12 +117,8 @@ def walk(html: str, closed=None) -> Iterator[tuple[_Open, str]]:
         step, noise, article, heading = _marks(tag, attributes)
         noise = noise or heading and not above.article and not article
         above.children.append(tag)
-        if len(above.branch) < DEPTH:
-            path = f"{above.path}/{step}"
-            branch = (*above.branch, _hash(path))
-        else:
-            path, branch = above.path, above.branch
-        return _Open(tag, path, branch, above.noise or noise, above.article or article)
+        path = _hash(f"{above.path}/{step}")
+        return _Open(tag, path, above.path, above.noise or noise, above.article or article, above.low or path in low)
 
     at, n = 0, len(html)
     while at < n:
@@ -171,20 +169,18 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def tree_counts(html: str) -> Iterator[tuple[int, tuple[int, ...], str, int]]:
-    """(path, branch, kind, value) of a page, each once: m (present), s (presentation), c (content)."""
+def tree_counts(html: str) -> Iterator[tuple[int, str, int]]:
+    """(path, kind, value) of a page, each once: m (present; the value is the parent's path), s (presentation), c (content)."""
     seen = set()
 
     def closed(e: _Open) -> None:
-        if not e.branch:
-            return
-        path = e.branch[-1]
-        seen.add((path, e.branch, "m", 0))
+        path = e.path
+        seen.add((path, "m", e.parent))
         if e.children:
-            seen.add((path, (), "s", _hash(" ".join(e.children))))
+            seen.add((path, "s", _hash(" ".join(e.children))))
         own = " ".join("".join(e.own).split())
         if own:
-            seen.add((path, (), "c", int.from_bytes(hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)))
+            seen.add((path, "c", int.from_bytes(hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)))
 
     for e, text in walk(html, closed):
         if text:
@@ -206,21 +202,21 @@ def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
                 held.clear()
 
     found = False
-    for e, text in walk(html):
+    for e, text in walk(html, low=low):
         found = found or e.article
         if not text:
             flush()
         elif not e.noise:
             if e.article:
                 parts[0].append(text)
-            elif low.isdisjoint(e.branch):
+            elif not e.low:
                 parts[1].append(text)
     flush()
     return "\n".join(article if found else rest)
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path and importance of every branch of the site style trees."""
+    """host, path, parent and own importance of every node of the site style trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,19 +226,19 @@ def importance(pages: DataFrame) -> DataFrame:
                 for row in tree_counts(html.as_py() or ""):
                     count[(host, *row)] += 1
             if count:
-                host, path, branch, kind, value = zip(*count, strict=True)
+                host, path, kind, value = zip(*count, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(host), pa.array(path, pa.int64()), pa.array(branch, pa.list_(pa.int64())), pa.array(kind), pa.array(value, pa.int64()), pa.array(count.values(), pa.int64())],
-                    names=["host", "path", "branch", "kind", "value", "n"],
+                    [pa.array(host), pa.array(path, pa.int64()), pa.array(kind), pa.array(value, pa.int64()), pa.array(count.values(), pa.int64())],
+                    names=["host", "path", "kind", "value", "n"],
                 )
 
-    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, path long, branch array<long>, kind string, value long, n long")
-    values = rows.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.max("branch").alias("branch"))
+    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, path long, kind string, value long, n long")
+    values = rows.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     s, c, m = (F.col("kind") == k for k in "scm")
     ln = F.log(F.col("n").cast("double"))
     nodes = values.groupBy("host", "path").agg(
         F.max(F.when(m, F.col("n"))).alias("m"),
-        F.max(F.when(m, F.col("branch"))).alias("branch"),
+        F.max(F.when(m, F.col("value"))).alias("parent"),
         F.sum(F.when(s, F.col("n"))).alias("styles"),
         F.sum(F.when(s, F.col("n") * ln)).alias("style_ln"),
         F.avg(F.when(c, ln)).alias("content_ln"),
@@ -251,13 +247,37 @@ def importance(pages: DataFrame) -> DataFrame:
     style = (F.log(F.col("styles").cast("double")) - F.col("style_ln") / F.col("styles")) / base
     content = F.lit(1.0) - F.col("content_ln") / base
     own = F.when(F.col("m") <= 1, F.lit(1.0)).otherwise(F.greatest(F.coalesce(style, F.lit(0.0)), F.coalesce(content, F.lit(0.0))))
-    return nodes.select("host", F.explode("branch").alias("path"), own.alias("own")).groupBy("host", "path").agg(F.max("own").alias("importance"))
+    return nodes.select("host", "path", "parent", own.alias("importance"))
+
+
+def unimportant(minor: dict[int, int], kept: set[int]) -> list[int]:
+    """The paths of ``minor`` (path: parent) with nothing in ``kept`` (the paths that have an important child) at or below them; ``kept`` grows."""
+    work = list(kept)
+    while work:
+        above = minor.get(work.pop())
+        if above is not None and above not in kept:
+            kept.add(above)
+            work.append(above)
+    return [path for path in minor if path not in kept]
+
+
+def low_branches(nodes: DataFrame, threshold: float) -> DataFrame:
+    """host and the paths of its branches whose nodes are all worth less than ``threshold``; of important nodes only the parents travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = []
+            for held in batch.column("nodes").to_pylist():
+                low.append(unimportant({x["path"]: x["parent"] for x in held if x["path"] is not None}, {x["parent"] for x in held if x["path"] is None}))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.int64()))], names=["host", "low"])
+
+    held = F.struct(F.when(F.col("importance") < threshold, F.col("path")).alias("path"), "parent")
+    return nodes.groupBy("host").agg(F.collect_set(held).alias("nodes")).mapInArrow(run, "host string, low array<long>")
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url and text of every page."""
-    low = importance(pages).where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("path").alias("low"))
-    low = written(low, "site-trees")  # its size is known from here on: broadcast if small, else joined by host
+    low = written(low_branches(importance(pages), threshold), "site-trees")  # its size is known from here on: broadcast if small, else joined by host
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host).join(low, "host", "left").drop("host")

@@ -41,6 +41,16 @@ def test_site_tree_removes_boilerplate(spark):
     assert sitetree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_site_tree_reaches_every_depth(spark):
+    rng = random.Random(2)
+    body = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    deep = lambda k, inner: "<body>" + "<div>" * k + inner + "</div>" * k + "</body>"
+    rows = [(k, f"http://a.example/{k}", deep(30, f"<div class='x'>same words on every page</div><div class='y'><p>{body(k)}</p></div>")) for k in range(20)]
+    rows.append((20, "http://a.example/20", deep(20000, "far down")))
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("same words" not in got[k] and got[k].startswith("w") for k in range(20)) and got[20] == "far down"
+
+
 def pages():
     big = "<p>é" + "z" * 1200
     return [(1, "http://a/1", big), (2, "http://a/2", big), (9, "http://a/9\n", big), (3, "http://a/3", "small"), (4, "http://a/4", "small"), (5, None, None), (6, "http://a/6", "x" * 300000)]
