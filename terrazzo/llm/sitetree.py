@@ -11,11 +11,14 @@ the tree knows on how many pages it stands (m), how often each presentation
 
 Branches worth less than THRESHOLD leave every page of the host.  What markup
 says outright weighs the importance: 0 for menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts and styles, full for the article; a
-page with an article keeps nothing beside it.
+notices, adverts, forms, comments, scripts and styles; a page with an article
+keeps nothing beside it, and inside of it a content counts by its rarest text
+instead of the mean, so a branch leaves only if it says nothing that is rare.
+Pages of a host with the same text by markup alone count as one, so copies are
+no boilerplate.
 
-The tree travels as counts: pages are cut once a batch into (host, path, kind,
-value, n), which Spark sums; no host's pages ever meet in one task.
+The tree travels as counts: pages are cut into nodes (path, kind, value), which
+Spark counts; no host's pages ever meet in one task.
 
 Defined results: null html gives the empty text; a url without a host belongs to
 the host ""; unclosed or stray tags are repaired as browsers do in the common
@@ -28,7 +31,6 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -89,19 +91,19 @@ ROOT = 0
 
 
 class _Open:
-    """An element that is open: ``path`` hashes its way from the root, ``parent`` that of the element above; ``low`` tells a branch that leaves."""
+    """An element that is open: ``path`` hashes its way from the root, ``parent`` that of the element above; ``low`` and ``inner`` tell a branch that leaves, outside and inside of articles."""
 
-    __slots__ = ("tag", "path", "parent", "noise", "article", "low", "children", "own")
+    __slots__ = ("tag", "path", "parent", "noise", "article", "low", "inner", "children", "own")
 
-    def __init__(self, tag: str, path: int, parent: int, noise: bool, article: bool, low: bool):
-        self.tag, self.path, self.parent, self.noise, self.article, self.low = tag, path, parent, noise, article, low
+    def __init__(self, tag: str, path: int, parent: int, noise: bool, article: bool, low: bool, inner: bool):
+        self.tag, self.path, self.parent, self.noise, self.article, self.low, self.inner = tag, path, parent, noise, article, low, inner
         self.children: list[str] = []
         self.own: list[str] = []
 
 
-def walk(html: str, closed=None, low: frozenset[int] = frozenset()) -> Iterator[tuple[_Open, str]]:
+def walk(html: str, closed=None, low: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> Iterator[tuple[_Open, str]]:
     """(element, text) in page order, and (element, "") wherever a block begins or ends; ``closed`` sees each finished element."""
-    root = _Open("", ROOT, ROOT, False, False, False)
+    root = _Open("", ROOT, ROOT, False, False, False, False)
     stack = [root]
 
     def shut(k: int) -> Iterator[tuple[_Open, str]]:
@@ -118,7 +120,7 @@ def walk(html: str, closed=None, low: frozenset[int] = frozenset()) -> Iterator[
         noise = noise or heading and not above.article and not article
         above.children.append(tag)
         path = _hash(f"{above.path}/{step}")
-        return _Open(tag, path, above.path, above.noise or noise, above.article or article, above.low or path in low)
+        return _Open(tag, path, above.path, above.noise or noise, above.article or article, above.low or path in low, above.inner or above.article and path in inner)
 
     at, n = 0, len(html)
     while at < n:
@@ -188,13 +190,13 @@ def tree_counts(html: str) -> Iterator[tuple[int, str, int]]:
     yield from seen
 
 
-def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's important branches, joined by line breaks."""
-    article, rest = [], []
-    parts: tuple[list[str], list[str]] = ([], [])
+def main_text(html: str, low: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> str:
+    """The blocks of the page's important branches, joined by line breaks; an article that ``inner`` leaves nothing of stays whole."""
+    article, rest, whole = [], [], []
+    parts: tuple[list[str], ...] = ([], [], [])
 
     def flush() -> None:
-        for held, out in zip(parts, (article, rest), strict=True):
+        for held, out in zip(parts, (article, rest, whole), strict=True):
             if held:
                 block = " ".join(entities.unescape("".join(held)).split())
                 if block:
@@ -202,38 +204,41 @@ def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
                 held.clear()
 
     found = False
-    for e, text in walk(html, low=low):
+    for e, text in walk(html, low=low, inner=inner):
         found = found or e.article
         if not text:
             flush()
         elif not e.noise:
             if e.article:
-                parts[0].append(text)
+                parts[2].append(text)
+                if not e.inner:
+                    parts[0].append(text)
             elif not e.low:
                 parts[1].append(text)
     flush()
-    return "\n".join(article if found else rest)
+    return "\n".join(article or whole if found else rest)
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, parent and own importance of every node of the site style trees."""
+    """host, path, parent and own importance of every node of the site style trees: ``importance`` by the mean content, ``inside`` by the rarest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = pa.struct([("path", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])
         for batch in batches:
-            count: Counter = Counter()
+            rows: dict = {}
             for url, html in zip(batch.column("url"), batch.column("html"), strict=True):
-                host = host_of(url.as_py())
-                for row in tree_counts(html.as_py() or ""):
-                    count[(host, *row)] += 1
-            if count:
-                host, path, kind, value = zip(*count, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(host), pa.array(path, pa.int64()), pa.array(kind), pa.array(value, pa.int64()), pa.array(count.values(), pa.int64())],
-                    names=["host", "path", "kind", "value", "n"],
-                )
-
-    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, path long, kind string, value long, n long")
-    values = rows.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+                html = html.as_py() or ""
+                if seen := sorted(tree_counts(html)):
+                    key = (host_of(url.as_py()), hashlib.blake2b(main_text(html).encode("utf-8", "replace"), digest_size=16).digest())
+                    rows[key] = min(seen, rows.get(key, seen))
+            if rows:
+                host, text = zip(*rows, strict=True)
+                nodes = [[{"path": p, "kind": k, "value": v} for p, k, v in seen] for seen in rows.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(text, pa.binary()), pa.array(nodes, pa.list_(node))], names=["host", "text", "nodes"])
+
+    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, text binary, nodes array<struct<path:long,kind:string,value:long>>")
+    once = rows.groupBy("host", "text").agg(F.min("nodes").alias("nodes"))  # a page and its copies count as one
+    values = once.select("host", F.inline("nodes")).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     s, c, m = (F.col("kind") == k for k in "scm")
     ln = F.log(F.col("n").cast("double"))
     nodes = values.groupBy("host", "path").agg(
@@ -242,12 +247,12 @@ def importance(pages: DataFrame) -> DataFrame:
         F.sum(F.when(s, F.col("n"))).alias("styles"),
         F.sum(F.when(s, F.col("n") * ln)).alias("style_ln"),
         F.avg(F.when(c, ln)).alias("content_ln"),
+        F.min(F.when(c, ln)).alias("rarest_ln"),
     )
     base = F.log(F.col("m").cast("double"))
     style = (F.log(F.col("styles").cast("double")) - F.col("style_ln") / F.col("styles")) / base
-    content = F.lit(1.0) - F.col("content_ln") / base
-    own = F.when(F.col("m") <= 1, F.lit(1.0)).otherwise(F.greatest(F.coalesce(style, F.lit(0.0)), F.coalesce(content, F.lit(0.0))))
-    return nodes.select("host", "path", "parent", own.alias("importance"))
+    worth = lambda ln: F.when(F.col("m") <= 1, F.lit(1.0)).otherwise(F.greatest(F.coalesce(style, F.lit(0.0)), F.coalesce(F.lit(1.0) - ln / base, F.lit(0.0))))
+    return nodes.select("host", "path", "parent", worth(F.col("content_ln")).alias("importance"), worth(F.col("rarest_ln")).alias("inside"))
 
 
 def unimportant(minor: dict[int, int], kept: set[int]) -> list[int]:
@@ -262,17 +267,18 @@ def unimportant(minor: dict[int, int], kept: set[int]) -> list[int]:
 
 
 def low_branches(nodes: DataFrame, threshold: float) -> DataFrame:
-    """host and the paths of its branches whose nodes are all worth less than ``threshold``; of important nodes only the parents travel."""
+    """host and the paths of its branches whose nodes are all worth less than ``threshold``: ``low`` anywhere, ``inner`` inside of articles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = []
-            for held in batch.column("nodes").to_pylist():
+            low, inner = [], []
+            for held in batch.column("nodes").to_pylist():  # of nodes that are important either way only the parents travel
                 low.append(unimportant({x["path"]: x["parent"] for x in held if x["path"] is not None}, {x["parent"] for x in held if x["path"] is None}))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.int64()))], names=["host", "low"])
+                inner.append(unimportant({x["path"]: x["parent"] for x in held if x["path"] is not None and not x["inside"]}, {x["parent"] for x in held if x["inside"]}))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.int64())), pa.array(inner, pa.list_(pa.int64()))], names=["host", "low", "inner"])
 
-    held = F.struct(F.when(F.col("importance") < threshold, F.col("path")).alias("path"), "parent")
-    return nodes.groupBy("host").agg(F.collect_set(held).alias("nodes")).mapInArrow(run, "host string, low array<long>")
+    held = F.struct(F.when(F.col("importance") < threshold, F.col("path")).alias("path"), "parent", (F.col("inside") >= threshold).alias("inside"))
+    return nodes.groupBy("host").agg(F.collect_set(held).alias("nodes")).mapInArrow(run, "host string, low array<long>, inner array<long>")
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -284,7 +290,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py() or "", frozenset(x.as_py() or ())) for h, x in zip(batch.column("html"), batch.column("low"), strict=True)]
+            texts = [main_text(h.as_py() or "", frozenset(x.as_py() or ()), frozenset(y.as_py() or ())) for h, x, y in zip(batch.column("html"), batch.column("low"), batch.column("inner"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")

@@ -51,6 +51,20 @@ def test_site_tree_reaches_every_depth(spark):
     assert all("same words" not in got[k] and got[k].startswith("w") for k in range(20)) and got[20] == "far down"
 
 
+def test_site_tree_reaches_into_articles(spark):
+    rng = random.Random(3)
+    body = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    page = lambda inner: f"<body><article><h1>head</h1>{inner}</article></body>"
+    rows = [(k, f"http://a.example/{k}", page(f"<div class='x'>same words on every page</div><p>{body(k)}</p>")) for k in range(20)]
+    copy, shared = body(0), "".join(f"<p>{body(k)}</p>" for k in range(20))
+    rows += [(k, f"http://copies.example/{k}", page(f"<p>{copy}</p>")) for k in range(30, 34)]
+    rows += [(k, f"http://near.example/{k}", page(f"{shared}<p>only here {k}</p>")) for k in range(40, 42)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all("same words" not in got[k] and got[k].startswith("w") for k in range(20))
+    assert all(got[k] == f"head\n{copy}" for k in range(30, 34))
+    assert all(got[k].count("\n") >= 20 and f"only here {k}" in got[k] for k in (40, 41))
+
+
 def pages():
     big = "<p>é" + "z" * 1200
     return [(1, "http://a/1", big), (2, "http://a/2", big), (9, "http://a/9\n", big), (3, "http://a/3", "small"), (4, "http://a/4", "small"), (5, None, None), (6, "http://a/6", "x" * 300000)]
