@@ -11,8 +11,10 @@ the tree knows on how many pages it stands (m), how often each presentation
 
 Branches worth less than THRESHOLD leave every page of the host.  What markup
 says outright weighs the importance: 0 for menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts and styles; a page with an article
-keeps nothing beside it, and inside of it a content counts by its rarest text
+notices, adverts, forms, comments, scripts and styles.  A class or id that names
+such a part decides only over elements with at most half of the page's text, and
+never over html and body.  A page whose article yields text keeps nothing beside
+it, and inside of it a content counts by its rarest text
 instead of the mean, so a branch leaves only if it says nothing that is rare.
 Pages of a host with the same text by markup alone count as one, so copies are
 no boilerplate.
@@ -65,8 +67,8 @@ _NAME = re.compile(r"[a-z]+")
 
 
 @lru_cache(maxsize=4096)
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """(path step, noise, article, heading) of a start tag; a heading is noise outside of articles only."""
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool, bool]:
+    """(path step, noise, named, article, heading, named heading) of a start tag; a heading is noise outside of articles only."""
     names, role, hidden = [], "", False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
@@ -76,9 +78,9 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
             hidden = True
         elif key in ("class", "id"):
             names += _NAME.findall(value)
-    noise = hidden or tag in NOISE_TAGS or role in NOISE_ROLES or not NOISE_NAMES.isdisjoint(names)
-    heading = tag == "header" or "header" in names
-    return f"{tag}.{'.'.join(sorted(set(names)))}", noise, tag in ("article", "main") or role in ("article", "main"), heading
+    noise = hidden or tag in NOISE_TAGS or role in NOISE_ROLES
+    named, titled = (False, False) if tag in ("html", "body") else (not NOISE_NAMES.isdisjoint(names), "header" in names)
+    return f"{tag}.{'.'.join(sorted(set(names)))}", noise, named, tag in ("article", "main") or role in ("article", "main"), tag == "header", titled
 
 
 @lru_cache(maxsize=65536)
@@ -90,20 +92,29 @@ def _hash(text: str) -> int:
 ROOT = 0
 
 
+class _Zone:
+    """What stands in an element that its name calls noise: ``size`` is its text."""
+
+    __slots__ = ("above", "depth", "size")
+
+    def __init__(self, above: _Zone | None):
+        self.above, self.depth, self.size = above, above.depth + 1 if above else 0, 0
+
+
 class _Open:
     """An element that is open: ``path`` hashes its way from the root, ``parent`` that of the element above; ``low`` and ``inner`` tell a branch that leaves, outside and inside of articles."""
 
-    __slots__ = ("tag", "path", "parent", "noise", "article", "low", "inner", "children", "own")
+    __slots__ = ("tag", "path", "parent", "noise", "zone", "article", "low", "inner", "children", "own")
 
-    def __init__(self, tag: str, path: int, parent: int, noise: bool, article: bool, low: bool, inner: bool):
-        self.tag, self.path, self.parent, self.noise, self.article, self.low, self.inner = tag, path, parent, noise, article, low, inner
+    def __init__(self, tag: str, path: int, parent: int, noise: bool, zone: _Zone | None, article: bool, low: bool, inner: bool):
+        self.tag, self.path, self.parent, self.noise, self.zone, self.article, self.low, self.inner = tag, path, parent, noise, zone, article, low, inner
         self.children: list[str] = []
         self.own: list[str] = []
 
 
 def walk(html: str, closed=None, low: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> Iterator[tuple[_Open, str]]:
     """(element, text) in page order, and (element, "") wherever a block begins or ends; ``closed`` sees each finished element."""
-    root = _Open("", ROOT, ROOT, False, False, False, False)
+    root = _Open("", ROOT, ROOT, False, None, False, False, False)
     stack = [root]
 
     def shut(k: int) -> Iterator[tuple[_Open, str]]:
@@ -116,11 +127,12 @@ def walk(html: str, closed=None, low: frozenset[int] = frozenset(), inner: froze
 
     def opened(tag: str, attributes: str) -> _Open:
         above = stack[-1]
-        step, noise, article, heading = _marks(tag, attributes)
-        noise = noise or heading and not above.article and not article
+        step, noise, named, article, heading, titled = _marks(tag, attributes)
+        if not above.article and not article:
+            noise, named = noise or heading, named or titled
         above.children.append(tag)
         path = _hash(f"{above.path}/{step}")
-        return _Open(tag, path, above.path, above.noise or noise, above.article or article, above.low or path in low, above.inner or above.article and path in inner)
+        return _Open(tag, path, above.path, above.noise or noise, _Zone(above.zone) if named else above.zone, above.article or article, above.low or path in low, above.inner or above.article and path in inner)
 
     at, n = 0, len(html)
     while at < n:
@@ -203,12 +215,23 @@ def main_text(html: str, low: frozenset[int] = frozenset(), inner: frozenset[int
                     out.append(block)
                 held.clear()
 
-    found = False
-    for e, text in walk(html, low=low, inner=inner):
-        found = found or e.article
+    # what a name calls noise is none if it holds more than half of the page's text
+    pieces, zones, total = [(e, text) for e, text in walk(html, low=low, inner=inner) if not (text and e.noise)], {}, 0
+    for e, text in pieces:
+        size, zone = len("".join(text.split())), e.zone
+        total += size
+        if zone:
+            zone.size += size
+            while zone and zone not in zones:
+                zones[zone] = True
+                zone = zone.above
+    for zone in sorted(zones, key=lambda z: -z.depth):
+        if zone.above:
+            zone.above.size += zone.size
+    for e, text in pieces:
         if not text:
             flush()
-        elif not e.noise:
+        elif e.zone is None or 2 * e.zone.size > total:
             if e.article:
                 parts[2].append(text)
                 if not e.inner:
@@ -216,7 +239,7 @@ def main_text(html: str, low: frozenset[int] = frozenset(), inner: frozenset[int
             elif not e.low:
                 parts[1].append(text)
     flush()
-    return "\n".join(article or whole if found else rest)
+    return "\n".join(article or whole or rest)
 
 
 def importance(pages: DataFrame) -> DataFrame:

@@ -25,6 +25,25 @@ def test_odd_markup(html, text):
     assert sitetree.main_text(html) == text
 
 
+LONG = "the text of the page goes on for a while and says what it says"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body class='no-sidebar no-header'><div>{LONG}</div></body>",
+        f"<div class='content-with-sidebar'><div class='sidebar'>links</div><p>{LONG}</p></div>",
+        f"<article class='post social-issues'>{LONG}<div class='related'>more</div></article>",
+        f"<main id='content-nav'><p>{LONG}</p></main>",
+        f"<div>{LONG}</div><article class='comment'>nice</article><article class='comment'>bad</article>",
+        f"<div>{LONG}</div><aside><article>{LONG} {LONG}</article></aside><article> </article>",
+        f"<div class='has-header'><p>{LONG}</p></div><div class='header'>top</div>",
+    ],
+)
+def test_names_do_not_drop_main_texts(html):
+    assert sitetree.main_text(html) == LONG
+
+
 def test_long_markup_is_linear():
     assert sitetree.main_text("<" * 20000) is not None
     assert len(sitetree.main_text('<p a="' * 2000)) >= 0
