@@ -465,7 +465,7 @@ def tile_counts(spark, sf_dir):
 
 @query()
 def vector_tile(spark, sf_dir):
-    df = sites(spark, sf_dir).df.where("abs(y) < 85 and l_quantity > 48")
+    df = sites(spark, sf_dir).df.where("abs(y) < 85")
     mx, my = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
     return vector_tiles.encode(df.withColumn("m", geo.point(mx, my)["wkb"]), 3, "x", "y", "m", ["l_orderkey", "l_quantity"]).select("z", "x", "y", "n", F.sha2("tile", 256).alias("tile"))
 
