@@ -8,7 +8,8 @@ that is Jaccard >= 3/4.
 Under any global order of shingles, linked sets share one within their prefixes,
 the first ``n - ceil(3n/4) + 1``; and of their first common shingle, at least
 ``3 (|A| + |B|) / 7`` stand at or after it in both.  That holds for every order at
-once, so a pair is a candidate only if it passes under all ORDERS orders.  Each
+once, so a pair is a candidate only if it passes under all ORDERS orders; pairs of a
+bucket's members with its centre (below) are verified by the first order alone.  Each
 order sorts shingles by how frequent they are among all documents, so boilerplate
 comes last, and by a hash of its own among equals.
 
