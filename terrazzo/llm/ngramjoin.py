@@ -2,31 +2,41 @@
 
 A document's set is its distinct 5-word shingles (64-bit hashes); documents with
 equal sets are one node from the start, named by a hash of the set, so a group of
-copies costs one entry a task.  Two nodes link when 7 |A n B| >= 3 (|A| + |B|),
-that is Jaccard >= 3/4.
+copies costs one entry a task.  A second hash of every set is compared beside the
+name: should two different sets ever share a name, all names are drawn anew.  Two
+nodes link when 7 |A n B| >= 3 (|A| + |B|), that is Jaccard >= 3/4.
 
 Under any global order of shingles, linked sets share one within their prefixes,
 the first ``n - ceil(3n/4) + 1``; and of their first common shingle, at least
 ``3 (|A| + |B|) / 7`` stand at or after it in both.  That holds for every order at
-once, so a pair is a candidate only if it passes under all ORDERS orders; pairs of a
-bucket's members with its centre (below) are verified by the first order alone.  Each
-order sorts shingles by how frequent they are among all documents, so boilerplate
-comes last, and by a hash of its own among equals.
+once.  So pairs are formed from the buckets (shared prefix shingles) of the first
+order, where that bound admits them, and every pair must then share a prefix shingle
+under each of the other ORDERS - 1 orders too before a text is looked at.  Each order
+sorts shingles by how frequent they are among all documents, so boilerplate comes
+last, and by a hash of its own among equals.
+
+The first order's prefixes cross the network once, as sorted packed columns dealt by
+ranges of shingles; a range holds a bounded number of entries, as counted before.
+Rows of one set alone, and rows that no other member of their bucket can be admitted
+with, end there.  The other orders' prefixes are made for sets in the remaining rows
+only, and travel beside their texts.
 
 Frequencies are counted by task chunks and summed; the table of frequent shingles
-has at most HOT_TOKENS rows (it is broadcast).  A shingle missing from it is
-merely sorted as rare: any order is a right order, so this bound costs nothing
-but time.
+has at most HOT_TOKENS rows (it is broadcast), and their buckets are joined apart, with
+leads summed before the shuffle.  A shingle missing from it is merely sorted as rare:
+any order is a right order, so this bound costs nothing but time.
 
-Large groups never become all pairs.  First every bucket (a shared shingle) is
-tied to its most central member: these pairs are verified and give components.  Then
-pairs are formed only between different components of a bucket, of members
-outside its largest component with all others: no link between components can be
-missed, and links inside one would not change it.
+Large groups never become all pairs.  First every bucket is tied to its most central
+member: these pairs are verified and give components.  Then pairs are formed only
+between different components of a bucket, of members outside its largest component
+with all others: no link between components can be missed, and links inside one would
+not change it.
 
 Defined results: null or blank texts have no shingles and link with nothing;
 texts with 1 to 4 words have one shingle, the whole sequence; empty tables give no
-rows; repeated rows belong to one class; texts of any length are read whole.
+rows; repeated rows belong to one class, and rows with a null doc_id have the class's
+smallest doc_id that is not null; texts of any length are read whole.  Only doc_id and
+text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -36,11 +46,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructType
 
 from terrazzo.llm import graph, textvec
-from terrazzo.llm.storage import release, written
+from terrazzo.llm.storage import Bitmap, drop, written
 
 WIDTH = 5
 ORDERS = 2
@@ -48,12 +58,19 @@ ORDERS = 2
 HOT_TOKENS = 1 << 20
 #: A shingle is counted as frequent where it is in this many documents of a chunk.
 CHUNK_DOCS, CHUNK_TOKENS = 3, 4_000_000
+#: Prefix entries of one range of shingles, and those that a task holds before it sends them; more only beyond MOST_RANGES.
+RANGE_ENTRIES, MOST_RANGES = 1 << 20, 1 << 14
+#: Sets that a task remembers to have seen (it sends a set again after that), and shingles that a verifying task keeps.
+SEEN_SETS, KEPT_TOKENS = 1 << 20, 4 << 20
 
 
 class Sets:
-    """The shingle sets of a block: ``tokens`` sorted inside each document, ``at`` the documents' bounds."""
+    """The shingle sets of a block: ``tokens`` sorted inside each document, ``at`` the documents' bounds.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    ``sig`` names a set and ``check`` is a second hash of it, both drawn by ``salt``.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, salt: int = 0):
         low = textvec.lowered(data)
         w = textvec.Words(low, offsets)
         h = textvec.span_hashes(low, w.start, w.end)
@@ -74,19 +91,29 @@ class Sets:
             at[d + 1] = len(x)
         self.tokens, self.at = np.concatenate(parts), np.cumsum(at)
         self.size = np.diff(self.at)
+        self.sig = self._digest(0x51 + 2 * salt)
+        self._salt = salt
+
+    def _digest(self, salt: int) -> np.ndarray:
         total = np.zeros(len(self.tokens) + 1, dtype=np.uint64)
-        np.cumsum(textvec.mix(self.tokens + np.uint64(0x51)), out=total[1:])
-        self.sig = textvec.mix(total[self.at[1:]] - total[self.at[:-1]] + self.size.astype(np.uint64)).view(np.int64)
+        np.cumsum(textvec.mix(self.tokens + np.uint64(salt)), out=total[1:])
+        return textvec.mix(total[self.at[1:]] - total[self.at[:-1]] + self.size.astype(np.uint64)).view(np.int64)
 
+    @property
+    def check(self) -> np.ndarray:
+        return self._digest(0x52 + 2 * self._salt)
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
+
+def _sets(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
     for batch in batches:
         for at, data, offsets in textvec.blocks(batch.column("text")):
-            yield batch, at, Sets(data, offsets)
+            yield batch, at, Sets(data, offsets, salt)
 
 
 def _fresh(sets: Sets, seen: set[int]) -> np.ndarray:
     """Rows whose set is not empty and new to this task."""
+    if len(seen) > SEEN_SETS:
+        seen.clear()
     new = np.zeros(len(sets.sig), dtype=bool)
     for k, sig in enumerate(sets.sig.tolist()):
         if sets.size[k] and sig not in seen:
@@ -99,19 +126,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, sig and n (size of the set) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at, s in _sets(batches):
-            ids = batch.column("doc_id").slice(at, len(s.sig))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(s.sig), pa.array(s.size, pa.int64())], names=["doc_id", "sig", "n"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, sig long, n long")
-
-
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) with their counted documents, at most HOT_TOKENS."""
+def profile(docs: DataFrame, salt: int) -> DataFrame:
+    """One pass over all texts: doc_id, sig, n (size of the set) and check of every row; and, where ``counted``, a chunk's frequent shingle as sig with its documents as n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -120,18 +136,39 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             hot = n >= CHUNK_DOCS
-            return pa.RecordBatch.from_arrays([pa.array(token[hot].view(np.int64)), pa.array(n[hot], pa.int64())], names=["token", "n"])
+            return made(True, pa.nulls(hot.sum(), pa.int64()), token[hot].view(np.int64), n[hot], None)
+
+        def made(counted: bool, ids: pa.Array, sig: np.ndarray, n: np.ndarray, check: np.ndarray | None) -> pa.RecordBatch:
+            check = pa.nulls(len(sig), pa.int64()) if check is None else pa.array(check)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), counted)), ids, pa.array(sig), pa.array(n, pa.int64()), check], names=["counted", "doc_id", "sig", "n", "check"])
 
-        for _, _, s in _sets(batches):
-            new = _fresh(s, seen)
-            held.append(s.tokens[np.repeat(new, s.size)])
+        for batch, at, s in _sets(batches, salt):
+            yield made(False, batch.column("doc_id").slice(at, len(s.sig)), s.sig, s.size, s.check)
+            held.append(s.tokens[np.repeat(_fresh(s, seen), s.size)])
             if sum(map(len, held)) >= CHUNK_TOKENS:
                 yield flush()
                 held.clear()
                 seen.clear()
         yield flush()
 
-    counts = written(_texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "counted boolean, doc_id long, sig long, n long, check long")
+
+
+def profiled(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The written profile and its salt: the first under which different sets have different names."""
+    salt = 0
+    while True:
+        table = written(profile(docs, salt), "set-profile")
+        names = table.where("not counted").groupBy("sig").agg(F.min("check").alias("least"), F.max("check").alias("most"), F.min("n").alias("few"), F.max("n").alias("many"))
+        if not names.where("least <> most or few <> many").limit(1).count():
+            return table, salt
+        drop(table)
+        salt += 1
+
+
+def frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles (sorted) with their counted documents, at most HOT_TOKENS."""
+    counts = written(table.where("counted").groupBy(F.col("sig").alias("token")).agg(F.sum("n").alias("n")), "shingle-counts")
     # rows by power-of-two count: at most 64 rows
     ladder = sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*")).collect()), reverse=True)
     least, rows = 64, 0
@@ -139,10 +176,11 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if rows + n > HOT_TOKENS:
             break
         least, rows = p, rows + n
-    table = counts.where(F.col("n") >= F.lit(2.0) ** F.lit(least)).toArrow() if rows else None
-    if table is None:
+    found = counts.where(F.col("n") >= F.lit(2.0) ** F.lit(least)).toArrow() if rows else None
+    drop(counts)
+    if found is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    token, n = table.column("token").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    token, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
 
@@ -167,104 +205,237 @@ class Frequencies:
         return out
 
 
-def prefixes(docs: DataFrame, hot, orders: list[int], want_hot: bool) -> DataFrame:
-    """(order_no, token, sig, n, pos): the prefix shingles of every set under some orders, pos being the place in the order.
-
-    Of these, the frequent shingles or the others (their buckets are handled apart).
-    """
+class Order:
+    """One global order of shingles: frequent ones last, by a hash of its own among equals."""
+
+    def __init__(self, sets: Sets, frequencies: Frequencies, number: int):
+        salt = np.uint64((0x9E3779B97F4A7C15 * (number + 1)) & 0xFFFFFFFFFFFFFFFF)
+        self.sets, self.level = sets, frequencies.of(sets.tokens) << np.uint64(56)
+        self.key = self.level | (textvec.mix(sets.tokens ^ salt) >> np.uint64(8))
+
+    def prefix(self, row: int) -> np.ndarray:
+        """Where the row's prefix shingles stand among all tokens, in order."""
+        a, m = int(self.sets.at[row]), int(self.sets.size[row])
+        return a + np.argsort(self.key[a : a + m])[: m - (3 * m + 3) // 4 + 1]
+
+
+class Entries:
+    """Prefix entries as columns: token, sig, n (size of the set) and pos (place in the order)."""
+
+    TYPES = {"token": np.uint64, "sig": np.int64, "n": np.uint32, "pos": np.uint32}
+
+    def __init__(self, **columns: np.ndarray):
+        self.token, self.sig, self.n, self.pos = (columns[c] for c in self.TYPES)
+
+    def take(self, at: np.ndarray) -> Entries:
+        return Entries(**{c: getattr(self, c)[at] for c in self.TYPES})
+
+    @classmethod
+    def joined(cls, parts: list[Entries]) -> Entries:
+        return cls(**{c: np.concatenate([np.zeros(0, t), *(getattr(p, c) for p in parts)]) for c, t in cls.TYPES.items()})
+
+    def pack(self) -> bytes:
+        """Entries sorted by token, compressed: token steps, n and pos by byte planes."""
+        planes = lambda x: x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+        body = planes(np.diff(self.token, prepend=np.uint64(0))) + planes(self.n) + planes(self.pos) + self.sig.tobytes()
+        return len(self.token).to_bytes(4, "big") + pa.Codec("zstd", 1).compress(body, asbytes=True)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Entries:
+        m = int.from_bytes(data[:4], "big")
+        body = np.frombuffer(pa.Codec("zstd").decompress(data[4:], decompressed_size=24 * m), dtype=np.uint8)
+        plane = lambda a, t: np.ascontiguousarray(body[a * m : (a + np.dtype(t).itemsize) * m].reshape(-1, m).T).view(t).ravel()
+        return cls(token=np.cumsum(plane(0, np.uint64)), n=plane(8, np.uint32), pos=plane(12, np.uint32), sig=body[16 * m :].view(np.int64))
+
+
+def _prefix_entries(batches: Iterator[pa.RecordBatch], hot, salt: int, want_hot: bool) -> Iterator[Entries]:
+    """The first order's prefix entries of the sets new to this task: the frequent shingles, or the others."""
+    frequencies, seen = Frequencies(*hot.value), set()
+    for _, _, s in _sets(batches, salt):
+        order, parts = Order(s, frequencies, 0), []
+        for r in np.flatnonzero(_fresh(s, seen)).tolist():
+            first = order.prefix(r)
+            pos = np.flatnonzero((order.level[first] > 0) == want_hot)
+            if len(pos):
+                parts.append(Entries(token=s.tokens[first[pos]], sig=np.full(len(pos), s.sig[r]), n=np.full(len(pos), s.size[r], np.uint32), pos=pos.astype(np.uint32)))
+        if parts:
+            yield Entries.joined(parts)
+
+
+_BUCKETS = "token long, sig long, n int, pos int, lead struct<pos: int, n: int, sig: long>"
+
+
+def bucketed(e: Entries) -> Entries:
+    """Entries by token, the most central first (smallest pos, n, sig), of those that some other set of their token can be admitted with."""
+    by = np.argsort(e.token)
+    token = e.token[by]
+    same = token[1:] == token[:-1]
+    several = np.zeros(len(by), dtype=bool)
+    several[1:] |= same
+    several[:-1] |= same
+    e = e.take(by[several])
+    e = e.take(np.lexsort((e.sig, e.n, e.pos, e.token)))
+    if len(e.token):  # a set that several tasks sent
+        e = e.take(np.flatnonzero(np.concatenate([[True], (e.token[1:] != e.token[:-1]) | (e.sig[1:] != e.sig[:-1])])))
+    if not len(e.token):
+        return e
+    starts = np.flatnonzero(np.concatenate([[True], e.token[1:] != e.token[:-1]]))
+    count = np.diff(np.append(starts, len(e.token)))
+    group = np.repeat(np.arange(len(starts)), count)
+    n = e.n.astype(np.int64)
+    reach = (4 * n - 7 * e.pos.astype(np.int64)) // 3  # the largest partner that pos allows
+
+    def others(x: np.ndarray, sign: int) -> np.ndarray:
+        """The least (sign 1) or most (-1) of the other members' x; a group of one has none."""
+        by = np.lexsort((sign * x, group))
+        first = x[by[starts]]
+        second = np.where(count > 1, x[by[np.minimum(starts + 1, len(x) - 1)]], sign * (1 << 60))
+        best = np.repeat(first, count)
+        best[by[starts]] = second
+        return best
+
+    e = e.take(np.flatnonzero((others(n, 1) <= reach) & (others(reach, -1) >= n)))
+    if not len(e.token):
+        return e
+    fresh = np.concatenate([[True], e.token[1:] != e.token[:-1]])
+    return e.take(np.flatnonzero(~(fresh & np.append(fresh[1:], True))))
+
+
+def rare_buckets(docs: DataFrame, hot, salt: int, entries: int) -> DataFrame:
+    """The buckets of shingles that are not in the frequent table, by packed ranges of shingles."""
+    wanted = -(-entries // RANGE_ENTRIES)
+    ranges = max(1, wanted if wanted <= MOST_RANGES else max(MOST_RANGES, wanted // 16))
+    block = max(RANGE_ENTRIES, 64 * ranges)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[Entries]) -> pa.RecordBatch:
+            e = Entries.joined(held)
+            e = e.take(np.argsort(e.token))
+            of = ((e.token >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            number, first = np.unique(of, return_index=True)
+            body = [e.take(slice(a, b)).pack() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(body, pa.binary())], names=["range", "body"])
+
+        held, size = [], 0
+        for e in _prefix_entries(batches, hot, salt, want_hot=False):
+            held.append(e)
+            size += len(e.token)
+            if size >= block:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = bucketed(Entries.joined([Entries.unpack(body.as_py()) for batch in batches for body in batch.column("body")]))
+        if not len(e.token):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], e.token[1:] != e.token[:-1]]))
+        lead = np.repeat(starts, np.diff(np.append(starts, len(e.token))))
+        for a in range(0, len(lead), 1 << 16):
+            at, of = slice(a, a + (1 << 16)), lead[a : a + (1 << 16)]
+            column = lambda x: pa.array(x.astype(np.int32))
+            leads = pa.StructArray.from_arrays([column(e.pos[of]), column(e.n[of]), pa.array(e.sig[of])], names=["pos", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(e.token[at].view(np.int64)), pa.array(e.sig[at]), column(e.n[at]), column(e.pos[at]), leads], names=["token", "sig", "n", "pos", "lead"])
+
+    packed = _texts(docs).mapInArrow(pack, "range int, body binary")
+    return packed.repartitionById(ranges, F.col("range")).select("body").mapInArrow(gather, _BUCKETS)
+
+
+def hot_buckets(docs: DataFrame, hot, salt: int) -> DataFrame:
+    """The buckets of frequent shingles: leads are summed up before the shuffle, and skewed joins are split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequencies, seen = Frequencies(*hot.value), set()
-        for _, _, s in _sets(batches):
-            rows = np.flatnonzero(_fresh(s, seen)).tolist()
-            level = frequencies.of(s.tokens) << np.uint64(56)
-            at, size = s.at.tolist(), s.size.tolist()
-            for order in orders:
-                salt = np.uint64((0x9E3779B97F4A7C15 * (order + 1)) & 0xFFFFFFFFFFFFFFFF)
-                key = level | (textvec.mix(s.tokens ^ salt) >> np.uint64(8))
-                token, sig, n, pos = [], [], [], []
-                for r in rows:
-                    a, m = at[r], size[r]
-                    first = np.argsort(key[a : a + m])[: m - (3 * m + 3) // 4 + 1]
-                    here = np.flatnonzero((level[a + first] > 0) == want_hot)
-                    if len(here):
-                        token.append(s.tokens[a + first[here]])
-                        pos.append(here)
-                        sig.append(r)
-                        n.append(len(here))
-                if token:
-                    owner = np.repeat(np.array(sig), n)
-                    columns = [np.full(len(owner), order, np.int32), np.concatenate(token).view(np.int64), s.sig[owner], s.size[owner].astype(np.int32), np.concatenate(pos).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["order_no", "token", "sig", "n", "pos"])
-
-    return _texts(docs).mapInArrow(run, "order_no int, token long, sig long, n int, pos int")
-
-
-def buckets(docs: DataFrame, hot, orders: int) -> list[DataFrame]:
-    """For each order its prefix rows whose shingle is in several sets; written.
-
-    ``lead`` is the bucket's most central set: that with the fewest rarer shingles, so the smallest pos.
-    """
-    columns = ["token", "sig", "n", "pos", "lead"]
-    central = F.min(F.struct("pos", "sig", "n"))
-    # a frequent shingle's lead is summed up before the shuffle, and skewed joins are split
-    common = written(prefixes(docs, hot, list(range(orders)), want_hot=True), "frequent-prefixes")
-    leads = common.groupBy("order_no", "token").agg(central.alias("lead"), F.max("sig").alias("_last"), F.min("sig").alias("_first")).where("_first < _last")
-    common = common.join(leads, ["order_no", "token"])
-    out = []
-    for k in range(orders):
-        w = W.partitionBy("token")
-        # a rare shingle's bucket is small: one shuffle, the bucket's bounds beside each row
-        rare = prefixes(docs, hot, [k], want_hot=False).withColumns({"lead": central.over(w), "_last": F.max("sig").over(w), "_first": F.min("sig").over(w)})
-        both = rare.where("_first < _last").select(columns).unionByName(common.where(F.col("order_no") == k).select(columns))
-        out.append(written(both.dropDuplicates(["token", "sig"]), f"buckets-{k}"))
-        del rare, both
-        release(docs.sparkSession)  # the prefixes' shuffle is this operator's largest
-    return out
-
-
-def payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, body): one packed text of each wanted set; written."""
+        for e in _prefix_entries(batches, hot, salt, want_hot=True):
+            yield pa.RecordBatch.from_arrays([pa.array(e.token.view(np.int64)), pa.array(e.sig), pa.array(e.n.astype(np.int32)), pa.array(e.pos.astype(np.int32))], names=["token", "sig", "n", "pos"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = pa.Codec("zstd"), set()
-        for batch, at, s in _sets(batches):
-            rows = np.flatnonzero(_fresh(s, seen)).tolist()
-            texts = [batch.column("text")[at + k].as_py().encode() for k in rows]
-            body = [len(t).to_bytes(8, "big") + codec.compress(t, asbytes=True) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(s.sig[rows]), pa.array(body, pa.binary())], names=["sig", "body"])
+    rows = written(_texts(docs).mapInArrow(run, "token long, sig long, n int, pos int"), "frequent-prefixes")
+    leads = rows.groupBy("token").agg(F.min(F.struct("pos", "n", "sig")).alias("lead"), F.max("sig").alias("_last"), F.min("sig").alias("_first")).where("_first < _last")
+    table = written(rows.join(leads.select("token", "lead"), "token").dropDuplicates(["token", "sig"]), "frequent-buckets")
+    drop(rows)
+    return table
 
-    packed = _texts(docs).mapInArrow(run, "sig long, body binary")
-    return written(packed.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("body").alias("body")), "bodies")
 
+def buckets(docs: DataFrame, hot, salt: int, entries: int) -> DataFrame:
+    """The first order's prefix rows whose shingle is in several sets, each with the bucket's lead: its most central set, with the fewest rarer shingles; written."""
+    common = hot_buckets(docs, hot, salt)
+    table = written(rare_buckets(docs, hot, salt, entries).unionByName(common), "buckets")
+    drop(common)
+    return table
 
-def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+
+def payloads(docs: DataFrame, wanted: DataFrame, hot, salt: int, orders: int) -> DataFrame:
+    """(sig, body, order_1, order_2 …): one packed text of each wanted set, and its prefix shingles under the other orders; written."""
+    asked = docs.sparkSession.sparkContext.broadcast(Bitmap(wanted, "sig"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, seen, frequencies, bitmap = pa.Codec("zstd"), set(), Frequencies(*hot.value), asked.value
+        for batch, at, s in _sets(batches, salt):
+            rows = np.flatnonzero(_fresh(s, seen) & bitmap.may_hold(s.sig)).tolist()
+            if not rows:
+                continue
+            texts = [batch.column("text")[at + k].as_py().encode() for k in rows]
+            columns = [pa.array(s.sig[rows]), pa.array([len(t).to_bytes(8, "big") + codec.compress(t, asbytes=True) for t in texts], pa.binary())]
+            for number in range(1, orders):
+                order = Order(s, frequencies, number)
+                columns.append(pa.array([s.tokens[order.prefix(r)].view(np.int64) for r in rows], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "body", *others])
+
+    others = [f"order_{k}" for k in range(1, orders)]
+    packed = _texts(docs).mapInArrow(run, ", ".join(["sig long", "body binary", *(f"{c} array<long>" for c in others)]))
+    one = packed.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first(F.struct("body", *others)).alias("x"))
+    table = written(one.select("sig", "x.*"), "bodies")
+    asked.destroy()
+    return table
+
+
+def _both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with some columns of both sets."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("sig").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs
+
+
+def passing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that share a prefix shingle under every other order as well."""
+    others = [c for c in sets.columns if c.startswith("order_")]
+    if not others:
+        return pairs
+    found = _both(pairs, sets, others)
+    for c in others:
+        found = found.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
+    return found.select("a", "b")
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
-
-        def tokens(body: bytes) -> np.ndarray:
-            text = codec.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "big"), asbytes=True)
-            return Sets(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)], dtype=np.int64)).tokens
+        kept: dict[int, np.ndarray] = {}
+        held = 0
+
+        def tokens(sig: int, body: pa.BinaryScalar) -> np.ndarray:
+            nonlocal held
+            if sig not in kept:
+                if held > KEPT_TOKENS:
+                    kept.clear()
+                    held = 0
+                body = body.as_py()
+                text = codec.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "big"), asbytes=True)
+                kept[sig] = Sets(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)], dtype=np.int64)).tokens
+                held += len(kept[sig])
+            return kept[sig]
 
         for batch in batches:
-            kept: dict[int, np.ndarray] = {}
             linked = []
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "body_a", "body_b")), strict=True):
-                two = []
-                for sig, body in ((a.as_py(), x), (b.as_py(), y)):
-                    if sig not in kept:
-                        if len(kept) > 2000:
-                            kept.clear()
-                        kept[sig] = tokens(body.as_py())
-                    two.append(kept[sig])
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("body_a"), batch.column("body_b"), strict=True):
+                two = tokens(a, x), tokens(b, y)
                 shared = len(np.intersect1d(*two, assume_unique=True))
                 linked.append(7 * shared >= 3 * (len(two[0]) + len(two[1])))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    side = lambda s: bodies.select(F.col("sig").alias(s), F.col("body").alias(f"body_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+    return _both(pairs, sets, ["body"]).select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
 def _admits(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
@@ -272,14 +443,18 @@ def _admits(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Colum
     return 7 * F.least(n - pos, other_n - other_pos) >= 3 * (n + other_n)
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("label", F.col("sig"))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
 
 
-def cross_pairs(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of a bucket in different components that the prefixes of this order admit."""
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members with its lead that this order admits."""
+    star = rows.where((F.col("sig") != F.col("lead.sig")) & _admits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    return star.select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct()
+
+
+def cross_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a bucket in different components that this order admits; written."""
     rows = _labelled(rows.select("token", "sig", "n", "pos"), labels)
     counted = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     largest = counted.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
@@ -289,52 +464,66 @@ def cross_pairs(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     # of two members outside the largest component one order is enough
     once = ~F.col("y.minor") | (F.col("x.sig") < F.col("y.sig"))
     found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & admitted)
-    return found.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """doc_id, sig, n_shingles and component_id of every row."""
-    spark = docs.sparkSession
-    rows = written(signatures(docs), "signatures")
-    hot = spark.sparkContext.broadcast(frequent(docs))
-    tables = buckets(docs, hot, orders)
-    # every pair that is ever verified shares a bucket of the first order
-    bodies = payloads(docs, tables[0].select("sig").distinct())
-
-    star = tables[0].where((F.col("sig") != F.col("lead.sig")) & _admits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    star = star.select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct()
-    links = written(verify(star, bodies), "links")
+    pairs = written(found.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct(), "pairs")
+    drop(mixed)
+    return pairs
+
+
+def _classes(docs: DataFrame, orders: int) -> tuple[DataFrame, int]:
+    """doc_id, sig, n_shingles and component_id of every row; and the salt of sig."""
+    table, salt = profiled(docs)
+    rows = table.where("not counted").select("doc_id", "sig", "n")
+    entries = rows.where("n > 0").agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
+    hot = docs.sparkSession.sparkContext.broadcast(frequent(table))
+    bucket = buckets(docs, hot, salt, entries)
+    sets = payloads(docs, bucket.select("sig").distinct(), hot, salt, orders)
+    hot.destroy()
+
+    links = written(verify(passing(star_pairs(bucket), sets), sets), "links")
     labels = graph.components(links)
-
-    pairs = cross_pairs(tables[0], labels)
-    for table in tables[1:]:
-        pairs = written(pairs, "pairs").join(cross_pairs(table, labels), ["a", "b"])
-    more = written(verify(pairs, bodies), "links")
+    pairs = cross_pairs(bucket, labels)
+    drop(bucket)
+    more = written(verify(passing(pairs, sets), sets), "links")
+    drop(pairs, sets)
     if more.limit(1).count():
         labels = graph.components(links.unionByName(more))
+    drop(links, more)
 
     classed = _labelled(rows.where("n > 0"), labels)
     least = classed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = classed.join(least, "label").select("doc_id", "sig", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(rows.where("n = 0").select("doc_id", "sig", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return found.unionByName(rows.where("n = 0").select("doc_id", "sig", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), salt
+
+
+def near_duplicates(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
+    """doc_id, sig, n_shingles and component_id of every row."""
+    return _classes(docs, orders)[0]
 
 
 def keep_one(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id (equal rows: one of them); rows without shingles stay."""
-    classes = near_duplicates(docs, orders)
-    release(docs.sparkSession)
-    stay = written(classes.where("n_shingles = 0 or doc_id <=> component_id").select("doc_id", "sig", "n_shingles").distinct(), "keepers")
+    """``docs`` with one row of each class: that of the smallest doc_id (equal rows: one of them); rows without shingles stay.
+
+    Only rows that may share their doc_id with one that leaves are joined; the others pass straight through.
+    """
+    classes, salt = _classes(docs, orders)
+    rows = classes.where("n_shingles > 0").groupBy("doc_id", "sig", "component_id").agg(F.count("*").alias("copies"))
+    rows = written(rows.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id"))).where("not stays or copies > 1"), "affected")
+    touched = docs.sparkSession.sparkContext.broadcast(Bitmap(rows, "doc_id"))
     columns, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = touched.value
         for batch in batches:
-            sig = np.concatenate([s.sig for _, _, s in _sets([batch])]) if batch.num_rows else np.zeros(0, np.int64)
-            yield batch.append_column("__sig", pa.array(sig))
-
-    from pyspark.sql.types import LongType, StructType
-
-    signed = docs.mapInArrow(run, StructType([*schema.fields]).add("__sig", LongType()))
-    keep = stay.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__of"), F.col("n_shingles").alias("__n"))
-    kept = signed.join(keep, (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & (F.col("__sig") == F.col("__of")))
-    first = F.row_number().over(W.partitionBy("__id", "__sig").orderBy("__sig"))
-    return kept.withColumn("__first", first).where("__n = 0 or __first = 1").select(columns)
+            ids = batch.column("doc_id").cast(pa.int64())
+            maybe = bitmap.may_hold(ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            sig = np.zeros(batch.num_rows, np.int64)
+            if maybe.any():
+                at = np.flatnonzero(maybe)
+                sig[at] = np.concatenate([s.sig for _, _, s in _sets([batch.select(["text"]).take(pa.array(at))], salt)])
+            yield batch.append_column("__maybe", pa.array(maybe)).append_column("__sig", pa.array(sig))
+
+    signed = docs.mapInArrow(run, StructType([*schema.fields]).add("__maybe", BooleanType()).add("__sig", LongType()))
+    affected = rows.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__of"), F.col("stays").alias("__stays"))
+    asked = signed.where("__maybe").join(affected, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sig") == F.col("__of")), "left")
+    unaffected, decided = asked.where("__of is null"), asked.where("__stays").dropDuplicates(["__id", "__of"])
+    return signed.where("not __maybe").select(columns).unionByName(unaffected.select(columns)).unionByName(decided.select(columns))

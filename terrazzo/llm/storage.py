@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Spark deletes an execution's shuffle files when it ends; they could only serve the same DataFrame again.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; our own only where it is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="terrazzo-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -26,14 +34,50 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside are deleted as soon as it ends."""
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: computed once, lineage cut."""
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, after their last reader has ended."""
+    for table in tables:
+        delete(table.sparkSession, table._written_at)
+
+
+class Bitmap:
+    """Which remainders some 64-bit numbers leave modulo a power of two: a superset test of fixed size, 64 MB at most."""
 
+    def __init__(self, numbers: DataFrame, column: str):
+        count = numbers.count()
+        self.bits = min(29, max(20, (8 * count).bit_length()))
+        at = F.expr(f"`{column}` & {(1 << self.bits) - 1}L")
+        parts = numbers.where(F.col(column).isNotNull()).groupBy(F.shiftright(at, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(32767)).alias("set"))
+        self.set = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
+        for r in parts.toLocalIterator():
+            self.set[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["set"], dtype=np.uint8)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which otherwise stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def may_hold(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers.astype(np.int64) & np.int64((1 << self.bits) - 1)
+        return (self.set[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from terrazzo.llm import graph, ngramjoin
+from terrazzo.llm.storage import Bitmap
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -91,3 +93,49 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 90, 90: 90, 95: 90}
+
+
+def entries(rows):
+    return ngramjoin.Entries(**{c: np.array(x, t) for x, (c, t) in zip(zip(*rows, strict=True), ngramjoin.Entries.TYPES.items(), strict=True)})
+
+
+def listed(e):
+    return list(zip(e.token.tolist(), e.sig.tolist(), e.n.tolist(), e.pos.tolist(), strict=True))
+
+
+def test_packed_entries():
+    rng = random.Random(3)
+    rows = sorted((rng.choice([rng.getrandbits(64), 7, 2**64 - 1]), rng.getrandbits(63) - 2**62, rng.randint(1, 9000), rng.randint(0, 2000)) for _ in range(500))
+    assert listed(ngramjoin.Entries.unpack(entries(rows).pack())) == rows
+
+
+def test_buckets_keep_every_pair_that_the_order_admits():
+    rng = random.Random(4)
+    size = {s: rng.randint(1, 60) for s in range(40)}
+    rows = list({(t, s): (t, s, size[s], rng.randint(0, size[s] // 4)) for t, s in ((rng.randint(0, 60), rng.randint(0, 39)) for _ in range(600))}.values())
+    admits = lambda x, y: x[0] == y[0] and x[1] != y[1] and 7 * min(x[2] - x[3], y[2] - y[3]) >= 3 * (x[2] + y[2])
+    pairs = lambda rows: {(x[0], x[1], y[1]) for x in rows for y in rows if admits(x, y)}
+    kept = listed(ngramjoin.bucketed(entries(rows + rows[:50])))  # some sets are sent twice
+    assert pairs(kept) == pairs(rows) and len(set(kept)) == len(kept) < len(rows)
+    assert kept == sorted(kept, key=lambda r: (r[0], r[3], r[2], r[1]))
+    assert not listed(ngramjoin.bucketed(entries([(1, 1, 9, 0), (2, 1, 9, 1)]))) and not listed(ngramjoin.bucketed(entries([(1, 1, 9, 0)]).take(slice(0, 0))))
+
+
+def test_sets_have_two_hashes_and_a_salt():
+    data = b"a b c d e f g"
+    one, other = (ngramjoin.Sets(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)], dtype=np.int64), salt) for salt in (0, 1))
+    assert one.tokens.tolist() == other.tokens.tolist() and len({one.sig[0], one.check[0], other.sig[0], other.check[0]}) == 4
+
+
+def test_bitmap(spark):
+    held = [5, -3, 1 << 40, -(1 << 63), (1 << 63) - 1]
+    bitmap = Bitmap(spark.createDataFrame([(x,) for x in [*held, None]], "x long"), "x")
+    assert bitmap.may_hold(np.array(held)).all() and not bitmap.may_hold(np.arange(100, 9000)).any()
+    assert not Bitmap(spark.createDataFrame([], "x long"), "x").may_hold(np.array(held)).any()
+
+
+def test_repeated_rows_and_null_ids_stay_once(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (1, "other words that stand alone here now", "c"), (None, text, "d"), (None, "so few", "e"), (None, "so few", "e"), (3, None, "f"), (3, None, "f")]
+    kept = ngramjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string, sig string"))
+    assert sorted((str(r["doc_id"]), r["sig"]) for r in kept.collect()) == [("1", "a"), ("1", "c"), ("3", "f"), ("3", "f"), ("None", "e")]
