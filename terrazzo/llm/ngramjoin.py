@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructType
 
 from terrazzo.llm import graph, textvec
-from terrazzo.llm.storage import Bitmap, drop, written
+from terrazzo.llm.storage import Bitmap, drop, unbucketed, unused, written, written_by
 
 WIDTH = 5
 ORDERS = 2
@@ -59,7 +59,9 @@ HOT_TOKENS = 1 << 20
 #: A shingle is counted as frequent where it is in this many documents of a chunk.
 CHUNK_DOCS, CHUNK_TOKENS = 3, 4_000_000
 #: Prefix entries of one range of shingles, and those that a task holds before it sends them; more only beyond MOST_RANGES.
-RANGE_ENTRIES, MOST_RANGES = 1 << 20, 1 << 14
+RANGE_ENTRIES, MOST_RANGES = 1 << 19, 1 << 15
+#: Pairs of one set beyond which its joins are dealt anew and split.
+MOST_PAIRS = 1 << 13
 #: Sets that a task remembers to have seen (it sends a set again after that), and shingles that a verifying task keeps.
 SEEN_SETS, KEPT_TOKENS = 1 << 20, 4 << 20
 
@@ -304,7 +306,7 @@ def bucketed(e: Entries) -> Entries:
 def rare_buckets(docs: DataFrame, hot, salt: int, entries: int) -> DataFrame:
     """The buckets of shingles that are not in the frequent table, by packed ranges of shingles."""
     wanted = -(-entries // RANGE_ENTRIES)
-    ranges = max(1, wanted if wanted <= MOST_RANGES else max(MOST_RANGES, wanted // 16))
+    ranges = max(1, wanted if wanted <= MOST_RANGES else max(MOST_RANGES, wanted // 32))
     block = max(RANGE_ENTRIES, 64 * ranges)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +367,7 @@ def buckets(docs: DataFrame, hot, salt: int, entries: int) -> DataFrame:
 
 
 def payloads(docs: DataFrame, wanted: DataFrame, hot, salt: int, orders: int) -> DataFrame:
-    """(sig, body, order_1, order_2 …): one packed text of each wanted set, and its prefix shingles under the other orders; written."""
+    """(sig, body, order_1, order_2 …): one packed text of each wanted set, and its prefix shingles under the other orders, as 32 bits; written, bucketed by sig."""
     asked = docs.sparkSession.sparkContext.broadcast(Bitmap(wanted, "sig"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,37 +380,40 @@ def payloads(docs: DataFrame, wanted: DataFrame, hot, salt: int, orders: int) ->
             columns = [pa.array(s.sig[rows]), pa.array([len(t).to_bytes(8, "big") + codec.compress(t, asbytes=True) for t in texts], pa.binary())]
             for number in range(1, orders):
                 order = Order(s, frequencies, number)
-                columns.append(pa.array([s.tokens[order.prefix(r)].view(np.int64) for r in rows], pa.list_(pa.int64())))
+                columns.append(pa.array([(s.tokens[order.prefix(r)] >> np.uint64(32)).astype(np.uint32).view(np.int32) for r in rows], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["sig", "body", *others])
 
     others = [f"order_{k}" for k in range(1, orders)]
-    packed = _texts(docs).mapInArrow(run, ", ".join(["sig long", "body binary", *(f"{c} array<long>" for c in others)]))
+    packed = _texts(docs).mapInArrow(run, ", ".join(["sig long", "body binary", *(f"{c} array<int>" for c in others)]))
     one = packed.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first(F.struct("body", *others)).alias("x"))
-    table = written(one.select("sig", "x.*"), "bodies")
+    table = written_by(one.select("sig", "x.*"), "sig", "bodies")
     asked.destroy()
     return table
 
 
 def _both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs (a, b) with some columns of both sets."""
+    """Written pairs (a, b) with some columns of both sets; a set with very many pairs is left to Spark's splitting of skewed joins."""
+    ends = F.explode(F.create_map(F.lit("a"), "a", F.lit("b"), "b")).alias("side", "sig")
+    most = pairs.select(ends).groupBy("side", "sig").count().agg(F.max("count")).first()[0]
+    sets = unbucketed(sets) if (most or 0) > MOST_PAIRS else sets
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("sig").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
 
 
 def passing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that share a prefix shingle under every other order as well."""
+    """The written pairs that share a prefix shingle under every other order as well; written."""
     others = [c for c in sets.columns if c.startswith("order_")]
-    if not others:
-        return pairs
-    found = _both(pairs, sets, others)
+    found = _both(pairs, sets, others) if others else pairs
     for c in others:
         found = found.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
-    return found.select("a", "b")
+    found = written(found.select("a", "b"), "passing")
+    drop(pairs)
+    return found
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
+    """The written pairs (a, b) whose sets are linked; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
@@ -435,7 +440,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(7 * shared >= 3 * (len(two[0]) + len(two[1])))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return _both(pairs, sets, ["body"]).select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+    links = written(_both(pairs, sets, ["body"]).select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long"), "links")
+    drop(pairs)
+    return links
 
 
 def _admits(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
@@ -448,9 +455,9 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members with its lead that this order admits."""
+    """Pairs of a bucket's members with its lead that this order admits; written."""
     star = rows.where((F.col("sig") != F.col("lead.sig")) & _admits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-    return star.select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct()
+    return written(star.select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct(), "pairs")
 
 
 def cross_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -479,12 +486,12 @@ def _classes(docs: DataFrame, orders: int) -> tuple[DataFrame, int]:
     sets = payloads(docs, bucket.select("sig").distinct(), hot, salt, orders)
     hot.destroy()
 
-    links = written(verify(passing(star_pairs(bucket), sets), sets), "links")
+    links = verify(passing(star_pairs(bucket), sets), sets)
     labels = graph.components(links)
     pairs = cross_pairs(bucket, labels)
     drop(bucket)
-    more = written(verify(passing(pairs, sets), sets), "links")
-    drop(pairs, sets)
+    more = verify(passing(pairs, sets), sets)
+    drop(sets)
     if more.limit(1).count():
         labels = graph.components(links.unionByName(more))
     drop(links, more)
@@ -510,6 +517,7 @@ def keep_one(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
     rows = written(rows.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id"))).where("not stays or copies > 1"), "affected")
     touched = docs.sparkSession.sparkContext.broadcast(Bitmap(rows, "doc_id"))
     columns, schema = docs.columns, docs.schema
+    maybe_, sig_, id_, of_, stays_ = (unused(docs, c) for c in ("maybe", "sig_", "id_of", "sig_of", "stays"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = touched.value
@@ -520,10 +528,11 @@ def keep_one(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
             if maybe.any():
                 at = np.flatnonzero(maybe)
                 sig[at] = np.concatenate([s.sig for _, _, s in _sets([batch.select(["text"]).take(pa.array(at))], salt)])
-            yield batch.append_column("__maybe", pa.array(maybe)).append_column("__sig", pa.array(sig))
-
-    signed = docs.mapInArrow(run, StructType([*schema.fields]).add("__maybe", BooleanType()).add("__sig", LongType()))
-    affected = rows.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__of"), F.col("stays").alias("__stays"))
-    asked = signed.where("__maybe").join(affected, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sig") == F.col("__of")), "left")
-    unaffected, decided = asked.where("__of is null"), asked.where("__stays").dropDuplicates(["__id", "__of"])
-    return signed.where("not __maybe").select(columns).unionByName(unaffected.select(columns)).unionByName(decided.select(columns))
+            yield batch.append_column(maybe_, pa.array(maybe)).append_column(sig_, pa.array(sig))
+
+    signed = docs.mapInArrow(run, StructType([*schema.fields]).add(maybe_, BooleanType()).add(sig_, LongType()))
+    affected = rows.select(F.col("doc_id").alias(id_), F.col("sig").alias(of_), F.col("stays").alias(stays_))
+    asked = signed.where(F.col(maybe_)).join(affected, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(sig_) == F.col(of_)), "left")
+    # of equal rows that stay any one is the same
+    unaffected, decided = asked.where(F.col(of_).isNull()), asked.where(F.col(stays_)).dropDuplicates([id_, of_])
+    return signed.where(~F.col(maybe_)).select(columns).unionByName(unaffected.select(columns)).unionByName(decided.select(columns))

@@ -55,14 +55,40 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def written_by(df: DataFrame, key: str, label: str, compression: str = "zstd") -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``: joins and groups by it need no shuffle of this side."""
+    spark, path, name = df.sparkSession, shared_path(df.sparkSession, label), f"terrazzo_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with freed_shuffles(spark):
+        df.write.bucketBy(parts, key).option("compression", compression).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table._written_at, table._named = path, name
+    return table
+
+
+def unbucketed(table: DataFrame) -> DataFrame:
+    """A bucketed table as plain files, which Spark deals anew: for joins whose other side is skewed."""
+    return table.sparkSession.read.schema(table.schema).parquet(table._written_at)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made, after their last reader has ended."""
+    """Deletes tables that ``written`` or ``written_by`` made, after their last reader has ended."""
     for table in tables:
+        if hasattr(table, "_named"):
+            table.sparkSession.sql(f"DROP TABLE {table._named}")
         delete(table.sparkSession, table._written_at)
 
 

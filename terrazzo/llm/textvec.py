@@ -2,18 +2,22 @@
 
 A text is cut into words at the bytes 0x20 and 0x09-0x0D.  Word and line hashes
 are differences of one running polynomial sum (64-bit wrap-around), so a batch
-needs a handful of numpy passes and no Python object per word.
+needs a handful of numpy passes and no Python object per word; spans of more than
+LONG_SPAN bytes, which are rare, are hashed one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of a span beyond which its hash is a cryptographic one.
+LONG_SPAN = 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -104,7 +108,11 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     run[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=run[1:])
     h = (run[end] - run[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    # a wrap-around sum cannot tell some very long spans apart, whatever its base: those are hashed by themselves
+    for k in np.flatnonzero(end - start > LONG_SPAN).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "big")
+    return h
 
 
 _STEP = [0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2127599BF4325C37]
