@@ -3,8 +3,8 @@
 1. Texts are cut into pre-tokens in blocks of about BLOCK_CHARS characters.  A block
    keeps, for every position, the number of its word in the block's own word list
    (most frequent first, so the numbers compress well), and lists each word once.
-2. The word lists are shuffled by word; a task encodes each distinct word it meets
-   once and sends its ids back to the blocks that asked.
+2. The word lists are dealt by a hash of the word; a task encodes each distinct word it
+   meets once and sends its ids back to the blocks that asked.
 3. Ids meet positions by block and texts are reassembled in order.  Decoding joins
    the token-byte table, which has one row a token of the vocabulary and is
    broadcast for that reason.
@@ -12,33 +12,42 @@
 So words cross the network once a block and not once an occurrence, texts never
 do, and a word that is everywhere costs one entry a block.  Step 1 is written
 once, bucketed by block: both uses agree on word numbers although executors may
-be lost, and positions need no shuffle.
+be lost, and positions need no shuffle.  The result is written too; the bucketed
+table and the broadcasts go as soon as it stands.
+
+The library encodes a word as one piece: the pattern it is given matches any text whole.
 
 Defined results: null text is empty and has no tokens; the empty text too; empty
-tables give no rows; repeated rows are encoded one by one.
+tables give no rows; repeated rows are encoded one by one, rows with a null doc_id as
+well; a text of any length is encoded whole (a very long one is a block of its own);
+only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from terrazzo.llm.storage import shared_path
+from terrazzo.llm.storage import drop, written, written_by
 
-BLOCK_CHARS = 24 << 20
+#: Characters of a block: what one task holds at once, with its distinct words.
+BLOCK_CHARS = 8 << 20
 #: Encoded words that a task remembers; beyond that it starts anew (more work, same ids).
-WORD_CACHE = 1_000_000
+WORD_CACHE = 500_000
+#: A pattern under which any text is one piece.
+_WHOLE = r"(?s:.+)"
 
-_TABLE = "block long, part int, doc_ids array<long>, counts array<long>, payload binary"
+_TABLE = "block long, part int, doc_ids array<long>, counts array<long>, payload binary, dealt binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,17 +56,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def pack(**columns) -> bytes:
-    """Columns as a compressed Arrow stream."""
-    batch = pa.record_batch(list(columns.values()), names=list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def pack(*columns: np.ndarray) -> bytes:
+    """Unsigned integer columns, compressed by byte planes; empty upper planes cost nothing."""
+    head = b"".join(c.dtype.char.encode() + len(c).to_bytes(8, "big") for c in columns)
+    body = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return len(columns).to_bytes(1, "big") + head + len(body).to_bytes(8, "big") + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    heads = [(np.dtype(chr(data[at])), int.from_bytes(data[at + 1 : at + 9], "big")) for at in range(1, 1 + 9 * data[0], 9)]
+    at = 1 + 9 * data[0]
+    body = np.frombuffer(pa.Codec("zstd").decompress(data[at + 8 :], decompressed_size=int.from_bytes(data[at : at + 8], "big")), dtype=np.uint8)
+    out, at = [], 0
+    for kind, n in heads:
+        out.append(np.ascontiguousarray(body[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
 
 
-def unpack(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+def pack_words(words: list[str]) -> bytes:
+    said = [w.encode() for w in words]
+    return pack(np.fromiter(map(len, said), np.uint32, len(said)), np.frombuffer(b"".join(said), dtype=np.uint8))
+
+
+def unpack_words(data: bytes) -> list[str]:
+    size, said = unpack(data)
+    said, to = said.tobytes(), np.cumsum(size, dtype=np.int64)
+    return [said[a:b].decode() for a, b in zip((to - size).tolist(), to.tolist(), strict=True)]
 
 
 def _numbers(text: str, found: Callable, number: dict[str, int]) -> array:
@@ -72,24 +97,21 @@ def _numbers(text: str, found: Callable, number: dict[str, int]) -> array:
 
 
 def tokenise_blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
-    """Step 1: per block a row of positions (part -1) and a row of words for each part."""
+    """Step 1: per block a row of positions (part -1), with the part that each word is dealt to, and a row of words for each part."""
 
     def block_rows(block: int, ids: list, counts: list, positions: array, number: dict[str, int]) -> Iterator[tuple]:
         at = np.frombuffer(positions, dtype=np.uint32) if len(positions) else np.zeros(0, np.uint32)
         order = np.argsort(-np.bincount(at, minlength=len(number)), kind="stable")
         rank = np.empty(len(number), dtype=np.uint32)
         rank[order] = np.arange(len(number), dtype=np.uint32)
-        at = rank[at]
-        planes = {f"p{k}": pa.array(((at >> np.uint32(8 * k)) & np.uint32(255)).astype(np.uint8)) for k in range(4)}
-        yield block, -1, ids, counts, pack(**planes)
         words = list(number)
-        part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), dtype=np.int64, count=len(words))
-        for r in range(parts):
-            mine = order[part[order] == r] if len(words) else ()
-            if len(mine):
-                at = rank[mine]
-                steps = np.diff(at, prepend=np.uint32(0)).astype(np.uint32)
-                yield block, r, [], [], pack(steps=pa.array(steps), words=pa.array([words[k] for k in mine], pa.string()))
+        words = [words[k] for k in order.tolist()]
+        part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), dtype=np.uint32, count=len(words))
+        yield block, -1, ids, counts, pack(rank[at]), pack(part)
+        by = np.argsort(part, kind="stable")
+        number, first = np.unique(part[by], return_index=True)
+        for r, mine in zip(number.tolist(), np.split(by, first[1:]), strict=True):
+            yield block, r, [], [], pack_words([words[k] for k in mine.tolist()]), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -100,9 +122,9 @@ def tokenise_blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = block_rows(base + made, ids, counts, positions, number)
-            types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
             for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["block", "part", "doc_ids", "counts", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["block", "part", "doc_ids", "counts", "payload", "dealt"])
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
@@ -123,46 +145,46 @@ def tokenise_blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TABLE)
 
 
-def _encode_words(words: DataFrame, pattern: str, ranks) -> DataFrame:
+def _encode_words(words: DataFrame, ranks) -> DataFrame:
     """Step 2: the ids of each listed word, each distinct word encoded once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
+        encode = tiktoken.Encoding("words", pat_str=_WHOLE, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
         known: dict[str, list[int]] = {}
         for batch in batches:
-            for block, payload in zip(batch.column("block"), batch.column("payload"), strict=True):
-                table = unpack(payload.as_py())
+            for block, part, payload in zip(batch.column("block"), batch.column("part"), batch.column("payload"), strict=True):
                 if len(known) > WORD_CACHE:
                     known.clear()
                 ids = []
-                for w in table.column("words").to_pylist():
+                for w in unpack_words(payload.as_py()):
                     got = known.get(w)
                     if got is None:
                         got = known[w] = encode(w)
                     ids.append(got)
-                lists = pa.array(ids, pa.list_(pa.uint32()))
-                packed = pack(steps=table.column("steps").combine_chunks(), ids=lists)
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([packed], pa.binary())], names=["block", "ids"])
+                counts = np.fromiter(map(len, ids), np.uint32, len(ids))
+                packed = pack(counts, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())))
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([part.as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["block", "part", "ids"])
 
-    return words.select("block", "payload").mapInArrow(run, "block long, ids binary")
+    return words.select("block", "part", "payload").mapInArrow(run, "block long, part int, ids binary")
 
 
 class Block:
     """A block's documents with, for each word number, its ids."""
 
     def __init__(self, row: dict, table: list[bytes]):
-        planes = unpack(row["payload"])
-        at = np.zeros(planes.num_rows, dtype=np.uint32)
-        for k in range(4):
-            at |= planes.column(f"p{k}").to_numpy().astype(np.uint32) << np.uint32(8 * k)
-        self.doc_ids, self.counts, self.at, self.table = row["doc_ids"], row["counts"], at, table
-        self.ids: list = [None] * (int(at.max()) + 1 if len(at) else 0)
-        for packed in row["ids"] or ():
-            got = unpack(packed)
-            for k, ids in zip(np.cumsum(got.column("steps").to_numpy().astype(np.int64)).tolist(), got.column("ids").to_pylist(), strict=True):
-                self.ids[k] = ids
+        (self.at,), (dealt,) = unpack(row["payload"]), unpack(row["dealt"])
+        self.doc_ids, self.counts, self.table = row["doc_ids"], row["counts"], table
+        self.ids: list = [None] * len(dealt)
+        by = np.argsort(dealt, kind="stable")
+        number, first = np.unique(dealt[by], return_index=True)
+        mine = dict(zip(number.tolist(), np.split(by, first[1:]), strict=True))
+        for answer in row["ids"] or ():
+            counts, ids = unpack(answer["ids"])
+            to, ids = np.cumsum(counts, dtype=np.int64), ids.tolist()
+            for k, a, b in zip(mine[answer["part"]].tolist(), (to - counts).tolist(), to.tolist(), strict=True):
+                self.ids[k] = ids[a:b]
 
     def documents(self) -> Iterator[tuple[int | None, list[int]]]:
         """(doc_id, word numbers in order)."""
@@ -198,13 +220,10 @@ def _run(docs: DataFrame, path: str, pattern: str, finish: Callable[[Block], Ite
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary, whatever the input
-    name = f"terrazzo_bpe_{uuid.uuid4().hex}"
-    tokenised = tokenise_blocks(docs, pattern, parts)
-    tokenised.write.bucketBy(parts, "block").option("compression", "none").option("path", shared_path(spark, "bpe")).saveAsTable(name)
-    table = spark.table(name)
-    words = table.where("part >= 0").repartition(parts, "part")
-    encoded = _encode_words(words, pattern, shared).groupBy("block").agg(F.collect_list("ids").alias("ids"))
-    positions = table.where("part = -1").select("block", "doc_ids", "counts", "payload")
+    table = written_by(tokenise_blocks(docs, pattern, parts), "block", "bpe", compression="none")
+    words = table.where("part >= 0").select("block", "part", "payload").repartitionById(parts, F.col("part"))
+    encoded = _encode_words(words, shared).groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("ids"))
+    positions = table.where("part = -1").select("block", "doc_ids", "counts", "payload", "dealt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
@@ -223,9 +242,11 @@ def _run(docs: DataFrame, path: str, pattern: str, finish: Callable[[Block], Ite
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    return positions.join(encoded, "block", "left").select("doc_ids", "counts", "payload", "ids").mapInArrow(run, from_arrow_schema(schema))
+    joined = positions.join(encoded, "block", "left").select("doc_ids", "counts", "payload", "dealt", "ids")
+    result = written(joined.mapInArrow(run, from_arrow_schema(schema)), "bpe-result")
+    drop(table)
+    shared.destroy()
+    return result
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

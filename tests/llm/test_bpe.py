@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -39,4 +40,12 @@ def test_pattern_cuts_as_the_library(library):
 
     text = "\x1c a\x85b  \n\n c's 'LL 12a½ ٣ 你好 ー ­ é ​﻿᠎ 🙂🏽 ^_^"
     cut = regex.compile(public_tokenizers.PATTERN).findall(text)
-    assert [i for w in cut for i in library._encode_single_piece(w)] == library.encode_ordinary(text)
+    whole = tiktoken.Encoding("whole", pat_str=bpe._WHOLE, mergeable_ranks=library._mergeable_ranks, special_tokens={})
+    assert [i for w in cut for i in whole.encode_ordinary(w)] == library.encode_ordinary(text)
+
+
+def test_packed_columns():
+    columns = [np.array([], np.uint32), np.array([0, 255, 256, 1 << 31], np.uint32), np.array([7], np.uint8)]
+    assert [c.tolist() for c in bpe.unpack(bpe.pack(*columns))] == [c.tolist() for c in columns]
+    words = ["", "a", "\0", "né", "🙂 " * 300]
+    assert bpe.unpack_words(bpe.pack_words(words)) == words and bpe.unpack_words(bpe.pack_words([])) == []
