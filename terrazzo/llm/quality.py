@@ -1,15 +1,20 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects a document from a few measured features.  ``plan_cascade``
-runs every rule on a bounded sample, takes its cost (seconds a document) and its
-rejection rate, and orders the rules by rejections per second; ``cascade`` then
-evaluates them in this order on the documents that no earlier rule rejected, so
-costly features are computed for survivors alone.  The order changes the work,
-never the verdict.
+Each rule rejects a document from a few measured features.  Every task takes its own
+leading documents, SAMPLE_ROWS of them, as the sample: all rules are run on these, each
+on features of its own, which gives a rule's cost (seconds a document) and rejection
+rate.  The rules are then ordered by rejections per second and the task evaluates them
+in this order on the documents that no earlier rule rejected, so costly features are
+computed for survivors alone.  The order changes the work, never the verdict, so tasks
+may differ in it; nothing is read twice and nothing crosses the network for the plan.
+
+``keep`` computes only what the cascade asks for.  ``score`` reports every feature of
+every document, so there the cascade finds them made and only its verdicts are left.
 
 Defined results: null text is empty (0 words, rejected by ``too_short``); empty
-tables give empty results; repeated rows are judged one by one; other columns
-are neither read nor needed.
+tables give empty results; repeated rows are judged one by one; texts of any length are
+read whole; ``score`` reads doc_id and text alone, ``keep`` hands on all columns, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from terrazzo.llm import textvec
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Rows that cost and selectivity are estimated on; it bounds the driver's memory, not the result.
-SAMPLE_ROWS = 512
+#: Leading rows of a task that cost and selectivity are estimated on (whole blocks, so a little more); no verdict depends on it.
+SAMPLE_ROWS = 256
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -130,13 +135,31 @@ class Features:
         return self._get("n_repeat_words", make)
 
     def narrow(self, rows: np.ndarray) -> Features:
-        """The same features over some rows, their bytes copied together; made ones are kept."""
-        sizes = np.diff(self.offsets)[rows]
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        data = np.concatenate([self.data[self.offsets[r] : self.offsets[r + 1]] for r in rows]) if len(rows) else self.data[:0]
-        out = Features(data, offsets)
-        out._made = {k: v[rows] for k, v in self._made.items() if k != "words"}
-        return out
+        """The same features over some rows; made ones are kept, and bytes are copied together only if another is asked for."""
+        return _Narrowed(self, rows)
+
+
+class _Narrowed(Features):
+    def __init__(self, whole: Features, rows: np.ndarray):
+        self.n, self._whole, self._rows = len(rows), whole, rows
+        self._made = {k: v[rows] for k, v in whole._made.items() if k not in ("words", "texts")}
+        if "words" in whole._made:
+            self._made["n_words"] = whole.n_words[rows]
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return self._made["n_words"] if "n_words" in self._made else self.words.count
+
+    def _texts(self) -> tuple[np.ndarray, np.ndarray]:
+        def make() -> tuple[np.ndarray, np.ndarray]:
+            data, at = self._whole.data, self._whole.offsets
+            offsets = np.concatenate([[0], np.cumsum(np.diff(at)[self._rows])]).astype(np.int64)
+            return np.concatenate([data[:0], *(data[at[r] : at[r + 1]] for r in self._rows.tolist())]), offsets
+
+        return self._get("texts", make)
+
+    data = property(lambda self: self._texts()[0])
+    offsets = property(lambda self: self._texts()[1])
 
 
 @dataclass(frozen=True)
@@ -158,32 +181,31 @@ def default_rules() -> tuple[Rule, ...]:
     )
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] | None = None, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """Rules ordered by rejections per second, as measured on at most ``sample_rows`` whole documents.
-
-    Each rule is timed on fresh features, so a shared feature counts for every rule that needs it.
-    The executors do the timing; the driver gets one row for each rule and task.
-    """
-    rules = rules or default_rules()
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, rejected, seen = np.zeros(len(rules)), np.zeros(len(rules), dtype=np.int64), 0
-        for batch in batches:
-            for _, data, offsets in textvec.blocks(batch.column("text")):
-                seen += len(offsets) - 1
-                for k, rule in enumerate(rules):
-                    began = time.perf_counter()
-                    rejected[k] += int(np.count_nonzero(rule.rejects(Features(data, offsets))))
-                    spent[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(rules)), pa.int32()), pa.array(spent), pa.array(rejected), pa.array([seen] * len(rules), pa.int64())],
-            names=["rule", "spent", "rejected", "seen"],
-        )
-
-    sample = docs.select(F.col("text").cast("string")).limit(sample_rows)
-    measured = sample.mapInArrow(measure, "rule int, spent double, rejected long, seen long").groupBy("rule").agg(F.sum("spent"), F.sum("rejected"), F.sum("seen"))
-    gain = {r[0]: r[2] / max(r[3], 1) / max(r[1], 1e-9) for r in measured.collect()}
-    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: -gain.get(k, 0)))
+class Cascade:
+    """The rules in the order of their worth, as measured on the first documents that it judges."""
+
+    def __init__(self, rules: tuple[Rule, ...] | None = None, sample_rows: int = SAMPLE_ROWS):
+        self.rules = rules or default_rules()
+        self.spent, self.rejected = np.zeros(len(self.rules)), np.zeros(len(self.rules))
+        self.seen, self.sample_rows = 0, sample_rows
+
+    def rejects(self, data: np.ndarray, offsets: np.ndarray, features: Features | None = None) -> np.ndarray:
+        """Which texts some rule rejects; ``features`` are those already made."""
+        features = features or Features(data, offsets)
+        if self.seen >= self.sample_rows:
+            return cascade_reject(features, self.rules)
+        out = np.zeros(features.n, dtype=bool)
+        for k, rule in enumerate(self.rules):
+            began = time.perf_counter()
+            hit = np.asarray(rule.rejects(Features(data, offsets)), dtype=bool)  # a shared feature counts for every rule that needs it
+            self.spent[k] += time.perf_counter() - began
+            self.rejected[k] += np.count_nonzero(hit)
+            out |= hit
+        self.seen += features.n
+        if self.seen >= self.sample_rows:
+            worth = self.rejected / np.maximum(self.spent, 1e-9)
+            self.rules = tuple(self.rules[k] for k in np.argsort(-worth, kind="stable"))
+        return out
 
 
 def cascade_reject(features: Features, rules: tuple[Rule, ...]) -> np.ndarray:
@@ -203,20 +225,16 @@ def cascade_reject(features: Features, rules: tuple[Rule, ...]) -> np.ndarray:
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """doc_id, the measured features, base_failed and kept, of every document."""
-    rules = plan_cascade(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(rules)
         for batch in batches:
             for at, data, offsets in textvec.blocks(batch.column("text")):
                 f = Features(data, offsets)
+                features = [pa.array(x, pa.int64()) for x in (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words)]
                 base = (f.n_words < 50) | (100 * f.n_repeat_words > 50 * f.n_words)
-                kept = ~base
-                rest = np.flatnonzero(kept)
-                kept[rest] = ~cascade_reject(f.narrow(rest), rules)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, f.n)]
-                    + [pa.array(x, pa.int64()) for x in (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words)]
-                    + [pa.array(base), pa.array(kept)],
+                    [batch.column("doc_id").slice(at, f.n), *features, pa.array(base), pa.array(~base & ~cascade.rejects(data, offsets, f))],
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
                 )
 
@@ -226,14 +244,13 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns as they are."""
-    rules = plan_cascade(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(rules)
         for batch in batches:
             alive = np.zeros(batch.num_rows, dtype=bool)
             for at, data, offsets in textvec.blocks(batch.column("text")):
-                f = Features(data, offsets)
-                alive[at : at + f.n] = ~cascade_reject(f, rules)
+                alive[at : at + len(offsets) - 1] = ~cascade.rejects(data, offsets)
             yield batch.filter(pa.array(alive))
 
     return docs.mapInArrow(run, docs.schema)
