@@ -1,13 +1,17 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in Spark expressions.
 
-Test items are cut into distinct 5-word shingles and hashed.  Items of a size
-class share a sketch size k: the k smallest hashes of an item are its MinHash
-sketch, and k is the largest ``n - ceil(threshold * n) + 1`` of the class, so a
-document that contains the threshold's share of an item's shingles must contain
-a sketch hash (of n shingles it can lack only ``n - ceil(threshold * n)``).  The
-search therefore loses nothing, whatever the document's length.
-
-Documents stream through once: shingle hashes meet the sketches in a hash join
+Test items are cut into distinct 5-word shingles and hashed.  Of an item's n shingles
+the ``n - ceil(threshold * n) + 1`` smallest hashes are its MinHash sketch: a document
+that contains the threshold's share of them must contain a sketch hash, for it can lack
+only ``n - ceil(threshold * n)``.  The search therefore loses nothing, whatever the
+document's length.
+
+Items are partitioned into classes by size (powers of two).  A class has a ceiling, the
+largest hash of its sketches: the larger the items, the lower it is.  The documents'
+side of a class is sketched by that ceiling, so a long document sends to the search only
+those of its hashes that some sketch of some class could hold.
+
+Documents stream through once: the remaining hashes meet the sketches in a hash join
 whose small side is broadcast only if Spark measures it under its threshold, and
 pairs (document, item) survive.  Survivors' texts are read again and verified by
 the shingles themselves.
@@ -17,16 +21,19 @@ symbols cannot hide a copy.
 
 Defined results: null or empty texts contain nothing; an item with 1 to 4 words
 is one shingle of that many words; an item without words is contained in nothing;
-repeated items are reported each; a repeated document id is searched as the union of
-its rows' shingles; a null document id is never reported; empty tables give no rows.
+repeated items are searched as the union of their shingles; a repeated document id is
+searched as the union of its rows' shingles; ``contained`` never reports a null document
+id, but ``clean`` judges such rows by their texts; texts of any length are searched whole;
+empty tables give no rows; other columns are handed on by ``clean``, whatever they are called.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrazzo.llm.storage import written
+from terrazzo.llm.storage import unused, written
 
 WIDTH = 5
 THRESHOLD = 0.75
@@ -57,11 +64,13 @@ def _text(run: list[Column]) -> Column:
     return F.concat_ws(" ", *run)
 
 
-def _keyed(text: Column, widths: list[int], of) -> Column:
-    """Distinct (w, key): ``of`` over the runs of each width.  Plain values are made distinct, not structs, which Spark compares pairwise."""
+def _keyed(text: Column, widths: list[int], of, ceiling: dict[int, int] | None = None) -> Column:
+    """Distinct (w, key): ``of`` over the runs of each width, up to a ceiling.  Plain values are made distinct, not structs, which Spark compares pairwise."""
 
     def of_width(words: Column, w: int) -> Column:
-        return F.transform(F.array_distinct(_shingles(words, w, of)), lambda key: F.struct(F.lit(w).alias("w"), key.alias("key")))
+        keys = _shingles(words, w, of)
+        keys = F.filter(keys, lambda key: key <= F.lit(ceiling[w])) if ceiling and w in ceiling else keys
+        return F.transform(F.array_distinct(keys), lambda key: F.struct(F.lit(w).alias("w"), key.alias("key")))
 
     return _bound(_words(text), lambda v: F.concat(*[of_width(v, w) for w in widths]))
 
@@ -81,38 +90,54 @@ def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The sketch hashes (item_id, w, hash) of every item, their number fixed by its size class."""
-    from pyspark.sql import Window as W
+    """The sketch hashes (item_id, w, size_class, hash) of every item."""
+    ranked = shingles.withColumn("_rank", F.row_number().over(W.partitionBy("item_id").orderBy("hash", "shingle")))
+    sketch = ranked.where(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1)
+    return sketch.select("item_id", "w", F.floor(F.log2("n")).cast("int").alias("size_class"), "hash").distinct()
 
-    need = F.ceil(F.col("n") * F.lit(threshold))
-    sized = shingles.withColumns({"size_class": F.floor(F.log2(F.col("n"))), "_k": F.col("n") - need + 1})
-    ranked = sized.withColumns({"k": F.max("_k").over(W.partitionBy("size_class")), "_rank": F.row_number().over(W.partitionBy("item_id").orderBy("hash", "shingle"))})
-    return ranked.where("_rank <= k").select("item_id", "w", "hash").distinct()
 
+def ceilings(sketch: DataFrame) -> dict[int, int]:
+    """For each shingle width (w) the highest of its size classes' ceilings; at most 64 classes a width."""
+    classes = sketch.groupBy("w", "size_class").agg(F.max("hash").alias("ceiling")).collect()
+    out: dict[int, int] = {}
+    for r in classes:
+        out[r["w"]] = max(out.get(r["w"], r["ceiling"]), r["ceiling"])
+    return out
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item and containment of every document that holds at least the threshold's share of an item."""
+
+def _search(texts: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
+    """key, item_id, n_shared and n_item of every (key, text) that holds at least the threshold's share of an item."""
     shingles = written(item_shingles(items, width), "bench-shingles")
     sketch = written(sketches(shingles, threshold), "bench-sketches")
-    # which shingle widths occur: at most ``width`` numbers
-    widths = sorted(r[0] for r in shingles.select("w").distinct().collect()) or [width]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ceiling = ceilings(sketch)
+    widths = sorted(ceiling) or [width]
 
-    hashed = texts.select("doc_id", F.inline(_keyed(F.col("text"), widths, _hash)))
-    pairs = hashed.join(sketch.withColumnRenamed("hash", "key"), ["w", "key"]).select("doc_id", "item_id").distinct()
-    pairs = written(pairs, "bench-candidates")
+    hashed = texts.select("key", F.inline(_keyed(F.col("text"), widths, _hash, ceiling)).alias("w", "hash"))
+    pairs = written(hashed.join(sketch.drop("size_class"), ["w", "hash"]).select("key", "item_id").distinct(), "bench-candidates")
 
-    suspects = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    exact = suspects.select("doc_id", F.inline(_keyed(F.col("text"), widths, _text)))
-    found = exact.join(shingles.withColumnRenamed("shingle", "key"), ["w", "key"]).select("doc_id", "item_id", "n", "key").distinct()
+    suspects = texts.join(pairs.select("key").distinct(), "key", "left_semi")
+    exact = suspects.select("key", F.inline(_keyed(F.col("text"), widths, _text)).alias("w", "shingle"))
+    found = exact.join(shingles, ["w", "shingle"]).select("key", "item_id", "n", "shingle").distinct()
     # every item a suspect shares shingles with is counted; those that pass the threshold are candidates by the sketch argument
-    counted = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("n").alias("n_item")).join(pairs, ["doc_id", "item_id"], "left_semi")
-    passed = counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold)))
-    return passed.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    counted = found.groupBy("key", "item_id").agg(F.count("*").alias("n_shared"), F.max("n").alias("n_item")).join(pairs, ["key", "item_id"], "left_semi")
+    return counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold)))
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item and containment of every document that holds at least the threshold's share of an item."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null")
+    found = _search(texts, items, threshold, width)
+    return found.select(F.col("key").alias("doc_id"), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """What a row is judged by: its id, or its text where it has none."""
+    return F.coalesce(doc_id.cast("long").cast("string"), F.concat(F.lit("text "), F.sha2(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"), 256)))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` that contain no item; rows with a null id stay."""
-    hits = written(contained(docs, items, threshold, width).select("doc_id").distinct(), "bench-hits")
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_hit"))
-    return docs.join(hits.withColumnRenamed("doc_id", "_hit"), key, "left_anti")
+    """The rows of ``docs`` that contain no item."""
+    key = _row_key(F.col("doc_id"), F.col("text"))
+    hits = written(_search(docs.select(key.alias("key"), F.col("text").cast("string").alias("text")), items, threshold, width).select("key").distinct(), "bench-hits")
+    hit = unused(docs, "hit")
+    return docs.join(hits.withColumnRenamed("key", hit), key == F.col(hit), "left_anti")

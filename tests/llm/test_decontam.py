@@ -50,6 +50,23 @@ def test_sketch_size_guarantees_recall(spark):
         assert r["count"] >= n - math.ceil(0.75 * n) + 1
 
 
+def test_ceilings_keep_every_sketch_hash(spark):
+    items = spark.createDataFrame([(k, prose(random.Random(k), n)) for k, n in enumerate([1, 2, 5, 6, 30, 300, 300])], "item_id long, text string")
+    sketch = decontam.sketches(decontam.item_shingles(items))
+    top = {w: max(r["hash"] for r in sketch.collect() if r["w"] == w) for w in {r["w"] for r in sketch.collect()}}
+    assert decontam.ceilings(sketch) == top
+
+
+def test_repeated_and_null_ids(spark):
+    item = prose(random.Random(1), 40)
+    half, rest = " ".join(item.split()[:20]), " ".join(item.split()[16:])
+    rows = [(1, half), (1, rest), (None, item), (None, "clean text of a few words here"), (2, half), (3, item), (3, item)]
+    docs = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, key long, item_id string")
+    items = spark.createDataFrame([(5, item), (5, item)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contained(docs, items).collect()} == {(1, 5), (3, 5)}
+    assert sorted(r["key"] for r in decontam.clean(docs, items).collect()) == [3, 4]
+
+
 def test_clean(spark, docs, empty):
     items = spark.createDataFrame([(1, docs.where("doc_id = 10").first()["text"])], "item_id long, text string")
     kept = decontam.clean(docs, items)
