@@ -1,20 +1,25 @@
 """Secret scan: fixed patterns, and a linear-chain CRF that tags tokens as secret begin, inside or outside.
 
 The patterns (``assign``, ``access``, ``hex``) are always reported.  The chain adds
-spans (kind ``crf``) where token shape, neighbouring words and features of the whole
+spans (kind ``crf``) where token shape, the words on both sides and features of the whole
 text speak for a secret: those parts of them that no pattern covers.
 
 A token is a run without white space, quotes, brackets, ``, ; : =`` and ``|``.  Tokens
 that are plain words (1 to 15 letters without inner capitals, perhaps stops after them) or
 junk words (such a word, or none, with symbols behind it) are outside on every
 best path: ``ChainCRF.certain`` proves that from the weights when the model is loaded.
-So decoding runs only over the other tokens, with the plain word's label as the
-neighbour on both sides, and is still the Viterbi path of the whole text.
+So decoding runs only over the other tokens.  Those with none of the proven ones between
+them are one run, whatever punctuation parts them, and a run's neighbour on both sides has
+the proven label, so the labels are those of the Viterbi path of the whole text.
 
 The weights in ``models/secrets.json`` come from ``train`` on invented sentences.
 
 Defined results: null is the empty text; empty tables give no rows; positions are
-code points, ends exclusive; repeated rows are read one by one.
+code points, ends exclusive; repeated rows, and rows with a null doc_id, are read one by
+one; a text of any length is read whole; the chain's spans overlap neither each other nor
+a pattern's, while spans of two patterns may overlap; spans are listed by start, then kind,
+and of equally good paths the one with the smaller labels counts; ``scan`` reads doc_id and
+text alone, ``redact`` hands on all columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -63,6 +68,7 @@ FEATURES = (
     "bias", "plain", "len8", "len16", "len24", "len32", "digit", "inner_upper", "lower", "letter_digit", "hex", "base64", "prefix", "diverse",
     "digits_only", "few_digits", "junk", "address", "letters_only", "key_near", "after_sign", "after_quote", "before_quote", "is_key",
     "file_code", "file_key", "key_and_mixed", "sign_and_mixed", "long_mixed", "long_mixed_case", "snake", "junk_word",
+    "key_before", "key_behind", "word_before", "word_behind", "call_or_path", "code_and_quoted",
 )
 _AT = {n: k for k, n in enumerate(FEATURES)}
 OUTSIDE, BEGIN, INSIDE = range(3)
@@ -73,13 +79,22 @@ def file_features(text: str) -> list[int]:
     return [_AT[n] for n, on in (("file_code", _FILE.search(text)), ("file_key", _KEY.search(text))) if on]
 
 
+#: The words beside a token, on its own line.
+_BEFORE = re.compile(rf"([^{_STOP}]+)[{_STOP.replace(chr(92) + 's', ' ' + chr(92) + 't')}]*$")
+_BEHIND = re.compile(rf"[{_STOP.replace(chr(92) + 's', ' ' + chr(92) + 't')}]*([^{_STOP}]+)")
+
+
 def token_features(text: str, start: int, end: int, file: list[int]) -> np.ndarray:
     x = np.zeros(len(FEATURES))
     w = text[start:end]
     body, n = w.rstrip(".!?"), end - start
     before = text[max(0, start - 48) : start]
     gap = before.rstrip(" \t\"'`")
-    key = bool(_KEY.search(before[before.rfind("\n") + 1 :]))
+    line = before[before.rfind("\n") + 1 :]
+    key = bool(_KEY.search(line))
+    left, right = _BEFORE.search(line), _BEHIND.match(text, end, end + 32)
+    left, right = (m[1].rstrip(".!?") if m else "" for m in (left, right))
+    plain = bool(_PLAIN.fullmatch(w) or _JUNK_WORD.fullmatch(w))
     digits = sum(c in "0123456789" for c in body)
     letters = sum(c.isalpha() for c in body)
     mixed = digits >= 2 and letters >= 2
@@ -88,11 +103,14 @@ def token_features(text: str, start: int, end: int, file: list[int]) -> np.ndarr
         "bias": True, "plain": _PLAIN.fullmatch(w), "len8": n >= 8, "len16": n >= 16, "len24": n >= 24, "len32": n >= 32,
         "digit": digits, "inner_upper": re.search(r"(?<=[a-z0-9])[A-Z]", body), "lower": re.search(r"[a-z]", body), "letter_digit": mixed,
         "hex": digits and len(body) >= 8 and re.fullmatch(r"[0-9a-fA-F]+", body), "base64": len(body) >= 12 and mixed and re.fullmatch(r"[A-Za-z0-9+/_.-]+", body),
-        "prefix": _PREFIX.match(w), "diverse": len(body) >= 16 and len(set(body)) >= 10, "digits_only": digits and digits >= 0.8 * len(body), "few_digits": digits and digits < 0.15 * len(body),
+        "prefix": _PREFIX.match(w) and not plain, "diverse": len(body) >= 16 and len(set(body)) >= 10, "digits_only": digits and digits >= 0.8 * len(body), "few_digits": digits and digits < 0.15 * len(body),
         "junk": _JUNK.search(w), "address": re.search(r"@|//|www\.|\.(?:com|org|net|html?)\b", w), "letters_only": body.isalpha(),
         "key_near": key, "after_sign": gap.endswith(("=", ":")), "after_quote": before.endswith(("'", '"', "`")), "before_quote": text[end : end + 1] in ("'", '"', "`") and end < len(text),
         "is_key": _KEY.fullmatch(body), "key_and_mixed": key and mixed, "sign_and_mixed": mixed and gap.endswith(("=", ":")),
         "long_mixed": long_mixed, "long_mixed_case": long_mixed and re.search(r"[a-z]", body) and re.search(r"[A-Z]", body), "snake": re.fullmatch(r"[A-Za-z]+(?:[_-][A-Za-z]+)+", body), "junk_word": _JUNK_WORD.fullmatch(w),
+        "key_before": _KEY.search(left), "key_behind": _KEY.search(right), "word_before": _PLAIN.fullmatch(left), "word_behind": _PLAIN.fullmatch(right),
+        "call_or_path": "/" in w and not re.search(r"[0-9+]", body) or text[end : end + 1] == "(" or re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", body),
+        "code_and_quoted": _AT["file_code"] in file and before.endswith(("'", '"', "`")),
     }
     for name, value in on.items():
         if value:
@@ -112,10 +130,17 @@ def model() -> ChainCRF:
 
 def proven(crf: ChainCRF) -> bool:
     """Plain words and junk words are outside on every best path."""
-    around = ["len8", "len16", "lower", "key_near", "after_sign", "after_quote", "before_quote", "file_code", "file_key"]
+    (plain, plain_perhaps), (junk, junk_perhaps) = PROVEN
     at = lambda names: [_AT[n] for n in names]
-    plain = crf.certain(at(["bias", "plain", "letters_only"]), at([*around, "is_key"]), OUTSIDE)
-    return plain and crf.certain(at(["bias", "junk", "junk_word"]), at([*around, "len24", "diverse"]), OUTSIDE)
+    return crf.certain(at(plain), at(plain_perhaps), OUTSIDE) and crf.certain(at(junk), at(junk_perhaps), OUTSIDE)
+
+
+_AROUND = (
+    "len8", "len16", "lower", "address", "key_near", "after_sign", "after_quote", "before_quote", "file_code", "file_key",
+    "key_before", "key_behind", "word_before", "word_behind", "call_or_path", "code_and_quoted",
+)
+#: The features that plain words, and junk words, always have, and those that they may have.
+PROVEN = ((("bias", "plain"), (*_AROUND, "letters_only", "is_key")), (("bias", "junk", "junk_word"), (*_AROUND, "len24", "diverse")))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -129,32 +154,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def chain_spans(text: str, crf: ChainCRF) -> list[tuple[int, int]]:
-    """Spans that the chain tags, over runs of tokens that only white space parts."""
+def chain_labels(text: str, crf: ChainCRF) -> Iterator[tuple[int, int, int]]:
+    """(start, end, label) of the tokens that are not proven outside; a token that is, between two of them, is given with its label too."""
     if all(map(_CALM.fullmatch, set(text.split()))):
-        return []
+        return
     runs: list[list[tuple[int, int]]] = []
     for m in _ODD.finditer(text):
-        if runs and not text[runs[-1][-1][1] : m.start()].strip():
+        if runs and not _TOKEN.search(text, runs[-1][-1][1], m.start()):
             runs[-1].append(m.span())
         else:
             runs.append([m.span()])
-    if not runs:
-        return []
-    file, spans = file_features(text), []
+    file = file_features(text) if runs else []
     for run in runs:
+        yield run[0][0], run[0][0], OUTSIDE
         labels = crf.decode(np.array([token_features(text, a, b, file) for a, b in run]), OUTSIDE)
         for (a, b), label in zip(run, labels.tolist(), strict=True):
-            b -= len(text[a:b]) - len(text[a:b].rstrip(".!?"))
-            if label == INSIDE and spans and spans[-1][2]:
-                spans[-1] = (spans[-1][0], b, True)
-            elif label != OUTSIDE:
-                spans.append((a, b, True))
-            elif spans:
-                spans[-1] = (*spans[-1][:2], False)
-        if spans:
-            spans[-1] = (*spans[-1][:2], False)
-    return [(a, b) for a, b, _ in spans]
+            yield a, b, label
+
+
+def chain_spans(text: str, crf: ChainCRF) -> list[tuple[int, int]]:
+    """Spans that the chain tags: a begin (or an inside after an outside) with the insides behind it."""
+    spans, open_ = [], False
+    for a, b, label in chain_labels(text, crf):
+        b -= len(text[a:b]) - len(text[a:b].rstrip(".!?"))
+        if label == INSIDE and open_:
+            spans[-1] = (spans[-1][0], b)
+        elif label != OUTSIDE:
+            spans.append((a, b))
+        open_ = label != OUTSIDE
+    return spans
 
 
 def uncovered(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -272,9 +300,23 @@ def invented(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
         )()
 
     parts: list[tuple[str, bool]] = []
+    name = lambda: rng.choice([word(3, 8), word(3, 6) + "_" + word(3, 6), word(3, 6) + word(3, 6).capitalize()])
+    code = rng.random() < 0.25
     for _ in range(rng.randint(3, 12)):
         kind = rng.random()
-        if kind < 0.12:
+        if code and kind < 0.5:
+            parts += [("\n" + rng.choice(["", "  ", "const ", "let ", "import ", "export ", "def ", "return "]), False)]
+            odd = rng.random()
+            if odd < 0.2:
+                key = rng.choice(["apiKey", "api_key", "db_password", "AUTH_TOKEN", "clientSecret", "secret", "private_key", "accessKey", "BEARER"])
+                quote = rng.choice(['"', "'", ""])
+                parts += [(key + rng.choice([" = ", ": ", "=", " => "]) + quote, False), (secret(), True), (quote + rng.choice([";", ",", ""]), False)]
+            elif odd < 0.3:
+                parts += [(f'{word()}("', False), (secret(), True), ('")', False)]
+            else:
+                parts += [(f"{name()}.{name()}" + rng.choice(["(", " = ", " + "]) + rng.choice(['"' + other() + '"', other(), name()]) + rng.choice([");", ";", " {", ","]), False)]
+            parts += [("\n", False)]
+        elif kind < 0.12:
             key = rng.choice(["password", "secret key", "access_key", "auth token", "api key", "credential", "pwd", "bearer", "private key"])
             value = secret() if rng.random() < 0.8 else rng.choice([pick(mixed + "!_", rng.randint(8, 14)) + "7x", pick(mixed, 12) + "4"])
             lead = rng.choice([" = ", ": ", " ", ' = "', " is ", "="])
