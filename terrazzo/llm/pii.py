@@ -3,17 +3,23 @@
 The patterns (``email``, ``ip``, ``card``, ``phone``) are always reported.  The
 semi-Markov field scores whole candidate spans (digits in all, grouping,
 separators, check digits, words before) and a dynamic program over a window picks
-boundaries and types together; entities hold at most MAX_TOKENS tokens.  It adds
-spelled addresses such as ``ann (at) mail dot com`` and phone numbers without ``+``.
+boundaries and types together; entities hold at most MAX_TOKENS tokens, each of any
+length.  It adds spelled addresses such as ``ann (at) mail dot com`` and phone numbers
+without ``+``.
 
 A candidate must hold an anchor: a digit, or an ``at`` in brackets or followed by
-``dot``.  Text farther than an entity's length from any anchor can only be
-outside, so windows around anchors give the best segmentation of the whole text.
+``dot``, and stays on its line.  A window takes MAX_TOKENS whole tokens on both sides of
+each anchor, so every candidate of the text lies in one, and the windows give the
+best segmentation of the whole text.
 
 The weights in ``models/pii.json`` come from ``train`` on invented sentences.
 
 Defined results: null is the empty text; empty tables give no rows; positions are
-code points, ends exclusive; repeated rows are read one by one.
+code points, ends exclusive; repeated rows, and rows with a null doc_id, are read one by
+one; a text of any length is read whole; the field's spans do not overlap each other, and
+one that touches a pattern's span is left out; patterns of different kinds may overlap;
+spans are listed by start, then kind, and of equally good segmentations the one with fewer
+spans counts; only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ MODEL = Path(__file__).parent / "models" / "pii.json"
 TYPES = ("email", "ip", "card", "phone")
 #: The field's spans are named apart from the patterns' spans of the same type.
 KINDS = (*TYPES, *(f"crf_{t}" for t in TYPES))
-MAX_TOKENS = 14
+MAX_TOKENS = 24
 
 # The base patterns.
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -87,13 +93,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
-_ANCHOR = re.compile(r"[0-9]|[(\[{<]\s?(?:at|AT|At)\s?[)\]}>]|\b(?:at|AT)\s+[\w-]{1,30}\s+(?:dot|DOT)\b")
+_ANCHOR = re.compile(r"[0-9]+|[(\[{<]\s?(?:at|AT|At)\s?[)\]}>]|\b(?:at|AT)\s+[\w-]+\s+(?:dot|DOT)\b")
 _SPELLED = re.compile(
     r"[A-Za-z][\w.%+-]*(?:"
     r"\s?[(\[{<]\s?at\s?[)\]}>]\s?[\w-]+(?:(?:\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s|\.)[\w-]+)*(?:\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s|\.)[a-z]{2,6}"
     r"|\sat\s[\w-]+(?:\sdot\s[\w-]+)*\sdot\s[a-z]{2,6})",
     re.I,
 )
+#: What shows behind a spelled address that it is not at its end.
+_GOES_ON = re.compile(r"\w|\s?[(\[{<]\s?dot\s?[)\]}>]\s?\w|\sdot\s\w|\.\w", re.I)
 _GROUPS = re.compile(r"\(?0?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}")
 _WHERE = {
     "phone": re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|dial|telefon|t[eé]l[eé]phone|tel[eé]fono)\b[^\n]{0,12}$"),
@@ -104,6 +112,7 @@ FEATURES = (
     "bias", "spelled", "digits_lt7", "digits_7_8", "digits_9_15", "digits_12_19", "digits_gt19", "parens", "groups", "one_group", "luhn", "separators_mixed",
     "dots_only", "dashes", "spaces", "letters", "slash_colon_comma", "phone_near", "card_near", "mail_near", "digit_beside", "letter_beside", "decimal_beside", "short_groups",
     "date_like", "trunk_zero", "phone_near_7_15", "card_near_12_19", "groups_9_15", "spelled_digits",
+    "goes_on", "joined_before",
 )
 _AT = {n: k for k, n in enumerate(FEATURES)}
 
@@ -124,6 +133,7 @@ def span_features(text: str, a: int, b: int) -> np.ndarray:
         "decimal_beside": re.search(r"[0-9][.,:/-]$", before) or re.match(r"[.,:/-][0-9]", after), "short_groups": runs and max(map(len, runs)) < 3,
         "date_like": re.fullmatch(r"(?:19|20)\d\d[-./]\d\d?[-./]\d\d?|\d\d?[-./]\d\d?[-./](?:19|20)\d\d", s), "trunk_zero": s.startswith("0"),
         "phone_near_7_15": near["phone"] and 7 <= n <= 15 and not re.search(r"[^\W\d_]", s), "card_near_12_19": near["card"] and 12 <= n <= 19, "groups_9_15": _GROUPS.fullmatch(s) and 9 <= n <= 15, "spelled_digits": spelled and n,
+        "goes_on": spelled and _GOES_ON.match(text, b), "joined_before": spelled and re.search(r"[\w.%+-]$", before),
     }
     for name, value in on.items():
         if value:
@@ -131,20 +141,39 @@ def span_features(text: str, a: int, b: int) -> np.ndarray:
     return x
 
 
+def _left(text: str, at: int) -> int:
+    """Where the MAX_TOKENS-th whole token before ``at`` begins, or its line."""
+    line, reach = text.rfind("\n", 0, at) + 1, 160
+    while True:
+        a = max(line, at - reach)
+        starts = [m.start() for m in _TOKEN.finditer(text, a, at) if m.start() > a or a == line]  # one that begins at the cut may be a part
+        if len(starts) > MAX_TOKENS:
+            return starts[-MAX_TOKENS - 1]
+        if a == line:
+            return line
+        reach *= 4
+
+
+def _right(text: str, at: int) -> int:
+    """Where the MAX_TOKENS-th token after ``at`` ends, or the last one of its line."""
+    for k, m in enumerate(_TOKEN.finditer(text, at)):
+        if k > MAX_TOKENS or "\n" in text[at : m.start()]:
+            break
+        at = m.end()
+    return at
+
+
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of the stretches in which candidates can lie: lines around anchors, joined where they meet."""
-    reach, stretch = 96, None
+    """Token spans of the stretches in which candidates can lie: whole tokens around anchors, joined where they meet."""
+    stretch = None
     for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        a = max(a, text.rfind("\n", a, m.start()) + 1)
-        cut = text.find("\n", m.end(), b)
-        b = cut if cut >= 0 else b
+        a = stretch[1] if stretch and m.start() <= stretch[1] else _left(text, m.start())
         if stretch and a <= stretch[1]:
-            stretch = (stretch[0], max(b, stretch[1]))
+            stretch = (stretch[0], max(stretch[1], _right(text, m.end())))
         else:
             if stretch:
                 yield [t.span() for t in _TOKEN.finditer(text, *stretch)]
-            stretch = (a, b)
+            stretch = (a, _right(text, m.end()))
     if stretch:
         yield [t.span() for t in _TOKEN.finditer(text, *stretch)]
 
@@ -154,9 +183,12 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> tuple[semicrf.Lattice,
     starts, ends, feats, spans = [], [], [], []
     kinds = [("d" if text[a].isdigit() and text[a] in "0123456789" else "w" if text[a].isalpha() else text[a]) for a, _ in tokens]
     digits = [b - a if k == "d" else 0 for (a, b), k in zip(tokens, kinds, strict=True)]
+    ats = [k for k, (a, b) in enumerate(tokens) if b - a == 2 and text[a:b].lower() == "at"]
     for i, first in enumerate(kinds):
         if first not in ("d", "w", "("):
             continue
+        if first == "w" and not any(i < k < i + MAX_TOKENS for k in ats):
+            continue  # what begins with a letter must be a spelled address
         count, marks = 0, 0
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             count += digits[j]
@@ -232,7 +264,8 @@ def invented(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
     def mail() -> str:
         at, dot = rng.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" at ", " dot ")])
-        return f"{word()}{rng.choice(['', '.' + word(), number(2)])}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
+        end = rng.choice(["com", "org", "net", "de", f"co{dot}uk", f"com{dot}br"])
+        return f"{word()}{rng.choice(['', '.' + word(), '_' + word(), number(2)])}{at}{word()}{rng.choice(['', dot + word()])}{dot}{end}"
 
     def other() -> str:
         return rng.choice(
