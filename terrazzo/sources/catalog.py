@@ -5,9 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terrazzo.functions.crs import transform_geometry
+from terrazzo.functions.geometry import encode
 from terrazzo.model import Kind, PlanError
-from terrazzo.plans.dataset import Dataset, kind_of, schema_extends
+from terrazzo.plans.dataset import Dataset, kind_of, quoted, schema_extends
+from terrazzo.sources.ingest import Decoded, agree, capped
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,20 @@ class Store:
             raise PlanError(f"the rows do not extend the schema of {name}")
         rows.select(self.scan(name).columns).write.insertInto(self._table(name))
 
+    def load(self, name: str, decoded: Decoded, most: int | None = None, target: int | None = None) -> DataFrame:
+        """Creates a dataset from decoded features, in the system ``target`` where one is asked for; returns what was skipped.
+
+        More than ``most`` features fail before anything is written.
+        """
+        features = capped(decoded.features, most) if most is not None else decoded.features
+        if target is not None:
+            at = features.columns[-1]
+            source = int(agree(features.schema[at].metadata.get("crs"), None).rpartition(":")[2])
+            moved = encode(transform_geometry(F.col(quoted(at))["wkb"], source, target))
+            features = features.withColumn(at, moved.alias(at, metadata={"crs": f"EPSG:{target}"}))
+        self.create(name, features)
+        return decoded.skipped
+
     def scan(self, name: str) -> DataFrame:
         return self.spark.table(self._table(name))
 

@@ -2,26 +2,44 @@
 
 Types come from evidence over all records, summed up per column in one pass:
 integers widen to doubles, any other mix is text, a missing or null value makes a
-column nullable, an all-null column is nullable text, geometry comes last.
+column nullable, an all-null column is nullable text, geometry comes last.  CSV cells
+are judged by their text, JSON values by their JSON kind, so ``"0123"`` stays text.
+
+A record that cannot become a feature fails the read when it is reached, or, where
+``skip_malformed`` is set, is left out and listed in ``Decoded.skipped`` with its reason.
 """
 
 from __future__ import annotations
 
+import csv
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrazzo.functions.geometry import point, register
+from terrazzo.functions.geometry import TYPE, call, encode, point, register
 from terrazzo.model import PlanError
 from terrazzo.plans.dataset import quoted
 
 #: Coordinate column pairs, in the order they are tried.
 PAIRS = (("x", "y"), ("lon", "lat"), ("longitude", "latitude"), ("easting", "northing"))
-_INT = r"^[+-]?[0-9]{1,18}$"
-_FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_INT = r"^\s*[+-]?[0-9]+\s*$"
+_FLOAT = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+#: Lines that a CSV file may have before its header.
+PREAMBLE = 1000
+#: Why a record did not become a feature.
+MALFORMED, GEOMETRY_INVALID, FIELD_NOT_INFERRED, CRS_CONFLICT = "RecordMalformed", "GeometryInvalid", "FieldNotInferred", "CrsConflict"
+
+
+@dataclass(frozen=True)
+class Decoded:
+    """``features``: feature_id, attributes by inferred kind, geometry.  ``skipped``: reason and detail of the records left out."""
+
+    features: DataFrame
+    skipped: DataFrame
 _CRS = re.compile(r"(?:urn:(?:x-)?ogc:def:crs:(?P<a>\w+):[^:]*:(?P<ac>\w+)|https?://www\.opengis\.net/def/crs/(?P<b>\w+)/[^/]*/(?P<bc>\w+)|(?P<c>\w+):(?P<cc>\w+))$", re.I)
 
 
@@ -63,7 +81,7 @@ def scalar_kinds(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, bool
             F.max(full).alias(f"any{k}"),
             F.max(~full).alias(f"null{k}"),
             F.min(F.when(full, v.isin("true", "false"))).alias(f"bool{k}"),
-            F.min(F.when(full, v.rlike(_INT))).alias(f"int{k}"),
+            F.min(F.when(full, v.rlike(_INT) & v.try_cast("long").isNotNull())).alias(f"int{k}"),
             F.min(F.when(full, v.rlike(_FLOAT))).alias(f"num{k}"),
         ]
     row = df.agg(*tests).first() if tests else None
@@ -82,65 +100,189 @@ def typed(c: Column, kind: str) -> Column:
     return v if kind == "string" else v.try_cast(kind)
 
 
-def read_csv(spark: SparkSession, path: str, crs: str | None = None, identity: str | None = None, skip_malformed: bool = False) -> DataFrame:
-    """Typed attributes, then ``geometry``; a ``# crs=`` line declares the system; an empty coordinate is a null geometry."""
-    head = spark.read.text(path).where("value like '#%crs=%'").limit(1).collect()
-    declared = head[0][0].partition("crs=")[2].strip() if head else None
+def _free(name: str, taken) -> str:
+    """``name``, lengthened until no attribute is called so."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _judged(records: DataFrame, skip_malformed: bool) -> tuple[DataFrame, DataFrame]:
+    """(records without a reason, skipped ones); unless they may be skipped, the first with a reason fails the read."""
+    skipped = records.where("reason is not null").select("reason", F.col("detail").cast("string").alias("detail"))
+    if skip_malformed:
+        return records.where("reason is null"), skipped
+    failure = F.raise_error(F.concat_ws(": ", "reason", F.substring(F.col("detail").cast("string"), 1, 200)))
+    return records.where(F.when(F.col("reason").isNotNull(), failure.cast("boolean")).otherwise(F.lit(True))), skipped
+
+
+# --- CSV ---------------------------------------------------------------------------------------
+
+
+def _csv_head(spark: SparkSession, path: str) -> tuple[str | None, list[str], int]:
+    """(declared system, header names, lines before the data that are not blank), from the first lines of the file."""
+    declared, before = None, 0
+    for (line,) in spark.read.text(path).limit(PREAMBLE).collect():
+        if not line.strip():
+            continue
+        before += 1
+        if not line.startswith("#"):
+            names = next(csv.reader([line]))
+            if not any(n.strip() for n in names):
+                break
+            return declared, names, before
+        name, sign, value = line.lstrip("#").partition("=")
+        if sign and name.strip().lower() == "crs":
+            declared = value.strip()
+    raise PlanError("the CSV document has no header row")
+
+
+def _csv_rows(spark: SparkSession, path: str, width: int, before: int) -> DataFrame:
+    """Rows as text columns c0, c1 …, ``bad``, the text of a row with another number of cells, and ``head``, true for what stands before the data.
+
+    Files split wherever lines do; only where a quoted cell holds a line break is a file one task.
+    A file that has lines before its header takes one more pass, for the place of its first row.
+    """
+    register(spark)
+    broken = spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count() > 0
+    schema = ", ".join([*(f"c{k} string" for k in range(width)), "bad string"])
+    rows = spark.read.csv(path, schema=schema, header=before == 1, enforceSchema=True, multiLine=broken, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="bad")
+    if before > 1:
+        placed = rows.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+        first = placed.where("_block = 0").groupBy(F.col("_file").alias("_of")).agg(F.min("_at").alias("_first"))  # one row a file
+        joined = placed.join(first, F.col("_file") == F.col("_of"), "left")
+        rows = joined.withColumn("head", F.expr(f"_block = 0 and _at < _first + {before}")).drop("_file", "_block", "_at", "_of", "_first")
+    else:
+        rows = rows.withColumn("head", F.lit(False))
+    # every column is looked at, so that Spark cannot leave cells out and miss what is malformed
+    return rows.where(F.length(F.concat_ws("", *[f"c{k}" for k in range(width)])) >= 0)
+
+
+def decode_csv(spark: SparkSession, path: str, crs: str | None = None, identity: str | None = None, skip_malformed: bool = False, x: str | None = None, y: str | None = None) -> Decoded:
+    """A CSV file; ``#`` lines count only before the header, where ``# crs=`` declares the system; an empty coordinate is a null geometry.
+
+    Coordinates are the columns ``x`` and ``y`` name, else the first known pair; a file without one has null geometries.
+    A column of mixed kinds keeps the file's own text.
+    """
+    declared, names, before = _csv_head(spark, path)
     system = agree(declared, crs)
-    mode = "PERMISSIVE" if skip_malformed else "FAILFAST"
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', comment="#", mode=mode, inferSchema=False)
-    lower = {c.lower(): c for c in rows.columns}
-    pair = next(((lower[a], lower[b]) for a, b in PAIRS if a in lower and b in lower), None)
-    attributes = [c for c in rows.columns if not pair or c not in pair]
-    kinds = scalar_kinds(rows, attributes)
-    columns = [typed(F.col(quoted(c)), kinds[c][0]).alias(c) for c in attributes]
+    rows = _csv_rows(spark, path, len(names), before)
+    lower = {n.strip().lower(): k for k, n in reversed(list(enumerate(names)))}
+    pairs = ((x.strip().lower(), y.strip().lower()),) if x and y else PAIRS
+    pair = next(((lower[a], lower[b]) for a, b in pairs if a in lower and b in lower), None)
+    if (x or y) and not pair:
+        raise PlanError("x and y must name columns of the file")
+    if identity is not None and identity not in names:
+        raise PlanError(f"the file has no column {identity!r}")
+    # rows of the head have no reason, wherever Spark asks for it
+    reason, detail, geometry = F.when(F.col("head"), None).when(F.col("bad").isNotNull(), MALFORMED), F.col("bad"), F.lit(None).cast(TYPE)
     if pair:
-        register(spark)
-        x, y = (typed(F.col(quoted(c)), "double") for c in pair)
-        columns.append(point(x, y).alias("geometry", metadata={"crs": system}))
-    out = rows.select(*columns)
-    return out if identity in out.columns else with_ordinal(out, "feature_id")
+        at = [F.col(f"c{k}") for k in pair]
+        full = F.coalesce((at[0] != "") & (at[1] != ""), F.lit(False))
+        numeric = at[0].rlike(_FLOAT) & at[1].rlike(_FLOAT)
+        reason = reason.when(full & ~numeric, GEOMETRY_INVALID)
+        detail = F.coalesce(detail, F.concat_ws(", ", *at))
+        geometry = F.when(full, point(at[0].try_cast("double"), at[1].try_cast("double")))
+    kept, skipped = _judged(rows.withColumns({"reason": reason, "detail": detail}).where("not head"), skip_malformed)
+    columns = [k for k in range(len(names)) if not pair or k not in pair]
+    kinds = scalar_kinds(kept, [f"c{k}" for k in columns])
+    attributes = {}
+    for k in columns:
+        attributes[_free(names[k], attributes)] = typed(F.col(f"c{k}"), kinds[f"c{k}"][0])
+    own = F.col(f"c{names.index(identity)}") if identity is not None else F.lit(None)
+    name = _free("__own", attributes)
+    features = kept.select(*[c.alias(n) for n, c in attributes.items()], own.alias(name), geometry.alias(_free("geometry", attributes), metadata={"crs": system}))
+    return Decoded(_renamed(features, F.col(quoted(name)), list(attributes)), skipped)
+
+
+def _renamed(features: DataFrame, own: Column, attributes: list[str]) -> DataFrame:
+    """feature_id first: the source's own, else the 1-based position; then the attributes and the geometry."""
+    geometry = _free("geometry", attributes)
+    at, name = _free("ordinal", features.columns), _free("feature_id", attributes)
+    text = F.when(own.cast("string") != "", own.cast("string"))
+    return with_ordinal(features, at).select(F.coalesce(text, F.col(quoted(at)).cast("string")).alias(name), *[F.col(quoted(c)) for c in attributes], F.col(quoted(geometry)))
+
+
+def read_csv(spark: SparkSession, path: str, crs: str | None = None, identity: str | None = None, skip_malformed: bool = False, x: str | None = None, y: str | None = None) -> DataFrame:
+    return decode_csv(spark, path, crs, identity, skip_malformed, x, y).features
 
 
-def _property_kinds(features: DataFrame) -> list[tuple[str, str]]:
-    """Names (first seen order is not kept: sorted) and types of GeoJSON properties, by JSON evidence."""
-    pairs = features.select(F.explode(F.from_json("properties", "map<string,string>")).alias("k", "v"))
-    full = F.col("v").isNotNull()
+# --- JSON --------------------------------------------------------------------------------------
+
+_RECORD = "type string, id string, crs string, properties string, geometry string, bad string"
+_VALUES = "map<string,variant>"
+
+
+def judged_json(raw: DataFrame, system: str) -> DataFrame:
+    """Records (type, id, crs, properties, geometry, bad) with their decoded geometry ``shape``, ``reason`` and ``detail``."""
+    register(raw.sparkSession)
+    shaped = raw.withColumn("shape", encode(call("st_fromgeojson", F.col("geometry"))))
+    code = lambda c: F.replace(F.upper(F.regexp_extract(c, r"([A-Za-z0-9]+)\s*$", 1)), F.lit("CRS84"), F.lit("4326"))
+    own = F.coalesce(F.get_json_object("crs", "$.properties.name"), F.when(~F.startswith("crs", F.lit("{")), F.col("crs")))
+    is_object = F.startswith(F.ltrim("properties"), F.lit("{"))
+    reason = (
+        F.when(F.col("bad").isNotNull() | (F.col("type").isNotNull() & (F.col("type") != "Feature")) | (F.col("properties").isNotNull() & ~is_object), MALFORMED)
+        .when(F.col("geometry").isNotNull() & F.col("shape").isNull(), GEOMETRY_INVALID)
+        .when(own.isNotNull() & (code(own) != code(F.lit(system))), CRS_CONFLICT)
+    )
+    return shaped.withColumns({"reason": reason, "detail": F.coalesce("bad", F.when(reason == GEOMETRY_INVALID, F.col("geometry")).when(reason == CRS_CONFLICT, F.col("crs")).otherwise(F.col("properties")))})
+
+
+def property_kinds(records: DataFrame) -> dict[str, str]:
+    """Names, in the order they are first seen, and types of the properties, by the kinds of their JSON values."""
+    held = records.select(F.monotonically_increasing_id().alias("row"), F.from_json("properties", _VALUES).alias("values"))
+    pairs = held.select("row", F.posexplode("values").alias("at", "k", "v")).withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))
+    value = F.when(F.col("kind") != "VOID", F.col("kind"))
     seen = pairs.groupBy("k").agg(
-        F.min(F.when(full, F.col("v").isin("true", "false"))).alias("b"),
-        F.min(F.when(full, F.col("v").rlike(_INT))).alias("i"),
-        F.min(F.when(full, F.col("v").rlike(_FLOAT))).alias("n"),
+        F.min(F.struct("row", "at")).alias("first"), F.min(value == "BOOLEAN").alias("b"), F.min(value == "BIGINT").alias("i"), F.min(value.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")).alias("n")
     )
-    return sorted((r["k"], "boolean" if r["b"] else "long" if r["i"] else "double" if r["n"] else "string") for r in seen.collect())
+    return {r["k"]: "boolean" if r["b"] else "long" if r["i"] else "double" if r["n"] else "string" for r in seen.orderBy("first").collect()}
 
 
-def _json_features(raw: DataFrame, crs: str) -> DataFrame:
-    register(raw.sparkSession)
-    kinds = _property_kinds(raw)
-    values = F.from_json("properties", "map<string,string>")
-    at = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<double>")
-    is_point = F.get_json_object("geometry", "$.type") == "Point"
-    columns = [typed(values[k], t).alias(k) for k, t in kinds]
-    geometry = F.when(is_point, point(at[0], at[1]))
-    return raw.select(F.col("id").alias("feature_id"), *columns, F.col("geometry").alias("geometry_json"), geometry.alias("geometry", metadata={"crs": crs}))
-
-
-def read_geojson(spark: SparkSession, path: str, crs: str | None = None) -> DataFrame:
-    """A FeatureCollection (or one Feature): id, typed properties, the geometry as JSON, points decoded."""
-    shape = "type string, crs string, features array<string>, id string, properties string, geometry string"
-    whole = spark.read.schema(shape).json(path, multiLine=True)
+def property_columns(kinds: dict[str, str]) -> list[Column]:
+    """The properties as typed columns; text is taken as it is, objects and arrays as JSON text."""
+    values = F.from_json("properties", _VALUES)
+    sql = {"boolean": "boolean", "long": "bigint", "double": "double", "string": "string"}
+    return [F.try_variant_get(F.try_element_at(values, F.lit(k)), "$", sql[t]).alias(k) for k, t in kinds.items()]
+
+
+def _json_features(raw: DataFrame, system: str, skip_malformed: bool) -> Decoded:
+    kept, skipped = _judged(judged_json(raw, system), skip_malformed)
+    kinds = property_kinds(kept)
+    own = _free("__own", kinds)
+    features = kept.select(*property_columns(kinds), F.col("id").alias(own), F.col("shape").alias(_free("geometry", kinds), metadata={"crs": system}))
+    return Decoded(_renamed(features, F.col(quoted(own)), list(kinds)), skipped)
+
+
+def decode_geojson(spark: SparkSession, path: str, crs: str | None = None, skip_malformed: bool = False) -> Decoded:
+    """A FeatureCollection (or one Feature); its ``crs`` member declares the system.  The document is one record, so it is one task's."""
+    whole = spark.read.schema(f"features array<string>, {_RECORD}").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="bad")
     declared = whole.select(F.get_json_object("crs", "$.properties.name")).first()
     system = agree(declared[0] if declared else None, crs)
-    item = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "properties", "geometry")])
-    many = whole.where("features is not null").select(F.explode("features").alias("f")).select(F.from_json("f", item).alias("f")).select("f.*")
-    one = whole.where("features is null").select("id", "properties", "geometry")
-    return _json_features(many.unionByName(one), system)
+    item = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "id", "crs", "properties", "geometry", "bad")])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+    many = whole.where("features is not null").select(F.explode("features").alias("text")).select("text", F.from_json("text", item, options).alias("f"))
+    # what is no object at all has no fields to be corrupt in
+    many = many.select("f.type", "f.id", "f.crs", "f.properties", "f.geometry", F.coalesce("f.bad", F.when(~F.startswith(F.ltrim("text"), F.lit("{")), F.col("text"))).alias("bad"))
+    one = whole.where("features is null").select("type", "id", F.lit(None).cast("string").alias("crs"), "properties", "geometry", "bad")
+    return _json_features(many.unionByName(one), system, skip_malformed)
+
 
+def read_geojson(spark: SparkSession, path: str, crs: str | None = None, skip_malformed: bool = False) -> DataFrame:
+    return decode_geojson(spark, path, crs, skip_malformed).features
 
-def read_ndjson(spark: SparkSession, path: str, crs: str | None = None) -> DataFrame:
+
+def decode_ndjson(spark: SparkSession, path: str, crs: str | None = None, skip_malformed: bool = False) -> Decoded:
     """One feature a line; splits anywhere, so it is the form for large files."""
-    raw = spark.read.schema("id string, properties string, geometry string").json(path)
-    return _json_features(raw, agree(None, crs))
+    raw = spark.read.schema(_RECORD).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="bad")
+    return _json_features(raw, agree(None, crs), skip_malformed)
+
+
+def read_ndjson(spark: SparkSession, path: str, crs: str | None = None, skip_malformed: bool = False) -> DataFrame:
+    return decode_ndjson(spark, path, crs, skip_malformed).features
+
+
+# --- limits and output -------------------------------------------------------------------------
 
 
 def capped(df: DataFrame, most: int) -> DataFrame:
@@ -150,9 +292,16 @@ def capped(df: DataFrame, most: int) -> DataFrame:
     return df
 
 
-def to_geojson(df: DataFrame, id_column: str, x: str, y: str) -> DataFrame:
-    """A GeoJSON Feature a row."""
-    properties = [F.col(quoted(c)) for c in df.columns if c not in (id_column, x, y)]
-    geometry = F.when(F.col(x).isNotNull(), F.struct(F.lit("Point").alias("type"), F.array(F.col(x), F.col(y)).alias("coordinates")))
-    feature = F.struct(F.lit("Feature").alias("type"), F.col(id_column).cast("string").alias("id"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))
-    return df.select(F.to_json(feature).alias("feature"))
+def to_geojson(df: DataFrame, id_column: str, geometry: str | Column, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """A GeoJSON Feature a row, of any shape of RFC 7946; a null geometry or property is written as null.
+
+    ``geometry`` is a column of the data, or an expression; ``exclude`` names columns that are no properties.
+    """
+    register(df.sparkSession)
+    left_out = {id_column, *exclude} | ({geometry} if isinstance(geometry, str) else set())
+    shape = F.col(quoted(geometry)) if isinstance(geometry, str) else geometry
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{.v.:(.*)\}$", 1)
+    names = [c for c in df.columns if c not in left_out]
+    properties = F.to_json(F.struct(*[F.col(quoted(c)) for c in names]), {"ignoreNullFields": "false"}) if names else F.lit("{}")
+    parts = ['{"type":"Feature","id":', text(F.col(quoted(id_column)).cast("string")), ',"geometry":', F.coalesce(call("st_asgeojson", shape["wkb"]), F.lit("null")), ',"properties":', properties, "}"]
+    return df.select(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("feature"))

@@ -5,33 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.functions.geometry import point, register
-from terrazzo.sources.ingest import scalar_kinds, typed
+from terrazzo.sources import ingest
 
 
 def infer(spark: SparkSession, path: str, records: int = 1000) -> dict[str, str]:
     """Property types from the first records of NDJSON files; this look is bounded, the stream is not."""
-    raw = spark.read.schema("properties string").json(path).limit(records)
-    names = [r[0] for r in raw.select(F.explode(F.json_object_keys("properties"))).distinct().collect()]
-    wide = raw.select(*[F.from_json("properties", "map<string,string>")[n].alias(n) for n in names])
-    return {n: k for n, (k, _) in scalar_kinds(wide, names).items()} if names else {}
-
-
-def stream(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
-    """Features of new NDJSON files: typed properties, geometry, and ``unknown``, true where a property outside the schema occurs."""
-    register(spark)
-    raw = spark.readStream.schema("id string, properties string, geometry string").json(path)
-    values = F.from_json("properties", "map<string,string>")
-    at = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<double>")
+    return ingest.property_kinds(spark.read.schema("properties string").json(path).limit(records))
+
+
+def stream(spark: SparkSession, path: str, kinds: dict[str, str], crs: str = "EPSG:4326") -> DataFrame:
+    """Features of new NDJSON files: typed properties, geometry, and ``reason``, set where a record cannot be a feature of this schema."""
+    raw = spark.readStream.schema("type string, id string, crs string, properties string, geometry string, bad string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="bad")
+    judged = ingest.judged_json(raw, ingest.crs_name(crs))
     known = F.array(*[F.lit(n) for n in kinds]) if kinds else F.array().cast("array<string>")
     extra = F.size(F.array_except(F.coalesce(F.json_object_keys("properties"), F.array().cast("array<string>")), known)) > 0
-    return raw.select(F.col("id").alias("feature_id"), *[typed(values[n], k).alias(n) for n, k in sorted(kinds.items())], point(at[0], at[1]).alias("geometry"), extra.alias("unknown"))
+    reason = F.coalesce("reason", F.when(extra, ingest.FIELD_NOT_INFERRED))
+    return judged.select(F.col("id").alias("feature_id"), *ingest.property_columns(dict(sorted(kinds.items()))), F.col("shape").alias("geometry"), reason.alias("reason"))
 
 
 def accepted(features: DataFrame) -> DataFrame:
     """The features that fit the schema; the others are for the report."""
-    return features.where(~F.col("unknown")).drop("unknown")
+    return features.where("reason is null").drop("reason")
 
 
 def rejected(features: DataFrame) -> DataFrame:
-    return features.where(F.col("unknown")).select("feature_id", F.lit("AttributeInvalid").alias("reason"))
+    return features.where("reason is not null").select("feature_id", "reason")

@@ -1,6 +1,5 @@
-"""Expressions, time, relationships, rasters, edits, ingest and streaming."""
+"""Expressions, time, relationships, rasters and edits."""
 
-import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +9,6 @@ from terrazzo.model import PlanError
 from terrazzo.operators import edits, raster, related, temporal
 from terrazzo.plans.dataset import Dataset
 from terrazzo.plans.parse import parse_filter
-from terrazzo.sources import ingest
-from terrazzo.streaming import ingest as streaming
 
 DAY = 86_400_000
 
@@ -133,52 +130,3 @@ def test_edits(spark):
     t.stage("a", snapshot)
     t.commit()
     assert t.tables["a"].count() == 1
-
-
-def test_csv(spark, tmp_path):
-    path = tmp_path / "t.csv"
-    path.write_text('# crs=EPSG:4326\nname,lon,lat,n,f,flag,mix,none\n"a, b",1.5,2,1,1,true,1,\n"q""q",,,2,2.5,false,x,\n"two\nlines",3,4,,3,true,2.5,\n')
-    df = ingest.read_csv(spark, str(path))
-    assert dict(df.dtypes)["n"] == "bigint" and dict(df.dtypes)["f"] == "double" and dict(df.dtypes)["flag"] == "boolean" and dict(df.dtypes)["mix"] == "string" and dict(df.dtypes)["none"] == "string"
-    rows = df.orderBy("feature_id").collect()
-    assert [r["name"] for r in rows] == ["a, b", 'q"q', "two\nlines"] and [r["feature_id"] for r in rows] == [1, 2, 3]
-    assert rows[1]["geometry"] is None and rows[0]["geometry"]["env"]["minx"] == 1.5
-    with pytest.raises(PlanError):
-        ingest.read_csv(spark, str(path), crs="EPSG:3857")
-    with pytest.raises(PlanError):
-        ingest.capped(df, 2)
-
-
-def _feature(k, **properties):
-    return {"type": "Feature", "id": str(k), "geometry": {"type": "Point", "coordinates": [k, k + 0.5]}, "properties": properties}
-
-
-def test_geojson(spark, tmp_path):
-    path = tmp_path / "t.json"
-    crs = {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}
-    path.write_text(json.dumps({"type": "FeatureCollection", "crs": crs, "features": [_feature(1, n=1, s="x"), _feature(2, n=2.5, s=None)]}))
-    df = ingest.read_geojson(spark, str(path))
-    rows = df.orderBy("feature_id").collect()
-    assert dict(df.dtypes)["n"] == "double" and rows[1]["s"] is None and rows[1]["geometry"]["env"]["miny"] == 2.5
-    again = ingest.to_geojson(df.select("feature_id", F.col("geometry.env.minx").alias("x"), F.col("geometry.env.miny").alias("y"), "n"), "feature_id", "x", "y")
-    assert json.loads(again.first()[0])["geometry"]["coordinates"] == [1.0, 1.5]
-
-
-def test_stream(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    (folder / "a.json").write_text("\n".join(json.dumps(_feature(k, n=k)) for k in range(3)))
-    kinds = streaming.infer(spark, str(folder))
-    (folder / "b.json").write_text(json.dumps(_feature(9, n=1, surprise=True)))
-    query = streaming.stream(spark, str(folder), kinds).writeStream.format("memory").queryName("features").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(60)
-    assert kinds == {"n": "long"}
-    assert streaming.accepted(spark.table("features")).count() == 3
-    assert [tuple(r) for r in streaming.rejected(spark.table("features")).collect()] == [("9", "AttributeInvalid")]
-
-
-def test_crs_names():
-    for name in ("EPSG:4326", "urn:ogc:def:crs:EPSG::4326", "http://www.opengis.net/def/crs/EPSG/0/4326", "urn:ogc:def:crs:OGC:1.3:CRS84"):
-        assert ingest.crs_name(name) == "EPSG:4326"
-    with pytest.raises(PlanError):
-        ingest.crs_name("nonsense")
