@@ -1,7 +1,10 @@
-"""Coordinate systems: a small catalogue, and transforms as expressions.
+"""Coordinate systems: a catalogue, datums with their shifts, and transforms.
 
 Formulas are the published ones (spherical Mercator; transverse Mercator by the
-sixth-order Krueger series, good to a millimetre inside a zone).
+third-order Krueger series, good to a millimetre inside a zone; ellipsoidal Mercator,
+Albers, Lambert and polar stereographic in closed form or by iteration; datum shifts by
+the seven-parameter position-vector method).  Web Mercator and UTM are plain column
+expressions; the others run in the JVM functions of ``geometry.register``.
 """
 
 from __future__ import annotations
@@ -17,40 +20,104 @@ from terrazzo.model import PlanError
 # Ellipsoids (semi-major axis, inverse flattening) and the sphere of web maps.
 WGS84 = (6378137.0, 298.257223563)
 GRS80 = (6378137.0, 298.257222101)
+CLARKE_1866 = (6378206.4, 294.978698213898)
+AIRY_1830 = (6377563.396, 299.3249646)
 RADIUS = 6378137.0
 MAX_LATITUDE = 85.0511287798066
 
 
+@dataclass(frozen=True)
+class Datum:
+    """``shift`` takes geocentric coordinates to WGS 84: metres, arc seconds, parts per million; ``accuracy`` in metres; ``area`` in degrees."""
+
+    name: str
+    ellipsoid: tuple[float, float]
+    shift: tuple[float, ...]
+    accuracy: float
+    area: tuple[float, float, float, float]
+
+
+_NULL = (0.0,) * 7
+# Published datum operations to WGS 84 and their areas.
+DATUMS = {
+    d.name: d
+    for d in (
+        Datum("WGS 84", WGS84, _NULL, 0.0, (-180, -90, 180, 90)),
+        Datum("ETRS89", GRS80, _NULL, 1.0, (-16.1, 32.88, 40.18, 84.73)),
+        Datum("NAD83", GRS80, _NULL, 4.0, (-172.54, 23.81, -47.74, 86.46)),
+        Datum("NAD27", CLARKE_1866, (-8.0, 160.0, 176.0, 0.0, 0.0, 0.0, 0.0), 10.0, (-124.79, 24.41, -66.91, 49.38)),
+        Datum("OSGB36", AIRY_1830, (446.448, -125.157, 542.06, 0.15, 0.247, 0.842, -20.489), 2.0, (-9.01, 49.75, 2.01, 61.01)),
+        Datum("RGF93 v1", GRS80, _NULL, 1.0, (-9.86, 41.15, 10.38, 51.56)),
+        Datum("NZGD2000", GRS80, _NULL, 1.0, (160.6, -55.95, -171.2, -25.88)),
+    )
+}
+# Geographic systems; projected systems with method, central meridian, latitude of origin, scale, false easting and northing, two parallels.
+GEOGRAPHIC = {4326: "WGS 84", 4258: "ETRS89", 4269: "NAD83", 4267: "NAD27", 4277: "OSGB36", 4171: "RGF93 v1", 4167: "NZGD2000"}
+PROJECTED = {
+    3857: ("WGS 84 / Pseudo-Mercator", "WGS 84", "web", (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)),
+    3395: ("WGS 84 / World Mercator", "WGS 84", "mercator", (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)),
+    5070: ("NAD83 / Conus Albers", "NAD83", "albers", (-96.0, 23.0, 1.0, 0.0, 0.0, 29.5, 45.5)),
+    27700: ("OSGB36 / British National Grid", "OSGB36", "tm", (-2.0, 49.0, 0.9996012717, 400000.0, -100000.0, 0.0, 0.0)),
+    2154: ("RGF93 v1 / Lambert-93", "RGF93 v1", "lambert", (3.0, 46.5, 1.0, 700000.0, 6600000.0, 49.0, 44.0)),
+    2193: ("NZGD2000 / New Zealand Transverse Mercator 2000", "NZGD2000", "tm", (173.0, 0.0, 0.9996, 1600000.0, 10000000.0, 0.0, 0.0)),
+    3031: ("WGS 84 / Antarctic Polar Stereographic", "WGS 84", "polar", (0.0, -90.0, 1.0, 0.0, 0.0, -71.0, 0.0)),
+    3032: ("WGS 84 / Australian Antarctic Polar Stereographic", "WGS 84", "polar", (70.0, -90.0, 1.0, 6000000.0, 6000000.0, -71.0, 0.0)),
+    3413: ("WGS 84 / NSIDC Sea Ice Polar Stereographic North", "WGS 84", "polar", (-45.0, 90.0, 1.0, 0.0, 0.0, 70.0, 0.0)),
+    3976: ("WGS 84 / NSIDC Sea Ice Polar Stereographic South", "WGS 84", "polar", (0.0, -90.0, 1.0, 0.0, 0.0, -70.0, 0.0)),
+    3995: ("WGS 84 / Arctic Polar Stereographic", "WGS 84", "polar", (0.0, 90.0, 1.0, 0.0, 0.0, 71.0, 0.0)),
+    3996: ("WGS 84 / IBCAO Polar Stereographic", "WGS 84", "polar", (0.0, 90.0, 1.0, 0.0, 0.0, 75.0, 0.0)),
+}
+#: UTM families: first code less one, zones, datum, southern.
+UTM = ((32600, range(1, 61), "WGS 84", False), (32700, range(1, 61), "WGS 84", True), (25800, range(28, 39), "ETRS89", False), (26900, range(1, 24), "NAD83", False))
+# Codes that other catalogues use for a system of this one.
+ALIASES = {102100: 3857, 102113: 3857, 900913: 3857}
+
+
 @dataclass(frozen=True)
 class Crs:
     code: int
     name: str
     kind: str
-    ellipsoid: tuple[float, float]
+    datum: Datum
     unit: str
+    method: str
+    parameters: tuple[float, ...] = (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)
     zone: int | None = None
     south: bool = False
 
+    @property
+    def ellipsoid(self) -> tuple[float, float]:
+        return self.datum.ellipsoid
+
+    @property
+    def axes(self) -> tuple[tuple[str, str, str], ...]:
+        """(name, orientation, unit) in the order of x and y."""
+        names = ("Longitude", "Latitude") if self.kind == "geographic" else ("Easting", "Northing")
+        return (names[0], "east", self.unit), (names[1], "north", self.unit)
+
 
 def describe(code: int) -> Crs:
-    """A catalogue entry: geographic systems, web Mercator, and the UTM families by rule."""
-    geographic = {4326: ("WGS 84", WGS84), 4258: ("ETRS89", GRS80), 4269: ("NAD83", GRS80)}
-    if code in geographic:
-        name, ellipsoid = geographic[code]
-        return Crs(code, name, "geographic", ellipsoid, "degree")
-    if code == 3857:
-        return Crs(code, "WGS 84 / Pseudo-Mercator", "projected", WGS84, "metre")
-    for first, zones, base, ellipsoid, south in (
-        (32600, range(1, 61), "WGS 84", WGS84, False),
-        (32700, range(1, 61), "WGS 84", WGS84, True),
-        (25800, range(28, 39), "ETRS89", GRS80, False),
-        (26900, range(1, 24), "NAD83", GRS80, False),
-    ):
-        if code - first in zones:
-            return Crs(code, f"{base} / UTM zone {code - first}{'S' if south else 'N'}", "projected", ellipsoid, "metre", code - first, south)
+    """A catalogue entry: geographic and projected systems, and the UTM families by rule."""
+    code = ALIASES.get(code, code)
+    if code in GEOGRAPHIC:
+        return Crs(code, GEOGRAPHIC[code], "geographic", DATUMS[GEOGRAPHIC[code]], "degree", "geographic")
+    if code in PROJECTED:
+        name, datum, method, parameters = PROJECTED[code]
+        return Crs(code, name, "projected", DATUMS[datum], "metre", method, parameters)
+    for first, zones, base, south in UTM:
+        zone = code - first
+        if zone in zones:
+            parameters = (zone * 6 - 183.0, 0.0, 0.9996, 500000.0, 10000000.0 if south else 0.0, 0.0, 0.0)
+            return Crs(code, f"{base} / UTM zone {zone}{'S' if south else 'N'}", "projected", DATUMS[base], "metre", "tm", parameters, zone, south)
     raise PlanError(f"unknown coordinate system {code}")
 
 
+def catalogue() -> list[Crs]:
+    """Every system, geographic ones first, by code."""
+    codes = [*sorted(GEOGRAPHIC), *sorted([*PROJECTED, *(first + z for first, zones, _, _ in UTM for z in zones)])]
+    return [describe(c) for c in codes]
+
+
 def _mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * RADIUS
 
@@ -96,11 +163,19 @@ def _unutm(crs: Crs, x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + float(crs.zone * 6 - 183), F.degrees(lat)
 
 
+def _plain(c: Crs) -> bool:
+    """Whether the system's formulas are column expressions."""
+    return c.kind == "geographic" or c.method == "web" or c.zone is not None
+
+
 def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
-    """x and y in the target system; through longitude and latitude."""
+    """x and y in the target system; through longitude and latitude, and WGS 84 where the datums' shifts differ."""
     a, b = describe(source), describe(target)
-    if source == target:
+    if a.code == b.code:
         return x, y
+    if not (_plain(a) and _plain(b) and a.datum.shift == b.datum.shift):
+        moved = F.call_function("st_moved", x.cast("double"), y.cast("double"), F.lit(_frame(a)), F.lit(_frame(b)))
+        return moved[0], moved[1]
     if a.kind == "projected":
         x, y = _unutm(a, x, y) if a.zone else _unmercator(x, y)
     if b.kind == "projected":
@@ -109,22 +184,49 @@ def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
 
 
 def _frame(c: Crs) -> str:
-    kind = 0 if c.kind == "geographic" else 2 if c.zone else 1
-    return f"{kind},{c.ellipsoid[0]!r},{c.ellipsoid[1]!r},{(c.zone or 0) * 6 - 183},{10000000 if c.south else 0}"
+    return ",".join([c.method, *(repr(float(v)) for v in (*c.ellipsoid, *c.parameters, *c.datum.shift))])
 
 
 def transform_geometry(wkb: Column, source: int, target: int) -> Column:
     """A whole geometry in the target system; the stated source must be its own."""
-    return wkb if source == target else F.call_function("st_reproject", wkb, F.lit(_frame(describe(source))), F.lit(_frame(describe(target))))
+    a, b = describe(source), describe(target)
+    return wkb if a.code == b.code else F.call_function("st_reproject", wkb, F.lit(_frame(a)), F.lit(_frame(b)))
+
 
+def _residual(shift: tuple[float, ...]) -> float:
+    """What leaving out rotation and scale can cost at the earth's surface, in metres."""
+    arc = math.pi / 648000
+    turn = math.sqrt(sum((r * arc) ** 2 for r in shift[3:6]))
+    return RADIUS * math.hypot(turn, shift[6] * 1e-6)
 
-def find_transformations(source: int, target: int) -> list[dict]:
-    """Candidate operations between two catalogued systems, best accuracy (metres) first.
 
-    Systems of one datum differ by projection alone; between datums the ballpark identity is offered.
+def _covers(datum: Datum, box: tuple[float, float, float, float] | None) -> bool:
+    if box is None:
+        return True
+    x0, y0, x1, y1 = datum.area
+    spans = [(x0, x1)] if x0 <= x1 else [(x0, 180.0), (-180.0, x1)]
+    return y0 <= box[1] and box[3] <= y1 and any(a <= box[0] and box[2] <= b for a, b in spans)
+
+
+def find_transformations(source: int, target: int, area: tuple[float, float, float, float] | None = None) -> list[dict]:
+    """Candidate datum operations between two catalogued systems, most accurate first; none within one datum.
+
+    A pair of datums that coincide has the registered null operation; others have the composed seven-parameter shift (the one
+    that transforms apply), the same by way of WGS 84, and the shift reduced to its translation.  ``area`` (degrees) leaves only
+    operations that both datums cover.
     """
-    a, b = describe(source), describe(target)
-    datum = lambda c: c.name.split(" / ")[0]
-    if datum(a) == datum(b):
-        return [{"name": f"{a.name} to {b.name}", "accuracy": 0.0, "method": "projection"}]
-    return [{"name": f"{datum(a)} to {datum(b)} (identity)", "accuracy": 2.0, "method": "ballpark"}]
+    a, b = describe(source).datum, describe(target).datum
+    if a is b or not (_covers(a, area) and _covers(b, area)):
+        return []
+    name, accuracy = f"{a.name} to {b.name}", math.hypot(a.accuracy, b.accuracy)
+    if a.shift == b.shift:
+        return [{"name": name, "method": "null operation", "accuracy": accuracy, "steps": 1, "approximate": False}] if accuracy else []
+    legs = [d for d in (a, b) if d.shift != _NULL]
+    return sorted(
+        [
+            {"name": name, "method": "position vector", "accuracy": accuracy, "steps": 1, "approximate": False},
+            {"name": f"{name} by WGS 84", "method": "position vector, concatenated", "accuracy": accuracy, "steps": len(legs), "approximate": True},
+            {"name": f"{name}, translation", "method": "geocentric translation", "accuracy": accuracy + sum(_residual(d.shift) for d in legs), "steps": 1, "approximate": True},
+        ],
+        key=lambda c: c["accuracy"],
+    )

@@ -24,10 +24,14 @@ FUNCTIONS = (
     ("st_distance", "Distance", "double"),
     ("st_relate", "Relate", "string"),
     ("st_matches", "Matches", "boolean"),
+    ("st_related", "Related", "boolean"),
     ("st_isvalid", "Valid", "boolean"),
     ("st_buffer", "Buffer", "binary"),
     ("st_geodesicbuffer", "GeodesicBuffer", "binary"),
     ("st_reproject", "Reproject", "binary"),
+    ("st_moved", "Moved", "array<double>"),
+    ("st_round", "Round", "binary"),
+    ("st_snap", "Snap", "binary"),
     ("st_intersection", "Intersection", "binary"),
     ("st_difference", "Difference", "binary"),
     ("st_union_all", "UnionAll", "binary"),
@@ -42,6 +46,8 @@ FUNCTIONS = (
     ("st_box", "MakeBox", "binary"),
     ("st_fromtext", "FromText", "binary"),
     ("st_astext", "AsText", "string"),
+    ("st_fromgeojson", "FromGeoJson", "binary"),
+    ("st_asgeojson", "AsGeoJson", "string"),
     ("st_bounds", "Bounds", "array<double>"),
 )
 
@@ -138,12 +144,16 @@ def quantize(c: Column, origin: float, tolerance: float) -> Column:
 # --- aggregates --------------------------------------------------------------------------------
 
 
-def dissolve(df: DataFrame, keys: list[str], wkb: Column, how: str = "union", fan: int = 16) -> DataFrame:
-    """Union (or ``hull``) of each group's geometries, in two rounds: a group is first merged in ``fan`` parts.
+def dissolve(df: DataFrame, keys: list[str], wkb: Column, how: str = "union", fan: int = 64) -> DataFrame:
+    """Union (or ``hull``) of each group's geometries, in rounds: a round merges parts of about ``fan`` pieces.
 
-    Hulls and unions of parts merge to the whole, so no task holds a group's raw geometries.
+    Hulls and unions of parts merge to the whole, so whatever a group's size no task holds more of it than a few
+    ``fan`` pieces.  The largest group's size says how many rounds there are.
     """
     name = {"union": "st_union_all", "hull": "st_hull_all"}[how]
-    parts = df.select(*keys, wkb.alias("wkb")).withColumn("_part", F.pmod(F.xxhash64("wkb"), F.lit(fan)))
-    merged = parts.groupBy(*keys, "_part").agg(call(name, F.collect_list("wkb")).alias("wkb"))
+    most = (df.groupBy(*keys).count().agg(F.max("count")) if keys else df.agg(F.count("*"))).first()[0] or 0
+    merged = df.select(*keys, wkb.alias("wkb")).withColumn("_part", F.pmod(F.xxhash64("wkb"), F.lit(1 << 30)))
+    while most > fan:
+        most = -(-most // fan)
+        merged = merged.withColumn("_part", F.pmod("_part", F.lit(most))).groupBy(*keys, "_part").agg(call(name, F.collect_list("wkb")).alias("wkb"))
     return merged.groupBy(*keys).agg(call(name, F.collect_list("wkb")).alias("wkb"))

@@ -29,6 +29,17 @@ def tile_of(lon: Column, lat: Column, z: int) -> tuple[Column, Column]:
     return clamp((x / span + 0.5) * n), clamp((F.lit(0.5) - y / span) * n)
 
 
+def tiles_of(bounds: Column, z: int) -> Column:
+    """The tiles (x, y) whose closed boxes a Mercator envelope [minx, miny, maxx, maxy] meets, inside the scheme."""
+    n, span = _zoom(z), 2 * math.pi * crs.RADIUS
+    first = lambda v: F.greatest(F.ceil(v * n) - 1, F.lit(0)).cast("int")
+    last = lambda v: F.least(F.floor(v * n), F.lit(n - 1)).cast("int")
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    xs = run(first(bounds[0] / span + 0.5), last(bounds[2] / span + 0.5))
+    ys = run(first(F.lit(0.5) - bounds[3] / span), last(F.lit(0.5) - bounds[1] / span))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
 def tile_bounds(z: int, x: int, y: int) -> tuple[float, float, float, float]:
     """Mercator bounds of a tile."""
     n, span = _zoom(z), 2 * math.pi * crs.RADIUS
