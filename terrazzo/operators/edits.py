@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrazzo.model import Predicate
+from terrazzo.model import PlanError, Predicate
 from terrazzo.plans.compile import predicate
 from terrazzo.plans.dataset import Dataset, quoted
 
@@ -47,6 +47,27 @@ def delete_where(ds: Dataset, where: Predicate) -> DataFrame:
     return ds.df.where(~F.coalesce(predicate(ds, where), F.lit(False)))
 
 
+def apply_edits(ds: Dataset, adds: DataFrame | None = None, updates: DataFrame | None = None, deletes: DataFrame | None = None, rollback: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, snapshot) of adds, then updates, then deletes by key; ``edit`` says which an outcome belongs to.
+
+    With ``rollback`` one failure leaves the dataset as it was; else each edit counts for itself.
+    """
+    outcomes, now = None, ds
+    for name, rows, step in (("add", adds, add), ("update", updates, update), ("delete", deletes, delete)):
+        if rows is None:
+            continue
+        said, snapshot = step(now, rows)
+        if name == "delete":
+            said = said.withColumn("error", F.when(~F.col("ok"), "missing"))
+        said = said.select(F.lit(name).alias("edit"), *ds.ids, "ok", "error")
+        outcomes = said if outcomes is None else outcomes.unionByName(said)
+        now = ds.with_df(snapshot)
+    if outcomes is None:
+        raise PlanError("no edits")
+    failed = rollback and outcomes.where(~F.col("ok")).limit(1).count() > 0
+    return outcomes, ds.df if failed else now.df
+
+
 def content_version(df: DataFrame) -> str:
     """A token that changes with the rows, whatever their order: sums of row hashes, folded."""
     h = F.xxhash64(*[F.col(quoted(c)) for c in df.columns])

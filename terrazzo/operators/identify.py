@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrazzo.functions.geometry import wkb_point
 from terrazzo.functions.tiles import MAX_ZOOM
 from terrazzo.model import PlanError, Predicate
 from terrazzo.operators import shapes
@@ -45,3 +46,11 @@ def clip(wkb: Column, env: Column, frame: bytes, bounds: tuple[float, float, flo
     """The geometry inside a frame; one that the frame holds whole is left as it is."""
     inside = (env["minx"] >= bounds[0]) & (env["miny"] >= bounds[1]) & (env["maxx"] <= bounds[2]) & (env["maxy"] <= bounds[3])
     return F.when(inside, wkb).otherwise(F.call_function("st_intersection", wkb, F.lit(frame)))
+
+
+def feature_info(layers: dict, box: tuple[float, float, float, float], width: int, height: int, i: int, j: int, pixels: float = 3, definitions: dict | None = None) -> DataFrame:
+    """What a map image of ``box`` shows at pixel (i, j), counted from the top left: features within some pixels of its centre."""
+    if not (0 <= i < width and 0 <= j < height):
+        raise PlanError(f"pixel {i}, {j} is outside the image")
+    x, y = box[0] + (i + 0.5) * (box[2] - box[0]) / width, box[3] - (j + 0.5) * (box[3] - box[1]) / height
+    return identify(layers, QueryGeometry(wkb_point(x, y), (x, y, x, y), 0), tolerance(box, width, height, pixels), definitions)

@@ -13,12 +13,12 @@ from __future__ import annotations
 import json
 import struct
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.functions import crs
 from terrazzo.functions import geometry as geo
-from terrazzo.model import AggregateQuery, AggregateSpec, FeatureQuery, OrderTerm, PlanError
+from terrazzo.model import AggregateQuery, AggregateSpec, FeatureQuery, OrderTerm, Page, PlanError
 from terrazzo.operators import shapes, spatial, temporal
 from terrazzo.plans import execute
 from terrazzo.plans.dataset import Dataset, quoted
@@ -27,6 +27,7 @@ from terrazzo.plans.parse import parse_where
 #: Rows of a page unless fewer are asked for.
 PAGE = 1000
 # Metres in a unit, relation and statistic names of the protocol.
+ANGLES = {"decimaldegree": 1.0, "degree": 1.0, "minute": 1 / 60, "second": 1 / 3600, "radian": 57.29577951308232, "gradian": 0.9}
 UNITS = {"meter": 1.0, "kilometer": 1000.0, "foot": 0.3048, "ussurveyfoot": 1200 / 3937, "statutemile": 1609.344, "nauticalmile": 1852.0}
 RELATIONS = {"intersects": "intersects", "envelopeintersects": "envelope", "contains": "contains", "within": "within", "touches": "touches", "overlaps": "overlaps", "crosses": "crosses", "relation": "relation"}
 STATISTICS = {"count": "count", "sum": "sum", "min": "min", "max": "max", "avg": "avg", "stddev": "stddev", "var": "var", "percentile_continuous": "percentile_cont", "percentile_discrete": "percentile_disc", "envelopeaggregate": "envelope"}
@@ -119,6 +120,28 @@ def statistics(text: str, group_by: tuple[str, ...], having: str | None, order:
     return AggregateQuery(tuple(specs), group_by, parse_where(having), order if group_by else (), limit if group_by else None, offset if group_by else None)
 
 
+def moved(spark: SparkSession, q: spatial.QueryGeometry, source: int, target: int) -> spatial.QueryGeometry:
+    """The query geometry in another system."""
+    one = geo.register(spark).range(1).select(crs.transform_geometry(F.lit(q.wkb), source, target).alias("wkb"))
+    wkb, env = one.select("wkb", geo.call("st_bounds", F.col("wkb"))).first()
+    return spatial.QueryGeometry(bytes(wkb), tuple(env), q.dimension)
+
+
+def _unit(p: dict, native: int) -> float:
+    """A distance unit in units of the layer: linear units need a projected layer, angular ones a geographic one."""
+    if not p.get("units"):
+        return 1.0
+    unit = str(p["units"]).lower().removeprefix("esrisrunit_")
+    kind = crs.describe(native).kind
+    if unit in UNITS and kind == "projected":
+        return UNITS[unit]
+    if unit in ANGLES and kind == "geographic":
+        return ANGLES[unit]
+    if unit in UNITS or unit in ANGLES:
+        raise PlanError(f"units: {unit} does not measure a {kind} layer")
+    raise PlanError(f"units: {unit}")
+
+
 def _matched(ds: Dataset, p: dict, native: int) -> Dataset:
     """Rows by ids, where, time and geometry."""
     ids = _names(p.get("objectIds")) if "objectIds" in p else None
@@ -131,16 +154,11 @@ def _matched(ds: Dataset, p: dict, native: int) -> Dataset:
     if p.get("geometry"):
         if not ds.geometries:
             raise PlanError("geometry: the dataset has none")
-        if int(p.get("inSR") or native) != native:
-            raise PlanError("inSR: state the query geometry in the dataset's own system")
         q, distance = query_geometry(p["geometry"]), _number(p, "distance")
+        if (stated := int(p.get("inSR") or native)) != native:
+            q = moved(ds.df.sparkSession, q, stated, native)
         if distance:
-            unit = str(p.get("units") or "meter").lower().removeprefix("esrisrunit_")
-            if unit not in UNITS:
-                raise PlanError(f"units: {unit}")
-            degrees = crs.describe(native).kind == "geographic"
-            reach = distance * UNITS[unit] / (111319.49079327358 if degrees else 1.0)
-            return ds.with_df(spatial.within_distance(ds.df, ds.geometries[0], q, reach))
+            return ds.with_df(spatial.within_distance(ds.df, ds.geometries[0], q, distance * _unit(p, native)))
         name = str(p.get("spatialRel") or "intersects").lower().removeprefix("esrispatialrel")
         if name not in RELATIONS:
             raise PlanError(f"spatialRel: {name}")
@@ -152,7 +170,7 @@ def _matched(ds: Dataset, p: dict, native: int) -> Dataset:
 
 
 def _shown(ds: Dataset, df: DataFrame, p: dict, native: int) -> DataFrame:
-    """The output geometry: generalised, reprojected, with a centroid; ordinates rounded or snapped where it is a point."""
+    """The output geometry: generalised, reprojected, with a centroid; ordinates rounded or snapped."""
     name = ds.geometries[0]
     wkb: Column = F.col(quoted(name))["wkb"]
     if (offset := _number(p, "maxAllowableOffset")) is not None:
@@ -162,18 +180,16 @@ def _shown(ds: Dataset, df: DataFrame, p: dict, native: int) -> DataFrame:
     if _flag(p, "returnCentroid"):
         middle = geo.call("st_bounds", geo.call("st_centroid", F.col(quoted(name))["wkb"]))
         out = out.withColumn("centroid", F.struct(middle[0].alias("x"), middle[1].alias("y")))
-    at = F.col(quoted(name))["env"]
-    x, y = at["minx"], at["miny"]
+    shape = F.col(quoted(name))["wkb"]
     if (digits := _number(p, "geometryPrecision", int)) is not None:
-        x, y = geo.round_ordinates(x, digits), geo.round_ordinates(y, digits)
+        shape = geo.call("st_round", shape, F.lit(digits))
     if p.get("quantizationParameters"):
         q = json.loads(p["quantizationParameters"])
         box, tolerance = q.get("extent", {}), float(q["tolerance"])
         upper = str(q.get("originPosition", "upperLeft")).lower() == "upperleft"
-        x, y = geo.quantize(x, float(box.get("xmin", 0)), tolerance), geo.quantize(y, float(box.get("ymax" if upper else "ymin", 0)), tolerance)
+        shape = geo.call("st_snap", shape, F.lit(float(box.get("xmin", 0))), F.lit(float(box.get("ymax" if upper else "ymin", 0))), F.lit(tolerance))
     if digits is not None or p.get("quantizationParameters"):
-        point = spatial.dimension_of(F.col(quoted(name))["wkb"]) == 0
-        out = out.withColumn(name, F.when(point, geo.point(x, y)).otherwise(F.col(quoted(name))))
+        out = out.withColumn(name, geo.encode(shape))
     return out
 
 
@@ -207,3 +223,16 @@ def serve(ds: Dataset, params: dict[str, str], native: int = 4326) -> DataFrame:
         return execute.features(found, FeatureQuery(order=q.order, limit=q.limit, offset=offset, projection=plain), tie_by_id=False)
     wide = FeatureQuery(order=q.order, limit=q.limit, offset=offset, projection=(*fields, *[g for g in ds.geometries if g not in fields]) if fields else None)
     return _shown(ds, execute.features(found, wide, tie_by_id=False), p, native)
+
+
+def page(ds: Dataset, params: dict[str, str], native: int = 4326) -> Page:
+    """``serve`` with the transfer-limit flag: ``has_more`` says that rows follow the page, whose end is the next request's offset."""
+    rows = serve(ds, params, native)
+    shaped = any(_flag(params, f) for f in ("returnIdsOnly", "returnUniqueIdsOnly", "returnCountOnly", "returnExtentOnly", "returnDistinctValues"))
+    if shaped or params.get("outStatistics"):
+        return Page(rows)
+    p = {k: v for k, v in params.items() if v not in (None, "")}
+    limit, offset = _number(p, "resultRecordCount", int), _number(p, "resultOffset", int) or 0
+    end = offset + (min(PAGE, limit) if limit is not None else PAGE)
+    more = _matched(ds, p, native).df.offset(end).limit(1).count() > 0
+    return Page(rows, str(end) if more else None, None, more)

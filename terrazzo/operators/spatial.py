@@ -1,7 +1,8 @@
 """Topological filters and the spatial join.
 
-An exact relation runs only on pairs whose envelopes meet; joins first meet by
-grid cell, so they are equi-joins and never products.
+An exact relation runs only on pairs whose envelopes meet, unless the relation holds for
+shapes apart from each other; joins first meet by grid cell, so they are equi-joins and
+never products.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions.geometry import call, register
 from terrazzo.model import PlanError
+from terrazzo.plans.dataset import quoted
 
 # DE-9IM masks by relation, in the protocol's frame (the feature is the first operand).
 MASKS = {
@@ -61,44 +63,43 @@ def dimension_of(wkb: Column) -> Column:
     return F.when(t.isin(1, 4), 0).when(t.isin(2, 5), 1).when(t.isin(3, 6), 2)
 
 
-def relation(feature_wkb: Column, query_wkb: Column, name: str, query_dimension: int | None = None, mask: str | None = None) -> Column:
-    """Whether the relation holds, by the intersection matrix and masks."""
-    matrix = call("st_relate", feature_wkb, query_wkb)
-    test = lambda m: call("st_matches", matrix, F.lit(m))
+def holds_apart(name: str, mask: str | None) -> bool:
+    """Whether shapes without a common point can stand in the relation: no mask cell about their interiors and boundaries demands one."""
+    masks = (check_mask(mask),) if mask is not None else MASKS.get(name, ())
+    return any(all(m[k] in "F*" for k in (0, 1, 3, 4)) for m in masks)
+
+
+def _rules(name: str, mask: str | None) -> str:
     if mask is not None:
-        return test(check_mask(mask))
+        return check_mask(mask)
+    if name == "intersects":
+        return name
     if name in MASKS:
-        out = test(MASKS[name][0])
-        for m in MASKS[name][1:]:
-            out = out | test(m)
-        return out
+        return "|".join(MASKS[name])
     if name in DIMENSIONED:
-        out = F.lit(False)
-        for (a, b), m in DIMENSIONED[name].items():
-            if query_dimension in (None, b):
-                fits = dimension_of(feature_wkb) == a
-                fits = fits if query_dimension == b else fits & (dimension_of(query_wkb) == b)
-                out = F.when(fits, test(m)).otherwise(out)
-        return out
+        return "|".join(f"{a},{b}:{m}" for (a, b), m in DIMENSIONED[name].items())
     raise PlanError(f"unknown relation {name!r}")
 
 
+def relation(feature_wkb: Column, query_wkb: Column, name: str, mask: str | None = None) -> Column:
+    """Whether the relation holds: one matrix a pair, the query geometry prepared while it stays the same."""
+    return call("st_related", feature_wkb, query_wkb, F.lit(_rules(name, mask)))
+
+
 def filter_by(df: DataFrame, geometry: str, query: QueryGeometry, name: str = "envelope", mask: str | None = None) -> DataFrame:
-    """Features that stand in a relation to the query geometry; null or empty geometries only by ``disjoint``.
+    """Features that stand in a relation to the query geometry; never those with a null geometry, and empty ones only where ``holds_apart``.
 
     The envelope test comes first and alone reaches the scan.
     """
-    g = F.col(geometry)
+    g = F.col(quoted(geometry))
     near = _box_meets(g["env"], query.env)
     if name == "envelope" and mask is None:
         return df.where(near)
     register(df.sparkSession)
-    exact = relation(g["wkb"], F.lit(query.wkb), name, query.dimension, mask)
-    if name == "disjoint":
+    exact = relation(g["wkb"], F.lit(query.wkb), name, mask)
+    if name == "disjoint" and mask is None:
         return df.where(g.isNotNull() & F.when(F.coalesce(near, F.lit(False)), exact).otherwise(F.lit(True)))
-    if mask is not None and mask.startswith("FF*FF"):
-        return df.where(exact)  # a mask that disjoint geometries satisfy has no envelope filter
-    return df.where(near).where(exact)
+    return df.where(exact) if holds_apart(name, mask) else df.where(near).where(exact)
 
 
 def within_distance(df: DataFrame, geometry: str, query: QueryGeometry, distance: float) -> DataFrame:
@@ -106,33 +107,53 @@ def within_distance(df: DataFrame, geometry: str, query: QueryGeometry, distance
     register(df.sparkSession)
     q = query.env
     grown = (q[0] - distance, q[1] - distance, q[2] + distance, q[3] + distance)
-    g = F.col(geometry)
+    g = F.col(quoted(geometry))
     return df.where(_box_meets(g["env"], grown)).where(call("st_distance", g["wkb"], F.lit(query.wkb)) <= distance)
 
 
-def cells(env: Column, size: float) -> Column:
+def cells(env: Column, size: Column) -> Column:
     """The grid cells (x, y) that an envelope covers."""
     edge = lambda v: F.floor(v / size).cast("long")
     xs, ys = F.sequence(edge(env["minx"]), edge(env["maxx"])), F.sequence(edge(env["miny"]), edge(env["maxy"]))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
+def _level(env: Column, cell: float) -> Column:
+    """The doublings of ``cell`` after which the envelope is no larger than a cell."""
+    extent = F.greatest(env["maxx"] - env["minx"], env["maxy"] - env["miny"])
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(cell)) / cell))).cast("int")
+
+
+def _dealt(df: DataFrame, geometry: str, cell: float, levels: list[int], suffix: str) -> DataFrame:
+    """A row for each cell that the shape covers, on its own level and every coarser one in use: at most four a level."""
+    env = F.col(quoted(geometry))["env"]
+    at = df.withColumn(f"_level{suffix}", _level(env, cell))
+    at = at.withColumn(f"_at{suffix}", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"_level{suffix}"))))
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col(f"_at{suffix}"))
+    return at.withColumn(f"_cell{suffix}", F.explode(cells(env, size)))
+
+
 def join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, cell: float, name: str = "intersects", mask: str | None = None) -> DataFrame:
     """Pairs of features in a relation, each once.
 
-    Both sides are dealt by grid cell; a pair is reported only in the cell that holds the lower
-    left corner of the overlap of its envelopes, so no pass over the result is needed to make
-    pairs distinct.  A crowded cell is a skewed key, which adaptive execution splits.
+    ``cell`` is the size that most shapes fit; larger shapes are dealt by cells doubled until they fit, so no
+    shape covers more than four cells a level.  A pair meets on the coarser of its two levels, and there only in the
+    cell that holds the lower left corner of the overlap of its envelopes, so no pass over the result is
+    needed to make pairs distinct.  A crowded cell is a skewed key, which adaptive execution splits.
     """
-    if name == "disjoint":
-        raise PlanError("disjoint pairs are a product and not joined")
-    a = left.withColumn("_cell", F.explode(cells(F.col(left_geometry)["env"], cell)))
-    b = right.withColumn("_cell_r", F.explode(cells(F.col(right_geometry)["env"], cell)))
-    x, y = F.col(left_geometry)["env"], F.col(right_geometry)["env"]
-    corner = F.struct(F.floor(F.greatest(x["minx"], y["minx"]) / cell).cast("long").alias("x"), F.floor(F.greatest(x["miny"], y["miny"]) / cell).cast("long").alias("y"))
-    same = (F.col("_cell.x") == F.col("_cell_r.x")) & (F.col("_cell.y") == F.col("_cell_r.y"))
-    met = a.join(b, same & envelopes_meet(x, y) & (F.col("_cell.x") == corner["x"]) & (F.col("_cell.y") == corner["y"])).drop("_cell", "_cell_r")
+    if name == "disjoint" or holds_apart(name, mask):
+        raise PlanError("pairs of shapes apart from each other are a product and not joined")
+    levels: set[int] = set()
+    for df, g in ((left, left_geometry), (right, right_geometry)):  # the levels in use: some tens of numbers at most
+        levels |= {r[0] for r in df.select(_level(F.col(quoted(g))["env"], cell).alias("k")).where("k is not null").distinct().collect()}
+    a, b = (_dealt(df, g, cell, sorted(levels) or [0], suffix) for df, g, suffix in ((left, left_geometry, "_l"), (right, right_geometry, "_r")))
+    x, y = F.col(quoted(left_geometry))["env"], F.col(quoted(right_geometry))["env"]
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_at_l"))
+    corner = [F.floor(F.greatest(x[c], y[c]) / size).cast("long") for c in ("minx", "miny")]
+    same = (F.col("_at_l") == F.col("_at_r")) & (F.col("_cell_l.x") == F.col("_cell_r.x")) & (F.col("_cell_l.y") == F.col("_cell_r.y"))
+    owns = (F.col("_at_l") == F.greatest("_level_l", "_level_r")) & (F.col("_cell_l.x") == corner[0]) & (F.col("_cell_l.y") == corner[1])
+    met = a.join(b, same & envelopes_meet(x, y) & owns).drop(*[f"_{n}{s}" for n in ("level", "at", "cell") for s in ("_l", "_r")])
     if name == "envelope" and mask is None:
         return met
     register(left.sparkSession)
-    return met.where(relation(F.col(left_geometry)["wkb"], F.col(right_geometry)["wkb"], name, None, mask))
+    return met.where(relation(F.col(quoted(left_geometry))["wkb"], F.col(quoted(right_geometry))["wkb"], name, mask))

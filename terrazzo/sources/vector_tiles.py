@@ -1,6 +1,8 @@
 """Vector-tile sink: MVT 2.1 bytes of point, line and polygon features, a row a tile.
 
-A tile is one value, so its features meet in one task; nothing larger does.
+A feature goes whole into every tile that its envelope meets.  A tile is one value, so
+its features meet in one task; a tile of more than ``most`` features fails and says
+so, before it can exhaust that task.
 """
 
 from __future__ import annotations
@@ -14,8 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.functions import tiles
+from terrazzo.functions.crs import transform_geometry
+from terrazzo.functions.geometry import call, register, wkb_box
+from terrazzo.model import Box, FeatureQuery, Predicate
+from terrazzo.plans import execute
+from terrazzo.plans.dataset import Dataset, quoted
 
 EXTENT = 4096
+MOST_FEATURES = 5_000_000
 
 
 def _varint(n: int) -> bytes:
@@ -116,16 +124,36 @@ def encode_layer(name: str, features: list[tuple[bytes, dict]], bounds: tuple[fl
     return layer + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(2)
 
 
-def encode(df: DataFrame, z: int, lon: str, lat: str, wkb_mercator: str, properties: list[str], layer: str = "features") -> DataFrame:
-    """(z, x, y, n, tile) of points' tiles; ``wkb_mercator`` holds the geometry in Mercator metres."""
-    tx, ty = tiles.tile_of(F.col(lon), F.col(lat), z)
-    rows = df.select(tx.alias("tile_x"), ty.alias("tile_y"), F.col(wkb_mercator).alias("wkb"), F.struct(*properties).alias("properties"))
+def encode(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", most: int = MOST_FEATURES) -> DataFrame:
+    """(z, x, y, n, tile) of every tile that a feature meets; ``wkb_mercator`` holds the geometry in Mercator metres."""
+    wkb = F.col(wkb_mercator)
+    met = tiles.tiles_of(call("st_bounds", wkb), z)
+    register(df.sparkSession)
+    rows = df.select(wkb.alias("wkb"), F.struct(*properties).alias("properties"), F.explode(met).alias("at"))
+    rows = rows.select(F.col("at.x").alias("tile_x"), F.col("at.y").alias("tile_y"), "wkb", "properties")
 
     def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = (k.as_py() for k in key)
-        found = [(r["wkb"], r["properties"]) for b in batches for r in b.select(["wkb", "properties"]).to_pylist()]
+        found: list[tuple[bytes, tuple]] = []
+        for b in batches:
+            values = [b.column("properties").field(k).to_pylist() for k in range(len(properties))]
+            found += zip(b.column("wkb").to_pylist(), zip(*values, strict=True), strict=True)
+            if len(found) > most:
+                raise ValueError(f"tile {z}/{x}/{y} holds more than {most} features")
         found.sort(key=lambda f: (f[0], str(f[1])))
-        tile = _field(3, encode_layer(layer, found, tiles.tile_bounds(z, x, y)))
+        tile = _field(3, encode_layer(layer, [(g, dict(zip(properties, v, strict=True))) for g, v in found], tiles.tile_bounds(z, x, y)))
         yield pa.RecordBatch.from_arrays([pa.array([z], pa.int32()), pa.array([x], pa.int32()), pa.array([y], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([tile], pa.binary())], names=["z", "x", "y", "n", "tile"])
 
     return rows.groupBy("tile_x", "tile_y").applyInArrow(build, "z int, x int, y int, n long, tile binary")
+
+
+def tile(ds: Dataset, z: int, x: int, y: int, native: int, where: Predicate | None = None, properties: tuple[str, ...] | None = None, layer: str = "features") -> DataFrame:
+    """One tile of a dataset whose geometry is in the system ``native``: only features whose envelope meets the tile's box there are read."""
+    spark = register(ds.df.sparkSession)
+    bounds = tiles.tile_bounds(z, x, y)
+    box = spark.range(1).select(call("st_bounds", transform_geometry(F.lit(wkb_box(*bounds)), 3857, native))).first()[0]
+    near = execute.select(ds, FeatureQuery(where=where, box=Box(*box))).df
+    g = ds.geometries[0]
+    names = list(properties or [c for c in ds.fields if c not in ds.geometries])
+    rows = near.select(*[F.col(quoted(c)) for c in names], transform_geometry(F.col(quoted(g))["wkb"], native, 3857).alias("__wkb"))
+    return encode(rows, z, "__wkb", names, layer).where((F.col("x") == x) & (F.col("y") == y))
