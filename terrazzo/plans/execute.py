@@ -6,6 +6,7 @@ import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrazzo.model import AggregateQuery, AggregateSpec, FeatureQuery, Kind, Page, PlanError
@@ -14,6 +15,8 @@ from terrazzo.plans import validate
 from terrazzo.plans.dataset import ID, Dataset, quoted
 from terrazzo.plans.parse import render
 
+#: The accuracy of the percentile sketch: rank errors are at most one part in this many.
+SKETCH = 10000
 #: Up to this many ids are a literal list; more become a semi-join.
 LITERAL_IDS = 1000
 
@@ -41,7 +44,7 @@ def select(ds: Dataset, q: FeatureQuery) -> Dataset:
     if q.ids is not None:
         wanted = sorted({str(i) for i in q.ids})
         if len(wanted) <= LITERAL_IDS:
-            df = df.where(ds.feature_id().isin(wanted) if wanted else F.lit(False))
+            df = df.where(ds.lookup(wanted) if wanted else F.lit(False))
         else:
             keys = df.sparkSession.createDataFrame([(i,) for i in wanted], f"{ID} string")
             df = df.withColumn(ID, ds.feature_id()).join(keys, ID, "left_semi").drop(ID)
@@ -151,20 +154,80 @@ def statistic(ds: Dataset, s: AggregateSpec) -> Column:
         return F.var_samp(v).alias(s.name)
     if s.statistic == "stddev":
         return F.stddev_samp(v).alias(s.name)
-    direction = " DESC" if s.descending else ""
-    return F.expr(f"{s.statistic}({float(s.fraction)!r}D) WITHIN GROUP (ORDER BY cast({quoted(s.field)} AS double){direction})").cast("double").alias(s.name)
+    raise PlanError(f"{s.statistic} is no plain statistic")
+
+
+def percentiles(df: DataFrame, group_by: tuple[str, ...], specs: list[AggregateSpec]) -> DataFrame:
+    """The groups' exact percentiles, one field after another: a bounded sketch brackets each wanted rank, then only the bracket is sorted.
+
+    The sketch's rank error is at most one part in SKETCH of a group, so a bracket of a few such parts on both sides
+    holds the rank for certain; what is smaller than it is counted, what lies inside is summed up by value and ranked.
+    Nothing holds a group's values in one task but the bracket.
+    """
+    keys = [F.col(quoted(g)).alias(f"g{k}") for k, g in enumerate(group_by)]
+    names = [f"g{k}" for k in range(len(group_by))]
+    out = None
+    for n, s in enumerate(specs):
+        v = F.col(quoted(s.field)).cast("double")
+        values = df.select(*keys, (-v if s.descending else v).alias("v")).where("v is not null")
+        low, high = (min(max(s.fraction + k * 4.0 / SKETCH, 0.0), 1.0) for k in (-1, 1))
+        near = F.percentile_approx("v", [low, high], SKETCH)
+        small = F.count("*") <= SKETCH  # too few for the margin to hold a neighbour: all of them
+        bounds = values.groupBy(*names).agg(F.count("*").alias("n"), F.when(~small, near[0]).alias("low"), F.when(~small, near[1]).alias("high"))
+        joined = _same_groups(values, bounds, names)
+        # of equal values one row: what lies below the bracket is only counted
+        inside = (F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high")))
+        below = F.coalesce(F.col("v") < F.col("low"), F.lit(False))
+        counted = joined.where(inside | below).groupBy(*names, "n", F.when(inside, F.col("v")).alias("v"), below.alias("below")).agg(F.count("*").alias("c"))
+        order = W.partitionBy(*names).orderBy(F.col("below").desc(), "v").rowsBetween(W.unboundedPreceding, 0)
+        ranked = counted.withColumn("last", F.sum("c").over(order))
+        if s.statistic == "percentile_cont":
+            at = F.lit(float(s.fraction)) * (F.col("n") - 1)
+            under, over = F.floor(at), F.ceil(at)
+        else:
+            under = F.greatest(F.ceil(F.lit(float(s.fraction)) * F.col("n")) - 1, F.lit(0))
+            at, over = under, under
+        holds = lambda rank: F.max(F.when(~F.col("below") & (F.col("last") > rank) & (F.col("last") - F.col("c") <= rank), F.col("v")))  # noqa: E731, B023
+        found = ranked.groupBy(*names).agg(holds(under).alias("a"), holds(over).alias("b"), F.max(at - F.floor(at)).alias("part"))
+        value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))
+        found = found.select(*names, (-value if s.descending else value).alias(f"p{n}"))
+        out = found if out is None else _same_groups(out, found, names, "full")
+    return out
+
+
+def _same_groups(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``a`` beside ``b`` where all group columns are equal, null being a value; without group columns ``b`` is one row."""
+    if not names:
+        return a.crossJoin(F.broadcast(b))  # b is one row
+    renamed = b.select([F.col(c).alias(f"{c}_") if c in names else F.col(c) for c in b.columns])
+    test = F.lit(True)
+    for c in names:
+        test = test & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    met = a.join(renamed, test, how)
+    rest = [c for c in (*a.columns, *b.columns) if c not in names]
+    return met.select(*[F.coalesce(c, f"{c}_").alias(c) if how == "full" else F.col(c) for c in names], *rest)
 
 
 def aggregate(ds: Dataset, q: FeatureQuery, a: AggregateQuery) -> DataFrame:
     """Groups in first-seen order unless an order is given; HAVING, then the group page."""
     validate.aggregate_query(ds, a)
     chosen = select(ds, q)
-    specs = [statistic(chosen, s) for s in a.specs]
+    ranks = [s for s in a.specs if s.statistic.startswith("percentile")]
+    specs = [statistic(chosen, s) for s in a.specs if s not in ranks]
     if not a.group_by:
-        out = chosen.df.agg(*specs)
+        out = chosen.df.agg(*specs, F.lit(0).alias("__first"))
     else:
         first = F.min(F.struct(*chosen.ordinals())) if chosen.ordinals() else F.lit(0)
         out = chosen.df.groupBy(*[F.col(quoted(g)) for g in a.group_by]).agg(*specs, first.alias("__first"))
+    if ranks:
+        found = percentiles(chosen.df, a.group_by, ranks)
+        for k, g in enumerate(a.group_by):
+            found = found.withColumnRenamed(f"g{k}", f"__g{k}")
+        test = F.lit(True)
+        for k, g in enumerate(a.group_by):
+            test = test & F.col(quoted(g)).eqNullSafe(F.col(f"__g{k}"))
+        found = out.join(found if a.group_by else F.broadcast(found), test, "left")
+        out = found.select(*[F.col(quoted(g)) for g in a.group_by], *[F.col(f"p{ranks.index(s)}").alias(s.name) if s in ranks else F.col(quoted(s.name)) for s in a.specs], "__first")
     groups = Dataset(out, name="groups")
     if a.having is not None:
         out = out.where(compiling.predicate(groups, a.having))
