@@ -1,20 +1,28 @@
-"""Session helpers: the package on the executors, and the settings that results depend on."""
+"""Session helpers: the package on the executors, bounded batches, the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _SHIPPED = "terrazzo.shipped"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = "8m"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Puts this package on the executors' path, once a context, through Spark's own file server."""
+    """Puts this package on the executors' path, once a context, through Spark's own file server.
+
+    Rows go to Python workers in batches of BATCH, unless the session says otherwise: what a worker holds, and the JVM beside it.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "64MB"):  # Spark's default
+        spark.conf.set(_BATCH, BATCH)
     if getattr(context, _SHIPPED, None):
         return spark
     root = Path(__file__).resolve().parent
@@ -26,3 +34,23 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     setattr(context, _SHIPPED, True)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own, on a single machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = held.get() if held.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="terrazzo-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
