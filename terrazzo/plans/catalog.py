@@ -6,6 +6,7 @@ in doubles are rounded alike on both sides.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,11 @@ from terrazzo.functions import crs, tiles
 from terrazzo.functions import geometry as geo
 from terrazzo.functions.expressions import compile_expression, legacy_filter
 from terrazzo.model import AggregateQuery, AggregateSpec, Box, FeatureQuery, OrderTerm
-from terrazzo.operators import attachments, edits, identify, raster, related, shapes, spatial, temporal
+from terrazzo.operators import attachments, edits, identify, raster, related, served, shapes, spatial, temporal
 from terrazzo.plans import execute
 from terrazzo.plans.dataset import ID, Dataset
 from terrazzo.plans.parse import from_wire, parse_filter, parse_where
-from terrazzo.session import ship
+from terrazzo.session import shared_path, ship
 from terrazzo.sources import demo, ingest, vector_tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,10 +94,10 @@ def filter_in_not_in(spark, sf_dir):
     return execute.features(customers(spark, sf_dir), q)
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS __feature_id, p_name FROM part WHERE p_name LIKE '%1_' AND p_brand LIKE 'Brand#1%'")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS __feature_id, p_name FROM part WHERE p_name LIKE '%bol_' AND p_brand LIKE 'Brand#1%'")
 def filter_like(spark, sf_dir):
     ds = Dataset(table(spark, sf_dir, "part"), ("p_partkey",))
-    return execute.features(ds, FeatureQuery(where=parse_filter("p_name LIKE '%1_' AND p_brand LIKE 'Brand#1%'"), projection=("p_name",)))
+    return execute.features(ds, FeatureQuery(where=parse_filter("p_name LIKE '%bol_' AND p_brand LIKE 'Brand#1%'"), projection=("p_name",)))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS __feature_id, p_type FROM part WHERE lower(p_type) LIKE '%e%' AND lower(p_brand) LIKE 'brand#2%'")
@@ -128,9 +129,9 @@ def lookup_ids(spark, sf_dir):
     return execute.features(orders(spark, sf_dir), FeatureQuery(ids=("1", "2", "3", "7", "32", "100", "nothing"), projection=("o_totalprice",)))
 
 
-@query("SELECT l_orderkey || '|' || l_linenumber AS __feature_id, x, y FROM " + SITES_SQL + " WHERE x BETWEEN -10 AND 5 AND y BETWEEN 36 AND 55 AND l_quantity > 10")
+@query("SELECT l_orderkey || '|' || l_linenumber AS __feature_id, x, y FROM " + SITES_SQL + " WHERE x BETWEEN -10 AND 5 AND y BETWEEN -60 AND -20 AND l_quantity > 10")
 def bbox_filter(spark, sf_dir):
-    q = FeatureQuery(where=parse_filter("l_quantity > 10"), box=Box(-10, 36, 5, 55), projection=("x", "y"))
+    q = FeatureQuery(where=parse_filter("l_quantity > 10"), box=Box(-10, -60, 5, -20), projection=("x", "y"))
     return execute.features(sites(spark, sf_dir), q)
 
 
@@ -260,9 +261,9 @@ def ids_only(spark, sf_dir):
     return shapes.ids_only(Dataset(table(spark, sf_dir, "part"), ("p_partkey",)), FeatureQuery(where=parse_filter("p_size < 5")))
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN lower(p_name) LIKE '%a1%' THEN 'p_name' WHEN lower(p_brand) LIKE '%a1%' THEN 'p_brand' ELSE 'p_type' END AS found_field FROM part WHERE lower(p_name) LIKE '%a1%' OR lower(p_brand) LIKE '%a1%' OR lower(p_type) LIKE '%a1%'")
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN lower(p_name) LIKE '%ll%' THEN 'p_name' WHEN lower(p_brand) LIKE '%ll%' THEN 'p_brand' ELSE 'p_type' END AS found_field FROM part WHERE lower(p_name) LIKE '%ll%' OR lower(p_brand) LIKE '%ll%' OR lower(p_type) LIKE '%ll%'")
 def find_text(spark, sf_dir):
-    return shapes.find_text(Dataset(table(spark, sf_dir, "part"), ("p_partkey",)), "A1", ("p_name", "p_brand", "p_type")).select("p_partkey", "found_field")
+    return shapes.find_text(Dataset(table(spark, sf_dir, "part"), ("p_partkey",)), "Ll", ("p_name", "p_brand", "p_type")).select("p_partkey", "found_field")
 
 
 @query("SELECT 'customer' AS layer, c_nationkey AS nation, c_acctbal AS balance FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'supplier', s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 7000")
@@ -288,9 +289,9 @@ _EVENTS_SQL = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts EN
 _WINDOW = "TIMESTAMP '2024-01-01'", "TIMESTAMP '2024-02-01'"
 
 
-@query(f"SELECT event_id FROM {_EVENTS_SQL} WHERE (began IS NULL OR ended IS NULL OR began <= ended) AND (ended IS NULL OR ended >= {_WINDOW[0]}) AND (began IS NULL OR began < {_WINDOW[1]} + INTERVAL 1 MILLISECOND)")
+@query(f"SELECT event_id FROM {_EVENTS_SQL} WHERE (began IS NULL OR ended IS NULL OR began <= ended) AND (ended IS NULL OR ended >= TIMESTAMP '2024-01-10') AND (began IS NULL OR began < TIMESTAMP '2024-01-12' + INTERVAL 1 MILLISECOND)")
 def temporal_overlaps(spark, sf_dir):
-    return temporal.extent(_events(spark, sf_dir), _START, _END).select("event_id")
+    return temporal.extent(_events(spark, sf_dir), 1704844800000, 1705017600000).select("event_id")
 
 
 @query(f"SELECT event_id FROM {_EVENTS_SQL} WHERE (began IS NULL OR ended IS NULL OR began <= ended) AND (began IS NULL OR began < {_WINDOW[0]} + INTERVAL 1 MILLISECOND) AND (ended IS NULL OR ended >= {_WINDOW[1]})")
@@ -350,10 +351,13 @@ def native_measures(spark, sf_dir):
     return _rounded(df.select("p_partkey", geo.ring_area(F.col("ring")).alias("area"), geo.path_length(F.col("ring")).alias("length")))
 
 
-@query("SELECT p_partkey, CAST(ceil(w / 0.7) AS BIGINT) + 1 AS n FROM " + PARCELS_SQL)
+@query("SELECT p_partkey, CAST(ceil(w / 0.7) AS BIGINT) + 1 AS n, round((ceil(w / 0.7) + 1) * (x0 + w / 2), 6) AS along, round((ceil(w / 0.7) + 1) * y0, 6) AS across FROM " + PARCELS_SQL)
 def densify(spark, sf_dir):
+    """Points of a densified line: how many, and the sums of their ordinates, which equal steps fix."""
     line = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct((F.col("x0") + F.col("w")).alias("x"), F.col("y0").alias("y")))
-    return parcels(spark, sf_dir).df.withColumn("line", line).select("p_partkey", F.size(geo.densify_path(F.col("line"), 0.7)).cast("long").alias("n"))
+    dense = parcels(spark, sf_dir).df.withColumn("line", line).withColumn("dense", geo.densify_path(F.col("line"), 0.7))
+    total = lambda f: F.aggregate("dense", F.lit(0.0), lambda s, p: s + p[f])
+    return _rounded(dense.select("p_partkey", F.size("dense").cast("long").alias("n"), total("x").alias("along"), total("y").alias("across")))
 
 
 @query("SELECT p_partkey, round(greatest(0, least(x0 + w, 101) - greatest(x0, 50)) * greatest(0, least(y0 + h, 93.5) - greatest(y0, 40)), 6) AS inside, round(w * h - greatest(0, least(x0 + w, 101) - greatest(x0, 50)) * greatest(0, least(y0 + h, 93.5) - greatest(y0, 40)), 6) AS outside FROM " + PARCELS_SQL + " WHERE x0 <= 101 AND x0 + w >= 50 AND y0 <= 93.5 AND y0 + h >= 40")
@@ -369,7 +373,7 @@ def overlay_areas(spark, sf_dir):
 def relation_contains(spark, sf_dir):
     """The protocol's ``contains``: the feature lies within the query geometry."""
     q = spatial.QueryGeometry(geo.wkb_box(20, 10, 150.5, 120.5), (20, 10, 150.5, 120.5), 2)
-    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", q, "within", mask="T*F**F***").select("p_partkey")
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", q, "contains").select("p_partkey")
 
 
 @query("SELECT p_partkey FROM " + PARCELS_SQL + " WHERE x0 <= 150.5 AND x0 + w >= 20 AND y0 <= 120.5 AND y0 + h >= 10")
@@ -390,6 +394,56 @@ def relation_overlaps(spark, sf_dir):
     return spatial.filter_by(parcels(spark, sf_dir).df, "shape", q, "overlaps").select("p_partkey")
 
 
+def _box_query(x0, y0, x1, y1) -> spatial.QueryGeometry:
+    return spatial.QueryGeometry(geo.wkb_box(x0, y0, x1, y1), (x0, y0, x1, y1), 2)
+
+
+@query("SELECT p_partkey FROM " + PARCELS_SQL + " WHERE x0 <= 49.25 AND x0 + w >= 49.75 AND y0 <= 77.25 AND y0 + h >= 77.75")
+def relation_within(spark, sf_dir):
+    """The protocol's ``within``: the query geometry lies within the feature."""
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", _box_query(49.25, 77.25, 49.75, 77.75), "within").select("p_partkey")
+
+
+_MEETS = "x0 <= 150 AND x0 + w >= 20 AND y0 <= 120 AND y0 + h >= 10"
+_INNER = "x0 < 150 AND x0 + w > 20 AND y0 < 120 AND y0 + h > 10"
+
+
+@query(f"SELECT p_partkey FROM {PARCELS_SQL} WHERE {_MEETS} AND NOT ({_INNER})")
+def relation_touches(spark, sf_dir):
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", _box_query(20, 10, 150, 120), "touches").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM " + PARCELS_SQL + " WHERE y0 < 60.5 AND y0 + h > 60.5 AND x0 < 150.5 AND x0 + w > 20.5")
+def relation_crosses(spark, sf_dir):
+    """Rectangles that a line crosses."""
+    line = struct.pack(">bII", 0, 2, 2) + struct.pack(">4d", 20.5, 60.5, 150.5, 60.5)
+    q = spatial.QueryGeometry(line, (20.5, 60.5, 150.5, 60.5), 1)
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", q, "crosses").select("p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM " + SITES_SQL + " WHERE x = 10 AND y BETWEEN -30 AND -20")
+def relation_equals(spark, sf_dir):
+    """Points that equal one of eleven positions; the union of the filters, which exclude each other."""
+    df = sites(spark, sf_dir).df
+    found = None
+    for y in range(-30, -19):
+        one = spatial.filter_by(df, "shape", spatial.QueryGeometry(geo.wkb_point(10, y), (10, y, 10, y), 0), "equals")
+        found = one if found is None else found.unionByName(one)
+    return found.select("l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT p_partkey FROM {PARCELS_SQL} WHERE NOT ({_MEETS})")
+def relation_mask_apart(spark, sf_dir):
+    """A mask that only shapes apart from each other satisfy, stated dimension by dimension."""
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", _box_query(20, 10, 150, 120), "relation", mask="FF2FF1212").select("p_partkey")
+
+
+@query(f"SELECT p_partkey FROM {PARCELS_SQL} WHERE NOT ({_INNER})")
+def relation_mask_inner_free(spark, sf_dir):
+    """A mask that touching and disjoint shapes satisfy alike."""
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", _box_query(20, 10, 150, 120), "relation", mask="F********").select("p_partkey")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM " + SITES_SQL + " WHERE sqrt((x - 10) ** 2 + (y - 20) ** 2) <= 12.5")
 def distance_band(spark, sf_dir):
     q = spatial.QueryGeometry(geo.wkb_point(10, 20), (10, 20, 10, 20), 0)
@@ -457,6 +511,23 @@ def utm_round_trip(spark, sf_dir):
     return there.select("l_orderkey", "l_linenumber", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
+@query("""WITH k AS (SELECT 0.003352810664747481 AS f), n AS (SELECT f / (2 - f) AS n FROM k),
+s AS (SELECT n, 2 * sqrt(n) / (1 + n) AS c, 6378137.0 / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) AS a,
+             n / 2 - 2 * n * n / 3 + 5 * n ** 3 / 16 AS a1, 13 * n * n / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM n),
+t AS (SELECT l_orderkey, l_linenumber, s.*, sinh(atanh(sin(radians(y))) - c * atanh(c * sin(radians(y)))) AS t, radians(x - 9) AS d
+      FROM """ + SITES_SQL + """, s WHERE x BETWEEN 6 AND 12 AND y BETWEEN 0 AND 80),
+u AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT l_orderkey, l_linenumber,
+       round(500000 + 0.9996 * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS east,
+       round(0.9996 * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS north
+FROM u""")
+def utm_forward(spark, sf_dir):
+    """Eastings and northings, which a transform that does nothing would miss."""
+    df = sites(spark, sf_dir).df.where("x between 6 and 12 and y between 0 and 80")
+    e, n = crs.transform(F.col("x"), F.col("y"), 4326, 32632)
+    return df.select("l_orderkey", "l_linenumber", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"))
+
+
 @query("SELECT CAST(least(greatest(floor((x + 180) / 360 * 64), 0), 63) AS INTEGER) AS tile_x, CAST(least(greatest(floor((0.5 - ln(tan(pi() / 4 + radians(greatest(least(y, 85.0511287798066), -85.0511287798066)) / 2)) / (2 * pi())) * 64), 0), 63) AS INTEGER) AS tile_y, count(*) AS n FROM " + SITES_SQL + " GROUP BY ALL")
 def tile_counts(spark, sf_dir):
     tx, ty = tiles.tile_of(F.col("x"), F.col("y"), 6)
@@ -467,7 +538,7 @@ def tile_counts(spark, sf_dir):
 def vector_tile(spark, sf_dir):
     df = sites(spark, sf_dir).df.where("abs(y) < 85")
     mx, my = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
-    return vector_tiles.encode(df.withColumn("m", geo.point(mx, my)["wkb"]), 3, "x", "y", "m", ["l_orderkey", "l_quantity"]).select("z", "x", "y", "n", F.sha2("tile", 256).alias("tile"))
+    return vector_tiles.encode(df.withColumn("m", geo.point(mx, my)["wkb"]), 3, "m", ["l_orderkey", "l_quantity"]).select("z", "x", "y", "n", F.sha2("tile", 256).alias("tile"))
 
 
 @query("SELECT 'point-' || lpad(CAST(k AS VARCHAR), 3, '0') AS __feature_id, CAST(k % 11 - 5 + k // 11 - 4 AS DOUBLE) AS value FROM (SELECT unnest(range(0, 110)) AS k) WHERE k % 11 - 5 BETWEEN -2 AND 3 AND k // 11 - 4 BETWEEN 0 AND 2")
@@ -475,22 +546,24 @@ def demo_points(spark, sf_dir):
     return execute.features(demo.points(spark), FeatureQuery(box=Box(-2, 0, 3, 2.5), projection=("value",)))
 
 
-@query("SELECT p_partkey, round(radians(x0) * 6378137.0, 2) AS minx, round(ln(tan(pi() / 4 + radians(y0 * 0.4) / 2)) * 6378137.0, 2) AS miny FROM " + PARCELS_SQL + " WHERE x0 < 170")
+@query("SELECT p_partkey, round(radians(x0 / 2) * 6378137.0, 2) AS minx, round(ln(tan(pi() / 4 + radians(y0 * 0.4) / 2)) * 6378137.0, 2) AS miny FROM " + PARCELS_SQL + "")
 def reprojected_shapes(spark, sf_dir):
     """Whole geometries to web Mercator, as a page with another output system has them."""
-    df = parcels(spark, sf_dir).df.where("x0 < 170")
-    g = geo.box(F.col("x0"), F.col("y0") * 0.4, F.col("x0") + F.col("w"), F.col("y0") * 0.4 + 1)["wkb"]
+    df = parcels(spark, sf_dir).df  # halved and scaled into the valid longitudes and latitudes
+    g = geo.box(F.col("x0") / 2, F.col("y0") * 0.4, (F.col("x0") + F.col("w")) / 2, F.col("y0") * 0.4 + 1)["wkb"]
     b = geo.call("st_bounds", crs.transform_geometry(g, 4326, 3857))
     return df.select("p_partkey", F.round(b[0], 2).alias("minx"), F.round(b[1], 2).alias("miny"))
 
 
-@query("SELECT s_suppkey, TRUE AS close FROM supplier")
+@query("""WITH p AS (SELECT s_suppkey, radians(s_suppkey % 60) AS lat, 0.0066943799901413165 AS e2 FROM supplier),
+r AS (SELECT *, 6378137.0 * (1 - e2) / pow(1 - e2 * sin(lat) * sin(lat), 1.5) AS m, 6378137.0 / sqrt(1 - e2 * sin(lat) * sin(lat)) AS n FROM p)
+SELECT s_suppkey, round(degrees(20000 / m), 3) AS north_south, round(2 * degrees(asin(sin(10000 / n) / cos(lat))), 3) AS east_west FROM r""")
 def geodesic_buffer(spark, sf_dir):
-    """Ground buffers of 10 km: the area in metres is that of the circle within the tolerance."""
+    """Ground buffers of 10 km: their extent in degrees, which the ellipsoid's radii of curvature fix."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", geo.point(F.expr("double(s_suppkey % 170)"), F.expr("double(s_suppkey % 60)"))["wkb"].alias("g"))
     ring = geo.call("st_geodesicbuffer", "g", F.lit(10000.0), F.lit(16))
     flat = geo.call("st_bounds", ring)
-    return s.select("s_suppkey", (F.abs((flat[3] - flat[1]) * 111000 - 20000) < 300).alias("close"))
+    return s.select("s_suppkey", F.round(flat[3] - flat[1], 3).alias("north_south"), F.round(flat[2] - flat[0], 3).alias("east_west"))
 
 
 @query("SELECT 'sites' AS layer, l_orderkey || '|' || l_linenumber AS feature_id FROM " + SITES_SQL + " WHERE sqrt((x - 10) ** 2 + (y - 20) ** 2) <= 4 AND l_quantity > 25 UNION ALL SELECT 'parcels', CAST(p_partkey AS VARCHAR) FROM " + PARCELS_SQL + " WHERE sqrt(greatest(x0 - 10, 0, 10 - x0 - w) ** 2 + greatest(y0 - 20, 0, 20 - y0 - h) ** 2) <= 4")
@@ -501,15 +574,19 @@ def identify_layers(spark, sf_dir):
     return identify.identify(layers, q, reach, {"sites": parse_filter("l_quantity > 25")}).select("layer", "feature_id")
 
 
-@query("SELECT attachment_id, name, content_type, size FROM (SELECT CAST(3 AS BIGINT) AS attachment_id, 'c' AS name, 'text/plain' AS content_type, 4 AS size UNION ALL SELECT 1, 'a', 'text/plain', 7)")
+@query("""WITH a AS (SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS feature_id, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS attachment_id FROM supplier)
+SELECT feature_id, CAST(attachment_id AS BIGINT) AS attachment_id, CASE WHEN attachment_id = 2 THEN 'second' ELSE name END AS name, CASE WHEN attachment_id = 2 THEN 7 ELSE 4 * length(name) END AS size
+FROM a WHERE attachment_id <> 3""")
 def attachment_edits(spark, sf_dir):
-    """Add three, replace one, delete one, list."""
+    """An attachment for each supplier, on its nation; every second one is replaced, every third deleted."""
     table_ = spark.createDataFrame([], attachments.SCHEMA)
-    rows = spark.sql("SELECT 'd' AS dataset, '1' AS feature_id, n AS name, 'text/plain' AS content_type, encode(n || n || n || n, 'UTF-8') AS content FROM VALUES ('a'), ('b'), ('c') AS t(n)")
+    key = [F.lit("d").alias("dataset"), F.col("s_nationkey").cast("string").alias("feature_id")]
+    rows = table(spark, sf_dir, "supplier").select(*key, F.col("s_name").alias("name"), F.lit("text/plain").alias("content_type"), F.encode(F.repeat("s_name", 4), "UTF-8").alias("content"))
     added = attachments.add(table_, rows)
-    updated = attachments.update(added, spark.sql("SELECT 'd' AS dataset, '1' AS feature_id, 1L AS attachment_id, 'a' AS name, 'text/plain' AS content_type, encode('changed', 'UTF-8') AS content"))
-    left = attachments.delete(updated, spark.sql("SELECT 'd' AS dataset, '1' AS feature_id, 2L AS attachment_id"))
-    return attachments.listed(left, "d", "1")
+    each = added.select("dataset", "feature_id").distinct()
+    fresh = each.select("dataset", "feature_id", F.lit(2).cast("long").alias("attachment_id"), F.lit("second").alias("name"), F.lit("text/plain").alias("content_type"), F.encode(F.lit("changed"), "UTF-8").alias("content"))
+    left = attachments.delete(attachments.update(added, fresh), each.withColumn("attachment_id", F.lit(3).cast("long")))
+    return left.select("feature_id", "attachment_id", "name", F.octet_length("content").alias("size"))
 
 
 # --- expressions, rasters, edits, files --------------------------------------------------------
@@ -558,9 +635,11 @@ def raster_statistics(spark, sf_dir):
     return _rounded(raster.band_statistics(_cells(spark, sf_dir)))
 
 
-@query(f"SELECT raster_id, band, value FROM {_CELLS_SQL} WHERE row = 7 AND col = 11")
+@query("SELECT 'r' AS raster_id, l_linenumber AS band, l_quantity * 4 AS value FROM lineitem WHERE l_orderkey % 50 = 7 AND l_partkey % 20 = 11")
 def raster_identify(spark, sf_dir):
-    return raster.identify(_cells(spark, sf_dir), "r", 7, 11)
+    """The values of one cell of a coarser raster, where many records meet."""
+    cells = _cells(spark, sf_dir).withColumns({"row": F.col("row") % 50, "col": F.col("col") % 20})
+    return raster.identify(cells, "r", 7, 11)
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 10 <> 3 AND NOT s_acctbal < 0 UNION ALL SELECT s_suppkey, CAST(1 AS DOUBLE) FROM supplier WHERE s_suppkey % 10 = 3 UNION ALL SELECT 1000000 + s_suppkey, s_acctbal FROM supplier WHERE s_suppkey < 4 AND NOT s_acctbal < 0")
@@ -574,10 +653,156 @@ def edit_snapshot(spark, sf_dir):
     return edits.delete_where(ds.with_df(updated), parse_filter("s_acctbal < 0"))
 
 
-@query()
+@query("""SELECT '{"type":"Feature","id":"' || l_orderkey || '|' || l_linenumber || '","geometry":{"type":"Point","coordinates":[' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT) || ']},"properties":{"l_partkey":' || l_partkey || ',"tag":"' || l_suppkey || ' \\"x\\""}}' AS feature
+FROM """ + SITES_SQL)
 def geojson_features(spark, sf_dir):
-    df = sites(spark, sf_dir).df.select(F.concat_ws("|", "l_orderkey", "l_linenumber").alias("id"), "x", "y", "l_quantity")
-    return ingest.to_geojson(df, "id", "x", "y")
+    named = sites(spark, sf_dir).df.select(F.concat_ws("|", "l_orderkey", "l_linenumber").alias("id"), "l_partkey", F.concat(F.col("l_suppkey").cast("string"), F.lit(' "x"')).alias("tag"), "shape")
+    return ingest.to_geojson(named, "id", "shape")
+
+
+def _exported(spark, sf_dir) -> DataFrame:
+    """Parcels as GeoJSON features: polygons, some of them without a shape, with properties of several JSON kinds."""
+    df = parcels(spark, sf_dir).df
+    code = F.lpad((F.col("p_partkey") % 1000).cast("string"), 4, "0")
+    some = F.when(F.col("p_partkey") % 9 != 0, F.col("shape"))
+    flat = df.select(F.col("p_partkey").cast("string").alias("id"), "p_brand", code.alias("code"), (F.col("p_partkey") + F.lit(1234567890123456789)).alias("big"), (F.col("w") / 2).alias("half"), (F.col("h") > 2).alias("tall"), some.alias("shape"))
+    return ingest.to_geojson(flat, "id", "shape")
+
+
+_INGESTED = "p_brand, lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') AS code, p_partkey + 1234567890123456789 AS big, w / 2 AS half, h > 2 AS tall"
+_AREA = "CASE WHEN p_partkey % 9 <> 0 THEN w * h END AS area"
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS feature_id, {_INGESTED}, {_AREA} FROM {PARCELS_SQL}")
+def ingest_ndjson(spark, sf_dir):
+    """Features written a line each and read again: kinds by JSON value, polygons decoded."""
+    path = shared_path(spark, "features")
+    _exported(spark, sf_dir).write.text(path)
+    df = ingest.read_ndjson(spark, path)
+    return df.withColumn("area", geo.call("st_area", F.col("geometry.wkb"))).drop("geometry")
+
+
+@query(f"SELECT p_brand, CAST(count(*) AS BIGINT) AS n, round(sum({_AREA[:-8]}), 6) AS area FROM {PARCELS_SQL} WHERE p_partkey < 5000 GROUP BY p_brand")
+def ingest_geojson(spark, sf_dir):
+    """Documents of one collection each, a brand a document."""
+    path = shared_path(spark, "collections")
+    named = _exported(spark, sf_dir).where(F.get_json_object("feature", "$.id").cast("long") < 5000).select("feature", F.get_json_object("feature", "$.properties.p_brand").alias("brand"))
+    documents = named.groupBy("brand").agg(F.concat_ws(",", F.collect_list("feature")).alias("f"))
+    documents.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("value"), F.xxhash64("brand").alias("part")).write.partitionBy("part").text(path)
+    read = ingest.read_geojson(spark, path)
+    return _rounded(read.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(geo.call("st_area", F.col("geometry.wkb"))).alias("area")))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS feature_id, c_name || ', \"' || c_mktsegment || '\"' AS label, CASE WHEN c_custkey % 11 = 0 THEN '#' || c_custkey || ' store' ELSE c_name END AS name, c_custkey + 1234567890123456789 AS big, c_acctbal, c_custkey % 2 = 0 AS even, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 180 AS DOUBLE) END AS x FROM customer")
+def ingest_csv(spark, sf_dir):
+    """Rows written with quotes, hash signs and empty cells, and read again."""
+    path = shared_path(spark, "rows")
+    df = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("#"), F.col("c_custkey").cast("string"), F.lit(" store"))).otherwise(F.col("c_name")).alias("name"),
+        F.col("c_custkey").alias("id"),
+        F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("label"),
+        (F.col("c_custkey") + F.lit(1234567890123456789)).alias("big"),
+        "c_acctbal",
+        (F.col("c_custkey") % 2 == 0).alias("even"),
+        F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 180).alias("lon"),
+        F.lit(1).alias("lat"),
+    )
+    df.write.csv(path, header=True, quote='"', escape='"')
+    read = ingest.read_csv(spark, path, identity="id")
+    return read.withColumn("x", F.col("geometry.env.minx")).drop("geometry", "id")
+
+
+# --- the served surface --------------------------------------------------------------------------
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS __feature_id, p_brand, x0 FROM " + PARCELS_SQL + " WHERE p_brand <> 'Brand#1' AND x0 <= 120 AND x0 + w >= 30 AND y0 <= 150 AND y0 + h >= 20 ORDER BY x0 DESC, p_partkey LIMIT 30 OFFSET 5")
+def served_query(spark, sf_dir):
+    """Request parameters to a page: text inequality, a box, output fields, order and offset."""
+    params = {"where": "p_brand <> 'Brand#1'", "geometry": "30,20,120,150", "spatialRel": "esriSpatialRelIntersects", "outFields": "p_brand,x0", "orderByFields": "x0 DESC", "resultOffset": "5", "resultRecordCount": "30", "returnGeometry": "false"}
+    return served.serve(parcels(spark, sf_dir), params)
+
+
+@query("SELECT p_brand, count(*) AS n, round(avg(x0), 6) AS mean FROM " + PARCELS_SQL + " WHERE sqrt(greatest(x0 - 50, 0, 50 - x0 - w) ** 2 + greatest(y0 - 60, 0, 60 - y0 - h) ** 2) <= 45 GROUP BY p_brand")
+def served_band_statistics(spark, sf_dir):
+    """Statistics of what lies within 0.045 km of a point, in a metric system."""
+    stats = '[{"statisticType":"count","onStatisticField":"p_partkey","outStatisticFieldName":"n"},{"statisticType":"avg","onStatisticField":"x0","outStatisticFieldName":"mean"}]'
+    params = {"geometry": '{"x":50,"y":60}', "distance": "0.045", "units": "esriSRUnit_Kilometer", "outStatistics": stats, "groupByFieldsForStatistics": "p_brand"}
+    return _rounded(served.serve(parcels(spark, sf_dir), params, native=32632))
+
+
+@query("SELECT l_orderkey || '|' || l_linenumber AS __feature_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 12")
+def filter_boolean(spark, sf_dir):
+    ds = lineitem(spark, sf_dir)
+    ds = ds.with_df(ds.df.withColumn("returned", F.col("l_returnflag") == "R"))
+    return execute.features(ds, FeatureQuery(where=parse_filter("returned = TRUE AND l_quantity < 12"), projection=("l_quantity",))).select(ID)
+
+
+_GUID = "lpad(CAST(p_partkey % 40 AS VARCHAR), 8, '0') || '-ABCD-4000-8000-000000000001'"
+
+
+@query(f"SELECT p_partkey FROM part WHERE {_GUID} IN ('00000007-ABCD-4000-8000-000000000001', '00000011-ABCD-4000-8000-000000000001')")
+def filter_guid(spark, sf_dir):
+    """Guids match whatever the case of their letters."""
+    guid = F.concat(F.lpad((F.col("p_partkey") % 40).cast("string"), 8, "0"), F.lit("-ABCD-4000-8000-000000000001"))
+    ds = Dataset(table(spark, sf_dir, "part").select("p_partkey", guid.alias("code", metadata={"kind": "guid"})), ("p_partkey",))
+    return execute.select(ds, FeatureQuery(where=parse_filter("code = '00000007-abcd-4000-8000-000000000001' OR code = '00000011-ABCD-4000-8000-000000000001'"))).df.select("p_partkey")
+
+
+@query(f"SELECT lower({_GUID}) AS unique_id FROM part WHERE p_size < 20")
+def unique_ids(spark, sf_dir):
+    guid = F.concat(F.lpad((F.col("p_partkey") % 40).cast("string"), 8, "0"), F.lit("-ABCD-4000-8000-000000000001"))
+    ds = Dataset(table(spark, sf_dir, "part").select("p_size", guid.alias("code", metadata={"kind": "guid"})), ("code",))
+    return shapes.unique_ids_only(ds, FeatureQuery(where=parse_filter("p_size < 20")))
+
+
+@query("SELECT l_orderkey || '|' || l_linenumber AS __feature_id, l_quantity FROM lineitem WHERE (l_orderkey = 3 AND l_linenumber = 2) OR (l_orderkey = 7 AND l_linenumber IN (1, 3)) OR (l_orderkey = 50 AND l_linenumber = 1)")
+def lookup_composite_ids(spark, sf_dir):
+    return execute.features(lineitem(spark, sf_dir), FeatureQuery(ids=("3|2", "7|1", "7|3", "50|1", "7", "x|1", "007|1"), projection=("l_quantity",)))
+
+
+@query(f"SELECT p_partkey, round(w * h + 2 * (w + h) + 16 * sin(pi() / 16), 6) AS buffered, TRUE AS valid, TRUE AS label_inside FROM {PARCELS_SQL}")
+def buffer_areas(spark, sf_dir):
+    """A rectangle with round corners of eight segments; a repaired rectangle; its label point."""
+    g = F.col("shape.wkb")
+    inside = geo.call("st_related", geo.call("st_labelpoint", g), g, F.lit("T*F**F***"))
+    return _rounded(parcels(spark, sf_dir).df.select("p_partkey", geo.call("st_area", geo.call("st_buffer", g, F.lit(1.0), F.lit(8))).alias("buffered"), geo.call("st_isvalid", geo.call("st_makevalid", g)).alias("valid"), inside.alias("label_inside")))
+
+
+@query("""WITH m AS (SELECT p_partkey, radians(x0 / 2) * 6378137.0 AS x0, radians((x0 + w) / 2) * 6378137.0 AS x1, ln(tan(pi() / 4 + radians(y0 * 0.4) / 2)) * 6378137.0 AS y0, ln(tan(pi() / 4 + radians(y0 * 0.4 + 1) / 2)) * 6378137.0 AS y1 FROM """ + PARCELS_SQL + """),
+t AS (SELECT x, y, (x / 32 - 0.5) * 2 * pi() * 6378137.0 AS a0, ((x + 1) / 32 - 0.5) * 2 * pi() * 6378137.0 AS a1, (0.5 - (y + 1) / 32) * 2 * pi() * 6378137.0 AS b0, (0.5 - y / 32) * 2 * pi() * 6378137.0 AS b1 FROM (SELECT unnest(range(0, 32)) AS x), (SELECT unnest(range(0, 32)) AS y))
+SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n FROM m JOIN t ON m.x0 <= a1 + 1e-6 AND m.x1 >= a0 - 1e-6 AND m.y0 <= b1 + 1e-6 AND m.y1 >= b0 - 1e-6 GROUP BY ALL""")
+def vector_tile_counts(spark, sf_dir):
+    """Shapes go into every tile that they meet, edges included."""
+    g = geo.box(F.col("x0") / 2, F.col("y0") * 0.4, (F.col("x0") + F.col("w")) / 2, F.col("y0") * 0.4 + 1)["wkb"]
+    df = parcels(spark, sf_dir).df.withColumn("m", crs.transform_geometry(g, 4326, 3857))
+    return vector_tiles.encode(df, 5, "m", ["p_partkey"]).select("x", "y", "n")
+
+
+_ALBERS_SQL = """WITH p AS (SELECT p_partkey, radians(-125 + x0 / 6) AS lon, radians(24 + y0 / 8) AS lat, sqrt(2 / 298.257222101 - 1 / 298.257222101 ** 2) AS e FROM """ + PARCELS_SQL + """),
+k AS (SELECT *, [sin(lat), sin(radians(29.5)), sin(radians(45.5)), sin(radians(23))] AS s FROM p),
+q AS (SELECT *, list_transform(s, lambda v: (1 - e * e) * (v / (1 - e * e * v * v) - ln((1 - e * v) / (1 + e * v)) / (2 * e))) AS q, list_transform(s, lambda v: (1 - v * v) / (1 - e * e * v * v)) AS mm FROM k),
+n AS (SELECT *, (mm[2] - mm[3]) / (q[3] - q[2]) AS n FROM q),
+r AS (SELECT *, 6378137.0 * sqrt(mm[2] + n * q[2] - n * q[1]) / n AS rho, 6378137.0 * sqrt(mm[2] + n * q[2] - n * q[4]) / n AS rho0, n * (lon - radians(-96)) AS theta FROM n)
+SELECT p_partkey, round(rho * sin(theta), 2) AS x, round(rho0 - rho * cos(theta), 2) AS y FROM r"""
+
+
+@query(_ALBERS_SQL)
+def transform_5070(spark, sf_dir):
+    """Positions to an equal-area system, against its formulas."""
+    x, y = crs.transform(F.col("x0") / 6 - 125, F.col("y0") / 8 + 24, 4269, 5070)
+    return parcels(spark, sf_dir).df.select("p_partkey", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+_POLAR_SQL = """WITH p AS (SELECT p_partkey, radians(x0 - 150) AS lon, radians(-60 - y0 / 10) AS lat, sqrt(2 / 298.257223563 - 1 / 298.257223563 ** 2) AS e FROM """ + PARCELS_SQL + """),
+t AS (SELECT *, tan(pi() / 4 + lat / 2) / pow((1 + e * sin(lat)) / (1 - e * sin(lat)), e / 2) AS t, tan(pi() / 4 - radians(71) / 2) / pow((1 - e * sin(radians(71))) / (1 + e * sin(radians(71))), e / 2) AS tf, cos(radians(71)) / sqrt(1 - e * e * sin(radians(71)) ** 2) AS mf FROM p)
+SELECT p_partkey, round(6378137.0 * mf * t / tf * sin(lon), 2) AS x, round(6378137.0 * mf * t / tf * cos(lon), 2) AS y FROM t"""
+
+
+@query(_POLAR_SQL)
+def transform_3031(spark, sf_dir):
+    """Positions to a polar system, against its formulas."""
+    x, y = crs.transform(F.col("x0") - 150, F.col("y0") / -10 - 60, 4326, 3031)
+    return parcels(spark, sf_dir).df.select("p_partkey", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
 def queries() -> dict[str, Query]:

@@ -43,10 +43,3 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-def test_vector_tiles_hold_every_point(spark, duck):
-    tiles = catalog.queries()["vector_tile"](spark, SF).collect()
-    ((n,),) = duck.sql(f"select count(*) from {catalog.SITES_SQL} where abs(y) < 85").fetchall()
-    assert sum(r["n"] for r in tiles) == n

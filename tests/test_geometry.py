@@ -61,8 +61,6 @@ def test_constructions(spark):
     ],
 )
 def test_relations(spark, name, feature, query, expected):
-    dimension = {"PO": 2, "LI": 1}[query[:2]] if query[:5] != "POINT" else 0
-    assert bool(one(spark, spatial.relation(wkt(feature), wkt(query), name, dimension))[0]) is expected
     assert bool(one(spark, spatial.relation(wkt(feature), wkt(query), name))[0]) is expected
 
 

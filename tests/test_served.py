@@ -22,7 +22,7 @@ def test_counts_and_filters(ds):
     serve = lambda **p: served.serve(ds, p)
     assert serve(where="value > 0", returnCountOnly="true").first()[0] == 55
     assert serve(geometry="-1,-1,1,1", returnCountOnly="true").first()[0] == 9
-    assert serve(geometry='{"x":0,"y":0}', distance="1.2", units="esriSRUnit_NauticalMile", returnCountOnly="true").first()[0] == 1
+    assert serve(geometry='{"x":0,"y":0}', distance="1.2", units="esriSRUnit_Minute", returnCountOnly="true").first()[0] == 1
     assert serve(geometry=json.dumps({"rings": [[[-1.5, -1.5], [-1.5, 1.5], [1.5, 1.5], [1.5, -1.5], [-1.5, -1.5]], [[-0.5, -0.5], [0.5, -0.5], [0.5, 0.5], [-0.5, 0.5], [-0.5, -0.5]]]}), returnCountOnly="true").first()[0] == 8
     assert serve(geometry="-1,-1,1,1", spatialRel="esriSpatialRelTouches", returnCountOnly="true").first()[0] == 8
     assert serve(geometry="-1,-1,1,1", spatialRel="esriSpatialRelRelation", relationMask="T*F**F***", returnCountOnly="true").first()[0] == 1
