@@ -20,12 +20,18 @@ Pages of a host with the same text by markup alone count as one, so copies are
 no boilerplate.
 
 The tree travels as counts: pages are cut into nodes (path, kind, value), which
-Spark counts; no host's pages ever meet in one task.
+Spark counts; a path begins with its host, so all trees are one table, and a host's
+pages or nodes never meet in one task.  That a node is important reaches all above
+it by pointer jumping, in as many rounds as the depth has binary digits.  The low
+branches are broadcast while they are at most MOST_BROADCAST; beyond that each page's
+paths are joined with them.
 
 Defined results: null html gives the empty text; a url without a host belongs to
 the host ""; unclosed or stray tags are repaired as browsers do in the common
 cases; an unclosed comment, script or style runs to the page's end; white space
-is what Unicode says; ``br`` is white space; repeated rows are read one by one.
+is what Unicode says; ``br`` is white space; repeated rows, and rows with a null
+page_id, are read one by one; pages of any length and depth are read whole; only page_id,
+url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -36,13 +42,16 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.llm.storage import written
+from terrazzo.llm.storage import drop, written
 
 THRESHOLD = 0.2
+#: Low branches that are broadcast, 16 bytes each.
+MOST_BROADCAST = 1 << 21
 
 # Elements and class names of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,8 +97,9 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-#: The path of what stands above all elements.
-ROOT = 0
+def root_of(host: str) -> int:
+    """The path of what stands above all elements of a host's pages."""
+    return _hash(f"host {host}")
 
 
 class _Zone:
@@ -112,9 +122,9 @@ class _Open:
         self.own: list[str] = []
 
 
-def walk(html: str, closed=None, low: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> Iterator[tuple[_Open, str]]:
+def walk(html: str, closed=None, low=frozenset(), inner=frozenset(), top: int = 0) -> Iterator[tuple[_Open, str]]:
     """(element, text) in page order, and (element, "") wherever a block begins or ends; ``closed`` sees each finished element."""
-    root = _Open("", ROOT, ROOT, False, None, False, False, False)
+    root = _Open("", top, top, False, None, False, False, False)
     stack = [root]
 
     def shut(k: int) -> Iterator[tuple[_Open, str]]:
@@ -183,7 +193,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def tree_counts(html: str) -> Iterator[tuple[int, str, int]]:
+def tree_counts(html: str, top: int = 0) -> Iterator[tuple[int, str, int]]:
     """(path, kind, value) of a page, each once: m (present; the value is the parent's path), s (presentation), c (content)."""
     seen = set()
 
@@ -196,13 +206,13 @@ def tree_counts(html: str) -> Iterator[tuple[int, str, int]]:
         if own:
             seen.add((path, "c", int.from_bytes(hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)))
 
-    for e, text in walk(html, closed):
+    for e, text in walk(html, closed, top=top):
         if text:
             e.own.append(text)
     yield from seen
 
 
-def main_text(html: str, low: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> str:
+def main_text(html: str, low=frozenset(), inner=frozenset(), top: int = 0) -> str:
     """The blocks of the page's important branches, joined by line breaks; an article that ``inner`` leaves nothing of stays whole."""
     article, rest, whole = [], [], []
     parts: tuple[list[str], ...] = ([], [], [])
@@ -216,7 +226,7 @@ def main_text(html: str, low: frozenset[int] = frozenset(), inner: frozenset[int
                 held.clear()
 
     # what a name calls noise is none if it holds more than half of the page's text
-    pieces, zones, total = [(e, text) for e, text in walk(html, low=low, inner=inner) if not (text and e.noise)], {}, 0
+    pieces, zones, total = [(e, text) for e, text in walk(html, low=low, inner=inner, top=top) if not (text and e.noise)], {}, 0
     for e, text in pieces:
         size, zone = len("".join(text.split())), e.zone
         total += size
@@ -243,7 +253,7 @@ def main_text(html: str, low: frozenset[int] = frozenset(), inner: frozenset[int
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, parent and own importance of every node of the site style trees: ``importance`` by the mean content, ``inside`` by the rarest."""
+    """path, parent and own importance of every node of the site style trees: ``importance`` by the mean content, ``inside`` by the rarest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = pa.struct([("path", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])
@@ -251,8 +261,9 @@ def importance(pages: DataFrame) -> DataFrame:
             rows: dict = {}
             for url, html in zip(batch.column("url"), batch.column("html"), strict=True):
                 html = html.as_py() or ""
-                if seen := sorted(tree_counts(html)):
-                    key = (host_of(url.as_py()), hashlib.blake2b(main_text(html).encode("utf-8", "replace"), digest_size=16).digest())
+                host = host_of(url.as_py())
+                if seen := sorted(tree_counts(html, root_of(host))):
+                    key = (host, hashlib.blake2b(main_text(html).encode("utf-8", "replace"), digest_size=16).digest())
                     rows[key] = min(seen, rows.get(key, seen))
             if rows:
                 host, text = zip(*rows, strict=True)
@@ -261,10 +272,10 @@ def importance(pages: DataFrame) -> DataFrame:
 
     rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, text binary, nodes array<struct<path:long,kind:string,value:long>>")
     once = rows.groupBy("host", "text").agg(F.min("nodes").alias("nodes"))  # a page and its copies count as one
-    values = once.select("host", F.inline("nodes")).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+    values = once.select(F.inline("nodes")).groupBy("path", "kind", "value").agg(F.count("*").alias("n"))
     s, c, m = (F.col("kind") == k for k in "scm")
     ln = F.log(F.col("n").cast("double"))
-    nodes = values.groupBy("host", "path").agg(
+    nodes = values.groupBy("path").agg(
         F.max(F.when(m, F.col("n"))).alias("m"),
         F.max(F.when(m, F.col("value"))).alias("parent"),
         F.sum(F.when(s, F.col("n"))).alias("styles"),
@@ -275,45 +286,98 @@ def importance(pages: DataFrame) -> DataFrame:
     base = F.log(F.col("m").cast("double"))
     style = (F.log(F.col("styles").cast("double")) - F.col("style_ln") / F.col("styles")) / base
     worth = lambda ln: F.when(F.col("m") <= 1, F.lit(1.0)).otherwise(F.greatest(F.coalesce(style, F.lit(0.0)), F.coalesce(F.lit(1.0) - ln / base, F.lit(0.0))))
-    return nodes.select("host", "path", "parent", worth(F.col("content_ln")).alias("importance"), worth(F.col("rarest_ln")).alias("inside"))
+    return nodes.select("path", "parent", worth(F.col("content_ln")).alias("importance"), worth(F.col("rarest_ln")).alias("inside"))
 
 
-def unimportant(minor: dict[int, int], kept: set[int]) -> list[int]:
-    """The paths of ``minor`` (path: parent) with nothing in ``kept`` (the paths that have an important child) at or below them; ``kept`` grows."""
-    work = list(kept)
-    while work:
-        above = minor.get(work.pop())
-        if above is not None and above not in kept:
-            kept.add(above)
-            work.append(above)
-    return [path for path in minor if path not in kept]
+def low_branches(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The paths of branches whose nodes are all worth less than ``threshold``: ``low`` outside of articles, ``inner`` inside; written.
+
+    Round k takes what is known of a node to the node 2^k levels above it; once a round tells nothing new, all that stand above an
+    important node are known.
+    """
+    state = written(nodes.select("path", "parent", (F.col("importance") >= threshold).alias("kept"), (F.col("inside") >= threshold).alias("inner_kept")), "site-nodes")
+    above = written(state.select("path", F.col("parent").alias("up")), "site-paths")
+    while True:
+        told = state.where("kept or inner_kept").join(above, "path").groupBy(F.col("up").alias("path")).agg(F.max("kept").alias("k"), F.max("inner_kept").alias("i"))
+        both = state.drop("told").join(told, "path", "left")
+        new = F.coalesce(F.col("k") & ~F.col("kept") | F.col("i") & ~F.col("inner_kept"), F.lit(False))
+        kept, inner = (F.col(c) | F.coalesce(f, F.lit(False)) for c, f in (("kept", "k"), ("inner_kept", "i")))
+        grown = written(both.select("path", kept.alias("kept"), inner.alias("inner_kept"), new.alias("told")), "site-nodes")
+        drop(state)
+        state = grown
+        if not state.where("told").limit(1).count():
+            break
+        further = written(above.join(above.select(F.col("path").alias("up"), F.col("up").alias("top")), "up").select("path", F.col("top").alias("up")), "site-paths")
+        drop(above)
+        above = further
+    found = written(state.where("not kept or not inner_kept").select("path", (~F.col("kept")).alias("low"), (~F.col("inner_kept")).alias("inner")), "site-trees")
+    drop(state, above)
+    return found
 
 
-def low_branches(nodes: DataFrame, threshold: float) -> DataFrame:
-    """host and the paths of its branches whose nodes are all worth less than ``threshold``: ``low`` anywhere, ``inner`` inside of articles."""
+class Paths:
+    """Sorted paths that answer ``in``, 8 bytes each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, inner = [], []
-            for held in batch.column("nodes").to_pylist():  # of nodes that are important either way only the parents travel
-                low.append(unimportant({x["path"]: x["parent"] for x in held if x["path"] is not None}, {x["parent"] for x in held if x["path"] is None}))
-                inner.append(unimportant({x["path"]: x["parent"] for x in held if x["path"] is not None and not x["inside"]}, {x["parent"] for x in held if x["inside"]}))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.int64())), pa.array(inner, pa.list_(pa.int64()))], names=["host", "low", "inner"])
+    def __init__(self, paths: np.ndarray):
+        self.paths = np.sort(paths)
 
-    held = F.struct(F.when(F.col("importance") < threshold, F.col("path")).alias("path"), "parent", (F.col("inside") >= threshold).alias("inside"))
-    return nodes.groupBy("host").agg(F.collect_set(held).alias("nodes")).mapInArrow(run, "host string, low array<long>, inner array<long>")
+    def __contains__(self, path: int) -> bool:
+        at = int(np.searchsorted(self.paths, path))
+        return at < len(self.paths) and self.paths[at] == path
 
+    def small(self):
+        """A set where that is small enough for a worker."""
+        return frozenset(self.paths.tolist()) if len(self.paths) <= MOST_BROADCAST >> 4 else self
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def paths_of(html: str, top: int) -> list[int]:
+    """The paths of a page's elements."""
+    seen: set[int] = set()
+    for _ in walk(html, lambda e: seen.add(e.path), top=top):
+        pass
+    return list(seen)
+
+
+def extract(pages: DataFrame, threshold: float = THRESHOLD, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url and text of every page."""
-    low = written(low_branches(importance(pages), threshold), "site-trees")  # its size is known from here on: broadcast if small, else joined by host
-    host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    found = low_branches(importance(pages), threshold)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("host", host).join(low, "host", "left").drop("host")
+    if found.count() <= most_broadcast:
+        held = found.toArrow()
+        column = lambda c: Paths(held.column("path").to_numpy()[held.column(c).to_numpy()])
+        trees = rows.sparkSession.sparkContext.broadcast((column("low"), column("inner")))
+        return rows.mapInArrow(lambda batches: _by_trees(batches, trees), _RESULT)
+
+    # a page is known by what it says; equal rows have equal texts
+    key = F.sha2(F.to_json(F.struct("page_id", "url", "html")), 256)
+    keyed = rows.withColumn("key", key)
+    at = keyed.select("key", "url", "html").mapInArrow(_page_paths, "key string, path long")
+    mine = at.join(found, "path").groupBy("key").agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_set(F.when(F.col("inner"), F.col("path"))).alias("inner"))
+    return keyed.join(mine, "key", "left").drop("key").mapInArrow(_by_columns, _RESULT)
+
+
+_RESULT = "page_id long, url string, text string"
+
+
+def _texts(batch: pa.RecordBatch, text_of) -> pa.RecordBatch:
+    texts = [text_of(k, (html.as_py() or ""), root_of(host_of(url.as_py()))) for k, (url, html) in enumerate(zip(batch.column("url"), batch.column("html"), strict=True))]
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _by_trees(batches: Iterator[pa.RecordBatch], trees) -> Iterator[pa.RecordBatch]:
+    low, inner = (paths.small() for paths in trees.value)
+    for batch in batches:
+        yield _texts(batch, lambda _, html, top: main_text(html, low, inner, top))
+
+
+def _page_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, url, html in zip(batch.column("key").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
+            paths = paths_of(html.as_py() or "", root_of(host_of(url)))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(paths), pa.string()), pa.array(paths, pa.int64())], names=["key", "path"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(h.as_py() or "", frozenset(x.as_py() or ()), frozenset(y.as_py() or ())) for h, x, y in zip(batch.column("html"), batch.column("low"), batch.column("inner"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+def _by_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low, inner = (batch.column(c) for c in ("low", "inner"))
+        yield _texts(batch, lambda k, html, top: main_text(html, frozenset(low[k].as_py() or ()), frozenset(inner[k].as_py() or ()), top))  # noqa: B023
