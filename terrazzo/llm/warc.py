@@ -7,11 +7,15 @@ every CHUNK_BYTES; a lost task's leftovers are never read.
 
 Reading: partitions are planned from the manifest (chunks of files) or, for
 other archives, one a file (.warc or .warc.gz).  Filters on record type and
-header columns are pushed down: of each record only the headers are inflated
-and parsed, and a payload is decoded only if they pass and payloads are wanted.
+header columns are pushed down: of each record the headers are read, inflated and
+parsed first; a payload is decoded only if they pass and payloads are wanted, and one that
+reaches beyond the read buffer is not even read where the record states its length.
 
 Defined results: null html is an empty payload; empty tables give an archive
-without records; repeated rows give repeated records.
+without records; repeated rows give repeated records, and of equal payloads all rows with
+the largest page_id are responses; a null page_id is smaller than any other, and such
+rows are responses where all copies are like them; pages of any length are one record
+each; only page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -157,12 +161,15 @@ class _Source:
         return out
 
     def skip(self, n: int) -> None:
-        n -= len(self.take(min(n, len(self.held))))
-        while n > 0:
-            got = len(self.take(min(n, 1 << 20)))
-            if not got:
-                return
-            n -= got
+        """Steps over ``n`` bytes; what is not in the buffer is not read."""
+        held = min(n, len(self.held))
+        self.held = self.held[held:]
+        n -= held
+        if n > 0:
+            n = n if self.left is None else min(n, self.left)
+            self.stream.seek(n, 1)
+            if self.left is not None:
+                self.left -= n
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -216,33 +223,51 @@ def _members(src: _Source, wanted) -> Iterator[tuple[dict[str, str], bytes | Non
                         raise ValueError("a gzip member ends inside its header")
                 at = src.held.index(b"\0", at) + 1
         at += 2 * bool(flags & 2)
-        if length is None:  # no length: inflate to the member's end
-            src.take(at)
-            d, parts = zlib.decompressobj(-15), []
-            while not d.eof:
-                if not src.fill(1):
-                    raise ValueError("a gzip member is cut short")
-                parts.append(d.decompress(src.held))
-                src.held = d.unused_data if d.eof else b""
-            src.take(8)
-            plain = b"".join(parts)
-            cut = plain.index(b"\r\n\r\n")
-            headers = parse_headers(plain[:cut])
-            yield headers, plain[cut + 4 : cut + 4 + int(headers.get("content-length", 0))] if wanted(headers) else None
-            continue
-        whole = src.take(length)
-        d = zlib.decompressobj(-15)
-        plain, rest = d.decompress(whole[at:-8], 2048), d.unconsumed_tail
-        while (cut := plain.find(b"\r\n\r\n")) < 0 and not d.eof:
-            plain += d.decompress(rest, 8192)
-            rest = d.unconsumed_tail
-        headers = parse_headers(plain[:cut])
-        if wanted(headers):
-            size = int(headers.get("content-length", 0))
-            plain += d.decompress(rest) + d.flush()
-            yield headers, plain[cut + 4 : cut + 4 + size]
-        else:
-            yield headers, None
+        yield from _sized(src, at, length, wanted) if length is not None else _unsized(src, at, wanted)
+
+
+def _sized(src: _Source, at: int, length: int, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """A member that states its length: its head alone is read and inflated until the record is wanted."""
+    d, plain, near = zlib.decompressobj(-15), b"", at
+    while (cut := plain.find(b"\r\n\r\n")) < 0 and near < length - 8:
+        src.fill(min(length, near + 2048))
+        upto = min(length - 8, len(src.held), near + 2048)
+        plain += d.decompress(src.held[near:upto])
+        near = upto
+    headers = parse_headers(plain[:cut])
+    if not wanted(headers):
+        src.skip(length)
+        yield headers, None
+        return
+    whole = src.take(length)
+    if len(whole) < length:
+        raise ValueError("a gzip member is cut short")
+    plain += d.decompress(whole[near:-8]) + d.flush()
+    yield headers, plain[cut + 4 : cut + 4 + int(headers.get("content-length", 0))]
+
+
+def _unsized(src: _Source, at: int, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """A member of unknown length is inflated to its end, but kept only if the record is wanted."""
+    src.take(at)
+    d, head, rest, headers = zlib.decompressobj(-15), b"", [], None
+    keep = False
+    while not d.eof:
+        if not src.fill(1):
+            raise ValueError("a gzip member is cut short")
+        piece = d.decompress(src.held)
+        src.held = d.unused_data if d.eof else b""
+        if headers is None:
+            head += piece
+            if (cut := head.find(b"\r\n\r\n")) >= 0:
+                headers = parse_headers(head[:cut])
+                keep = wanted(headers)
+                rest.append(head[cut + 4 :] if keep else b"")
+        elif keep:
+            rest.append(piece)
+    src.take(8)
+    if headers is None:
+        raise ValueError("a WARC record ends inside its headers")
+    yield headers, b"".join(rest)[: int(headers.get("content-length", 0))] if keep else None
 
 
 class WarcReader(DataSourceReader):
@@ -334,7 +359,15 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The records of an archive; filters on type and headers reach the reader."""
     register(spark)
-    return spark.read.format("terrazzo_warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("terrazzo_warc").option("payload", str(payload).lower()).load(_qualified(spark, path))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme is on the file system that Spark takes for such paths, not on a worker's own."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -378,6 +411,6 @@ def write(pages: DataFrame, path: str | None = None) -> str:
     """Writes an archive of pages to a folder (a new one in the shared folder if not named); returns its path."""
     spark = pages.sparkSession
     register(spark)
-    path = path or shared_path(spark, "warc")
+    path = _qualified(spark, path) if path else shared_path(spark, "warc")
     records(pages).write.format("terrazzo_warc").mode("append").option("path", path).save()
     return path

@@ -2,8 +2,11 @@
 
 import gzip
 import hashlib
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +87,74 @@ def test_site_tree_reaches_into_articles(spark):
     assert all(got[k].count("\n") >= 20 and f"only here {k}" in got[k] for k in (40, 41))
 
 
+def plain_trees(rows, threshold=sitetree.THRESHOLD):
+    """Low branches by dictionaries over all pages of each host."""
+    low, inner, hosts = set(), set(), {}
+    for _, url, html in rows:
+        hosts.setdefault(sitetree.host_of(url), {}).setdefault(sitetree.main_text(html or ""), []).append(html or "")
+    for host, texts in hosts.items():
+        seen, parent = {}, {}
+        for copies in texts.values():
+            for path, kind, value in min(sorted(sitetree.tree_counts(h, sitetree.root_of(host))) for h in copies):
+                seen.setdefault(path, []).append((kind, value))
+                if kind == "m":
+                    parent[path] = value
+
+        def worth(path, rarest):
+            m = sum(k == "m" for k, _ in seen[path])
+            if m <= 1:
+                return 1.0
+            count = lambda kind: Counter(v for k, v in seen[path] if k == kind)  # noqa: E731, B023
+            styles, contents = count("s"), count("c")
+            n = sum(styles.values())
+            style = -sum(c / n * math.log(c / n, m) for c in styles.values()) if n else 0.0
+            logs = [math.log(c, m) for c in contents.values()]
+            return max(style, 1 - (min(logs) if rarest else sum(logs) / len(logs)) if logs else 0.0)
+
+        for rarest, out in ((False, low), (True, inner)):
+            kept = {p for p in seen if worth(p, rarest) >= threshold}
+            for p in list(kept):
+                while (p := parent.get(p)) is not None and p not in kept and p in parent:
+                    kept.add(p)
+            out |= set(seen) - kept
+    return low, inner
+
+
+def sites_without_articles():
+    """Hosts of pages in nested boxes: menus, teasers and legal lines repeat, texts do not."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for host in range(4):
+        menu, legal = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(9))
+        for k in range(12):
+            paragraphs = "".join(f"<p>{' '.join(word() for _ in range(rng.randint(5, 20)))}</p>" for _ in range(rng.randint(1, 4)))
+            teaser = f"<div class='t{host}'><div><span>{rng.choice([menu, legal])}</span></div></div>" if host % 2 else ""
+            rows.append((len(rows), f"http://h{host}.example/{k}", f"<body><div class='a'><div>{menu}</div></div><div class='b{k % 2}'><div>{paragraphs}{teaser}</div></div><div class='z'><div><p>{legal}</p></div></div></body>"))
+    return rows + rows[:3] + [(None, "http://h0.example/x", "<div class='a'><div>other</div></div>"), (99, "no host", None)]
+
+
+@pytest.mark.parametrize("most", [sitetree.MOST_BROADCAST, 0])
+def test_against_plain_trees(spark, most):
+    rows = sites_without_articles()
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, path long, low string").repartition(3)
+    low, inner = plain_trees(rows)
+    want = sorted((str(i), sitetree.main_text(h or "", low, inner, sitetree.root_of(sitetree.host_of(u)))) for i, u, h in rows)
+    assert sorted((str(r["page_id"]), r["text"]) for r in sitetree.extract(df, most_broadcast=most).collect()) == want
+    assert low and any(sitetree.main_text(h or "") != dict(want).get(str(i)) for i, _, h in rows)  # the trees alone take boilerplate away
+
+
+def test_paths():
+    held = sitetree.Paths(np.array([5, -3, 1 << 62]))
+    assert 5 in held and -3 in held and 1 << 62 in held and 4 not in held and held.small() == {5, -3, 1 << 62} and 1 not in sitetree.Paths(np.zeros(0, np.int64))
+
+
+def test_very_long_page(spark):
+    words = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, "http://a/", f"<article><p>{words}</p></article>"), (1, "http://a/", f"<article><p>{words}</p></article>")]
+    assert [r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [words, words]
+
+
 def pages():
     big = "<p>é" + "z" * 1200
     return [(1, "http://a/1", big), (2, "http://a/2", big), (9, "http://a/9\n", big), (3, "http://a/3", "small"), (4, "http://a/4", "small"), (5, None, None), (6, "http://a/6", "x" * 300000)]
@@ -121,6 +192,45 @@ def test_foreign_archives(spark, tmp_path):
     assert warc.read(spark, str(tmp_path)).where("warc_type = 'response'").count() == 0
 
 
+def test_refused_payloads_are_not_read(tmp_path):
+    """Members that state their length, some far longer than the buffer."""
+    rng = random.Random(4)
+    sizes = [10, 500_000, 3000, 2_000_000, 70_000, 0]
+    plain = [warc.record_bytes([("WARC-Type", "response"), ("X-N", str(k)), ("X-Long", "v" * (5000 * (k % 2)))], rng.randbytes(n)) for k, n in enumerate(sizes)]
+
+    class Counted:
+        def __init__(self, data):
+            self.data, self.at, self.read_bytes = data, 0, 0
+
+        def read(self, n):
+            out = self.data[self.at : self.at + n]
+            self.at += len(out)
+            self.read_bytes += len(out)
+            return out
+
+        def seek(self, n, whence):
+            self.at += n
+
+    data = b"".join(map(warc.member, plain))
+    for keep in (set(), {"1", "4"}, set(map(str, range(6)))):
+        stream = Counted(data)
+        got = list(warc._members(warc._Source(stream, len(data)), lambda h: h["x-n"] in keep))  # noqa: B023
+        assert [h["x-n"] for h, _ in got] == list(map(str, range(6)))
+        assert [len(p) if p is not None else None for _, p in got] == [n if str(k) in keep else None for k, n in enumerate(sizes)]
+        assert keep or stream.read_bytes < len(data) / 4
+    wild = gzip.compress(plain[0]) + gzip.compress(plain[1])
+    got = list(warc._members(warc._Source(Counted(wild), None), lambda h: h["x-n"] == "1"))
+    assert [None if p is None else len(p) for _, p in got] == [None, 500_000]
+
+
+def test_repeated_and_null_page_ids(spark):
+    big = "z" * 1500
+    rows = [(1, "u", big, "a"), (7, "u", big, "b"), (7, "u", big, "c"), (None, "u", big, "d"), (None, None, "y" * 1200, "e"), (None, None, "y" * 1200, "f")]
+    path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, digest string"))
+    got = sorted((r["headers"].get("x-page-id", ""), r["warc_type"]) for r in warc.read(spark, path).collect())
+    assert got == [("", "response"), ("", "response"), ("", "revisit"), ("1", "revisit"), ("7", "response"), ("7", "response")]
+
+
 def test_empty_archive(spark):
     path = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read(spark, path).count() == 0
