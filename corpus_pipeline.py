@@ -10,6 +10,12 @@ return the columns of ``documents``:
 4. secrets: secrets are replaced by a mark, the document stays;
 5. tokens: byte-level BPE ids, checked by decoding.
 
+Defined results: a null text is empty, and the quality rules reject it; an empty table
+passes through all stages; of repeated rows one stays, by the second stage; rows with a
+null doc_id are judged by their texts and stay apart from each other unless they are near
+copies; texts of any length are read whole in every stage; extra columns pass through the
+first four stages, whatever they are called, and the last returns the columns of its own.
+
 SQL cannot express the fourth and fifth stage, so ORACLE_SQL is None; the tests
 hold the pipeline against a brute-force version.
 """

@@ -7,7 +7,10 @@ inserted backslash, backslashes are doubled first, and both steps undo exactly.
 Defined results: null text and null role are empty; turns with equal numbers go
 by role, then text; null turns come first; empty tables give no rows.  A
 conversation that breaks the turn order is formatted all the same, with
-``valid`` false and ``bad_turn`` the position of the first offending turn.
+``valid`` false and ``bad_turn`` the position of the first offending turn.  Repeated
+turns are turns; texts of any length are formatted whole; turns with a null conv_id are
+one conversation; only conv_id, turn, role and text are read, whatever other columns are
+called.  A conversation is one value, as its formatted text is.
 """
 
 from __future__ import annotations

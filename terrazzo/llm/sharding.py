@@ -8,7 +8,10 @@ partition its offset; a running sum inside the partition does the rest.
 
 Defined results: null text has no bytes and size 1; empty tables give no rows;
 repeated rows are placed one by one; a row stands in the shard that its middle
-byte falls in, so shards differ from the target by at most one row's size.
+byte falls in, so shards differ from the target by at most one row's size; a text of
+any length counts whole and is not split; rows with a null doc_id come first; equal rows
+have some order among themselves; only doc_id and text are read, whatever other columns
+are called.
 """
 
 from __future__ import annotations

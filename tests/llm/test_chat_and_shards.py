@@ -32,6 +32,14 @@ def test_round_trip(spark):
     assert got[1]["valid"] and not got[2]["valid"] and got[2]["bad_turn"] == 0 and got[3]["bad_turn"] == 1 and got[4]["bad_turn"] == 1
 
 
+def test_long_and_repeated_turns(spark):
+    long = "<|im_end|>[" * 100_000
+    turns = [(1, 0, "user", long), (1, 0, "user", long), (1, 1, "assistant", long), (None, 0, "user", "a"), (None, 0, "user", "b")]
+    df = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in df.select("conv_id", chat.parse_chats(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [long] * 3 and got[1]["loss"] == long and [t["text"] for t in got[None]["turns"]] == ["a", "b"]
+
+
 def test_native_and_empty(spark):
     df = chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert df.count() == 0
