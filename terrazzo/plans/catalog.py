@@ -682,13 +682,13 @@ def ingest_ndjson(spark, sf_dir):
     return df.withColumn("area", geo.call("st_area", F.col("geometry.wkb"))).drop("geometry")
 
 
-@query(f"SELECT p_brand, CAST(count(*) AS BIGINT) AS n, round(sum({_AREA[:-8]}), 6) AS area FROM {PARCELS_SQL} WHERE p_partkey < 5000 GROUP BY p_brand")
+@query(f"SELECT p_brand, CAST(count(*) AS BIGINT) AS n, round(sum({_AREA[:-8]}), 6) AS area FROM {PARCELS_SQL} GROUP BY p_brand")
 def ingest_geojson(spark, sf_dir):
-    """Documents of one collection each, a brand a document."""
+    """Documents of one collection of a thousand features each."""
     path = shared_path(spark, "collections")
-    named = _exported(spark, sf_dir).where(F.get_json_object("feature", "$.id").cast("long") < 5000).select("feature", F.get_json_object("feature", "$.properties.p_brand").alias("brand"))
-    documents = named.groupBy("brand").agg(F.concat_ws(",", F.collect_list("feature")).alias("f"))
-    documents.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("value"), F.xxhash64("brand").alias("part")).write.partitionBy("part").text(path)
+    named = _exported(spark, sf_dir).select("feature", F.expr("cast(get_json_object(feature, '$.id') as bigint) div 1000").alias("part"))
+    documents = named.groupBy("part").agg(F.concat_ws(",", F.collect_list("feature")).alias("f"))
+    documents.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("value"), "part").write.partitionBy("part").text(path)
     read = ingest.read_geojson(spark, path)
     return _rounded(read.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(geo.call("st_area", F.col("geometry.wkb"))).alias("area")))
 
