@@ -13,10 +13,14 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 JAR = Path(__file__).parent / "jts" / "terrazzo-geometry.jar"
 TYPE = "struct<wkb:binary,env:struct<minx:double,miny:double,maxx:double,maxy:double>>"
 
+#: The same type without a session, for data sources in workers.
+SPARK_TYPE = T.StructType([T.StructField("wkb", T.BinaryType()), T.StructField("env", T.StructType([T.StructField(n, T.DoubleType()) for n in ("minx", "miny", "maxx", "maxy")]))])
+
 #: SQL name, class, result type.
 FUNCTIONS = (
     ("st_area", "Area", "double"),
@@ -48,6 +52,7 @@ FUNCTIONS = (
     ("st_astext", "AsText", "string"),
     ("st_fromgeojson", "FromGeoJson", "binary"),
     ("st_asgeojson", "AsGeoJson", "string"),
+    ("st_asfeaturejson", "AsFeatureJson", "string"),
     ("st_bounds", "Bounds", "array<double>"),
 )
 

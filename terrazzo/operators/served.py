@@ -11,12 +11,11 @@ returnCentroid, returnGeometry.  Anything else is refused by name.
 from __future__ import annotations
 
 import json
-import struct
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.functions import crs
+from terrazzo.functions import crs, featurejson
 from terrazzo.functions import geometry as geo
 from terrazzo.model import AggregateQuery, AggregateSpec, FeatureQuery, OrderTerm, Page, PlanError
 from terrazzo.operators import shapes, spatial, temporal
@@ -63,48 +62,15 @@ def order_terms(text: str | None) -> tuple[OrderTerm, ...]:
     return tuple(out)
 
 
-def _path(points: list) -> bytes:
-    return struct.pack(">I", len(points)) + b"".join(struct.pack(">dd", float(x), float(y)) for x, y, *_ in points)
-
-
-def _turn(ring: list) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
-
-
 def query_geometry(text: str) -> spatial.QueryGeometry:
-    """A point, box, multipoint, polyline or polygon: ``x,y``, ``xmin,ymin,xmax,ymax`` or JSON.
-
-    Clockwise rings are outer, the others holes of the outer ring before them.
-    """
+    """A point, box, multipoint, polyline or polygon: ``x,y``, ``xmin,ymin,xmax,ymax`` or feature JSON."""
     try:
         g = json.loads(text) if text.lstrip().startswith("{") else [float(v) for v in text.split(",")]
         if isinstance(g, list):
             g = {"x": g[0], "y": g[1]} if len(g) == 2 else dict(zip(("xmin", "ymin", "xmax", "ymax"), g, strict=True))
-        if "xmin" in g:
-            b = tuple(float(g[k]) for k in ("xmin", "ymin", "xmax", "ymax"))
-            return spatial.QueryGeometry(geo.wkb_box(*b), b, 2)
-        if "x" in g:
-            x, y = float(g["x"]), float(g["y"])
-            return spatial.QueryGeometry(geo.wkb_point(x, y), (x, y, x, y), 0)
-        if "points" in g:
-            flat, dimension = g["points"], 0
-            wkb = struct.pack(">bII", 0, 4, len(flat)) + b"".join(geo.wkb_point(p[0], p[1]) for p in flat)
-        elif "paths" in g:
-            flat, dimension = [p for path in g["paths"] for p in path], 1
-            wkb = struct.pack(">bII", 0, 5, len(g["paths"])) + b"".join(struct.pack(">bI", 0, 2) + _path(path) for path in g["paths"])
-        else:
-            flat, dimension, parts = [p for ring in g["rings"] for p in ring], 2, []
-            for ring in g["rings"]:
-                ring = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-                if _turn(ring) <= 0 or not parts:
-                    parts.append([ring])
-                else:
-                    parts[-1].append(ring)
-            wkb = struct.pack(">bII", 0, 6, len(parts)) + b"".join(struct.pack(">bII", 0, 3, len(rings)) + b"".join(map(_path, rings)) for rings in parts)
-        xs, ys = [float(p[0]) for p in flat], [float(p[1]) for p in flat]
-        return spatial.QueryGeometry(wkb, (min(xs), min(ys), max(xs), max(ys)), dimension)
-    except (KeyError, IndexError, TypeError, ValueError) as e:
+    except (IndexError, ValueError) as e:
         raise PlanError(f"geometry: {e}") from e
+    return spatial.QueryGeometry(*featurejson.decode(g))
 
 
 def statistics(text: str, group_by: tuple[str, ...], having: str | None, order: tuple[OrderTerm, ...], limit: int | None, offset: int | None) -> AggregateQuery:

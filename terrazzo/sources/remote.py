@@ -1,8 +1,11 @@
 """A remote feature service as a data source (``format("terrazzo_remote")``): a partition a page, filters as its ``where``.
 
 Options: url (the layer), where (restricts further), page (rows a request).  The
-layer's JSON description gives the schema; a count request plans the pages.
-Comparisons on attributes are pushed as filter text; what has no text stays with Spark.
+layer's JSON description gives the schema, a geometry column included where the layer
+has one; a count request plans the pages, which are ordered by the object id so that they
+fit together.  Comparisons on attributes are pushed as filter text, bounds on the
+geometry's envelope as a box; what has no text stays with Spark.  With ``geometry`` false
+the geometry is neither asked for nor a column.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from terrazzo.functions import featurejson
+from terrazzo.functions.geometry import SPARK_TYPE
 from terrazzo.model import PlanError
 from terrazzo.plans.parse import KEYWORDS
 
@@ -35,6 +40,8 @@ from terrazzo.plans.parse import KEYWORDS
 TYPES = {"OID": LongType(), "Integer": LongType(), "SmallInteger": LongType(), "BigInteger": LongType(), "Single": DoubleType(), "Double": DoubleType(), "Date": LongType(), "Boolean": BooleanType()}
 _OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 TIMEOUT = 60
+#: The column of a layer's geometry.
+GEOMETRY = "geometry"
 
 
 def _get(url: str, **query) -> dict:
@@ -76,55 +83,91 @@ class _Pages(InputPartition):
         self.start, self.size = start, size
 
 
+#: Which side of the box a bound on the envelope gives: features left of a box's right side have a smaller minx.
+_SIDES = {(LessThanOrEqual, "minx"): "xmax", (GreaterThanOrEqual, "maxx"): "xmin", (LessThanOrEqual, "miny"): "ymax", (GreaterThanOrEqual, "maxy"): "ymin"}
+
+
 class RemoteReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.url, self.page, self.names = options["url"].rstrip("/"), int(options.get("page", 1000)), [f.name for f in schema.fields]
+        self.geometry = GEOMETRY if any(f.name == GEOMETRY and isinstance(f.dataType, StructType) for f in schema.fields) else None
+        self.object_id = options.get("objectid")
         self.where = [options["where"]] if options.get("where") else []
+        self.box: dict[str, float] = {}
 
     def pushFilters(self, filters: list) -> Iterable:
         for f in filters:
-            text = text_of(f)
+            path = getattr(f, "attribute", ())
+            if len(path) == 3 and path[:2] == (self.geometry, "env"):
+                side = _SIDES.get((type(f), path[2]))
+                if side:
+                    self.box[side] = float(f.value)
+                yield f  # the service may answer with more; Spark looks again
+                continue
+            text = text_of(f) if path != (self.geometry,) else None
             if text is None:
                 yield f
             else:
                 self.where.append(text)
 
     @property
-    def clause(self) -> str:
-        return " AND ".join(f"({w})" for w in self.where) or "1=1"
+    def query(self) -> dict:
+        out = {"where": " AND ".join(f"({w})" for w in self.where) or "1=1"}
+        if len(self.box) == 4:
+            out |= {"geometry": ",".join(repr(self.box[k]) for k in ("xmin", "ymin", "xmax", "ymax")), "geometryType": "esriGeometryEnvelope", "spatialRel": "esriSpatialRelEnvelopeIntersects"}
+        return out
 
     def partitions(self) -> Sequence[InputPartition]:
-        total = int(_get(f"{self.url}/query", where=self.clause, returnCountOnly="true")["count"])
+        total = int(_get(f"{self.url}/query", **self.query, returnCountOnly="true")["count"])
         return [_Pages(at, min(self.page, total - at)) for at in range(0, total, self.page)] or [_Pages(0, 0)]
 
     def read(self, partition: _Pages) -> Iterator[tuple]:
         at, end = partition.start, partition.start + partition.size
+        attributes = [n for n in self.names if n != self.geometry]
+        order = {"orderByFields": self.object_id} if self.object_id else {}
         while at < end:  # a service may answer with fewer rows than asked for
-            body = _get(f"{self.url}/query", where=self.clause, outFields=",".join(self.names), resultOffset=at, resultRecordCount=end - at, returnGeometry="false")
+            body = _get(f"{self.url}/query", **self.query, **order, outFields=",".join(attributes) or self.object_id or "*", resultOffset=at, resultRecordCount=end - at, returnGeometry=str(self.geometry is not None).lower())
             rows = body.get("features", [])
             if not rows:
                 return
             for row in rows:
                 values = row["attributes"]
-                yield tuple(values.get(n) for n in self.names)
+                yield tuple(_shape(row.get("geometry")) if n == self.geometry else values.get(n) for n in self.names)
             at += len(rows)
 
 
+def _shape(g: dict | None) -> dict | None:
+    """A geometry column's value; what is empty has no envelope and is null."""
+    if not g or all(not g.get(k) for k in ("rings", "paths", "points")) and g.get("x") in (None, "NaN") and "xmin" not in g:
+        return None
+    wkb, env, _ = featurejson.decode(g)
+    return {"wkb": wkb, "env": dict(zip(("minx", "miny", "maxx", "maxy"), env, strict=True))}
+
+
 class RemoteSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "terrazzo_remote"
 
     def schema(self) -> StructType:
-        fields = _get(self.options["url"].rstrip("/"))["fields"]
-        return StructType([StructField(f["name"], TYPES.get(f["type"].removeprefix("esriFieldType"), StringType())) for f in fields if not f["type"].endswith("Geometry")])
+        return _schema(_get(self.options["url"].rstrip("/")), self.options.get("geometry", "true") == "true")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return RemoteReader(dict(self.options), schema)
 
 
-def read(spark: SparkSession, url: str, where: str | None = None, page: int = 1000) -> DataFrame:
+def _schema(layer: dict, geometry: bool = True) -> StructType:
+    fields = [StructField(f["name"], TYPES.get(f["type"].removeprefix("esriFieldType"), StringType())) for f in layer["fields"] if not f["type"].endswith("Geometry")]
+    if geometry and layer.get("geometryType"):
+        fields.append(StructField(GEOMETRY, SPARK_TYPE))
+    return StructType(fields)
+
+
+def read(spark: SparkSession, url: str, where: str | None = None, page: int = 1000, geometry: bool = True) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RemoteSource)
-    reader = spark.read.format("terrazzo_remote").option("url", url).option("page", str(page))
+    layer = _get(url.rstrip("/"))
+    object_id = layer.get("objectIdField") or next((f["name"] for f in layer["fields"] if f["type"] == "esriFieldTypeOID"), None)
+    reader = spark.read.format("terrazzo_remote").option("url", url).option("page", str(page)).option("geometry", str(geometry).lower())
+    reader = reader.option("objectid", object_id) if object_id else reader
     return (reader.option("where", where) if where else reader).load()

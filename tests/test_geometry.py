@@ -1,6 +1,8 @@
 """Geometry, relations, joins, coordinate systems and tiles against known shapes."""
 
 import math
+import re
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,11 @@ def test_native_paths(spark):
     ring = F.array(p(0, 0), p(4, 0), p(4, 3), p(0, 3), p(0, 0))
     row = one(spark, geo.ring_area(ring), geo.path_length(ring), F.size(geo.densify_path(ring, 1.0)), geo.quantize(F.lit(2.5), 0.0, 1.0), geo.round_ordinates(F.lit(0.125), 2))
     assert tuple(row) == (12.0, 14.0, 15, 3.0, 0.12)
+
+
+def test_jar_holds_what_the_source_declares():
+    source = (geo.JAR.parent / "src/terrazzo/geometry/Functions.java").read_text()
+    declared = set(re.findall(r"^  (?:public )?(?:static )?(?:final )?(?:class|interface) (\w+)", source, re.M))
+    with zipfile.ZipFile(geo.JAR) as jar:
+        held = {m[1] for n in jar.namelist() if (m := re.fullmatch(r"terrazzo/geometry/Functions\$([A-Za-z]\w*)\.class", n))}
+    assert held == declared and {cls for _, cls, _ in geo.FUNCTIONS} <= held
