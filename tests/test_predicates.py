@@ -12,6 +12,7 @@ from terrazzo.plans import execute
 from terrazzo.plans.dataset import Dataset
 from terrazzo.plans.parse import from_wire, parse_filter, parse_where, render, validate_where
 
+# The conformance rows (GUID, SEEN, ROWS), and the cases with the codes that they must select.
 GUID = "11111111-2222-3333-4444-555555555555"
 SEEN = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=1700000000000)
 ROWS = [
