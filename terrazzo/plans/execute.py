@@ -17,6 +17,8 @@ from terrazzo.plans.parse import render
 
 #: The accuracy of the percentile sketch: rank errors are at most one part in this many.
 SKETCH = 10000
+#: Inputs of at most this many bytes, by Catalyst's own estimate, have their percentiles in one aggregate with the other statistics.
+IN_MEMORY = 1 << 29
 #: Up to this many ids are a literal list; more become a semi-join.
 LITERAL_IDS = 1000
 
@@ -154,7 +156,13 @@ def statistic(ds: Dataset, s: AggregateSpec) -> Column:
         return F.var_samp(v).alias(s.name)
     if s.statistic == "stddev":
         return F.stddev_samp(v).alias(s.name)
-    raise PlanError(f"{s.statistic} is no plain statistic")
+    direction = " DESC" if s.descending else ""
+    return F.expr(f"{s.statistic}({float(s.fraction)!r}D) WITHIN GROUP (ORDER BY cast({quoted(s.field)} AS double){direction})").cast("double").alias(s.name)
+
+
+def _bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the rows' size, from file sizes; filters do not lower it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def percentiles(df: DataFrame, group_by: tuple[str, ...], specs: list[AggregateSpec]) -> DataFrame:
@@ -208,11 +216,16 @@ def _same_groups(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner
     return met.select(*[F.coalesce(c, f"{c}_").alias(c) if how == "full" else F.col(c) for c in names], *rest)
 
 
-def aggregate(ds: Dataset, q: FeatureQuery, a: AggregateQuery) -> DataFrame:
-    """Groups in first-seen order unless an order is given; HAVING, then the group page."""
+def aggregate(ds: Dataset, q: FeatureQuery, a: AggregateQuery, in_memory: int = IN_MEMORY) -> DataFrame:
+    """Groups in first-seen order unless an order is given; HAVING, then the group page.
+
+    Percentiles of inputs beyond ``in_memory`` bytes are ranked by brackets, with the same results.
+    """
     validate.aggregate_query(ds, a)
     chosen = select(ds, q)
     ranks = [s for s in a.specs if s.statistic.startswith("percentile")]
+    if ranks and _bytes(chosen.df) <= in_memory:
+        ranks = []  # the aggregate keeps a group's distinct values, which is no more than all there is
     specs = [statistic(chosen, s) for s in a.specs if s not in ranks]
     if not a.group_by:
         out = chosen.df.agg(*specs, F.lit(0).alias("__first"))

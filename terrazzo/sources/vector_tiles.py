@@ -23,10 +23,11 @@ from terrazzo.plans import execute
 from terrazzo.plans.dataset import Dataset, quoted
 
 EXTENT = 4096
+_XY = struct.Struct(">dd").unpack_from
 MOST_FEATURES = 5_000_000
 
 
-def _varint(n: int) -> bytes:
+def _spelled(n: int) -> bytes:
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -35,6 +36,13 @@ def _varint(n: int) -> bytes:
     return bytes(out)
 
 
+_SHORT = [_spelled(n) for n in range(1 << 14)]
+
+
+def _varint(n: int) -> bytes:
+    return _SHORT[n] if n < 1 << 14 else _spelled(n)
+
+
 def _zigzag(n: int) -> int:
     return n << 1 if n >= 0 else (-n << 1) - 1
 
@@ -95,13 +103,21 @@ def encode_layer(name: str, features: list[tuple[bytes, dict]], bounds: tuple[fl
     body = []
     minx, miny, maxx, maxy = bounds
     half_up = lambda v: int(math.floor(abs(v) + 0.5)) * (1 if v >= 0 else -1)
+    sx, sy = extent / (maxx - minx), extent / (maxy - miny)
     for wkb, properties in features:
-        kind, parts = read_wkb(wkb)
         tags, commands, cx, cy = [], [], 0, 0
         for k, v in properties.items():
             if v is not None:
-                tags += [keys.setdefault(k, len(keys)), values.setdefault((type(v).__name__, v), len(values))]
-        shapes = [[(half_up((x - minx) * extent / (maxx - minx)), half_up((maxy - y) * extent / (maxy - miny))) for x, y in part] for part in parts]
+                tags += [keys.setdefault(k, len(keys)), values.setdefault((type(v), v), len(values))]
+        if len(wkb) == 21 and wkb[0] == 0:  # a plain point
+            x, y = _XY(wkb, 5)
+            if x == x:
+                geometry = (9, _zigzag(half_up((x - minx) * sx)), _zigzag(half_up((maxy - y) * sy)))
+                feature = _field(2, b"".join(map(_varint, tags))) if tags else b""
+                body.append(_field(2, feature + b"\x18\x01" + _field(4, b"".join(map(_varint, geometry)))))
+            continue
+        kind, parts = read_wkb(wkb)
+        shapes = [[(half_up((x - minx) * sx), half_up((maxy - y) * sy)) for x, y in part] for part in parts]
         if kind == 1:
             shapes = [[p for s in shapes for p in s]]
         for shape in shapes:

@@ -37,20 +37,29 @@ def rank(values, fraction, kind, descending):
     return values[low] + (values[math.ceil(at)] - values[low]) * (at - low)
 
 
+@pytest.mark.parametrize("in_memory", [0, 1 << 60])
 @pytest.mark.parametrize("fractions", [(0.0, 0.5, 1.0), (0.001, 0.25, 0.999)])
-def test_percentiles_are_exact_beyond_the_sketch(spark, fractions):
+def test_percentiles_are_exact_beyond_the_sketch(spark, fractions, in_memory):
     rng = random.Random(6)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, 7.0, round(rng.gauss(0, 50), 2), float(rng.randint(0, 9))])) for _ in range(90_000)] + [("c", None), ("d", 4.0)]
     ds = Dataset(spark.createDataFrame(rows, "g string, v double").repartition(4))
     specs = [AggregateSpec(kind, "v", f"{kind[11]}{k}{d}", f, d) for kind in ("percentile_cont", "percentile_disc") for k, f in enumerate(fractions) for d in (False, True)]
-    by_group = execute.aggregate(ds, FeatureQuery(), AggregateQuery((AggregateSpec("count", "*", "n"), *specs), ("g",))).collect()
+    by_group = execute.aggregate(ds, FeatureQuery(), AggregateQuery((AggregateSpec("count", "*", "n"), *specs), ("g",)), in_memory).collect()
     assert {r["g"] for r in by_group} == {"a", "b", "c", "d", None}
-    whole = execute.aggregate(ds, FeatureQuery(), AggregateQuery(tuple(specs))).collect()
+    whole = execute.aggregate(ds, FeatureQuery(), AggregateQuery(tuple(specs)), in_memory).collect()
     for r, values in [(r, [v for g, v in rows if g == r["g"] and v is not None]) for r in by_group] + [(whole[0], [v for _, v in rows if v is not None])]:
         for s in specs:
             assert r[s.name] == pytest.approx(rank(values, s.fraction, s.statistic, s.descending)), (r, s)
 
 
+def test_size_decides_how_percentiles_are_ranked(spark, tmp_path):
+    spark.range(1000).withColumn("v", F.col("id") / 3).write.parquet(f"{tmp_path}/t")
+    ds = Dataset(spark.read.parquet(f"{tmp_path}/t"))
+    a = AggregateQuery((AggregateSpec("percentile_cont", "v", "p", 0.5),))
+    plan = lambda most: execute.aggregate(ds, FeatureQuery(), a, most)._jdf.queryExecution().optimizedPlan().toString()
+    assert "approx" not in plan(execute.IN_MEMORY) and "approx" in plan(100)
+
+
 # --- merging and joining -----------------------------------------------------------------------
 
 
