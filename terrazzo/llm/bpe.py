@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from terrazzo.llm.storage import drop, written, written_by
+from terrazzo.llm.workers import tidy
 
 #: Characters of a block: what one task holds at once, with its distinct words.
 BLOCK_CHARS = 8 << 20
 #: Encoded words that a task remembers; beyond that it starts anew (more work, same ids).
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 #: A pattern under which any text is one piece.
 _WHOLE = r"(?s:.+)"
 
@@ -142,7 +143,7 @@ def tokenise_blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TABLE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), _TABLE)
 
 
 def _encode_words(words: DataFrame, ranks) -> DataFrame:
@@ -167,7 +168,7 @@ def _encode_words(words: DataFrame, ranks) -> DataFrame:
                 packed = pack(counts, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())))
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([part.as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["block", "part", "ids"])
 
-    return words.select("block", "part", "payload").mapInArrow(run, "block long, part int, ids binary")
+    return words.select("block", "part", "payload").mapInArrow(tidy(run), "block long, part int, ids binary")
 
 
 class Block:
@@ -243,7 +244,7 @@ def _run(docs: DataFrame, path: str, pattern: str, finish: Callable[[Block], Ite
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     joined = positions.join(encoded, "block", "left").select("doc_ids", "counts", "payload", "dealt", "ids")
-    result = written(joined.mapInArrow(run, from_arrow_schema(schema)), "bpe-result")
+    result = written(joined.mapInArrow(tidy(run), from_arrow_schema(schema)), "bpe-result")
     drop(table)
     shared.destroy()
     return result

@@ -51,6 +51,7 @@ from pyspark.sql.types import BooleanType, LongType, StructType
 
 from terrazzo.llm import graph, textvec
 from terrazzo.llm.storage import Bitmap, drop, unbucketed, unused, written, written_by
+from terrazzo.llm.workers import tidy
 
 WIDTH = 5
 ORDERS = 2
@@ -153,7 +154,7 @@ def profile(docs: DataFrame, salt: int) -> DataFrame:
                 seen.clear()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "counted boolean, doc_id long, sig long, n long, check long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "counted boolean, doc_id long, sig long, n long, check long")
 
 
 def profiled(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -340,8 +341,8 @@ def rare_buckets(docs: DataFrame, hot, salt: int, entries: int) -> DataFrame:
             leads = pa.StructArray.from_arrays([column(e.pos[of]), column(e.n[of]), pa.array(e.sig[of])], names=["pos", "n", "sig"])
             yield pa.RecordBatch.from_arrays([pa.array(e.token[at].view(np.int64)), pa.array(e.sig[at]), column(e.n[at]), column(e.pos[at]), leads], names=["token", "sig", "n", "pos", "lead"])
 
-    packed = _texts(docs).mapInArrow(pack, "range int, body binary")
-    return packed.repartitionById(ranges, F.col("range")).select("body").mapInArrow(gather, _BUCKETS)
+    packed = _texts(docs).mapInArrow(tidy(pack), "range int, body binary")
+    return packed.repartitionById(ranges, F.col("range")).select("body").mapInArrow(tidy(gather), _BUCKETS)
 
 
 def hot_buckets(docs: DataFrame, hot, salt: int) -> DataFrame:
@@ -351,7 +352,7 @@ def hot_buckets(docs: DataFrame, hot, salt: int) -> DataFrame:
         for e in _prefix_entries(batches, hot, salt, want_hot=True):
             yield pa.RecordBatch.from_arrays([pa.array(e.token.view(np.int64)), pa.array(e.sig), pa.array(e.n.astype(np.int32)), pa.array(e.pos.astype(np.int32))], names=["token", "sig", "n", "pos"])
 
-    rows = written(_texts(docs).mapInArrow(run, "token long, sig long, n int, pos int"), "frequent-prefixes")
+    rows = written(_texts(docs).mapInArrow(tidy(run), "token long, sig long, n int, pos int"), "frequent-prefixes")
     leads = rows.groupBy("token").agg(F.min(F.struct("pos", "n", "sig")).alias("lead"), F.max("sig").alias("_last"), F.min("sig").alias("_first")).where("_first < _last")
     table = written(rows.join(leads.select("token", "lead"), "token").dropDuplicates(["token", "sig"]), "frequent-buckets")
     drop(rows)
@@ -384,7 +385,7 @@ def payloads(docs: DataFrame, wanted: DataFrame, hot, salt: int, orders: int) ->
             yield pa.RecordBatch.from_arrays(columns, names=["sig", "body", *others])
 
     others = [f"order_{k}" for k in range(1, orders)]
-    packed = _texts(docs).mapInArrow(run, ", ".join(["sig long", "body binary", *(f"{c} array<int>" for c in others)]))
+    packed = _texts(docs).mapInArrow(tidy(run), ", ".join(["sig long", "body binary", *(f"{c} array<int>" for c in others)]))
     one = packed.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first(F.struct("body", *others)).alias("x"))
     table = written_by(one.select("sig", "x.*"), "sig", "bodies")
     asked.destroy()
@@ -440,7 +441,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(7 * shared >= 3 * (len(two[0]) + len(two[1])))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    links = written(_both(pairs, sets, ["body"]).select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long"), "links")
+    links = written(_both(pairs, sets, ["body"]).select("a", "b", "body_a", "body_b").mapInArrow(tidy(run), "a long, b long"), "links")
     drop(pairs)
     return links
 
@@ -530,7 +531,7 @@ def keep_one(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
                 sig[at] = np.concatenate([s.sig for _, _, s in _sets([batch.select(["text"]).take(pa.array(at))], salt)])
             yield batch.append_column(maybe_, pa.array(maybe)).append_column(sig_, pa.array(sig))
 
-    signed = docs.mapInArrow(run, StructType([*schema.fields]).add(maybe_, BooleanType()).add(sig_, LongType()))
+    signed = docs.mapInArrow(tidy(run), StructType([*schema.fields]).add(maybe_, BooleanType()).add(sig_, LongType()))
     affected = rows.select(F.col("doc_id").alias(id_), F.col("sig").alias(of_), F.col("stays").alias(stays_))
     asked = signed.where(F.col(maybe_)).join(affected, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(sig_) == F.col(of_)), "left")
     # of equal rows that stay any one is the same

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.llm import semicrf
+from terrazzo.llm.workers import tidy
 
 MODEL = Path(__file__).parent / "models" / "pii.json"
 TYPES = ("email", "ip", "card", "phone")
@@ -242,7 +243,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(kind))], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 # --- training ---------------------------------------------------------------------------------

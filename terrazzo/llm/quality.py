@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.llm import textvec
+from terrazzo.llm.workers import tidy
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -239,7 +240,7 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
                 )
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
@@ -253,4 +254,4 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
                 alive[at : at + len(offsets) - 1] = ~cascade.rejects(data, offsets)
             yield batch.filter(pa.array(alive))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.llm.crf import ChainCRF, fit
+from terrazzo.llm.workers import tidy
 
 MODEL = Path(__file__).parent / "models" / "secrets.json"
 # The base patterns, in the order that ties are listed in.
@@ -219,7 +220,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(kind))], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -245,7 +246,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 columns["n_chars"] = pa.compute.if_else(changed, same, columns["n_chars"])
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def digest(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:

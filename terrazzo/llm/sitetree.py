@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.llm.storage import drop, written
+from terrazzo.llm.workers import tidy
 
 THRESHOLD = 0.2
 #: Low branches that are broadcast, 16 bytes each.
@@ -270,7 +271,7 @@ def importance(pages: DataFrame) -> DataFrame:
                 nodes = [[{"path": p, "kind": k, "value": v} for p, k, v in seen] for seen in rows.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(text, pa.binary()), pa.array(nodes, pa.list_(node))], names=["host", "text", "nodes"])
 
-    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, text binary, nodes array<struct<path:long,kind:string,value:long>>")
+    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(tidy(run), "host string, text binary, nodes array<struct<path:long,kind:string,value:long>>")
     once = rows.groupBy("host", "text").agg(F.min("nodes").alias("nodes"))  # a page and its copies count as one
     values = once.select(F.inline("nodes")).groupBy("path", "kind", "value").agg(F.count("*").alias("n"))
     s, c, m = (F.col("kind") == k for k in "scm")
@@ -346,14 +347,14 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, most_broadcast: int
         held = found.toArrow()
         column = lambda c: Paths(held.column("path").to_numpy()[held.column(c).to_numpy()])
         trees = rows.sparkSession.sparkContext.broadcast((column("low"), column("inner")))
-        return rows.mapInArrow(lambda batches: _by_trees(batches, trees), _RESULT)
+        return rows.mapInArrow(tidy(lambda batches: _by_trees(batches, trees)), _RESULT)
 
     # a page is known by what it says; equal rows have equal texts
     key = F.sha2(F.to_json(F.struct("page_id", "url", "html")), 256)
     keyed = rows.withColumn("key", key)
-    at = keyed.select("key", "url", "html").mapInArrow(_page_paths, "key string, path long")
+    at = keyed.select("key", "url", "html").mapInArrow(tidy(_page_paths), "key string, path long")
     mine = at.join(found, "path").groupBy("key").agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_set(F.when(F.col("inner"), F.col("path"))).alias("inner"))
-    return keyed.join(mine, "key", "left").drop("key").mapInArrow(_by_columns, _RESULT)
+    return keyed.join(mine, "key", "left").drop("key").mapInArrow(tidy(_by_columns), _RESULT)
 
 
 _RESULT = "page_id long, url string, text string"
