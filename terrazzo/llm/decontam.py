@@ -14,7 +14,8 @@ those of its hashes that some sketch of some class could hold.
 Documents stream through once: the remaining hashes meet the sketches in a hash join
 whose small side is broadcast only if Spark measures it under its threshold, and
 pairs (document, item) survive.  Survivors' texts are read again and verified by
-the shingles themselves.
+the shingles themselves; a broadcast bitmap of bounded size tells most other texts apart
+first, so that only texts which may be survivors are ever shuffled.
 
 Words are runs of letters and digits in lower case, so punctuation and junk
 symbols cannot hide a copy.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrazzo.llm.storage import unused, written
+from terrazzo.llm.storage import Segments, unused, written
 
 WIDTH = 5
 THRESHOLD = 0.75
@@ -115,7 +116,9 @@ def _search(texts: DataFrame, items: DataFrame, threshold: float, width: int) ->
     hashed = texts.select("key", F.inline(_keyed(F.col("text"), widths, _hash, ceiling)).alias("w", "hash"))
     pairs = written(hashed.join(sketch.drop("size_class"), ["w", "hash"]).select("key", "item_id").distinct(), "bench-candidates")
 
-    suspects = texts.join(pairs.select("key").distinct(), "key", "left_semi")
+    found_in = pairs.select("key").distinct()
+    # texts that cannot be among them stay where they are
+    suspects = Segments(found_in, "key").marked(texts, F.col("key"), "maybe").where("maybe").select("key", "text").join(found_in, "key", "left_semi")
     exact = suspects.select("key", F.inline(_keyed(F.col("text"), widths, _text)).alias("w", "shingle"))
     found = exact.join(shingles, ["w", "shingle"]).select("key", "item_id", "n", "shingle").distinct()
     # every item a suspect shares shingles with is counted; those that pass the threshold are candidates by the sketch argument
@@ -139,5 +142,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width
     """The rows of ``docs`` that contain no item."""
     key = _row_key(F.col("doc_id"), F.col("text"))
     hits = written(_search(docs.select(key.alias("key"), F.col("text").cast("string").alias("text")), items, threshold, width).select("key").distinct(), "bench-hits")
-    hit = unused(docs, "hit")
-    return docs.join(hits.withColumnRenamed("key", hit), key == F.col(hit), "left_anti")
+    hit, maybe = unused(docs, "hit"), unused(docs, "maybe")
+    marked = Segments(hits, "key").marked(docs, key, maybe)
+    rest = marked.where(F.col(maybe)).join(hits.withColumnRenamed("key", hit), key == F.col(hit), "left_anti")
+    return marked.where(~F.col(maybe)).unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])

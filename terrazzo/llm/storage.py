@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.session import shared_path
@@ -89,3 +89,30 @@ class Bitmap:
     def may_hold(self, numbers: np.ndarray) -> np.ndarray:
         at = numbers.astype(np.int64) & np.int64((1 << self.bits) - 1)
         return (self.set[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+class Segments:
+    """The bitmap of some keys as a table of at most 2048 rows of 4 KB, for tests in Spark expressions.
+
+    It may be broadcast whatever the number of keys: beyond some ten millions it only lets more rows through.
+    """
+
+    BITS = 26
+
+    def __init__(self, keys: DataFrame, column: str):
+        segment, bit = self._place(F.col(column))
+        self.table = written(keys.where(F.col(column).isNotNull()).groupBy(segment.alias("segment")).agg(F.bitmap_construct_agg(bit).alias("bits")), "segments")
+
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        at = F.xxhash64(key).bitwiseAND(F.lit((1 << self.BITS) - 1))
+        return F.shiftright(at, 15).cast("int"), at.bitwiseAND(F.lit(32767))
+
+    def marked(self, df: DataFrame, key: Column, name: str) -> DataFrame:
+        """``df`` with the column ``name``: false only where the key is none of those held."""
+        segment, bit = self._place(key)
+        at, bits = unused(df, "segment"), unused(df, "bits")
+        held = F.broadcast(self.table.select(F.col("segment").alias(at), F.col("bits").alias(bits)))
+        joined = df.withColumn(name, bit).join(held, segment == F.col(at), "left")
+        byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(name, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        test = F.coalesce(F.getbit(byte, F.col(name).bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+        return joined.withColumn(name, test).drop(at, bits)

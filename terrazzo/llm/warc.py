@@ -42,13 +42,15 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from terrazzo.llm.storage import shared_path, written
+from terrazzo.llm.storage import Segments, shared_path, written
 
 MANIFEST = "_manifest.json"
 CHUNK_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 #: Payloads under this many bytes are never replaced by a revisit.
 REVISIT_BYTES = 1000
+#: Payloads with copies up to which all pages meet their table.
+MOST_PLAIN = 100_000
 
 SCHEMA = "record_id string, warc_type string, uri string, warc_date string, content_type string, content_length long, headers map<string,string>, payload binary"
 _ARROW = pa.schema(
@@ -370,19 +372,25 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, most_plain: int = MOST_PLAIN) -> DataFrame:
     """Records of pages (page_id, url, html): responses, and revisits of equal payloads.
 
     Of equal payloads of at least REVISIT_BYTES bytes the largest page_id responds.  Digests are
-    summed up by payload, so a payload that a third of the pages share needs one row a task; only
-    payloads with copies are joined back, by broadcast where that table is small.
+    summed up by payload, so a payload that a third of the pages share needs one row a task.  Only
+    payloads with copies are joined back: by broadcast where Spark finds their table small, else
+    pages that a bitmap tells to have none go past the join.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
     shared = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
     shared = written(shared.where("copies > 1").select("digest", "keeper"), "warc-copies")
-    joined = rows.join(shared, "digest", "left")
+    if shared.count() <= most_plain:
+        joined = rows.join(shared, "digest", "left")
+    else:
+        marked = Segments(shared, "digest").marked(rows, F.col("digest"), "maybe")
+        alone = marked.where("not maybe").withColumn("keeper", F.lit(None).cast("long"))
+        joined = marked.where("maybe").join(shared, "digest", "left").unionByName(alone)
     visit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     record = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return joined.select(

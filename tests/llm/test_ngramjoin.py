@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrazzo.llm import graph, ngramjoin
-from terrazzo.llm.storage import Bitmap
+from terrazzo.llm.storage import Bitmap, Segments
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -134,6 +135,16 @@ def test_bitmap(spark):
     assert not Bitmap(spark.createDataFrame([], "x long"), "x").may_hold(np.array(held)).any()
 
 
+def test_segments(spark):
+    keys = spark.range(0, 40_000, 7).select(F.concat(F.lit("k"), "id").alias("key"))
+    df = spark.range(50_000).select(F.concat(F.lit("k"), "id").alias("name"), (F.col("id") % 7 == 0).alias("bits"), F.lit(1).alias("segment"))
+    marked = Segments(keys, "key").marked(df, F.col("name"), "maybe")
+    assert set(marked.columns) == {"name", "bits", "segment", "maybe"} and marked.count() == 50_000
+    held = marked.join(keys, marked["name"] == keys["key"], "left_semi")
+    assert held.where("not maybe").count() == 0 and marked.where("maybe").count() < 1.02 * keys.count()
+    assert Segments(keys.limit(0), "key").marked(df, F.col("name"), "maybe").where("maybe").count() == 0
+
+
 def test_repeated_rows_and_null_ids_stay_once(spark):
     text = " ".join(f"w{k}" for k in range(80))
     rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (1, "other words that stand alone here now", "c"), (None, text, "d"), (None, "so few", "e"), (None, "so few", "e"), (3, None, "f"), (3, None, "f")]

@@ -172,6 +172,12 @@ def test_archive(spark):
     assert rows[1]["headers"]["warc-refers-to"] == "<urn:page:9>"
 
 
+def test_records_are_the_same_by_bitmap(spark):
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(2)
+    plain, split = (sorted(map(str, warc.records(df, most).collect())) for most in (10, 0))
+    assert plain == split and sum("'revisit'" in r for r in plain) == 2
+
+
 def test_pushdown(spark):
     path = warc.write(spark.createDataFrame(pages(), "page_id long, url string, html string"))
     df = warc.read(spark, path, payload=False).where("warc_type = 'response' and uri like 'http://a/3%' and content_length > 1")
