@@ -54,6 +54,8 @@ FUNCTIONS = (
     ("st_asgeojson", "AsGeoJson", "string"),
     ("st_asfeaturejson", "AsFeatureJson", "string"),
     ("st_bounds", "Bounds", "array<double>"),
+    ("st_parts", "Parts", "array<binary>"),
+    ("st_ordinates", "Ordinates", "array<double>"),
 )
 
 

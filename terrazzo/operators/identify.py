@@ -7,13 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.functions.geometry import wkb_point
+from terrazzo.functions.geometry import encode, wkb_point
 from terrazzo.functions.tiles import MAX_ZOOM
 from terrazzo.model import PlanError, Predicate
 from terrazzo.operators import shapes
 from terrazzo.operators.spatial import QueryGeometry, within_distance
 from terrazzo.plans.compile import predicate
-from terrazzo.plans.dataset import Dataset
+from terrazzo.plans.dataset import Dataset, quoted
 
 
 def tolerance(extent: tuple[float, float, float, float], width: int, height: int, pixels: float) -> float:
@@ -48,6 +48,14 @@ def clip(wkb: Column, env: Column, frame: bytes, bounds: tuple[float, float, flo
     return F.when(inside, wkb).otherwise(F.call_function("st_intersection", wkb, F.lit(frame)))
 
 
+def simplified(df: DataFrame, geometry: str, bounds: tuple[float, float, float, float], pixels: int, tolerance_pixels: float = 1.0) -> DataFrame:
+    """What a view shows: features whose envelope meets it, generalised to some pixels; what has nothing left is dropped."""
+    env = F.col(quoted(geometry))["env"]
+    near = df.where((env["minx"] <= bounds[2]) & (env["maxx"] >= bounds[0]) & (env["miny"] <= bounds[3]) & (env["maxy"] >= bounds[1]))
+    shape = encode(F.call_function("st_generalize", F.col(quoted(geometry))["wkb"], F.lit(tolerance(bounds, pixels, pixels, tolerance_pixels))))
+    return near.withColumn(geometry, shape).where(F.col(quoted(geometry))["env"].isNotNull())
+
+
 def feature_info(layers: dict, box: tuple[float, float, float, float], width: int, height: int, i: int, j: int, pixels: float = 3, definitions: dict | None = None) -> DataFrame:
     """What a map image of ``box`` shows at pixel (i, j), counted from the top left: features within some pixels of its centre."""
     if not (0 <= i < width and 0 <= j < height):

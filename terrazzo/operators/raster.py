@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrazzo.operators import served, shapes
+from terrazzo.plans.dataset import Dataset
+
 BINS = 256
 
 
@@ -34,6 +37,16 @@ def identify(cells: DataFrame, raster_id, row: int, col: int) -> DataFrame:
     return cells.where((F.col("raster_id") == raster_id) & (F.col("row") == row) & (F.col("col") == col)).select("raster_id", "band", "value")
 
 
+def catalog_query(items: Dataset, params: dict[str, str], native: int = 4326) -> DataFrame:
+    """The catalogue's items by the same requests as any layer: where, geometry, time, order, page, statistics."""
+    return served.serve(items, params, native)
+
+
+def find(items: Dataset, text: str, fields: tuple[str, ...] | None = None, contains: bool = True) -> DataFrame:
+    """Items with a literal text in a string field."""
+    return shapes.find_text(items, text, fields, contains)
+
+
 def classified(cells: DataFrame, attributes: DataFrame) -> DataFrame:
     """Cells with their category from an attribute table (value, category); unknown values stay, without one."""
     return cells.join(attributes, "value", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrazzo.model import FeatureQuery, OrderTerm, Predicate
+from terrazzo.model import FeatureQuery, OrderTerm, PlanError, Predicate
 from terrazzo.plans import compile as compiling
 from terrazzo.plans.dataset import Dataset, quoted
 
@@ -23,6 +23,17 @@ class Relationship:
     join_related: str | None = None
 
 
+# Request parameters that a traversal refuses; it returns every related record of each origin record, whole.
+REFUSED = ("returnIdsOnly", "returnCountOnly", "returnExtentOnly", "returnDistinctValues", "outStatistics", "uniqueIds", "resultPaginationToken", "resultOffset", "resultRecordCount")
+
+
+def check_parameters(params: dict[str, str]) -> None:
+    """Counts, aggregates and pages are asked of the related layer itself."""
+    for name in REFUSED:
+        if params.get(name) not in (None, "", "false", False):
+            raise PlanError(f"{name} is not supported for related records")
+
+
 def related(
     origin: Dataset,
     target: Dataset,

@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.model import AggregateQuery, FeatureQuery, Kind, PlanError
+from terrazzo.model import AggregateQuery, FeatureQuery, Kind, OrderTerm, Page, PlanError, Predicate
 from terrazzo.plans import execute
 from terrazzo.plans.compile import fold
-from terrazzo.plans.dataset import Dataset, quoted
+from terrazzo.plans.dataset import ID, Dataset, quoted
+from terrazzo.sources.ingest import with_ordinal
 
 SHAPES = ("ids_only", "count_only", "extent_only", "distinct_values", "unique_ids_only")
 MAX_BREAKS, MAX_UNIQUE = 32, 64
@@ -34,6 +35,13 @@ def ids_only(ds: Dataset, q: FeatureQuery) -> DataFrame:
     return chosen.df.select(chosen.feature_id().alias("object_id"))
 
 
+def with_object_ids(ds: Dataset, name: str = "object_id") -> DataFrame:
+    """Each row with its object id: the single integer identity, else the place in scan order, from 1."""
+    if len(ds.ids) == 1 and ds.kind(ds.ids[0]) is Kind.INT64:
+        return ds.df.withColumn(name, F.col(quoted(ds.ids[0])).cast("long"))
+    return with_ordinal(ds.df, name)
+
+
 def unique_ids_only(ds: Dataset, q: FeatureQuery) -> DataFrame:
     """A single text identity; guids in lower case."""
     if len(ds.ids) != 1 or ds.kind(ds.ids[0]) not in (Kind.STRING, Kind.GUID):
@@ -107,3 +115,18 @@ def layers(parts: dict[str, DataFrame]) -> DataFrame:
     """One query over several layers: rows side by side under the layer's name, columns by name."""
     named = [df.withColumn("layer", F.lit(n)) for n, df in parts.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def layers_page(parts: dict[str, Dataset], where: dict[str, Predicate] | None = None, order: tuple[OrderTerm, ...] = (), limit: int | None = None, offset: int = 0) -> Page:
+    """One page over several layers: the sort keys (null where a layer lacks one), then the layer's place, then the id as text; with the number matched."""
+    chosen = {n: execute.select(ds, FeatureQuery(where=(where or {}).get(n))) for n, ds in parts.items()}
+    rows = layers({n: c.df.select(c.feature_id().alias(ID), *[F.col(quoted(f)) for f in c.fields]) for n, c in chosen.items()})
+    place = F.element_at(F.create_map(*[F.lit(v) for k, n in enumerate(parts) for v in (n, k)]), F.col("layer"))
+    known = {f for ds in parts.values() for f in ds.fields}
+    if unknown := [t.field for t in order if t.field not in known]:
+        raise PlanError(f"no layer has a field {unknown[0]!r}")
+    keys = [F.col(quoted(t.field)).desc_nulls_first() if t.descending else F.col(quoted(t.field)).asc_nulls_last() for t in order]
+    matched = rows.count()
+    page = rows.orderBy(*keys, place, ID).offset(offset)
+    end = offset + (limit if limit is not None else matched)
+    return Page(page.limit(limit) if limit is not None else page, str(end) if end < matched else None, matched, end < matched)

@@ -10,6 +10,7 @@ import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrazzo.functions import crs, tiles
@@ -589,6 +590,36 @@ def attachment_edits(spark, sf_dir):
     return left.select("feature_id", "attachment_id", "name", F.octet_length("content").alias("size"))
 
 
+@query("SELECT * FROM (VALUES ('berlin', 3664000), ('london', 8900000), ('madrid', 3300000)) t(__feature_id, population)")
+def demo_cities(spark, sf_dir):
+    """The largest capitals of the demo set."""
+    return execute.features(demo.cities(spark), FeatureQuery(where=parse_filter("population > 3000000"), projection=("population",)))
+
+
+@query("""WITH u AS (SELECT 'customer' AS layer, 0 AS k, CAST(c_custkey AS VARCHAR) AS __feature_id, c_nationkey AS nation, c_acctbal AS balance FROM customer WHERE c_acctbal > 2000
+UNION ALL SELECT 'supplier', 1, CAST(s_suppkey AS VARCHAR), s_nationkey, s_acctbal FROM supplier)
+SELECT layer, __feature_id, nation FROM u ORDER BY nation DESC NULLS FIRST, k, __feature_id LIMIT 120 OFFSET 30""")
+def layers_page(spark, sf_dir):
+    """A page over two layers: by nation, then the layer's place, then the id as text."""
+    c = Dataset(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")), ("c_custkey",))
+    s = Dataset(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")), ("s_suppkey",))
+    page = shapes.layers_page({"customer": c, "supplier": s}, {"customer": parse_filter("balance > 2000")}, (OrderTerm("nation", True),), 120, 30)
+    return page.rows.select("layer", ID, "nation")
+
+
+@query("SELECT p_partkey, part, round(CASE WHEN part = 1 THEN w * h ELSE (w + 1) * h END, 6) AS area, round(2 * x0 + w + (part - 1), 6) AS across FROM " + PARCELS_SQL + ", (SELECT unnest([1, 2]) AS part) WHERE h <> 3")
+def geometry_parts(spark, sf_dir):
+    """Two rectangles as one geometry, taken apart again: areas, and the sums of the distinct ordinates across."""
+    df = parcels(spark, sf_dir).df.where("h <> 3")
+    far = geo.box(F.col("x0"), F.col("y0") + 100, F.col("x0") + F.col("w") + 1, F.col("y0") + 100 + F.col("h"))["wkb"]
+    both = geo.call("st_union_all", F.array(F.col("shape.wkb"), far))
+    parts = df.select("p_partkey", F.explode(geo.call("st_parts", both)).alias("g"))
+    xs = F.array_distinct(F.filter(geo.call("st_ordinates", F.col("g")), lambda v, k: k % 2 == 0))
+    low = F.aggregate(F.filter(geo.call("st_ordinates", F.col("g")), lambda v, k: k % 2 == 1), F.lit(1e9), lambda a, v: F.least(a, v))
+    place = F.row_number().over(W.partitionBy("p_partkey").orderBy(low))
+    return _rounded(parts.select("p_partkey", place.alias("part"), geo.call("st_area", "g").alias("area"), F.aggregate(xs, F.lit(0.0), lambda a, v: a + v).alias("across")))
+
+
 # --- expressions, rasters, edits, files --------------------------------------------------------
 
 
@@ -642,6 +673,26 @@ def raster_identify(spark, sf_dir):
     return raster.identify(cells, "r", 7, 11)
 
 
+_ITEMS_SQL = "(SELECT p_partkey, p_name || ' ' || part.p_brand AS title, p_type AS category, x0, y0, w, h FROM part JOIN " + PARCELS_SQL + " USING (p_partkey))"
+
+
+def _items(spark, sf_dir) -> Dataset:
+    """Parts as a raster catalogue's items: a title, a category and a footprint each."""
+    titles = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_type").alias("category"))
+    return Dataset(parcels(spark, sf_dir).df.select("p_partkey", "shape").join(titles, "p_partkey"), ("p_partkey",), ("p_partkey",), "items")
+
+
+@query(f"SELECT category, count(*) AS n FROM {_ITEMS_SQL} WHERE title LIKE '%Brand#1%' AND x0 <= 200 AND x0 + w >= 10 AND y0 <= 150 AND y0 + h >= 5 GROUP BY category")
+def raster_catalog_query(spark, sf_dir):
+    stats = '[{"statisticType":"count","onStatisticField":"p_partkey","outStatisticFieldName":"n"}]'
+    return raster.catalog_query(_items(spark, sf_dir), {"where": "title LIKE '%Brand#1%'", "geometry": "10,5,200,150", "outStatistics": stats, "groupByFieldsForStatistics": "category"})
+
+
+@query(f"SELECT p_partkey, CASE WHEN lower(title) LIKE '%ll%' THEN 'title' ELSE 'category' END AS found_field FROM {_ITEMS_SQL} WHERE lower(title) LIKE '%ll%' OR lower(category) LIKE '%ll%'")
+def raster_find(spark, sf_dir):
+    return raster.find(_items(spark, sf_dir), "lL", ("title", "category")).select("p_partkey", "found_field")
+
+
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 10 <> 3 AND NOT s_acctbal < 0 UNION ALL SELECT s_suppkey, CAST(1 AS DOUBLE) FROM supplier WHERE s_suppkey % 10 = 3 UNION ALL SELECT 1000000 + s_suppkey, s_acctbal FROM supplier WHERE s_suppkey < 4 AND NOT s_acctbal < 0")
 def edit_snapshot(spark, sf_dir):
     """Adds (one of them a duplicate), updates and a delete by predicate, as the next snapshot."""

@@ -134,6 +134,7 @@ def order_keys(ds: Dataset, terms: tuple[OrderTerm, ...]) -> list[Column]:
         kind, c = ds.kind(t.field), F.col(quoted(t.field))
         if kind is Kind.GEOMETRY:
             raise PlanError(f"{t.field} is a geometry and has no order")
+        c = F.lower(c) if kind is Kind.GUID else c
         steps = [F.when(c.isNotNull(), (~F.isnan(c)).cast("int")), c] if isinstance(ds.df.schema[t.field].dataType, (T.DoubleType, T.FloatType)) else [c]
         keys += [s.desc_nulls_first() if t.descending else s.asc_nulls_last() for s in steps]
     return keys

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -89,8 +90,12 @@ def start_of(q: FeatureQuery) -> int:
 
 
 def features(ds: Dataset, q: FeatureQuery, tie_by_id: bool = True) -> DataFrame:
-    """The page's rows, lazily: order, offset and limit plan as a top-k."""
-    chosen = select(ds, q)
+    """The page's rows, lazily."""
+    return finish(select(ds, q), q, tie_by_id)
+
+
+def finish(chosen: Dataset, q: FeatureQuery, tie_by_id: bool = True) -> DataFrame:
+    """The shaping half, over rows that are selected already: order, offset and limit plan as a top-k, then the projection."""
     start, df = start_of(q), chosen.df
     if q.order or q.limit is not None or start:
         keys = ordered(chosen, q, tie_by_id)
@@ -110,6 +115,18 @@ def page(ds: Dataset, q: FeatureQuery) -> Page:
     return Page(features(ds, q), cursor_for(q, start + taken) if more else None, total, more)
 
 
+def batches(rows: DataFrame, size: int = 512) -> Iterator[list[Row]]:
+    """Rows in lists of ``size``, partition by partition: the driver holds one partition at most."""
+    held: list[Row] = []
+    for row in rows.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def count(ds: Dataset, q: FeatureQuery) -> int:
     return select(ds, q).df.count()
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import crs, tiles
 from terrazzo.functions import geometry as geo
-from terrazzo.model import AggregateQuery, AggregateSpec, FeatureQuery, PlanError
-from terrazzo.operators import edits, identify, served, spatial
+from terrazzo.model import AggregateQuery, AggregateSpec, FeatureQuery, OrderTerm, PlanError
+from terrazzo.operators import edits, identify, related, served, shapes, spatial
 from terrazzo.plans import execute
 from terrazzo.plans.dataset import Dataset
 from terrazzo.sources import vector_tiles
@@ -235,3 +235,46 @@ def test_feature_info(spark):
     assert [r["feature_id"] for r in found.collect()] == ["3"]
     with pytest.raises(PlanError):
         identify.feature_info(layers, (0, 0, 1, 1), 10, 10, 10, 0)
+
+
+def test_object_ids(spark):
+    ds = Dataset(spark.createDataFrame([("b", 5), ("a", 6)], "s string, n int").coalesce(1), ("s",))
+    assert [r["object_id"] for r in shapes.with_object_ids(ds).collect()] == [1, 2]
+    assert sorted(r["object_id"] for r in shapes.with_object_ids(Dataset(ds.df, ("n",))).collect()) == [5, 6]
+
+
+def test_pages_over_layers(spark):
+    a = Dataset(spark.createDataFrame([(1, "x"), (2, None)], "id int, s string"), ("id",))
+    b = Dataset(spark.createDataFrame([("1", "x", 7), ("0", "w", 8)], "id string, s string, more int"), ("id",))
+    page = shapes.layers_page({"b": b, "a": a}, order=(OrderTerm("s"),), limit=3)
+    assert [(r["layer"], r["__feature_id"]) for r in page.rows.collect()] == [("b", "0"), ("b", "1"), ("a", "1")] and page.total == 4 and page.has_more and page.next_cursor == "3"
+    with pytest.raises(PlanError):
+        shapes.layers_page({"a": a}, order=(OrderTerm("nothing"),))
+
+
+def test_shaping_and_batches(spark):
+    ds = Dataset(spark.range(1300).withColumn("v", F.col("id") % 10), ("id",), ("id",))
+    q = FeatureQuery(order=(OrderTerm("v", True),), limit=5, offset=2)
+    assert execute.finish(ds, q).collect() == execute.features(ds, q).collect()
+    assert [len(b) for b in execute.batches(ds.df)] == [512, 512, 276] and list(execute.batches(ds.df.limit(0))) == []
+
+
+def test_guids_order_whatever_their_case(spark):
+    rows = [("B0000000-0000-0000-0000-000000000000",), ("a0000000-0000-0000-0000-000000000000",), (None,)]
+    df = spark.createDataFrame(rows, "g string").select(F.col("g").alias("g", metadata={"kind": "guid"}))
+    assert [r["g"] and r["g"][0] for r in execute.features(Dataset(df), FeatureQuery(order=(OrderTerm("g"),))).collect()] == ["a", "B", None]
+
+
+def test_related_requests_are_whole():
+    related.check_parameters({"outFields": "*", "returnCountOnly": "false"})
+    for name in related.REFUSED:
+        with pytest.raises(PlanError):
+            related.check_parameters({name: "true"})
+
+
+def test_views_are_simplified(spark):
+    df = spark.createDataFrame([(1, "POLYGON((0 0,50 0.01,100 0,100 100,0 100,0 0))"), (2, "POLYGON((500 500,600 500,600 600,500 500))"), (3, None)], "id int, t string").withColumn("g", geo.encode(geo.call("st_fromtext", F.col("t"))))
+    shown = identify.simplified(df, "g", (-10, -10, 110, 110), 100).collect()
+    assert [r["id"] for r in shown] == [1] and spark.range(1).select(F.size(geo.call("st_ordinates", F.lit(bytes(shown[0]["g"]["wkb"]))))).first()[0] == 10
+    parts = spark.range(1).select(geo.call("st_parts", wkt("GEOMETRYCOLLECTION(POINT(1 2),MULTILINESTRING((0 0,1 1),(2 2,3 3)))"))).first()[0]
+    assert len(parts) == 3
