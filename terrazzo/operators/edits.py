@@ -76,19 +76,35 @@ def content_version(df: DataFrame) -> str:
 
 
 class Transaction:
-    """Snapshots by name, staged and then swapped together; rollback forgets them."""
+    """Snapshots by name, staged and then swapped together; rollback forgets them.
 
-    def __init__(self, tables: dict[str, DataFrame]):
+    Over a dict the tables are DataFrames of this session.  Over a store they are its datasets: a staged snapshot is written at
+    once, beside the dataset, so that the commit is renames alone and a failure before it leaves every dataset as it was.
+    """
+
+    def __init__(self, tables):
         self.tables, self.staged = tables, {}
+        self.stored = hasattr(tables, "written_beside")
 
     def stage(self, name: str, snapshot: DataFrame) -> None:
+        if self.stored:
+            if name in self.staged:
+                self.tables.drop(self.staged.pop(name))
+            snapshot = self.tables.written_beside(snapshot, name)
         self.staged[name] = snapshot
 
     def commit(self) -> None:
-        self.tables.update(self.staged)
+        if self.stored:
+            for name in list(self.staged):
+                self.tables.swap(name, self.staged.pop(name))
+        else:
+            self.tables.update(self.staged)
         self.staged = {}
 
     def rollback(self) -> None:
+        if self.stored:
+            for beside in self.staged.values():
+                self.tables.drop(beside)
         self.staged = {}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,22 @@ class Store:
             raise PlanError(f"the rows do not extend the schema of {name}")
         rows.select(self.scan(name).columns).write.insertInto(self._table(name))
 
+    def written_beside(self, rows: DataFrame, name: str) -> str:
+        """The next content of a dataset, written whole under a name of its own."""
+        beside = f"{name}__{uuid.uuid4().hex}"
+        rows.write.format("parquet").saveAsTable(self._table(beside))
+        return beside
+
+    def swap(self, name: str, beside: str) -> None:
+        """Puts what was written beside a dataset in its place; until the two renames nothing of the dataset is touched."""
+        before = f"{name}__{uuid.uuid4().hex}"
+        self.spark.sql(f"ALTER TABLE {self._table(name)} RENAME TO {self._table(before)}")
+        self.spark.sql(f"ALTER TABLE {self._table(beside)} RENAME TO {self._table(name)}")
+        self.drop(before)
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+
     def load(self, name: str, decoded: Decoded, most: int | None = None, target: int | None = None) -> DataFrame:
         """Creates a dataset from decoded features, in the system ``target`` where one is asked for; returns what was skipped.
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from terrazzo.functions import featurejson
 from terrazzo.functions import geometry as geo
 from terrazzo.model import Box, FeatureQuery, PlanError
+from terrazzo.operators import edits
 from terrazzo.plans import execute
 from terrazzo.plans.dataset import Dataset
+from terrazzo.plans.parse import parse_filter
 from terrazzo.sources import catalog, remote
 
 ROWS = [{"id": k, "name": f"n{k % 3}", "size": k * 1.5} for k in range(25)]
@@ -93,6 +95,27 @@ def test_remote_geometry(spark):
     server.shutdown()
 
 
+def test_transaction_over_a_store(spark):
+    store = catalog.Store(spark)
+    for name in ("terrazzo_test_a", "terrazzo_test_b"):
+        store.drop(name)
+        store.create(name, spark.range(3).toDF("id"))
+    t = edits.Transaction(store)
+    ds = store.dataset("terrazzo_test_a", ("id",))
+    t.stage("terrazzo_test_a", edits.delete_where(ds, parse_filter("id = 1")))
+    t.rollback()
+    assert store.scan("terrazzo_test_a").count() == 3 and len(store.names("terrazzo_test_*")) == 2
+    t.stage("terrazzo_test_a", ds.df)
+    t.stage("terrazzo_test_a", edits.delete_where(ds, parse_filter("id = 1")))  # reads what it will replace
+    t.stage("terrazzo_test_b", spark.range(9).toDF("id"))
+    assert store.scan("terrazzo_test_b").count() == 3
+    t.commit()
+    assert sorted(r["id"] for r in store.scan("terrazzo_test_a").collect()) == [0, 2] and store.scan("terrazzo_test_b").count() == 9
+    assert store.names("terrazzo_test_*") == ["terrazzo_test_a", "terrazzo_test_b"]
+    for name in ("terrazzo_test_a", "terrazzo_test_b"):
+        store.drop(name)
+
+
 def test_feature_json(spark):
     df = spark.createDataFrame([(1, "a\"b", True), (2, None, None)], "id int, s string, flag boolean")
     df = df.withColumns({"seen": F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:01.5'"), "at": F.expr("TIMESTAMP '2024-01-01 00:00:00+00:00'"), "day": F.expr("DATE '1970-01-02'")})
