@@ -10,7 +10,9 @@ without ``+``.
 A candidate must hold an anchor: a digit, or an ``at`` in brackets or followed by
 ``dot``, and stays on its line.  A window takes MAX_TOKENS whole tokens on both sides of
 each anchor, so every candidate of the text lies in one, and the windows give the
-best segmentation of the whole text.
+best segmentation of the whole text.  A number whose score cannot be above that of
+outside, whatever its span holds, is not read (``Bound``): it could be in no best
+segmentation.
 
 The weights in ``models/pii.json`` come from ``train`` on invented sentences.
 
@@ -179,8 +181,37 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
         yield [t.span() for t in _TOKEN.finditer(text, *stretch)]
 
 
-def lattice(text: str, tokens: list[tuple[int, int]]) -> tuple[semicrf.Lattice, list[tuple[int, int]]]:
-    """Candidate spans of a window: 7 digits or more or a spelled address, from a letter, digit or bracket to a letter or digit."""
+#: Features of a number that only reading the span tells; a bound takes those that help as given.
+_UNREAD = ("short_groups", "dots_only", "trunk_zero", "letter_beside", "digit_beside", "decimal_beside", "date_like", "separators_mixed")
+
+
+class Bound:
+    """Whether a number could score above outside, from what is known of it before it is read; weights decide, so no candidate that could win is left out."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w, self.known = weights, {}
+
+    def may_win(self, n: int, runs: int, letters: bool, marks: bool, space: bool, dash: bool, bracket: bool, near: tuple[bool, bool, bool]) -> bool:
+        """``n`` digits in ``runs`` runs; letters, one of ``/:,;``, a space, a dash among them; a bracket first; words before it."""
+        key = (min(n, 20), min(runs, 4), letters, marks, space, dash, bracket, near)
+        if key not in self.known:
+            self.known[key] = self._highest(*key) > 0
+        return self.known[key]
+
+    def _highest(self, n, runs, letters, marks, space, dash, bracket, near) -> float:
+        phone, card, mail = near
+        on = {
+            "bias": True, "digits_lt7": n < 7, "digits_7_8": 7 <= n <= 8, "digits_9_15": 9 <= n <= 15, "digits_12_19": 12 <= n <= 19, "digits_gt19": n > 19, "letters": letters, "slash_colon_comma": marks,
+            "spaces": space, "dashes": dash, "one_group": runs == 1, "phone_near": phone, "card_near": card, "mail_near": mail,
+            "phone_near_7_15": phone and 7 <= n <= 15 and not letters, "card_near_12_19": card and 12 <= n <= 19,
+        }
+        perhaps = [*_UNREAD, *["parens"] * bracket, *["luhn"] * (12 <= n <= 19), *(["groups"] if runs == 3 and not letters else []), *(["groups_9_15"] if runs == 3 and not letters and 9 <= n <= 15 else [])]
+        score = sum(self.w[_AT[f]] for f, is_on in on.items() if is_on) + sum(np.maximum(self.w[_AT[f]], 0) for f in perhaps)
+        return float(score.max())
+
+
+def lattice(text: str, tokens: list[tuple[int, int]], bound: Bound | None = None) -> tuple[semicrf.Lattice, list[tuple[int, int]]]:
+    """Candidate spans of a window: 7 digits or more or a spelled address, from a letter, digit or bracket to a letter or digit; with ``bound``, numbers that it rules out are left out."""
     starts, ends, feats, spans = [], [], [], []
     kinds = [("d" if text[a].isdigit() and text[a] in "0123456789" else "w" if text[a].isalpha() else text[a]) for a, _ in tokens]
     digits = [b - a if k == "d" else 0 for (a, b), k in zip(tokens, kinds, strict=True)]
@@ -190,9 +221,16 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> tuple[semicrf.Lattice,
             continue
         if first == "w" and not any(i < k < i + MAX_TOKENS for k in ats):
             continue  # what begins with a letter must be a spelled address
-        count, marks = 0, 0
+        count, marks, runs = 0, 0, 0
+        letters = signs = space = dash = False
+        near = None
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             count += digits[j]
+            runs += digits[j] > 0
+            letters |= kinds[j] == "w"
+            signs |= kinds[j] in "/:,;"
+            dash |= kinds[j] == "-"
+            space |= j > i and " " in text[tokens[j - 1][1] : tokens[j][0]]
             word = text[slice(*tokens[j])].lower() if kinds[j] == "w" else ""
             marks += word == "at"
             if j > i and "\n" in text[tokens[j - 1][1] : tokens[j][0]]:
@@ -200,6 +238,11 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> tuple[semicrf.Lattice,
             if kinds[j] not in ("d", "w"):
                 continue
             numeric = count >= 7 and first != "w" and kinds[j] == "d"
+            if numeric and bound:
+                if near is None:
+                    before = text[max(0, tokens[i][0] - 32) : tokens[i][0]]
+                    near = tuple(bool(p.search(before)) for p in _WHERE.values())
+                numeric = bound.may_win(count, runs, letters, signs, space, dash, first == "(", near)
             if numeric or first == "w" and marks and j > i + 2 and _SPELLED.fullmatch(text, tokens[i][0], tokens[j][1]):
                 starts.append(i)
                 ends.append(j + 1)
@@ -210,9 +253,9 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> tuple[semicrf.Lattice,
 
 def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, type, end) that the semi-Markov field picks."""
-    out = []
+    out, bound = [], Bound(weights)
     for tokens in windows(text):
-        window, spans = lattice(text, tokens)
+        window, spans = lattice(text, tokens, bound)
         if spans:
             out += [(tokens[a][0], kind, tokens[b - 1][1]) for a, b, kind in semicrf.decode(window, weights)]
     return out
