@@ -116,7 +116,7 @@ def _search(texts: DataFrame, items: DataFrame, threshold: float, width: int) ->
     hashed = texts.select("key", F.inline(_keyed(F.col("text"), widths, _hash, ceiling)).alias("w", "hash"))
     pairs = written(hashed.join(sketch.drop("size_class"), ["w", "hash"]).select("key", "item_id").distinct(), "bench-candidates")
 
-    found_in = pairs.select("key").distinct()
+    found_in = written(pairs.select("key").distinct(), "bench-suspects")
     # texts that cannot be among them stay where they are
     suspects = Segments(found_in, "key").marked(texts, F.col("key"), "maybe").where("maybe").select("key", "text").join(found_in, "key", "left_semi")
     exact = suspects.select("key", F.inline(_keyed(F.col("text"), widths, _text)).alias("w", "shingle"))

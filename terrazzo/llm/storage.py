@@ -92,19 +92,19 @@ class Bitmap:
 
 
 class Segments:
-    """The bitmap of some keys as a table of at most 2048 rows of 4 KB, for tests in Spark expressions.
+    """The bitmap of some keys as a table of rows of 4 KB, for tests in Spark expressions.
 
-    It may be broadcast whatever the number of keys: beyond some ten millions it only lets more rows through.
+    It has some sixteen bits a key, and at most 2048 rows, so it may be broadcast whatever the number of keys: beyond some
+    millions it only lets more rows through.
     """
 
-    BITS = 26
-
     def __init__(self, keys: DataFrame, column: str):
+        self.bits = min(26, max(15, (16 * keys.count()).bit_length()))
         segment, bit = self._place(F.col(column))
         self.table = written(keys.where(F.col(column).isNotNull()).groupBy(segment.alias("segment")).agg(F.bitmap_construct_agg(bit).alias("bits")), "segments")
 
     def _place(self, key: Column) -> tuple[Column, Column]:
-        at = F.xxhash64(key).bitwiseAND(F.lit((1 << self.BITS) - 1))
+        at = F.xxhash64(key).bitwiseAND(F.lit((1 << self.bits) - 1))
         return F.shiftright(at, 15).cast("int"), at.bitwiseAND(F.lit(32767))
 
     def marked(self, df: DataFrame, key: Column, name: str) -> DataFrame:

@@ -141,7 +141,7 @@ def test_segments(spark):
     marked = Segments(keys, "key").marked(df, F.col("name"), "maybe")
     assert set(marked.columns) == {"name", "bits", "segment", "maybe"} and marked.count() == 50_000
     held = marked.join(keys, marked["name"] == keys["key"], "left_semi")
-    assert held.where("not maybe").count() == 0 and marked.where("maybe").count() < 1.02 * keys.count()
+    assert held.where("not maybe").count() == 0 and marked.where("maybe").count() < 1.5 * keys.count()
     assert Segments(keys.limit(0), "key").marked(df, F.col("name"), "maybe").where("maybe").count() == 0
 
 
