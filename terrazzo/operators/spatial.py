@@ -56,13 +56,6 @@ def _box_meets(env: Column, q: tuple[float, float, float, float]) -> Column:
     return (env["minx"] <= q[2]) & (env["maxx"] >= q[0]) & (env["miny"] <= q[3]) & (env["maxy"] >= q[1])
 
 
-def dimension_of(wkb: Column) -> Column:
-    """0, 1 or 2, from the type number of the WKB header."""
-    big = F.hex(F.substring(wkb, 1, 1)) == "00"
-    t = F.conv(F.hex(F.when(big, F.substring(wkb, 5, 1)).otherwise(F.substring(wkb, 2, 1))), 16, 10).cast("int")
-    return F.when(t.isin(1, 4), 0).when(t.isin(2, 5), 1).when(t.isin(3, 6), 2)
-
-
 def holds_apart(name: str, mask: str | None) -> bool:
     """Whether shapes without a common point can stand in the relation: no mask cell about their interiors and boundaries demands one."""
     masks = (check_mask(mask),) if mask is not None else MASKS.get(name, ())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from terrazzo.functions import crs, tiles
 from terrazzo.functions import geometry as geo
 from terrazzo.model import AggregateQuery, AggregateSpec, FeatureQuery, OrderTerm, PlanError
-from terrazzo.operators import edits, identify, related, served, shapes, spatial
+from terrazzo.operators import edits, identify, raster, related, served, shapes, spatial
 from terrazzo.plans import execute
 from terrazzo.plans.dataset import Dataset
 from terrazzo.sources import vector_tiles
@@ -278,3 +278,14 @@ def test_views_are_simplified(spark):
     assert [r["id"] for r in shown] == [1] and spark.range(1).select(F.size(geo.call("st_ordinates", F.lit(bytes(shown[0]["g"]["wkb"]))))).first()[0] == 10
     parts = spark.range(1).select(geo.call("st_parts", wkt("GEOMETRYCOLLECTION(POINT(1 2),MULTILINESTRING((0 0,1 1),(2 2,3 3)))"))).first()[0]
     assert len(parts) == 3
+
+
+def test_links_categories_and_tile_coordinates(spark):
+    pair = lambda *r: spark.createDataFrame(list(r), "a int, b int")
+    joins = edits.link(pair((1, 2), (3, 4)), pair((3, 4), (5, 6)))
+    assert sorted(map(tuple, edits.unlink(joins, pair((1, 2), (9, 9))).collect())) == [(3, 4), (5, 6)]
+    cells = spark.createDataFrame([(1, 7), (2, 8)], "row int, value int")
+    named = raster.classified(cells, spark.createDataFrame([(7, "water")], "value int, category string"))
+    assert sorted((r["row"], r["category"]) for r in named.collect()) == [(1, "water"), (2, None)]
+    x, y = tiles.quantized(F.lit(1.0), F.lit(3.0), (0.0, 0.0, 4.0, 4.0))
+    assert tuple(one(spark, x, y)) == (1024, 1024)
