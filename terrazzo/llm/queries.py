@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import bpe, chat, decontam, middle, ngramjoin, pii, quality, secretscan, sharding, sitetree, warc
+from terrazzo.llm import bpe, chat, decontam, middle, negatives, ngramjoin, pii, quality, secretscan, sharding, sitetree, substring, warc
 from terrazzo.session import ship
 
 
@@ -195,6 +195,49 @@ FROM c JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.75)
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+s AS (SELECT anchor_id, id, score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT s.anchor_id, s.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, p.id AS negative_id, s.score AS positive_score, p.score AS negative_score
+FROM s JOIN p ON p.anchor_id = s.anchor_id AND NOT p.same AND 30 * s.score <= 100 * p.score AND 100 * p.score <= 90 * s.score
+WINDOW w AS (PARTITION BY s.anchor_id, s.id ORDER BY p.score DESC, p.id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.dedup(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i, min({'d': doc_id, 'i': i}) OVER (PARTITION BY gram) AS first FROM g),
+c AS (SELECT doc_id, list_distinct(list(i + k)) AS gone FROM (SELECT doc_id, i, unnest(range(20)) AS k FROM r WHERE first.d <> doc_id OR first.i <> i) GROUP BY doc_id),
+k AS (SELECT doc_id, w, coalesce(len(gone), 0) AS n, gone FROM d LEFT JOIN c USING (doc_id)),
+s AS (
+  SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS kept
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM k) x
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS d, unnest(gone) AS p FROM c) y WHERE y.d = x.doc_id AND y.p = x.p) GROUP BY doc_id)
+SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM k LEFT JOIN s USING (doc_id)
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.transform(_table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
@@ -239,6 +282,8 @@ def queries() -> dict:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
@@ -250,5 +295,7 @@ def oracle_sql() -> dict:
         "op8_ngram_jaccard": OP8_SQL,
         "op9_quality_rules": OP9_SQL,
         "op10_decontamination": OP10_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_substring_dedup": OP12_SQL,
         "op13_fill_in_middle": OP13_SQL,
     }
