@@ -201,12 +201,6 @@ def _each(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
             yield batch, k, block
 
 
-def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parts of sorted hashes by their upper bits: those that have any, and where each begins."""
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.unique(part, return_index=True)
-
-
 def _answers(asked: DataFrame, answer: Callable[[list[list[np.ndarray]]], list[np.ndarray]]) -> DataFrame:
     """(block, answers): for every block its parts' answers, a bit an entry, from (part, block, payload)."""
 
@@ -227,8 +221,9 @@ def _bits(answers, sizes: dict[int, int]) -> np.ndarray:
 
 
 def _cut(hashes: np.ndarray, parts: int) -> dict[int, slice]:
-    part, first = _dealt(hashes, parts)
-    return {int(p): slice(a, b) for p, a, b in zip(part.tolist(), first.tolist(), [*first.tolist()[1:], len(hashes)], strict=True)}
+    """Sorted hashes dealt by their upper bits: the parts that have any, with their ranges."""
+    part, first = np.unique(((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), return_index=True)
+    return {int(p): slice(a, b) for p, a, b in zip(part.tolist(), first.tolist(), np.append(first[1:], len(hashes)).tolist())}  # noqa: B905 nothing has no parts
 
 
 def _asks(block: pa.Scalar, cut: dict[int, slice], columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:

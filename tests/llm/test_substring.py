@@ -84,6 +84,15 @@ def test_periodic_texts_and_copies(spark):
     assert said(substring.dedup(df)) == plain_version(rows)
 
 
+def test_nothing_shared(spark):
+    rows = [(k, " ".join(f"v{k}x{j}" for j in range(25 * k))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert said(substring.dedup(df)) == plain_version(rows)
+    assert substring._cut(np.zeros(0, np.uint64), 5) == {}
+    cut = substring._cut(np.sort(np.random.default_rng(0).integers(0, 1 << 63, 999).astype(np.uint64) * np.uint64(2)), 7)
+    assert sorted(cut) == list(range(7)) and [(c.start, c.stop) for c in cut.values()] == list(itertools.pairwise([0, *[c.stop for c in cut.values()]]))
+
+
 def test_many_blocks(spark, monkeypatch):
     """Blocks and parts cut small: the answers of every block and part find their way back."""
     rows = passages(random.Random(9), 80, 20)
