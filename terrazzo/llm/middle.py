@@ -72,7 +72,7 @@ class Units:
         if self._last[0] != k:
             start = self.cuts[k]
             pieces = self.split.pre_tokenize_str(self.text[start : self.cuts[k + 1]])
-            self._last = (k, start + np.fromiter((to for _, (_, to) in pieces), np.int64, len(pieces)))
+            self._last = (k, start + np.array([to for _, (_, to) in pieces], dtype=np.int64))
         return self._last[1]
 
     def __len__(self) -> int:
@@ -135,11 +135,11 @@ def restored(output: Column, form: Column) -> Column:
 
     def parts(marks: tuple[str, str, str]) -> list[Column]:
         """What stands after each mark; no part holds a mark, so each ends where the next begins."""
-        rest, found = F.substring(output, F.lit(len(marks[0]) + 1), F.length(output)), []
+        rest, found = F.substr(output, F.lit(len(marks[0]) + 1)), []
         for mark in marks[1:]:
             part = F.substring_index(rest, mark, 1)
             found.append(part)
-            rest = F.substring(rest, F.length(part) + len(mark) + 1, F.length(rest))
+            rest = F.substr(rest, F.length(part) + len(mark) + 1)
         return [*found, rest]
 
     prefix, suffix, middle = parts((PREFIX, SUFFIX, MIDDLE))
