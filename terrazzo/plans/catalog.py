@@ -799,6 +799,14 @@ def filter_guid(spark, sf_dir):
     return execute.select(ds, FeatureQuery(where=parse_filter("code = '00000007-abcd-4000-8000-000000000001' OR code = '00000011-ABCD-4000-8000-000000000001'"))).df.select("p_partkey")
 
 
+@query("""
+SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS quantity, row_number() OVER (ORDER BY l_orderkey) AS object_id
+FROM lineitem GROUP BY l_orderkey""")
+def object_ids_grouped(spark, sf_dir):
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("double").alias("quantity"))
+    return shapes.with_object_ids(Dataset(grouped.orderBy("l_orderkey"), ("l_orderkey", "quantity"), ("l_orderkey",)))
+
+
 @query(f"SELECT lower({_GUID}) AS unique_id FROM part WHERE p_size < 20")
 def unique_ids(spark, sf_dir):
     guid = F.concat(F.lpad((F.col("p_partkey") % 40).cast("string"), 8, "0"), F.lit("-ABCD-4000-8000-000000000001"))

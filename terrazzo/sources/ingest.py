@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from terrazzo.functions.geometry import TYPE, call, encode, point, register
 from terrazzo.model import PlanError
 from terrazzo.plans.dataset import quoted
+from terrazzo.session import written
 
 #: Coordinate column pairs, in the order they are tried.
 PAIRS = (("x", "y"), ("lon", "lat"), ("longitude", "latitude"), ("easting", "northing"))
@@ -61,14 +62,20 @@ def agree(declared: str | None, asserted: str | None) -> str:
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """1-based position in read order: counts of the partitions before, plus the place inside."""
-    placed = df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
-    counts = placed.groupBy("__part").agg(F.count("*").alias("__rows"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    """1-based position in read order, from 1 without gaps.
+
+    The rows are written once, in the shared folder, each with its partition and its place there; the counts of the partitions
+    before are taken from what was written.  So both agree, however the rows came about and whichever executor is lost.
+    """
+    plain = [f"c{k}" for k in range(len(df.columns))]  # names may differ in case alone
+    placed = df.toDF(*plain).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    rows = written(placed, "ordinals")
+    counts = rows.groupBy("part").agg(F.count("*").alias("rows"))
+    before = counts.select("part", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     # the low 33 bits of the id count rows inside a partition
-    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    joined = placed.join(F.broadcast(before.drop("__rows")), "__part")  # one row a partition
-    return joined.withColumn(name, F.col("__before") + place + 1).drop("__part", "__at", "__before")
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = rows.join(F.broadcast(before), "part")  # one row a partition
+    return joined.select(*[F.col(c).alias(f.name, metadata=f.metadata) for c, f in zip(plain, df.schema, strict=True)], (F.col("before") + place + 1).alias(name))
 
 
 def scalar_kinds(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, bool]]:
@@ -200,7 +207,9 @@ def _renamed(features: DataFrame, own: Column, attributes: list[str]) -> DataFra
     geometry = _free("geometry", attributes)
     at, name = _free("ordinal", features.columns), _free("feature_id", attributes)
     text = F.when(own.cast("string") != "", own.cast("string"))
-    return with_ordinal(features, at).select(F.coalesce(text, F.col(quoted(at)).cast("string")).alias(name), *[F.col(quoted(c)) for c in attributes], F.col(quoted(geometry)))
+    if features.where(text.isNull()).limit(1).count():
+        features, text = with_ordinal(features, at), F.coalesce(text, F.col(quoted(at)).cast("string"))
+    return features.select(text.alias(name), *[F.col(quoted(c)) for c in attributes], F.col(quoted(geometry)))
 
 
 def read_csv(spark: SparkSession, path: str, crs: str | None = None, identity: str | None = None, skip_malformed: bool = False, x: str | None = None, y: str | None = None) -> DataFrame:
