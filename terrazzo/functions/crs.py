@@ -10,11 +10,14 @@ expressions; the others run in the JVM functions of ``geometry.register``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrazzo.functions import datums
+from terrazzo.functions.datums import Operation
 from terrazzo.model import PlanError
 
 # Ellipsoids (semi-major axis, inverse flattening) and the sphere of web maps.
@@ -168,11 +171,18 @@ def _plain(c: Crs) -> bool:
     return c.kind == "geographic" or c.method == "web" or c.zone is not None
 
 
-def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
-    """x and y in the target system; through longitude and latitude, and WGS 84 where the datums' shifts differ."""
+def transform(x: Column, y: Column, source: int, target: int, grids: Iterable[Operation] = (), by: dict | None = None) -> tuple[Column, Column]:
+    """x and y in the target system; through longitude and latitude, and between datums by the best operation.
+
+    Deployed ``grids`` count where they reach a position, the composed shift elsewhere; ``by``, a candidate of
+    ``find_transformations``, is applied alone, and positions that it does not reach become null.
+    """
     a, b = describe(source), describe(target)
     if a.code == b.code:
         return x, y
+    if route := _route(a, b, grids, by):
+        moved = F.call_function("st_movedby", x.cast("double"), y.cast("double"), F.lit(_frame(a)), F.lit(_frame(b)), F.lit(route))
+        return moved[0], moved[1]
     if not (_plain(a) and _plain(b) and a.datum.shift == b.datum.shift):
         moved = F.call_function("st_moved", x.cast("double"), y.cast("double"), F.lit(_frame(a)), F.lit(_frame(b)))
         return moved[0], moved[1]
@@ -183,50 +193,86 @@ def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
     return x, y
 
 
+def _route(a: Crs, b: Crs, grids: Iterable[Operation], by: dict | None) -> str | None:
+    """The ways to try, for the JVM; none where the systems' own shifts do."""
+    if by is not None:
+        if (by["source"], by["target"]) != (a.datum.name, b.datum.name):
+            raise PlanError(f"{by['name']} does not lead from {a.datum.name} to {b.datum.name}")
+        return by["route"]
+    grids = tuple(grids)
+    exact = [c for c in _candidates(a.datum, b.datum, grids) if not c["approximate"]] if grids else []
+    return "|".join(c["route"] for c in exact) if any(c["gridded"] for c in exact) else None
+
+
 def _frame(c: Crs) -> str:
     return ",".join([c.method, *(repr(float(v)) for v in (*c.ellipsoid, *c.parameters, *c.datum.shift))])
 
 
-def transform_geometry(wkb: Column, source: int, target: int) -> Column:
-    """A whole geometry in the target system; the stated source must be its own."""
+def transform_geometry(wkb: Column, source: int, target: int, grids: Iterable[Operation] = (), by: dict | None = None) -> Column:
+    """A whole geometry in the target system, z and m as they are; the stated source must be its own."""
     a, b = describe(source), describe(target)
-    return wkb if a.code == b.code else F.call_function("st_reproject", wkb, F.lit(_frame(a)), F.lit(_frame(b)))
-
-
-def _residual(shift: tuple[float, ...]) -> float:
-    """What leaving out rotation and scale can cost at the earth's surface, in metres."""
-    arc = math.pi / 648000
-    turn = math.sqrt(sum((r * arc) ** 2 for r in shift[3:6]))
-    return RADIUS * math.hypot(turn, shift[6] * 1e-6)
-
-
-def _covers(datum: Datum, box: tuple[float, float, float, float] | None) -> bool:
-    if box is None:
-        return True
-    x0, y0, x1, y1 = datum.area
-    spans = [(x0, x1)] if x0 <= x1 else [(x0, 180.0), (-180.0, x1)]
-    return y0 <= box[1] and box[3] <= y1 and any(a <= box[0] and box[2] <= b for a, b in spans)
-
-
-def find_transformations(source: int, target: int, area: tuple[float, float, float, float] | None = None) -> list[dict]:
+    if a.code == b.code:
+        return wkb
+    if route := _route(a, b, grids, by):
+        return F.call_function("st_reprojectby", wkb, F.lit(_frame(a)), F.lit(_frame(b)), F.lit(route))
+    return F.call_function("st_reproject", wkb, F.lit(_frame(a)), F.lit(_frame(b)))
+
+
+# --- operations between datums -----------------------------------------------------------------
+
+
+def operations() -> list[Operation]:
+    """The published shifts, each from its datum to WGS 84."""
+    return [Operation(f"{d.name} to WGS 84", d.name, "WGS 84", d.accuracy, datums.split(d.area), datums.affine(d.shift)) for d in DATUMS.values() if d.name != "WGS 84"]
+
+
+def _spelled(steps: list[tuple[datums.Affine | str, str, str]]) -> str:
+    """A way for the JVM: grids by name and direction, maps between the ellipsoids of their datums."""
+    out = []
+    for step, source, target in steps:
+        if isinstance(step, str):
+            out.append(f"grid,{step}")
+        elif not step.null:
+            numbers = (*DATUMS[source].ellipsoid, *DATUMS[target].ellipsoid, *[v for row in step.m for v in row], *step.t)
+            out.append(",".join(["affine", *(repr(float(v)) for v in numbers)]))
+    return ">".join(out)
+
+
+def _candidates(a: Datum, b: Datum, grids: Iterable[Operation]) -> list[dict]:
+    """What can take one datum to the other, in the order of preference."""
+    found = []
+    for way in datums.ways(a.name, b.name, [*grids, *operations()]):
+        legs = [((o.grid + (",+" if forward else ",-")) if o.grid else (o.map if forward else datums.invert(o.map)), p, q) for (o, forward), p, q in zip(way.steps, way.datums, way.datums[1:], strict=False)]
+        real = [leg for leg in legs if isinstance(leg[0], str) or not leg[0].null]
+        base = {"source": a.name, "target": b.name, "area": way.area, "path": tuple((o.name, forward) for o, forward in way.steps), "gridded": way.gridded}
+        name, accuracy = f"{a.name} to {b.name}", way.accuracy
+        if way.gridded:
+            through = "".join(f" by {o.name}" for o, _ in way.steps if o.grid)
+            found.append({**base, "name": name + through, "method": "grid" if len(real) == 1 else "grid, concatenated", "accuracy": accuracy, "steps": len(way.steps), "approximate": False, "route": _spelled(legs), "parameters": None})
+            continue
+        whole = way.map
+        if whole.null:
+            if accuracy:
+                found.append({**base, "name": name, "method": "null operation", "accuracy": accuracy, "steps": 1, "approximate": False, "route": "", "parameters": datums.parameters(whole)})
+            continue
+        moved = datums.Affine(((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)), whole.t)
+        for extra, method, cost, steps, approximate, route, said in (
+            ("", "position vector", 0.0, 1, False, [(whole, a.name, b.name)], whole),
+            (" by WGS 84", "position vector, concatenated", 0.0, len(real), True, legs, whole),
+            (", translation", "geocentric translation", datums.residual(whole), 1, True, [(moved, a.name, b.name)], moved),
+        ):
+            area = tuple(x for o, _ in way.steps for x in o.area) if steps > 1 else way.area  # a chain is good wherever one of its links is
+            found.append({**base, "area": area, "name": name + extra, "method": method, "accuracy": accuracy + cost, "steps": steps, "approximate": approximate, "route": _spelled(route), "parameters": datums.parameters(said)})
+    return sorted(found, key=lambda c: (c["accuracy"], not c["gridded"]))
+
+
+def find_transformations(source: int, target: int, area: datums.Box | None = None, grids: Iterable[Operation] = ()) -> list[dict]:
     """Candidate datum operations between two catalogued systems, most accurate first; none within one datum.
 
-    A pair of datums that coincide has the registered null operation; others have the composed seven-parameter shift (the one
-    that transforms apply), the same by way of WGS 84, and the shift reduced to its translation.  ``area`` (degrees) leaves only
-    operations that both datums cover.
+    Every way over the published shifts and the deployed ``grids`` is one, where its operations share an area, and that holds ``area``
+    (degrees).  Ways of shifts alone are also offered as one composed shift, which is what ``transform`` applies, and reduced to its
+    translation; datums that coincide have the registered null operation.  ``path`` names the operations in order, each with
+    its direction; ``parameters`` are the seven of a shift.
     """
     a, b = describe(source).datum, describe(target).datum
-    if a is b or not (_covers(a, area) and _covers(b, area)):
-        return []
-    name, accuracy = f"{a.name} to {b.name}", math.hypot(a.accuracy, b.accuracy)
-    if a.shift == b.shift:
-        return [{"name": name, "method": "null operation", "accuracy": accuracy, "steps": 1, "approximate": False}] if accuracy else []
-    legs = [d for d in (a, b) if d.shift != _NULL]
-    return sorted(
-        [
-            {"name": name, "method": "position vector", "accuracy": accuracy, "steps": 1, "approximate": False},
-            {"name": f"{name} by WGS 84", "method": "position vector, concatenated", "accuracy": accuracy, "steps": len(legs), "approximate": True},
-            {"name": f"{name}, translation", "method": "geocentric translation", "accuracy": accuracy + sum(_residual(d.shift) for d in legs), "steps": 1, "approximate": True},
-        ],
-        key=lambda c: c["accuracy"],
-    )
+    return [] if a is b else [c for c in _candidates(a, b, grids) if datums.covers(c["area"], area)]

@@ -21,7 +21,7 @@ TYPE = "struct<wkb:binary,env:struct<minx:double,miny:double,maxx:double,maxy:do
 #: The same type without a session, for data sources in workers.
 SPARK_TYPE = T.StructType([T.StructField("wkb", T.BinaryType()), T.StructField("env", T.StructType([T.StructField(n, T.DoubleType()) for n in ("minx", "miny", "maxx", "maxy")]))])
 
-#: SQL name, class, result type.
+#: SQL name, class (of Functions, unless it says otherwise), result type.
 FUNCTIONS = (
     ("st_area", "Area", "double"),
     ("st_length", "Length", "double"),
@@ -56,6 +56,17 @@ FUNCTIONS = (
     ("st_bounds", "Bounds", "array<double>"),
     ("st_parts", "Parts", "array<binary>"),
     ("st_ordinates", "Ordinates", "array<double>"),
+    ("st_layout", "Layout$Name", "string"),
+    ("st_withlayout", "Layout$With", "binary"),
+    ("st_keep", "Layout$Keep", "binary"),
+    ("st_zs", "Layout$Zs", "array<double>"),
+    ("st_ms", "Layout$Ms", "array<double>"),
+    ("st_pointzm", "Layout$MakePoint", "binary"),
+    ("st_gridshift", "Shifts$Shift", "array<double>"),
+    ("st_movedby", "Shifts$Moved", "array<double>"),
+    ("st_reprojectby", "Shifts$Reproject", "binary"),
+    ("st_tilefeature", "Tiles$One", "binary"),
+    ("st_tilecount", "Tiles$Count", "bigint"),
 )
 
 
@@ -65,10 +76,28 @@ def register(spark: SparkSession) -> SparkSession:
         return spark
     spark.sql(f"ADD JAR '{JAR}'")
     for name, cls, kind in FUNCTIONS:
-        spark.udf.registerJavaFunction(name, f"terrazzo.geometry.Functions${cls}", kind)
+        spark.udf.registerJavaFunction(name, f"terrazzo.geometry.{cls if '$' in cls else f'Functions${cls}'}", kind)
+    # the aggregate has no registration by name; its class is called where the session's jars are known
+    tiles = spark._jvm.org.apache.spark.util.Utils.classForName("terrazzo.geometry.Tiles", True, False)
+    tiles.getMethod("register", _classes(spark, "org.apache.spark.sql.SparkSession")).invoke(None, _objects(spark, spark._jsparkSession))
     return spark
 
 
+def _classes(spark: SparkSession, *names: str):
+    return _array(spark, "Class", [spark._jvm.java.lang.Class.forName(n) for n in names])
+
+
+def _objects(spark: SparkSession, *items):
+    return _array(spark, "Object", items)
+
+
+def _array(spark: SparkSession, kind: str, items):
+    made = spark.sparkContext._gateway.new_array(getattr(spark._jvm.java.lang, kind), len(items))
+    for k, item in enumerate(items):
+        made[k] = item
+    return made
+
+
 def call(name: str, *args: Column) -> Column:
     return F.call_function(name, *args)
 

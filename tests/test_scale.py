@@ -168,7 +168,8 @@ def test_datums(spark):
     assert 0.001 < math.hypot(lon, lat - 51.4778) < 0.003
     found = crs.find_transformations(27700, 4326)
     assert [c["method"] for c in found][0] == "position vector" and found[0]["accuracy"] == 2.0 and len(found) == 3 and found == sorted(found, key=lambda c: c["accuracy"])
-    assert crs.find_transformations(4326, 3857) == [] and crs.find_transformations(4258, 4269)[0]["accuracy"] == pytest.approx(math.hypot(1, 4))
+    assert crs.find_transformations(4326, 3857) == [] and crs.find_transformations(4258, 4171)[0]["accuracy"] == pytest.approx(math.hypot(1, 1))
+    assert crs.find_transformations(4258, 4269) == []  # no place is in both areas
     assert crs.find_transformations(27700, 4326, (10, 50, 11, 51)) == [] and crs.find_transformations(4167, 4326, (175, -40, 176, -39))
     assert crs.describe(102100).code == 3857 and crs.describe(4326).axes[0] == ("Longitude", "east", "degree") and len(crs.catalogue()) == 7 + 12 + 60 + 60 + 11 + 23
 
