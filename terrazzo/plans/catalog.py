@@ -535,11 +535,28 @@ def tile_counts(spark, sf_dir):
     return sites(spark, sf_dir).df.groupBy(tx.alias("tile_x"), ty.alias("tile_y")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH m AS (SELECT l_orderkey, l_quantity, radians(x) * 6378137.0 AS mx, ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0 AS my FROM """ + SITES_SQL + """ WHERE abs(y) < 85),
+v AS (SELECT *, (mx / (2 * pi() * 6378137.0) + 0.5) * 8 AS u, (0.5 - my / (2 * pi() * 6378137.0)) * 8 AS w FROM m),
+t AS (SELECT l_orderkey, l_quantity, mx, my, w, unnest(range(CAST(greatest(ceil(u) - 1, 0) AS INTEGER), CAST(least(floor(u), 7) AS INTEGER) + 1)) AS x FROM v),
+s AS (SELECT *, unnest(range(CAST(greatest(ceil(w) - 1, 0) AS INTEGER), CAST(least(floor(w), 7) AS INTEGER) + 1)) AS y FROM t),
+q AS (SELECT *, round((mx - (x / 8 - 0.5) * 2 * pi() * 6378137.0) * 4096 * 8 / (2 * pi() * 6378137.0)) AS px, round(((0.5 - y / 8) * 2 * pi() * 6378137.0 - my) * 4096 * 8 / (2 * pi() * 6378137.0)) AS py FROM s)
+SELECT 3 AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n, count(*) > 5000000 AS over, CAST(sum(px) AS BIGINT) AS sum_x, CAST(sum(py) AS BIGINT) AS sum_y, CAST(sum(px * py) AS BIGINT) AS sum_xy,
+       CAST(sum(l_orderkey) AS BIGINT) AS sum_key, CAST(sum(l_quantity) AS DOUBLE) AS sum_quantity FROM q GROUP BY x, y""")
 def vector_tile(spark, sf_dir):
+    """Tiles of all points, read back: counts, and sums of tile coordinates and properties."""
     df = sites(spark, sf_dir).df.where("abs(y) < 85")
     mx, my = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
-    return vector_tiles.encode(df.withColumn("m", geo.point(mx, my)["wkb"]), 3, "m", ["l_orderkey", "l_quantity"]).select("z", "x", "y", "n", F.sha2("tile", 256).alias("tile"))
+    made = vector_tiles.encode(df.withColumn("m", geo.point(mx, my)["wkb"]), 3, "m", ["l_orderkey", "l_quantity"])
+    read = vector_tiles.features(vector_tiles.layer_of(F.col("tile")))
+    total = lambda f: F.aggregate(F.col("read"), F.lit(0).cast("long"), lambda s, r: s + f(r))
+    sums = {
+        "sum_x": total(lambda r: r["xs"][0]),
+        "sum_y": total(lambda r: r["ys"][0]),
+        "sum_xy": total(lambda r: r["xs"][0] * r["ys"][0]),
+        "sum_key": total(lambda r: r["properties"]["l_orderkey"].cast("long")),
+        "sum_quantity": F.aggregate(F.col("read"), F.lit(0.0), lambda s, r: s + r["properties"]["l_quantity"].cast("double")),
+    }
+    return made.withColumn("read", read).select("z", "x", "y", "n", "over", *[c.alias(k) for k, c in sums.items()])
 
 
 @query("SELECT 'point-' || lpad(CAST(k AS VARCHAR), 3, '0') AS __feature_id, CAST(k % 11 - 5 + k // 11 - 4 AS DOUBLE) AS value FROM (SELECT unnest(range(0, 110)) AS k) WHERE k % 11 - 5 BETWEEN -2 AND 3 AND k // 11 - 4 BETWEEN 0 AND 2")

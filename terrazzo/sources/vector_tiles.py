@@ -1,21 +1,23 @@
 """Vector-tile sink: MVT 2.1 bytes of point, line and polygon features, a row a tile.
 
-A feature goes whole into every tile that its envelope meets.  A tile is one value, so
-its features meet in one task; a tile of more than ``most`` features fails and says
-so, before it can exhaust that task.
+A feature goes whole into every tile that its envelope meets, and is encoded where it is read, in the JVM, as a
+layer of its own.  Layers merge by renumbering their keys and values: in the tasks first, then in rounds, so what
+meets in the end are a few encoded parts of a tile and never its features.  The bytes do not depend on how the rows
+were dealt: features stand in the order of their geometry and properties.
+
+A tile is one value.  One of more than ``most`` features is flagged (``over``); ``pieces`` is the way to have the same
+features in layers of a bounded size.
 """
 
 from __future__ import annotations
 
 import math
-import struct
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrazzo.functions import tiles
+from terrazzo.functions import crs, tiles
 from terrazzo.functions.crs import transform_geometry
 from terrazzo.functions.geometry import call, register, wkb_box
 from terrazzo.model import Box, FeatureQuery, Predicate
@@ -23,144 +25,76 @@ from terrazzo.plans import execute
 from terrazzo.plans.dataset import Dataset, quoted
 
 EXTENT = 4096
-_XY = struct.Struct(">dd").unpack_from
 MOST_FEATURES = 5_000_000
+#: Parts of a tile that are merged before the last round.
+FAN = 32
+_LAYER = 3  # the number of a tile's layers in its message
+_PLAIN = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+
+
+def _property(df: DataFrame, name: str) -> Column:
+    """Numbers and truth values as they are, all else as text."""
+    c = F.col(quoted(name))
+    return (c if isinstance(df.schema[name].dataType, _PLAIN) else c.cast("string")).alias(name)
+
+
+def _bounds(x: Column, y: Column, z: int) -> Column:
+    """Mercator bounds of a tile, as ``tiles.tile_bounds`` has them."""
+    n, span = 1 << z, 2 * math.pi * crs.RADIUS
+    return F.array((x / n - 0.5) * span, (F.lit(0.5) - (y + 1) / n) * span, ((x + 1) / n - 0.5) * span, (F.lit(0.5) - y / n) * span)
 
 
-def _spelled(n: int) -> bytes:
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    out.append(n)
-    return bytes(out)
-
-
-_SHORT = [_spelled(n) for n in range(1 << 14)]
-
-
-def _varint(n: int) -> bytes:
-    return _SHORT[n] if n < 1 << 14 else _spelled(n)
-
-
-def _zigzag(n: int) -> int:
-    return n << 1 if n >= 0 else (-n << 1) - 1
-
-
-def _field(number: int, body: bytes) -> bytes:
-    return _varint(number << 3 | 2) + _varint(len(body)) + body
-
-
-def _value(v) -> bytes:
-    if isinstance(v, bool):
-        return _varint(7 << 3) + _varint(int(v))
-    if isinstance(v, int):
-        return _varint(6 << 3) + _varint(_zigzag(v))
-    if isinstance(v, float):
-        return _varint(3 << 3 | 1) + struct.pack("<d", v)
-    return _field(1, str(v).encode())
-
-
-def read_wkb(data: bytes) -> tuple[int, list[list[tuple[float, float]]]]:
-    """(type 1-3, parts) of a point, line, polygon or a multi of these."""
-
-    def read(at: int) -> tuple[int, list, int]:
-        e = ">" if data[at] == 0 else "<"
-        (kind,) = struct.unpack_from(e + "I", data, at + 1)
-        at += 5
-
-        def path(at: int, n: int) -> tuple[list, int]:
-            flat = struct.unpack_from(f"{e}{2 * n}d", data, at)
-            return list(zip(flat[::2], flat[1::2], strict=True)), at + 16 * n
-
-        if kind == 1:
-            p, at = path(at, 1)
-            return 1, [] if p[0][0] != p[0][0] else [p], at
-        (n,) = struct.unpack_from(e + "I", data, at)
-        at += 4
-        if kind == 2:
-            p, at = path(at, n)
-            return 2, [p], at
-        parts, inner = [], kind - 3
-        for _ in range(n):
-            if kind == 3:
-                (m,) = struct.unpack_from(e + "I", data, at)
-                p, at = path(at + 4, m)
-                parts.append(p)
-            else:
-                inner, more, at = read(at)
-                parts += more
-        return 3 if kind == 3 else inner, parts, at
-
-    kind, parts, _ = read(0)
-    return kind, parts
-
-
-def encode_layer(name: str, features: list[tuple[bytes, dict]], bounds: tuple[float, float, float, float], extent: int = EXTENT) -> bytes:
-    """A layer message: geometries as command streams, properties through shared key and value tables."""
-    keys: dict[str, int] = {}
-    values: dict[tuple, int] = {}
-    body = []
-    minx, miny, maxx, maxy = bounds
-    half_up = lambda v: int(math.floor(abs(v) + 0.5)) * (1 if v >= 0 else -1)
-    sx, sy = extent / (maxx - minx), extent / (maxy - miny)
-    for wkb, properties in features:
-        tags, commands, cx, cy = [], [], 0, 0
-        for k, v in properties.items():
-            if v is not None:
-                tags += [keys.setdefault(k, len(keys)), values.setdefault((type(v), v), len(values))]
-        if len(wkb) == 21 and wkb[0] == 0:  # a plain point
-            x, y = _XY(wkb, 5)
-            if x == x:
-                geometry = (9, _zigzag(half_up((x - minx) * sx)), _zigzag(half_up((maxy - y) * sy)))
-                feature = _field(2, b"".join(map(_varint, tags))) if tags else b""
-                body.append(_field(2, feature + b"\x18\x01" + _field(4, b"".join(map(_varint, geometry)))))
-            continue
-        kind, parts = read_wkb(wkb)
-        shapes = [[(half_up((x - minx) * sx), half_up((maxy - y) * sy)) for x, y in part] for part in parts]
-        if kind == 1:
-            shapes = [[p for s in shapes for p in s]]
-        for shape in shapes:
-            if kind == 3:
-                shape = shape[:-1]
-            steps = []
-            for x, y in shape:
-                steps += [_zigzag(x - cx), _zigzag(y - cy)]
-                cx, cy = x, y
-            if kind == 1:
-                commands += [1 | len(shape) << 3, *steps]
-            else:
-                commands += [9, *steps[:2], 2 | (len(shape) - 1) << 3, *steps[2:], *([15] if kind == 3 else [])]
-        if commands:
-            feature = _field(2, b"".join(map(_varint, tags))) if tags else b""
-            feature += _varint(3 << 3) + _varint(kind) + _field(4, b"".join(map(_varint, commands)))
-            body.append(_field(2, feature))
-    layer = _field(1, name.encode()) + b"".join(body)
-    layer += b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values)
-    return layer + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(2)
-
-
-def encode(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", most: int = MOST_FEATURES) -> DataFrame:
-    """(z, x, y, n, tile) of every tile that a feature meets; ``wkb_mercator`` holds the geometry in Mercator metres."""
-    wkb = F.col(wkb_mercator)
-    met = tiles.tiles_of(call("st_bounds", wkb), z)
+def _features(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str, extent: int) -> DataFrame:
+    """(x, y, one, at) of every feature and every tile that it meets: a layer of its own, and the row's place."""
     register(df.sparkSession)
-    rows = df.select(wkb.alias("wkb"), F.struct(*properties).alias("properties"), F.explode(met).alias("at"))
-    rows = rows.select(F.col("at.x").alias("tile_x"), F.col("at.y").alias("tile_y"), "wkb", "properties")
-
-    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = (k.as_py() for k in key)
-        found: list[tuple[bytes, tuple]] = []
-        for b in batches:
-            values = [b.column("properties").field(k).to_pylist() for k in range(len(properties))]
-            found += zip(b.column("wkb").to_pylist(), zip(*values, strict=True), strict=True)
-            if len(found) > most:
-                raise ValueError(f"tile {z}/{x}/{y} holds more than {most} features")
-        found.sort(key=lambda f: (f[0], str(f[1])))
-        tile = _field(3, encode_layer(layer, [(g, dict(zip(properties, v, strict=True))) for g, v in found], tiles.tile_bounds(z, x, y)))
-        yield pa.RecordBatch.from_arrays([pa.array([z], pa.int32()), pa.array([x], pa.int32()), pa.array([y], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([tile], pa.binary())], names=["z", "x", "y", "n", "tile"])
-
-    return rows.groupBy("tile_x", "tile_y").applyInArrow(build, "z int, x int, y int, n long, tile binary")
+    plain = df.select(F.col(quoted(wkb_mercator)).alias("wkb"), F.struct(*[_property(df, p) for p in properties]).alias("properties"))
+    rows = plain.select("wkb", "properties", F.explode(tiles.tiles_of(call("st_bounds", F.col("wkb")), z)).alias("tile"))
+    one = call("st_tilefeature", F.col("wkb"), F.col("properties"), _bounds(F.col("tile.x"), F.col("tile.y"), z), F.lit(layer), F.lit(extent))
+    return rows.select(F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), one.alias("one"), F.monotonically_increasing_id().alias("at"))
+
+
+def _merged(c: str) -> Column:
+    return call("st_mergelayers", F.col(c))
+
+
+def message(layer: Column) -> Column:
+    """A tile of one layer."""
+    return F.concat(F.lit(bytes([_LAYER << 3 | 2])), _varint(F.length(layer)), layer)
+
+
+def _varint(n: Column) -> Column:
+    """A length as its seven-bit groups, low ones first; all but the last have the high bit set."""
+    group = lambda k: F.unhex(F.lpad(F.hex(F.shiftright(n, 7 * k).bitwiseAND(F.lit(127)).bitwiseOR(F.when(F.shiftright(n, 7 * (k + 1)) > 0, 128).otherwise(0))), 2, "0"))
+    return F.concat(*[group(k) if k == 0 else F.when(F.shiftright(n, 7 * k) > 0, group(k)).otherwise(F.lit(b"")) for k in range(5)])
+
+
+def encode(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", most: int = MOST_FEATURES, extent: int = EXTENT) -> DataFrame:
+    """(z, x, y, n, over, tile) of every tile that a feature meets; ``wkb_mercator`` holds the geometry in Mercator metres."""
+    part = F.pmod(F.shiftright("at", 33), F.lit(FAN)).cast("int")  # by task: what a task merges is one part
+    parts = _features(df, z, wkb_mercator, properties, layer, extent).withColumn("part", part).groupBy("x", "y", "part").agg(F.count(F.lit(1)).alias("n"), _merged("one").alias("layer"))
+    whole = parts.groupBy("x", "y").agg(F.sum("n").alias("n"), _merged("layer").alias("layer"))
+    return whole.select(F.lit(z).alias("z"), "x", "y", "n", (F.col("n") > most).alias("over"), message(F.col("layer")).alias("tile"))
+
+
+def pieces(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", most: int = MOST_FEATURES, extent: int = EXTENT) -> DataFrame:
+    """(z, x, y, piece, n, layer): the features of ``encode`` in encoded layers of at most ``most`` features each, which merge to its tiles."""
+    cut = F.expr(f"at div {int(most)}")  # places in a task are consecutive, and tasks far apart
+    cuts = _features(df, z, wkb_mercator, properties, layer, extent).withColumn("cut", cut).groupBy("x", "y", "cut").agg(F.count(F.lit(1)).alias("n"), _merged("one").alias("layer"))
+    return cuts.select(F.lit(z).alias("z"), "x", "y", F.col("cut").alias("piece"), "n", "layer")
+
+
+def features(layer: Column) -> Column:
+    """The features of an encoded layer: kind, xs, ys, properties."""
+    return call("st_tilefeatures", layer)
+
+
+def layer_of(tile: Column) -> Column:
+    """The one layer of a tile that ``encode`` made."""
+    length = F.expr("0")
+    for k in range(4, -1, -1):  # the bytes of the length before the first without its high bit
+        byte = F.conv(F.hex(F.substring(tile, 2 + k, 1)), 16, 10).cast("int")
+        length = F.when(byte < 128, F.lit(k + 1)).otherwise(length)
+    return F.substr(tile, length + 2)
 
 
 def tile(ds: Dataset, z: int, x: int, y: int, native: int, where: Predicate | None = None, properties: tuple[str, ...] | None = None, layer: str = "features") -> DataFrame:

@@ -108,11 +108,12 @@ def test_tiles(spark):
         tiles.tile_bounds(1, 2, 0)
 
 
-def test_vector_tile_bytes():
-    layer = vector_tiles.encode_layer("l", [(geo.wkb_point(5, 5), {"a": 1, "b": "x"})], (0, 0, 10, 10), 10)
-    assert b"\x0a\x01l" in layer and b"\x22\x03\x09\x0a\x0a" in layer  # moveTo (5, 5)
-    square = vector_tiles.encode_layer("l", [(geo.wkb_box(0, 0, 10, 10), {})], (0, 0, 10, 10), 10)
-    assert square.count(b"\x0f") >= 1
+def test_vector_tile_bytes(spark):
+    bounds = F.array(*[F.lit(v) for v in (0.0, 0.0, 10.0, 10.0)])
+    layer = lambda wkb, *properties: bytes(one(spark, geo.call("st_tilefeature", F.lit(wkb), F.struct(*properties), bounds, F.lit("l"), F.lit(10)))[0])
+    point = layer(geo.wkb_point(5, 5), F.lit(1).alias("a"), F.lit("x").alias("b"))
+    assert b"\x0a\x01l" in point and b"\x22\x03\x09\x0a\x0a" in point  # moveTo (5, 5)
+    assert layer(geo.wkb_box(0, 0, 10, 10), F.lit(None).cast("int").alias("a")).count(b"\x0f") >= 1
 
 
 def test_demo_sets(spark):
@@ -129,8 +130,10 @@ def test_native_paths(spark):
 
 
 def test_jar_holds_what_the_source_declares():
-    source = (geo.JAR.parent / "src/terrazzo/geometry/Functions.java").read_text()
-    declared = set(re.findall(r"^  (?:public )?(?:static )?(?:final )?(?:class|interface) (\w+)", source, re.M))
+    declared, held = set(), set()
+    for source in (geo.JAR.parent / "src/terrazzo/geometry").glob("*.java"):
+        names = re.findall(r"^  (?:public |private )?(?:static )?(?:final )?(?:class|interface|record) (\w+)", source.read_text(), re.M)
+        declared |= {f"{source.stem}${n}" for n in names}
     with zipfile.ZipFile(geo.JAR) as jar:
-        held = {m[1] for n in jar.namelist() if (m := re.fullmatch(r"terrazzo/geometry/Functions\$([A-Za-z]\w*)\.class", n))}
-    assert held == declared and {cls for _, cls, _ in geo.FUNCTIONS} <= held
+        held = {m[1] for n in jar.namelist() if (m := re.fullmatch(r"terrazzo/geometry/(\w+\$[A-Za-z]\w*)\.class", n))}
+    assert held == declared and {cls if "$" in cls else f"Functions${cls}" for _, cls, _ in geo.FUNCTIONS} <= held
