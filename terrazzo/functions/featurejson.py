@@ -5,6 +5,7 @@ Rings that turn clockwise are outer rings, the others holes of the outer ring be
 
 from __future__ import annotations
 
+import math
 import struct
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,24 @@ FIELD_TYPES = {
 }
 
 
-def _path(points: list) -> bytes:
-    return struct.pack(">I", len(points)) + b"".join(struct.pack(">dd", float(x), float(y)) for x, y, *_ in points)
+def _layout(g: dict) -> int:
+    """As in ISO WKB: 1 with z, 2 with m, 3 with both; flags say so, and the members of a point."""
+    return (1 if g.get("hasZ") or "z" in g else 0) | (2 if g.get("hasM") or "m" in g else 0)
+
+
+def _ordinates(p: list, layout: int) -> bytes:
+    """x, y and the layout's other ordinates; what a position lacks, or says is no number, is unknown."""
+    n = 2 + layout.bit_count()
+    known = [math.nan if v is None or v == "NaN" else float(v) for v in p[:n]]
+    return struct.pack(f">{n}d", *known, *[math.nan] * (n - len(known)))
+
+
+def _path(points: list, layout: int) -> bytes:
+    return struct.pack(">I", len(points)) + b"".join(_ordinates(p, layout) for p in points)
+
+
+def _point(p: list, layout: int) -> bytes:
+    return struct.pack(">bI", 0, 1 + 1000 * layout) + _ordinates(p, layout)
 
 
 def _turn(ring: list) -> float:
@@ -32,20 +49,22 @@ def _turn(ring: list) -> float:
 
 
 def decode(g: dict) -> tuple[bytes, tuple[float, float, float, float], int]:
-    """(WKB, envelope, dimension) of a geometry."""
+    """(WKB, envelope, dimension) of a geometry; z and m are kept."""
     try:
         if "xmin" in g:
             b = tuple(float(g[k]) for k in ("xmin", "ymin", "xmax", "ymax"))
             return geo.wkb_box(*b), b, 2
+        layout = _layout(g)
+        head = lambda kind, n: struct.pack(">bII", 0, kind + 1000 * layout, n)
         if "x" in g:
             x, y = float(g["x"]), float(g["y"])
-            return geo.wkb_point(x, y), (x, y, x, y), 0
+            return _point([x, y, *[g.get(k) for k, bit in (("z", 1), ("m", 2)) if layout & bit]], layout), (x, y, x, y), 0
         if "points" in g:
             flat, dimension = g["points"], 0
-            wkb = struct.pack(">bII", 0, 4, len(flat)) + b"".join(geo.wkb_point(p[0], p[1]) for p in flat)
+            wkb = head(4, len(flat)) + b"".join(_point(p, layout) for p in flat)
         elif "paths" in g:
             flat, dimension = [p for path in g["paths"] for p in path], 1
-            wkb = struct.pack(">bII", 0, 5, len(g["paths"])) + b"".join(struct.pack(">bI", 0, 2) + _path(path) for path in g["paths"])
+            wkb = head(5, len(g["paths"])) + b"".join(struct.pack(">bI", 0, 2 + 1000 * layout) + _path(path, layout) for path in g["paths"])
         else:
             flat, dimension, parts = [p for ring in g["rings"] for p in ring], 2, []
             for ring in g["rings"]:
@@ -54,7 +73,7 @@ def decode(g: dict) -> tuple[bytes, tuple[float, float, float, float], int]:
                     parts.append([ring])
                 else:
                     parts[-1].append(ring)
-            wkb = struct.pack(">bII", 0, 6, len(parts)) + b"".join(struct.pack(">bII", 0, 3, len(rings)) + b"".join(map(_path, rings)) for rings in parts)
+            wkb = head(6, len(parts)) + b"".join(head(3, len(rings)) + b"".join(_path(r, layout) for r in rings) for rings in parts)
         xs, ys = [float(p[0]) for p in flat], [float(p[1]) for p in flat]
         return wkb, (min(xs), min(ys), max(xs), max(ys)), dimension
     except (KeyError, IndexError, TypeError, ValueError) as e:

@@ -5,7 +5,8 @@ distance, units, time, timeRelation, outFields, orderByFields, resultOffset,
 resultRecordCount, returnIdsOnly, returnUniqueIdsOnly, returnCountOnly,
 returnExtentOnly, returnDistinctValues, outStatistics, groupByFieldsForStatistics,
 having, outSR, geometryPrecision, maxAllowableOffset, quantizationParameters,
-returnCentroid, returnGeometry.  Anything else is refused by name.
+returnCentroid, returnGeometry, returnZ, returnM (both true unless said otherwise; absent ordinates stay absent).
+Anything else is refused by name.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ RELATIONS = {"intersects": "intersects", "envelopeintersects": "envelope", "cont
 STATISTICS = {"count": "count", "sum": "sum", "min": "min", "max": "max", "avg": "avg", "stddev": "stddev", "var": "var", "percentile_continuous": "percentile_cont", "percentile_discrete": "percentile_disc", "envelopeaggregate": "envelope"}
 KNOWN = frozenset(
     "where objectIds geometry geometryType inSR spatialRel relationMask distance units time timeRelation outFields orderByFields resultOffset resultRecordCount returnIdsOnly returnUniqueIdsOnly "
-    "returnCountOnly returnExtentOnly returnDistinctValues outStatistics groupByFieldsForStatistics having outSR geometryPrecision maxAllowableOffset quantizationParameters returnCentroid returnGeometry f".split()
+    "returnCountOnly returnExtentOnly returnDistinctValues outStatistics groupByFieldsForStatistics having outSR geometryPrecision maxAllowableOffset quantizationParameters returnCentroid returnGeometry returnZ returnM f".split()
 )
 
 
@@ -139,6 +140,9 @@ def _shown(ds: Dataset, df: DataFrame, p: dict, native: int) -> DataFrame:
     """The output geometry: generalised, reprojected, with a centroid; ordinates rounded or snapped."""
     name = ds.geometries[0]
     wkb: Column = F.col(quoted(name))["wkb"]
+    keep = [str(p.get(n, "true")).lower() != "false" for n in ("returnZ", "returnM")]
+    if not all(keep):
+        wkb = geo.call("st_keep", wkb, *map(F.lit, keep))
     if (offset := _number(p, "maxAllowableOffset")) is not None:
         wkb = geo.call("st_generalize", wkb, F.lit(offset))
     wkb = crs.transform_geometry(wkb, native, int(p.get("outSR") or native))

@@ -9,11 +9,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrazzo.functions import crs, tiles
+from terrazzo.functions import crs, grids, tiles
 from terrazzo.functions import geometry as geo
 from terrazzo.functions.expressions import compile_expression, legacy_filter
 from terrazzo.model import AggregateQuery, AggregateSpec, Box, FeatureQuery, OrderTerm
@@ -535,6 +536,61 @@ def tile_counts(spark, sf_dir):
     return sites(spark, sf_dir).df.groupBy(tx.alias("tile_x"), ty.alias("tile_y")).agg(F.count("*").alias("n"))
 
 
+# z runs from one end to the other in equal steps, so the inserted positions have the mean of both ends
+@query("""WITH l AS (SELECT *, ceil(10 * sqrt(w * w + h * h) / 3 - 1e-12) AS n, x0 + 5 * w AS z0, y0 - h AS z1 FROM """ + PARCELS_SQL + """)
+SELECT p_partkey, 'XYZM' AS layout, CAST(n + 1 AS BIGINT) AS positions, round((n + 1) * (z0 + z1) / 2, 6) AS sum_z, round((n + 1) * (p_partkey + 0.5), 6) AS sum_m,
+       'XYZ' AS without_m, round(z0 + z1, 6) AS ends, round((z0 + z1) / 2, 6) AS cut_z, CAST(z0 AS BIGINT) AS json_z FROM l""")
+def ordinates_z(spark, sf_dir):
+    """Lines with heights and measures: inserted positions have both, a transform keeps them, a cut gives a height between."""
+    df = parcels(spark, sf_dir).df.withColumns({"z0": F.expr("x0 + 5 * w"), "z1": F.expr("y0 - h"), "x1": F.expr("x0 + 10 * w"), "y1": F.expr("y0 + 10 * h")})
+    line = geo.call("st_fromtext", F.concat(F.lit("LINESTRING ZM("), F.concat_ws(" ", "x0", "y0", "z0", "p_partkey"), F.lit(","), F.concat_ws(" ", "x1", "y1", "z1", F.expr("p_partkey + 1")), F.lit(")")))
+    dense = geo.call("st_densify", line, F.lit(3.0))
+    moved = crs.transform_geometry(dense, 5070, 3031)
+    middle = lambda c: (F.col(c[0]) + F.col(c[1])) / 2
+    half = geo.call("st_box", F.col("x0") - 1, F.col("y0") - 1, middle(("x0", "x1")), F.col("y1") + 1)
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), 6)
+    cut = geo.call("st_zs", geo.call("st_intersection", line, half))
+    return df.select(
+        "p_partkey", geo.call("st_layout", moved).alias("layout"), F.size(geo.call("st_zs", moved)).cast("long").alias("positions"),
+        total(geo.call("st_zs", moved)).alias("sum_z"), total(geo.call("st_ms", moved)).alias("sum_m"),
+        geo.call("st_layout", geo.call("st_keep", moved, F.lit(True), F.lit(False))).alias("without_m"),
+        total(geo.call("st_zs", geo.call("st_simplify", dense, F.lit(0.001)))).alias("ends"),
+        F.round(F.array_max(F.filter(cut, lambda v: F.abs(v - middle(("z0", "z1"))) < 1e-6)), 6).alias("cut_z"),
+        F.get_json_object(geo.call("st_asgeojson", line), "$.coordinates[0][2]").cast("long").alias("json_z"),
+    )
+
+
+_SHIFT_SQL = """WITH p AS (SELECT p_partkey, -100 + (p_partkey * 7 % 997) / 100.0 AS x, 40 + (p_partkey * 11 % 991) / 120.0 AS y FROM part),
+c AS (SELECT *, CASE WHEN x >= -96 AND x < -94 AND y >= 43 AND y < 45 THEN 2 WHEN x >= -99 AND x < -91 AND y >= 41 AND y < 47 THEN 1 ELSE 0 END AS g FROM p),
+n AS (SELECT *, CASE g WHEN 2 THEN (y - 43) * 8 WHEN 1 THEN (y - 41) * 2 END AS r, CASE g WHEN 2 THEN (x + 96) * 8 WHEN 1 THEN (x + 99) * 2 END AS k FROM c)
+SELECT p_partkey, CASE WHEN g > 0 THEN round(x + ((g + r / 8 - k / 4 + r * k / 64) / 3600), 9) END AS lon, CASE WHEN g > 0 THEN round(y + ((2 * g - r / 4 + k / 16 - r * k / 32) / 3600), 9) END AS lat,
+       CASE WHEN g > 0 THEN round(x, 9) END AS lon_back, CASE WHEN g > 0 THEN round(y, 9) END AS lat_back FROM n"""
+
+
+def _planes() -> list[grids.Grid]:
+    """Two nested grids whose shifts are products of row and column, which interpolation gives back between the nodes."""
+
+    def grid(name: str, parent: str, west: float, south: float, step: float, rows: int, columns: int, g: int) -> grids.Grid:
+        r, k = np.meshgrid(np.arange(rows), np.arange(columns), indexing="ij")
+        return grids.Grid(name, parent, south, west, step, step, (2 * g - r / 4 + k / 16 - r * k / 32).astype("f4"), (g + r / 8 - k / 4 + r * k / 64).astype("f4"), 0.1)
+
+    return [grid("WIDE", "NONE", -99.0, 41.0, 0.5, 13, 17, 1), grid("FINE", "WIDE", -96.0, 43.0, 0.125, 17, 17, 2)]
+
+
+@query(_SHIFT_SQL)
+def transform_grid(spark, sf_dir):
+    """Positions by a file of nested grids, there and back: the finest grid counts, and outside of all there is no answer."""
+    df = table(spark, sf_dir, "part").select("p_partkey", F.expr("-100 + cast(p_partkey * 7 % 997 as double) / 100").alias("x"), F.expr("40 + cast(p_partkey * 11 % 991 as double) / 120").alias("y"))
+    operation = grids.deploy(spark, "NAD27", "NAD83", grids.read_ntv2(grids.to_ntv2(_planes())))
+    best = crs.find_transformations(4267, 4269, grids=[operation])[0]
+    lon, lat = crs.transform(F.col("x"), F.col("y"), 4267, 4269, by=best)
+    there = df.select("p_partkey", "x", "y", lon.alias("lon"), lat.alias("lat"))
+    back = F.call_function("st_gridshift", F.col("lon"), F.col("lat"), F.lit(operation.grid), F.lit(False))
+    held = F.col("lon").isNotNull()
+    same = F.abs(back[0] - F.col("x")) + F.abs(back[1] - F.col("y")) < 1e-9
+    return there.select("p_partkey", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), F.when(held & same, F.round("x", 9)).alias("lon_back"), F.when(held & same, F.round("y", 9)).alias("lat_back"))
+
+
 @query("""WITH m AS (SELECT l_orderkey, l_quantity, radians(x) * 6378137.0 AS mx, ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0 AS my FROM """ + SITES_SQL + """ WHERE abs(y) < 85),
 v AS (SELECT *, (mx / (2 * pi() * 6378137.0) + 0.5) * 8 AS u, (0.5 - my / (2 * pi() * 6378137.0)) * 8 AS w FROM m),
 t AS (SELECT l_orderkey, l_quantity, mx, my, w, unnest(range(CAST(greatest(ceil(u) - 1, 0) AS INTEGER), CAST(least(floor(u), 7) AS INTEGER) + 1)) AS x FROM v),

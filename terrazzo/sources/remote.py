@@ -92,6 +92,7 @@ class RemoteReader(DataSourceReader):
         self.url, self.page, self.names = options["url"].rstrip("/"), int(options.get("page", 1000)), [f.name for f in schema.fields]
         self.geometry = GEOMETRY if any(f.name == GEOMETRY and isinstance(f.dataType, StructType) for f in schema.fields) else None
         self.object_id = options.get("objectid")
+        self.ordinates = {f"return{n}": "true" for n in options.get("ordinates", "")}
         self.where = [options["where"]] if options.get("where") else []
         self.box: dict[str, float] = {}
 
@@ -105,10 +106,9 @@ class RemoteReader(DataSourceReader):
                 yield f  # the service may answer with more; Spark looks again
                 continue
             text = text_of(f) if path != (self.geometry,) else None
-            if text is None:
-                yield f
-            else:
+            if text is not None:
                 self.where.append(text)
+            yield f  # a service may fold case, or know another order of texts; Spark looks again
 
     @property
     def query(self) -> dict:
@@ -119,6 +119,8 @@ class RemoteReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         total = int(_get(f"{self.url}/query", **self.query, returnCountOnly="true")["count"])
+        if not self.object_id:  # pages without an order may overlap, or leave rows out
+            return [_Pages(0, total)]
         return [_Pages(at, min(self.page, total - at)) for at in range(0, total, self.page)] or [_Pages(0, 0)]
 
     def read(self, partition: _Pages) -> Iterator[tuple]:
@@ -126,7 +128,7 @@ class RemoteReader(DataSourceReader):
         attributes = [n for n in self.names if n != self.geometry]
         order = {"orderByFields": self.object_id} if self.object_id else {}
         while at < end:  # a service may answer with fewer rows than asked for
-            body = _get(f"{self.url}/query", **self.query, **order, outFields=",".join(attributes) or self.object_id or "*", resultOffset=at, resultRecordCount=end - at, returnGeometry=str(self.geometry is not None).lower())
+            body = _get(f"{self.url}/query", **self.query, **order, outFields=",".join(attributes) or self.object_id or "*", resultOffset=at, resultRecordCount=end - at, returnGeometry=str(self.geometry is not None).lower(), **self.ordinates)
             rows = body.get("features", [])
             if not rows:
                 return
@@ -134,6 +136,8 @@ class RemoteReader(DataSourceReader):
                 values = row["attributes"]
                 yield tuple(_shape(row.get("geometry")) if n == self.geometry else values.get(n) for n in self.names)
             at += len(rows)
+            if at < end and not self.object_id:
+                raise ValueError(f"{self.url} has no object id, and more rows than one answer")
 
 
 def _shape(g: dict | None) -> dict | None:
@@ -169,5 +173,6 @@ def read(spark: SparkSession, url: str, where: str | None = None, page: int = 10
     layer = _get(url.rstrip("/"))
     object_id = layer.get("objectIdField") or next((f["name"] for f in layer["fields"] if f["type"] == "esriFieldTypeOID"), None)
     reader = spark.read.format("terrazzo_remote").option("url", url).option("page", str(page)).option("geometry", str(geometry).lower())
+    reader = reader.option("ordinates", "".join(n for n in "ZM" if layer.get(f"has{n}")))
     reader = reader.option("objectid", object_id) if object_id else reader
     return (reader.option("where", where) if where else reader).load()
