@@ -6,10 +6,13 @@ that contains the threshold's share of them must contain a sketch hash, for it c
 only ``n - ceil(threshold * n)``.  The search therefore loses nothing, whatever the
 document's length.
 
-Items are partitioned into classes by size (powers of two).  A class has a ceiling, the
-largest hash of its sketches: the larger the items, the lower it is.  The documents'
-side of a class is sketched by that ceiling, so a long document sends to the search only
-those of its hashes that some sketch of some class could hold.
+Items are partitioned into classes by size (powers of two), and each class is searched in its
+own way.  A class of at most LISTED sketch hashes lists them, and a document sends to it
+the listed hashes alone.  A larger class has a ceiling, the largest hash of its sketches, which is lower
+the larger its items; a document sends to it the hashes up to that, and none where it has fewer
+shingles than the smallest item of the class needs.  So a few tiny items, whose sketches lie
+anywhere, list some hashes and leave the other classes' ceilings as they are, and a short
+document is not searched for long items.
 
 Documents stream through once: the remaining hashes meet the sketches in a hash join
 whose small side is broadcast only if Spark measures it under its threshold, and
@@ -30,6 +33,8 @@ empty tables give no rows; other columns are handed on by ``clean``, whatever th
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +43,24 @@ from terrazzo.llm.storage import Segments, unused, written
 
 WIDTH = 5
 THRESHOLD = 0.75
+#: Sketch hashes of a size class that are listed; a larger class has a ceiling.
+LISTED = 256
+
+
+@dataclass(frozen=True)
+class Classes:
+    """How the size classes of one shingle width are searched: ``listed`` hashes, and (shingles that a document needs, ceiling) of the larger classes."""
+
+    listed: tuple[int, ...]
+    ceilings: tuple[tuple[int, int], ...]
+
+    def admits(self, key: Column, n: Column) -> Column:
+        """Whether a hash of a document of ``n`` shingles may be in a sketch of some class."""
+        tests = [key.isin(list(self.listed))] if self.listed else []
+        if self.ceilings:
+            limits = [F.when(n >= need, F.lit(ceiling)) for need, ceiling in self.ceilings]
+            tests.append(F.coalesce(key <= (F.greatest(*limits) if len(limits) > 1 else limits[0]), F.lit(False)))
+        return tests[0] if len(tests) == 1 else tests[0] | tests[1]
 
 
 def _words(text: Column) -> Column:
@@ -65,12 +88,14 @@ def _text(run: list[Column]) -> Column:
     return F.concat_ws(" ", *run)
 
 
-def _keyed(text: Column, widths: list[int], of, ceiling: dict[int, int] | None = None) -> Column:
-    """Distinct (w, key): ``of`` over the runs of each width, up to a ceiling.  Plain values are made distinct, not structs, which Spark compares pairwise."""
+def _keyed(text: Column, widths: list[int], of, classes: dict[int, Classes] | None = None) -> Column:
+    """Distinct (w, key): ``of`` over the runs of each width, those that some class admits.  Plain values are made distinct, not structs, which Spark compares pairwise."""
 
     def of_width(words: Column, w: int) -> Column:
         keys = _shingles(words, w, of)
-        keys = F.filter(keys, lambda key: key <= F.lit(ceiling[w])) if ceiling and w in ceiling else keys
+        if classes and w in classes:
+            n = F.size(words) - (w - 1)  # at least the distinct ones
+            keys = F.filter(keys, lambda key: classes[w].admits(key, n))
         return F.transform(F.array_distinct(keys), lambda key: F.struct(F.lit(w).alias("w"), key.alias("key")))
 
     return _bound(_words(text), lambda v: F.concat(*[of_width(v, w) for w in widths]))
@@ -91,30 +116,33 @@ def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The sketch hashes (item_id, w, size_class, hash) of every item."""
+    """The sketch hashes (item_id, w, n, size_class, hash) of every item."""
     ranked = shingles.withColumn("_rank", F.row_number().over(W.partitionBy("item_id").orderBy("hash", "shingle")))
     sketch = ranked.where(F.col("_rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1)
-    return sketch.select("item_id", "w", F.floor(F.log2("n")).cast("int").alias("size_class"), "hash").distinct()
+    return sketch.select("item_id", "w", "n", F.floor(F.log2("n")).cast("int").alias("size_class"), "hash").distinct()
 
 
-def ceilings(sketch: DataFrame) -> dict[int, int]:
-    """For each shingle width (w) the highest of its size classes' ceilings; at most 64 classes a width."""
-    classes = sketch.groupBy("w", "size_class").agg(F.max("hash").alias("ceiling")).collect()
-    out: dict[int, int] = {}
-    for r in classes:
-        out[r["w"]] = max(out.get(r["w"], r["ceiling"]), r["ceiling"])
-    return out
+def classes_of(sketch: DataFrame, threshold: float = THRESHOLD) -> dict[int, Classes]:
+    """How the classes of each shingle width are searched; at most 64 classes a width, LISTED hashes each."""
+    sizes = sketch.groupBy("w", "size_class").agg(F.countDistinct("hash").alias("hashes"), F.max("hash").alias("ceiling"), F.min(F.ceil(F.col("n") * F.lit(threshold))).alias("need"))
+    small = sizes.where(F.col("hashes") <= LISTED)
+    listed = sketch.join(F.broadcast(small.select("w", "size_class")), ["w", "size_class"]).select("w", "hash").distinct().collect()
+    large = sizes.where(F.col("hashes") > LISTED).collect()
+    return {
+        w: Classes(tuple(sorted(r["hash"] for r in listed if r["w"] == w)), tuple(sorted((r["need"], r["ceiling"]) for r in large if r["w"] == w)))
+        for w in sorted({r["w"] for r in [*listed, *large]})
+    }
 
 
 def _search(texts: DataFrame, items: DataFrame, threshold: float, width: int) -> DataFrame:
     """key, item_id, n_shared and n_item of every (key, text) that holds at least the threshold's share of an item."""
     shingles = written(item_shingles(items, width), "bench-shingles")
     sketch = written(sketches(shingles, threshold), "bench-sketches")
-    ceiling = ceilings(sketch)
-    widths = sorted(ceiling) or [width]
+    classes = classes_of(sketch, threshold)
+    widths = sorted(classes) or [width]
 
-    hashed = texts.select("key", F.inline(_keyed(F.col("text"), widths, _hash, ceiling)).alias("w", "hash"))
-    pairs = written(hashed.join(sketch.drop("size_class"), ["w", "hash"]).select("key", "item_id").distinct(), "bench-candidates")
+    hashed = texts.select("key", F.inline(_keyed(F.col("text"), widths, _hash, classes)).alias("w", "hash"))
+    pairs = written(hashed.join(sketch.select("w", "hash", "item_id").distinct(), ["w", "hash"]).select("key", "item_id").distinct(), "bench-candidates")
 
     found_in = written(pairs.select("key").distinct(), "bench-suspects")
     # texts that cannot be among them stay where they are

@@ -4,6 +4,9 @@ import math
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from terrazzo.llm import decontam
 
 from .conftest import prose
@@ -50,11 +53,42 @@ def test_sketch_size_guarantees_recall(spark):
         assert r["count"] >= n - math.ceil(0.75 * n) + 1
 
 
-def test_ceilings_keep_every_sketch_hash(spark):
-    items = spark.createDataFrame([(k, prose(random.Random(k), n)) for k, n in enumerate([1, 2, 5, 6, 30, 300, 300])], "item_id long, text string")
-    sketch = decontam.sketches(decontam.item_shingles(items))
-    top = {w: max(r["hash"] for r in sketch.collect() if r["w"] == w) for w in {r["w"] for r in sketch.collect()}}
-    assert decontam.ceilings(sketch) == top
+def sketched(spark, sizes):
+    items = spark.createDataFrame([(k, prose(random.Random(k), n)) for k, n in enumerate(sizes)], "item_id long, text string")
+    return decontam.sketches(decontam.item_shingles(items)).cache()
+
+
+def test_classes_admit_every_sketch_hash(spark, monkeypatch):
+    sketch = sketched(spark, [1, 2, 5, 6, 30, 300, 300, 90, 91, 95])
+    for most in (0, 20, 1000):
+        monkeypatch.setattr(decontam, "LISTED", most)
+        classes = decontam.classes_of(sketch)
+        for w, c in classes.items():
+            need = F.ceil(F.col("n") * 0.75)  # the smallest document that can hold the item
+            assert sketch.where((F.col("w") == w) & ~c.admits(F.col("hash"), need)).count() == 0
+        assert (most == 0) == all(not c.listed for c in classes.values()) and (most == 1000) == all(not c.ceilings for c in classes.values())
+
+
+def test_tiny_items_leave_the_other_ceilings(spark, monkeypatch):
+    """The ceiling of large items is their own, whatever tiny ones there are; short documents are not searched for them."""
+    monkeypatch.setattr(decontam, "LISTED", 40)
+    alone = decontam.classes_of(sketched(spark, [300] * 6))
+    together = decontam.classes_of(sketched(spark, [300] * 6 + [5, 6, 5, 6, 7, 8]))
+    assert alone[5].ceilings == together[5].ceilings and not alone[5].listed and len(together[5].listed) >= 6
+    (need, ceiling), key = alone[5].ceilings[0], F.lit(-(1 << 63))
+    share = (ceiling + 2.0**63) / 2.0**64
+    row = spark.range(1).select(alone[5].admits(key, F.lit(need)), alone[5].admits(key, F.lit(need - 1)), together[5].admits(F.lit(together[5].listed[-1]), F.lit(1))).first()
+    assert tuple(row) == (True, False, True) and need > 200 and share < 0.4 and max(together[5].listed) > ceiling
+
+
+@pytest.mark.parametrize("most", [0, 12, 1000])
+def test_every_way_of_searching(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "LISTED", most)
+    rng = random.Random(11)
+    items = [(k, prose(rng, n)) for k, n in enumerate((1, 2, 3, 4, 5, 6, 7, 9, 20, 21, 40, 80, 160, 161))]
+    docs = [(k, prose(rng, rng.randint(1, 400))) for k in range(30)] + [(100 + k, f"{prose(rng, 9)} {q} {prose(rng, 60)}") for k, q in items] + [(200 + k, q) for k, q in items]
+    found = decontam.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in found.collect()} == brute(docs, items)
 
 
 def test_repeated_and_null_ids(spark):
