@@ -78,15 +78,20 @@ def content_version(df: DataFrame) -> str:
 class Transaction:
     """Snapshots by name, staged and then swapped together; rollback forgets them.
 
-    Over a dict the tables are DataFrames of this session.  Over a store they are its datasets: a staged snapshot is written at
-    once, beside the dataset, so that the commit is renames alone and a failure before it leaves every dataset as it was.
+    Over a dict the tables are DataFrames of this session.  Over versioned datasets (``snapshots.Snapshots``) a commit is one step for all of
+    them, and fails where somebody else has changed one meanwhile.  Over a store of catalog tables a staged snapshot is written beside the
+    dataset, and a commit is two renames a dataset, one dataset after the other.
     """
 
     def __init__(self, tables):
         self.tables, self.staged = tables, {}
+        self.versions = tables.begin() if hasattr(tables, "begin") else None
         self.stored = hasattr(tables, "written_beside")
 
     def stage(self, name: str, snapshot: DataFrame) -> None:
+        if self.versions:
+            self.versions.stage(name, snapshot)
+            return
         if self.stored:
             if name in self.staged:
                 self.tables.drop(self.staged.pop(name))
@@ -94,7 +99,10 @@ class Transaction:
         self.staged[name] = snapshot
 
     def commit(self) -> None:
-        if self.stored:
+        if self.versions:
+            self.versions.commit()
+            self.versions = self.tables.begin()
+        elif self.stored:
             for name in list(self.staged):
                 self.tables.swap(name, self.staged.pop(name))
         else:
@@ -102,7 +110,10 @@ class Transaction:
         self.staged = {}
 
     def rollback(self) -> None:
-        if self.stored:
+        if self.versions:
+            self.versions.rollback()
+            self.versions = self.tables.begin()
+        elif self.stored:
             for beside in self.staged.values():
                 self.tables.drop(beside)
         self.staged = {}

@@ -61,3 +61,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there with its whole text or not at all."""
+    jvm = spark._jvm
+    at, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not files.rename(draft, at):
+        raise OSError(f"cannot make {path}")
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []

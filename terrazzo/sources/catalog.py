@@ -12,7 +12,7 @@ from terrazzo.functions.crs import transform_geometry
 from terrazzo.functions.geometry import encode
 from terrazzo.model import Kind, PlanError
 from terrazzo.plans.dataset import Dataset, kind_of, quoted, schema_extends
-from terrazzo.sources.ingest import Decoded, agree, capped
+from terrazzo.sources.ingest import Decoded, agree, overfull, stopping
 
 
 @dataclass(frozen=True)
@@ -71,15 +71,31 @@ class Store:
     def load(self, name: str, decoded: Decoded, most: int | None = None, target: int | None = None) -> DataFrame:
         """Creates a dataset from decoded features, in the system ``target`` where one is asked for; returns what was skipped.
 
-        More than ``most`` features fail before anything is written.
+        Features are decoded once: a task that meets more than ``most`` stops there, and where all tasks together wrote more, what they wrote goes again.
         """
-        features = capped(decoded.features, most) if most is not None else decoded.features
+        features = stopping(decoded.features, most) if most is not None else decoded.features
         if target is not None:
             at = features.columns[-1]
             source = int(agree(features.schema[at].metadata.get("crs"), None).rpartition(":")[2])
             moved = encode(transform_geometry(F.col(quoted(at))["wkb"], source, target))
             features = features.withColumn(at, moved.alias(at, metadata={"crs": f"EPSG:{target}"}))
-        self.create(name, features)
+        if most is None:
+            self.create(name, features)
+            return decoded.skipped
+        if self.spark.catalog.tableExists(self._table(name)):
+            raise PlanError(f"{name} exists already")
+        try:
+            beside = self.written_beside(features, name)
+        except Exception as e:
+            if f"more than {most} features" in str(e):
+                raise PlanError(f"more than {most} features") from e
+            raise
+        try:
+            overfull(self.scan(beside), most)
+        except PlanError:
+            self.drop(beside)
+            raise
+        self.spark.sql(f"ALTER TABLE {self._table(beside)} RENAME TO {self._table(name)}")
         return decoded.skipped
 
     def scan(self, name: str) -> DataFrame:

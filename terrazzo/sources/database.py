@@ -23,7 +23,10 @@ from terrazzo.plans.dataset import Dataset, kind_of
 
 @dataclass(frozen=True)
 class Dialect:
-    """How a database says names, truth, text order, well-known binary and boxes."""
+    """How a database says names, truth, text order, well-known binary and boxes.
+
+    ``classes``: LIKE knows character classes in brackets.  ``pads``: comparisons of texts ignore blanks at their end.
+    """
 
     quote: tuple[str, str] = ('"', '"')
     true: str = "TRUE"
@@ -33,6 +36,8 @@ class Dialect:
     box: str | None = None
     instant: str = "CAST('{}' AS TIMESTAMP)"
     nulls: bool = True
+    classes: bool = False
+    pads: bool = False
 
     def name(self, n: str) -> str:
         return ".".join(self.quote[0] + part.replace(self.quote[1], self.quote[1] * 2) + self.quote[1] for part in n.split("."))
@@ -42,7 +47,7 @@ DIALECTS = {
     "plain": Dialect(),
     "postgis": Dialect(text_order='{} COLLATE "C"', wkb="ST_AsBinary({})", box="{0} && ST_MakeEnvelope({1}, {2}, {3}, {4}, {5})"),
     "sqlserver": Dialect(
-        quote=("[", "]"), true="1", false="0", text_order="{} COLLATE Latin1_General_BIN2", wkb="{}.STAsBinary()", instant="CAST('{}' AS datetime2)", nulls=False,
+        quote=("[", "]"), true="1", false="0", text_order="{} COLLATE Latin1_General_BIN2", wkb="{}.STAsBinary()", instant="CAST('{}' AS datetime2)", nulls=False, classes=True, pads=True,
         box="{0}.Filter(geometry::STGeomFromText('POLYGON(({1} {2}, {3} {2}, {3} {4}, {1} {4}, {1} {2}))', {5})) = 1",
     ),
 }
@@ -88,6 +93,9 @@ class Statement:
             at, after = self.instant(p.value.value), self.instant(p.value.value + 1)  # a column counts in whole milliseconds
             sides = {"=": f"{name} >= {at} AND {name} < {after}", "!=": f"({name} < {at} OR {name} >= {after})", "<": f"{name} < {at}", "<=": f"{name} < {after}", ">": f"{name} >= {after}", ">=": f"{name} >= {at}"}
             return f"({sides[p.op]})"
+        if kind is Kind.STRING and self.dialect.pads and p.op not in ("LIKE", "ILIKE"):
+            self.exact = False  # equal texts are found, and some others; no other comparison keeps every row
+            return f"{self.dialect.text_order.format(name)} = {self.literal(p.value)}" if p.op == "=" else f"{name} IS NOT NULL"
         if kind is Kind.STRING and p.op in ("<", "<=", ">", ">="):
             return f"{self.dialect.text_order.format(name)} {p.op} {self.literal(p.value)}"
         if p.op == "ILIKE" or kind is Kind.GUID:
@@ -95,7 +103,9 @@ class Statement:
             return f"{name} IS NOT NULL"
         if p.op == "LIKE":
             self.exact = False  # collations may fold case: the database narrows, Spark decides
-            return f"{name} LIKE {self.literal(Literal('string', p.value.value.replace('~', '~~')))} ESCAPE '~'"
+            pattern = p.value.value.replace("~", "~~")
+            pattern = pattern.replace("[", "~[") if self.dialect.classes else pattern
+            return f"{name} LIKE {self.literal(Literal('string', pattern))} ESCAPE '~'"
         op = "<>" if p.op == "!=" else p.op
         if kind is Kind.STRING:
             return f"{self.dialect.text_order.format(name)} {op} {self.literal(p.value)}"
@@ -142,6 +152,7 @@ class Statement:
             wanted = sorted({int(i) for i in ids if i.lstrip("-").isdecimal() and str(int(i)) == i})
             return f"{self.dialect.name(key)} IN ({', '.join(map(str, wanted))})" if wanted else "1=0"
         if kind is Kind.STRING:
+            self.exact = self.exact and not self.dialect.pads
             said = ", ".join(self.literal(Literal("string", i)) for i in sorted(set(ids)))
             return f"{self.dialect.text_order.format(self.dialect.name(key))} IN ({said})" if ids else "1=0"
         self.exact = False
@@ -159,6 +170,15 @@ class Statement:
                 terms += [f"CASE WHEN {name} IS NULL THEN 1 ELSE 0 END {way}", f"{said} {way}"]
         return ", ".join(terms)
 
+    def pages(self, q: FeatureQuery) -> bool:
+        """Whether the database may cut the page: it has an order of all rows, and the same one."""
+        if not self.exact or q.limit is None or q.box is not None or not (q.order or self.table.ids):
+            return False
+        texts = [t.field for t in q.order if self.kinds[t.field] is Kind.STRING] + [c for c in self.table.ids if self.kinds[c] is Kind.STRING]
+        if texts and self.dialect.pads:  # texts that differ in blanks alone would tie
+            return False
+        return not q.order or len(self.table.ids) == 1 and self.kinds.get(self.table.ids[0]) is Kind.STRING  # ties go by the id's text
+
     def select(self, q: FeatureQuery, page: bool) -> str:
         """The statement; ``page`` puts order, offset and limit into it."""
         columns = [f"{self.dialect.wkb.format(self.dialect.name(c))} AS {self.dialect.name(c)}" if c == self.table.geometry else self.dialect.name(c) for c in self.columns]
@@ -166,7 +186,10 @@ class Statement:
         where = self.where(q)
         text += f" WHERE {where}" if where else ""
         if page and q.limit is not None:
-            keys = ", ".join(filter(None, [self.order(q), *(f"{self.dialect.name(c)}" for c in self.table.ids)]))
+            own = [self.dialect.text_order.format(self.dialect.name(c)) if self.kinds[c] is Kind.STRING else self.dialect.name(c) for c in self.table.ids]
+            keys = ", ".join(filter(None, [self.order(q), *own]))
+            if not keys:
+                raise PlanError(f"{self.table.name} has no order to cut a page by")
             text += f" ORDER BY {keys} OFFSET {execute.start_of(q)} ROWS FETCH NEXT {q.limit} ROWS ONLY"
         return text
 
@@ -216,8 +239,7 @@ class Database:
         asked = Statement(self.dialect, table, schema)
         asked.where(q)
         validate.feature_query(self._dataset(table, self.spark.createDataFrame([], schema)), q)
-        tied = not q.order or len(table.ids) == 1 and asked.kinds.get(table.ids[0]) is Kind.STRING  # ties go by the id's text
-        page = asked.exact and q.limit is not None and q.box is None and tied
+        page = asked.pages(q)
         found = self._dataset(table, self._read(Statement(self.dialect, table, schema).select(q, page)))
         rest = replace(q, offset=None, cursor=None) if page else q
         return execute.features(found, rest)

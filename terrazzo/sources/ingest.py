@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from terrazzo.functions.geometry import TYPE, call, encode, point, register
 from terrazzo.model import PlanError
 from terrazzo.plans.dataset import quoted
-from terrazzo.session import written
+from terrazzo.session import ship, written
+from terrazzo.sources import documents
 
 #: Coordinate column pairs, in the order they are tried.
 PAIRS = (("x", "y"), ("lon", "lat"), ("longitude", "latitude"), ("easting", "northing"))
@@ -255,26 +256,36 @@ def property_columns(kinds: dict[str, str]) -> list[Column]:
     return [F.try_variant_get(F.try_element_at(values, F.lit(k)), "$", sql[t]).alias(k) for k, t in kinds.items()]
 
 
-def _json_features(raw: DataFrame, system: str, skip_malformed: bool) -> Decoded:
+def _json_features(raw: DataFrame, system: str, skip_malformed: bool, order: tuple[str, ...] = ()) -> Decoded:
+    """``order`` names the columns that say where a record stands, unless its place in the scan does."""
     kept, skipped = _judged(judged_json(raw, system), skip_malformed)
+    if order and kept.where("id is null or id = ''").limit(1).count():
+        kept = kept.orderBy(*order)
     kinds = property_kinds(kept)
     own = _free("__own", kinds)
     features = kept.select(*property_columns(kinds), F.col("id").alias(own), F.col("shape").alias(_free("geometry", kinds), metadata={"crs": system}))
     return Decoded(_renamed(features, F.col(quoted(own)), list(kinds)), skipped)
 
 
+_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "id", "crs", "properties", "geometry", "bad")])
+
+
 def decode_geojson(spark: SparkSession, path: str, crs: str | None = None, skip_malformed: bool = False) -> Decoded:
-    """A FeatureCollection (or one Feature); its ``crs`` member declares the system.  The document is one record, so it is one task's."""
-    whole = spark.read.schema(f"features array<string>, {_RECORD}").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="bad")
-    declared = whole.select(F.get_json_object("crs", "$.properties.name")).first()
-    system = agree(declared[0] if declared else None, crs)
-    item = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "id", "crs", "properties", "geometry", "bad")])
+    """A FeatureCollection (or one Feature); its ``crs`` member declares the system.
+
+    A document is cut into ranges of bytes, so a large one is read by many tasks.  One that does not end is malformed as a whole; what is
+    wrong inside of a feature is wrong with that feature alone.
+    """
+    items, rest = documents.elements(ship(spark), path)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
-    many = whole.where("features is not null").select(F.explode("features").alias("text")).select("text", F.from_json("text", item, options).alias("f"))
+    said = rest.select("file", "text", F.from_json("text", T.StructType([*_ITEM.fields, T.StructField("features", T.ArrayType(T.StringType()))]), options).alias("w"))
+    declared = said.select(F.get_json_object("w.crs", "$.properties.name")).first()
+    system = agree(declared[0] if declared else None, crs)
+    many = items.select("file", "position", "text", F.from_json("text", _ITEM, options).alias("f"))
     # what is no object at all has no fields to be corrupt in
-    many = many.select("f.type", "f.id", "f.crs", "f.properties", "f.geometry", F.coalesce("f.bad", F.when(~F.startswith(F.ltrim("text"), F.lit("{")), F.col("text"))).alias("bad"))
-    one = whole.where("features is null").select("type", "id", F.lit(None).cast("string").alias("crs"), "properties", "geometry", "bad")
-    return _json_features(many.unionByName(one), system, skip_malformed)
+    many = many.select("file", "position", "f.type", "f.id", "f.crs", "f.properties", "f.geometry", F.coalesce("f.bad", F.when(~F.startswith(F.ltrim("text"), F.lit("{")), F.col("text"))).alias("bad"))
+    one = said.where("w.features is null").select("file", F.lit(0).cast("long").alias("position"), "w.type", "w.id", F.lit(None).cast("string").alias("crs"), "w.properties", "w.geometry", "w.bad")
+    return _json_features(many.unionByName(one), system, skip_malformed, ("file", "position"))
 
 
 def read_geojson(spark: SparkSession, path: str, crs: str | None = None, skip_malformed: bool = False) -> DataFrame:
@@ -301,6 +312,22 @@ def capped(df: DataFrame, most: int) -> DataFrame:
     return df
 
 
+def stopping(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with a stop: a task that meets more than ``most`` features fails as it reads the next one.
+
+    Together the tasks may still hold more; ``overfull`` says so once they are written.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in the task
+    stop = F.raise_error(F.lit(f"more than {most} features")).cast("boolean")
+    return df.where(F.when(place >= most, stop).otherwise(F.lit(True)))
+
+
+def overfull(written_rows: DataFrame, most: int) -> None:
+    """Fails where written rows, whose number their files state, are more than ``most``."""
+    if written_rows.count() > most:
+        raise PlanError(f"more than {most} features")
+
+
 def to_geojson(df: DataFrame, id_column: str, geometry: str | Column, exclude: tuple[str, ...] = ()) -> DataFrame:
     """A GeoJSON Feature a row, of any shape of RFC 7946; a null geometry or property is written as null.
 

@@ -44,7 +44,7 @@ def _bounds(x: Column, y: Column, z: int) -> Column:
     return F.array((x / n - 0.5) * span, (F.lit(0.5) - (y + 1) / n) * span, ((x + 1) / n - 0.5) * span, (F.lit(0.5) - y / n) * span)
 
 
-def _features(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str, extent: int) -> DataFrame:
+def meeting(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", extent: int = EXTENT) -> DataFrame:
     """(x, y, one, at) of every feature and every tile that it meets: a layer of its own, and the row's place."""
     register(df.sparkSession)
     plain = df.select(F.col(quoted(wkb_mercator)).alias("wkb"), F.struct(*[_property(df, p) for p in properties]).alias("properties"))
@@ -68,18 +68,23 @@ def _varint(n: Column) -> Column:
     return F.concat(*[group(k) if k == 0 else F.when(F.shiftright(n, 7 * k) > 0, group(k)).otherwise(F.lit(b"")) for k in range(5)])
 
 
-def encode(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", most: int = MOST_FEATURES, extent: int = EXTENT) -> DataFrame:
-    """(z, x, y, n, over, tile) of every tile that a feature meets; ``wkb_mercator`` holds the geometry in Mercator metres."""
+def merged(features: DataFrame, z: int, most: int = MOST_FEATURES) -> DataFrame:
+    """(z, x, y, n, over, tile) from the features of ``meeting``."""
     part = F.pmod(F.shiftright("at", 33), F.lit(FAN)).cast("int")  # by task: what a task merges is one part
-    parts = _features(df, z, wkb_mercator, properties, layer, extent).withColumn("part", part).groupBy("x", "y", "part").agg(F.count(F.lit(1)).alias("n"), _merged("one").alias("layer"))
+    parts = features.withColumn("part", part).groupBy("x", "y", "part").agg(F.count(F.lit(1)).alias("n"), _merged("one").alias("layer"))
     whole = parts.groupBy("x", "y").agg(F.sum("n").alias("n"), _merged("layer").alias("layer"))
     return whole.select(F.lit(z).alias("z"), "x", "y", "n", (F.col("n") > most).alias("over"), message(F.col("layer")).alias("tile"))
 
 
+def encode(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", most: int = MOST_FEATURES, extent: int = EXTENT) -> DataFrame:
+    """(z, x, y, n, over, tile) of every tile that a feature meets; ``wkb_mercator`` holds the geometry in Mercator metres."""
+    return merged(meeting(df, z, wkb_mercator, properties, layer, extent), z, most)
+
+
 def pieces(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", most: int = MOST_FEATURES, extent: int = EXTENT) -> DataFrame:
     """(z, x, y, piece, n, layer): the features of ``encode`` in encoded layers of at most ``most`` features each, which merge to its tiles."""
     cut = F.expr(f"at div {int(most)}")  # places in a task are consecutive, and tasks far apart
-    cuts = _features(df, z, wkb_mercator, properties, layer, extent).withColumn("cut", cut).groupBy("x", "y", "cut").agg(F.count(F.lit(1)).alias("n"), _merged("one").alias("layer"))
+    cuts = meeting(df, z, wkb_mercator, properties, layer, extent).withColumn("cut", cut).groupBy("x", "y", "cut").agg(F.count(F.lit(1)).alias("n"), _merged("one").alias("layer"))
     return cuts.select(F.lit(z).alias("z"), "x", "y", F.col("cut").alias("piece"), "n", "layer")
 
 

@@ -78,13 +78,44 @@ def test_statements_of_dialects(places):
     q = FeatureQuery(where=parse_filter("name < 'b' AND n != 3"), box=Box(0, 1, 2, 3), order=(OrderTerm("name", True),), limit=7, offset=2)
     postgis = Statement(DIALECTS["postgis"], TABLE, schema).select(q, True)
     assert 'ST_AsBinary("shape") AS "shape"' in postgis and '"shape" && ST_MakeEnvelope(0.0, 1.0, 2.0, 3.0, 4326)' in postgis
-    assert '"name" COLLATE "C" < \'b\' AND "n" <> 3' in postgis and 'ORDER BY "name" COLLATE "C" DESC NULLS FIRST, "code" OFFSET 2 ROWS FETCH NEXT 7 ROWS ONLY' in postgis
+    assert '"name" COLLATE "C" < \'b\' AND "n" <> 3' in postgis and 'ORDER BY "name" COLLATE "C" DESC NULLS FIRST, "code" COLLATE "C" OFFSET 2 ROWS FETCH NEXT 7 ROWS ONLY' in postgis
     server = Statement(DIALECTS["sqlserver"], TABLE, schema).select(q, True)
     assert "[shape].STAsBinary() AS [shape]" in server and ".Filter(geometry::STGeomFromText('POLYGON((0.0 1.0, 2.0 1.0, 2.0 3.0, 0.0 3.0, 0.0 1.0))', 4326)) = 1" in server
-    assert "ORDER BY CASE WHEN [name] IS NULL THEN 1 ELSE 0 END DESC, [name] COLLATE Latin1_General_BIN2 DESC, [code] OFFSET" in server
+    assert "ORDER BY CASE WHEN [name] IS NULL THEN 1 ELSE 0 END DESC, [name] COLLATE Latin1_General_BIN2 DESC, [code] COLLATE Latin1_General_BIN2 OFFSET" in server
     assert Statement(DIALECTS["plain"], Table('a."b'), schema).select(FeatureQuery(), False).endswith('FROM "a"."""b"')
 
 
+def said(dialect, text, table=TABLE, schema=None):
+    s = Statement(DIALECTS[dialect], table, schema)
+    return s.where(FeatureQuery(where=parse_filter(text))), s.exact
+
+
+def test_texts_in_other_dialects(places):
+    """What a dialect reads otherwise is asked for more widely, and left to Spark: no row is lost."""
+    schema = places.schema
+    assert said("sqlserver", "name LIKE '[a]~%'", schema=schema) == ("[name] LIKE '~[a]~~%' ESCAPE '~'", False)
+    assert said("postgis", "name LIKE '[a]~%'", schema=schema) == ("\"name\" LIKE '[a]~~%' ESCAPE '~'", False)
+    assert said("sqlserver", "name = 'a'", schema=schema) == ("[name] COLLATE Latin1_General_BIN2 = 'a'", False)  # finds 'a ' too
+    for op in ("!=", "<", ">", "<=", ">="):
+        assert said("sqlserver", f"name {op} 'a'", schema=schema) == ("[name] IS NOT NULL", False)
+        assert said("postgis", f"name {op} 'a'", schema=schema)[1]
+    assert said("sqlserver", "name NOT IN ('a', 'b')", schema=schema) == ("[name] IS NOT NULL", False)
+    assert said("sqlserver", "n >= 5", schema=schema) == ("[n] >= 5", True)
+    s = Statement(DIALECTS["sqlserver"], TABLE, schema)
+    assert s.ids(("3", "x")) == "[code] COLLATE Latin1_General_BIN2 IN ('3', 'x')" and not s.exact
+
+
+def test_pages_need_an_order(places, spark, store):
+    schema = places.schema
+    keyless, number = Table("places", (), "shape"), Table("places", ("n",), "shape")
+    asked = lambda dialect, table, **q: Statement(DIALECTS[dialect], table, schema).pages(FeatureQuery(limit=5, **q))
+    assert not asked("plain", keyless) and asked("plain", number) and asked("sqlserver", number)
+    assert not asked("sqlserver", TABLE) and asked("plain", TABLE) and not asked("plain", number, order=(OrderTerm("name"),))
+    with pytest.raises(PlanError):
+        Statement(DIALECTS["sqlserver"], keyless, schema).select(FeatureQuery(limit=5), True)
+    assert store.features(keyless, FeatureQuery(limit=5)).count() == 5
+
+
 def test_unknown(spark, store):
     with pytest.raises(PlanError):
         Database(spark, URL, "dbase")
