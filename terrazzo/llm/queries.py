@@ -154,7 +154,7 @@ WITH t AS (
 e AS (
   SELECT *, row_number() OVER w AS pos, coalesce(lag(role) OVER w, 'begin') AS before,
          lead(role) OVER w IS NULL AS is_last,
-         length(role) + length(text) + (length(role || text) - length(replace(role || text, '', '')))
+         length(role) + length(text) + (length(role || text) - length(replace(role || text, '\', '')))
          + (length(role || text) - length(translate(role || text, '<[', ''))) AS n
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, count(*) AS n_turns,

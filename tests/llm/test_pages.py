@@ -88,20 +88,27 @@ def test_site_tree_reaches_into_articles(spark):
 
 
 def plain_trees(rows, threshold=sitetree.THRESHOLD):
-    """Low branches by dictionaries over all pages of each host."""
-    low, inner, hosts = set(), set(), {}
+    """Branches that leave, by dictionaries over all pages of each host."""
+    low, inner, cut, mute, hosts = set(), set(), set(), set(), {}
     for _, url, html in rows:
-        hosts.setdefault(sitetree.host_of(url), {}).setdefault(sitetree.main_text(html or ""), []).append(html or "")
-    for host, texts in hosts.items():
+        top = sitetree.root_of(sitetree.host_of(url), html or "")
+        hosts.setdefault(sitetree.host_of(url), {}).setdefault(sitetree.main_text(html or ""), []).append((top, html or ""))
+    for texts in hosts.values():
         seen, parent = {}, {}
         for copies in texts.values():
-            for path, kind, value in min(sorted(sitetree.tree_counts(h, sitetree.root_of(host))) for h in copies):
+            for path, kind, value in min(sorted(sitetree.tree_counts(h, top)) for top, h in copies):
                 seen.setdefault(path, []).append((kind, value))
                 if kind == "m":
                     parent[path] = value
+        gone = {p for p, said in seen.items() if any(k == "w" for k, _ in said) or (votes := [v for k, v in said if k == "z"]) and 2 * sum(votes) <= len(votes)}
+        cut |= gone
+        silent = {p for p, said in seen.items() if (votes := [v for k, v in said if k == "b"]) and 2 * sum(votes) >= len(votes)}
+        mute |= silent
 
         def worth(path, rarest):
             m = sum(k == "m" for k, _ in seen[path])
+            if path in gone:  # noqa: B023
+                return 0.0
             if m <= 1:
                 return 1.0
             count = lambda kind: Counter(v for k, v in seen[path] if k == kind)  # noqa: E731, B023
@@ -109,15 +116,16 @@ def plain_trees(rows, threshold=sitetree.THRESHOLD):
             n = sum(styles.values())
             style = -sum(c / n * math.log(c / n, m) for c in styles.values()) if n else 0.0
             logs = [math.log(c, m) for c in contents.values()]
-            return max(style, 1 - (min(logs) if rarest else sum(logs) / len(logs)) if logs else 0.0)
+            return max(style, 1 - (min(logs) if rarest else sum(logs) / len(logs)) if logs and path not in silent else 0.0)  # noqa: B023
 
         for rarest, out in ((False, low), (True, inner)):
             kept = {p for p in seen if worth(p, rarest) >= threshold}
             for p in list(kept):
-                while (p := parent.get(p)) is not None and p not in kept and p in parent:
-                    kept.add(p)
+                while p not in gone and (p := parent.get(p)) is not None and p not in kept and p in parent:
+                    if p not in gone:
+                        kept.add(p)
             out |= set(seen) - kept
-    return low, inner
+    return sitetree.Branches(low, inner, cut, mute)
 
 
 def sites_without_articles():
@@ -138,10 +146,10 @@ def sites_without_articles():
 def test_against_plain_trees(spark, most):
     rows = sites_without_articles()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, path long, low string").repartition(3)
-    low, inner = plain_trees(rows)
-    want = sorted((str(i), sitetree.main_text(h or "", low, inner, sitetree.root_of(sitetree.host_of(u)))) for i, u, h in rows)
+    gone = plain_trees(rows)
+    want = sorted((str(i), sitetree.main_text(h or "", gone, sitetree.root_of(sitetree.host_of(u), h or ""))) for i, u, h in rows)
     assert sorted((str(r["page_id"]), r["text"]) for r in sitetree.extract(df, most_broadcast=most).collect()) == want
-    assert low and any(sitetree.main_text(h or "") != dict(want).get(str(i)) for i, _, h in rows)  # the trees alone take boilerplate away
+    assert gone.low and any(sitetree.main_text(h or "") != dict(want).get(str(i)) for i, _, h in rows)  # the trees alone take boilerplate away
 
 
 def test_paths():

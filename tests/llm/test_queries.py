@@ -45,6 +45,18 @@ def test_against_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[k]) for k in at) for r in rel.fetchall()), key=repr) and got
 
 
+def test_chat_sql_counts_escapes(spark, tmp_path):
+    """Backslashes and control characters in roles and texts, which the given conversations lack."""
+    rows = [(1, 0, "user", "a\\b \\\\[x]<|im_end|>"), (1, 1, "assistant", "\\"), (2, 0, "us\\er", "<<[["), (2, 1, "assistant", None), (3, 0, None, "\\<[")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    df, rel = queries.op6_chat_formatting(spark, str(tmp_path)), con.sql(queries.OP6_SQL)
+    at = [rel.columns.index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in at) for r in rel.fetchall())
+    assert df.where("conv_id = 1").first()["formatted_chars"] == 2 * (12 + 1 + 11) + len("user" + rows[0][3] + "assistant" + rows[1][3]) + 3 + 2 + 1
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_columns(spark, name):
     got = dict(queries.queries()[name](spark, SF).dtypes)
