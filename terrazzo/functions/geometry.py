@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrazzo.session import written
+
 JAR = Path(__file__).parent / "jts" / "terrazzo-geometry.jar"
 TYPE = "struct<wkb:binary,env:struct<minx:double,miny:double,maxx:double,maxy:double>>"
 
@@ -181,16 +183,46 @@ def quantize(c: Column, origin: float, tolerance: float) -> Column:
 # --- aggregates --------------------------------------------------------------------------------
 
 
+def _spread(v: Column) -> Column:
+    """The sixteen bits of a number with a free bit after each."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return v
+
+
+def along_curve(x: Column, y: Column, bounds: tuple[float, float, float, float]) -> Column:
+    """The place of a position on a space-filling curve through ``bounds``: what is near on it is near on the ground."""
+    step = lambda v, low, high: F.least(F.greatest(F.floor((v - low) / ((high - low) or 1.0) * 65535), F.lit(0)), F.lit(65535)).cast("long")
+    return _spread(step(x, bounds[0], bounds[2])).bitwiseOR(F.shiftleft(_spread(step(y, bounds[1], bounds[3])), 1))
+
+
 def dissolve(df: DataFrame, keys: list[str], wkb: Column, how: str = "union", fan: int = 64) -> DataFrame:
-    """Union (or ``hull``) of each group's geometries, in rounds: a round merges parts of about ``fan`` pieces.
+    """Union (or ``hull``) of each group's geometries, in rounds: a round merges runs of ``fan`` neighbours.
 
-    Hulls and unions of parts merge to the whole, so whatever a group's size no task holds more of it than a few
-    ``fan`` pieces.  The largest group's size says how many rounds there are.
+    Equal shapes of a group are one from the start.  Pieces are ordered by a space-filling curve and dealt by ranges of it, so what is merged
+    lies together and its inner edges go early, and no task holds more of a group than a range.  The largest group's size says
+    whether another round is needed; a round's result is written.
     """
     name = {"union": "st_union_all", "hull": "st_hull_all"}[how]
-    most = (df.groupBy(*keys).count().agg(F.max("count")) if keys else df.agg(F.count("*"))).first()[0] or 0
-    merged = df.select(*keys, wkb.alias("wkb")).withColumn("_part", F.pmod(F.xxhash64("wkb"), F.lit(1 << 30)))
-    while most > fan:
-        most = -(-most // fan)
-        merged = merged.withColumn("_part", F.pmod("_part", F.lit(most))).groupBy(*keys, "_part").agg(call(name, F.collect_list("wkb")).alias("wkb"))
-    return merged.groupBy(*keys).agg(call(name, F.collect_list("wkb")).alias("wkb"))
+    spark = register(df.sparkSession)
+    merged = df.select(*keys, wkb.alias("wkb"))
+    whole = lambda rows: rows.groupBy(*keys).agg(call(name, F.collect_list("wkb")).alias("wkb"))
+    largest = lambda rows: (rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")) if keys else rows.agg(F.count("*"), F.count("*"))).first()
+    most, total = largest(merged)
+    if (most or 0) <= fan:
+        return whole(merged)
+    b = call("st_bounds", F.col("wkb"))
+    at = merged.dropDuplicates([*keys, "wkb"]).withColumns({"_x": (b[0] + b[2]) / 2, "_y": (b[1] + b[3]) / 2})
+    placed = written(at, "dissolve")
+    box = placed.agg(F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")).first()
+    ends = tuple(float(v) if v is not None else 0.0 for v in box)
+    pieces = placed.select(*keys, "wkb", F.coalesce(along_curve(F.col("_x"), F.col("_y"), ends), F.lit(0)).alias("_at"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        most, total = largest(pieces)
+        if most <= fan:
+            return whole(pieces)
+        order = [*keys, "_at", F.xxhash64("wkb")]
+        dealt = pieces.repartitionByRange(max(1, min(parts, total // (4 * fan))), *order).sortWithinPartitions(*order)
+        runs = dealt.withColumn("_run", F.expr(f"monotonically_increasing_id() div {int(fan)}"))
+        pieces = written(runs.groupBy(*keys, "_run").agg(call(name, F.collect_list("wkb")).alias("wkb"), F.min("_at").alias("_at")).drop("_run"), "dissolve")

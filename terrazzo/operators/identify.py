@@ -56,9 +56,13 @@ def simplified(df: DataFrame, geometry: str, bounds: tuple[float, float, float,
     return near.withColumn(geometry, shape).where(F.col(quoted(geometry))["env"].isNotNull())
 
 
-def feature_info(layers: dict, box: tuple[float, float, float, float], width: int, height: int, i: int, j: int, pixels: float = 3, definitions: dict | None = None) -> DataFrame:
-    """What a map image of ``box`` shows at pixel (i, j), counted from the top left: features within some pixels of its centre."""
+def feature_info(layers: dict, box: tuple[float, float, float, float], width: int, height: int, i: int, j: int, pixels: float = 3, definitions: dict | None = None, most: int | None = None) -> DataFrame:
+    """What a map image of ``box`` shows at pixel (i, j), counted from the top left: features within some pixels of its centre, ``most`` at most, by layer and id."""
     if not (0 <= i < width and 0 <= j < height):
         raise PlanError(f"pixel {i}, {j} is outside the image")
     x, y = box[0] + (i + 0.5) * (box[2] - box[0]) / width, box[3] - (j + 0.5) * (box[3] - box[1]) / height
-    return identify(layers, QueryGeometry(wkb_point(x, y), (x, y, x, y), 0), tolerance(box, width, height, pixels), definitions)
+    found = identify(layers, QueryGeometry(wkb_point(x, y), (x, y, x, y), 0), tolerance(box, width, height, pixels), definitions)
+    if most is None:
+        return found
+    place = F.element_at(F.create_map(*[F.lit(v) for k, n in enumerate(layers) for v in (n, k)]), F.col("layer"))
+    return found.orderBy(place, "feature_id").limit(most)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.operators import served, shapes
+from terrazzo.functions.geometry import wkb_point
+from terrazzo.operators import served, shapes, spatial
 from terrazzo.plans.dataset import Dataset
 
 BINS = 256
@@ -37,6 +38,28 @@ def identify(cells: DataFrame, raster_id, row: int, col: int) -> DataFrame:
     return cells.where((F.col("raster_id") == raster_id) & (F.col("row") == row) & (F.col("col") == col)).select("raster_id", "band", "value")
 
 
+def pixel(x: Column, y: Column, minx: Column, maxy: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """(row, col) of a position in a raster whose upper left corner and pixel size are known; rows run downwards."""
+    return F.floor((maxy - y) / height).cast("long"), F.floor((x - minx) / width).cast("long")
+
+
+def identify_at(cells: DataFrame, rasters: DataFrame, x: float, y: float, items: Dataset | None = None) -> DataFrame:
+    """Every band's value at a location, of every raster that covers it; and, with ``items``, the catalogue items whose footprint meets it.
+
+    ``rasters`` is (raster_id, minx, maxy, pixel_width, pixel_height, rows, cols).  The result is (raster_id, band, value, row, col), and where items are
+    asked for a list of their ids, the same in every row.
+    """
+    row, col = pixel(F.lit(float(x)), F.lit(float(y)), F.col("minx"), F.col("maxy"), F.col("pixel_width"), F.col("pixel_height"))
+    at = rasters.select("raster_id", row.alias("row"), col.alias("col"), "rows", "cols").where("row >= 0 and col >= 0 and row < rows and col < cols").drop("rows", "cols")
+    found = cells.join(at, ["raster_id", "row", "col"]).select("raster_id", "band", "value", "row", "col")
+    if items is None:
+        return found
+    query = spatial.QueryGeometry(wkb_point(float(x), float(y)), (float(x), float(y), float(x), float(y)), 0)
+    near = items.with_df(spatial.filter_by(items.df, items.geometries[0], query, "intersects"))
+    named = near.df.agg(F.array_sort(F.collect_list(near.feature_id())).alias("items"))
+    return found.crossJoin(F.broadcast(named))  # one row
+
+
 def catalog_query(items: Dataset, params: dict[str, str], native: int = 4326) -> DataFrame:
     """The catalogue's items by the same requests as any layer: where, geometry, time, order, page, statistics."""
     return served.serve(items, params, native)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terrazzo.functions.geometry import call, register
 from terrazzo.model import PlanError
 from terrazzo.plans.dataset import quoted
+from terrazzo.session import written
 
 # DE-9IM masks by relation, in the protocol's frame (the feature is the first operand).
 MASKS = {
@@ -117,13 +118,26 @@ def _level(env: Column, cell: float) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(cell)) / cell))).cast("int")
 
 
-def _dealt(df: DataFrame, geometry: str, cell: float, levels: list[int], suffix: str) -> DataFrame:
-    """A row for each cell that the shape covers, on its own level and every coarser one in use: at most four a level."""
+def _kept(df: DataFrame, geometry: str, cell: float, suffix: str) -> DataFrame:
+    """The rows, written, each with a number of its own and the level of its shape; rows without a shape are in no pair."""
     env = F.col(quoted(geometry))["env"]
-    at = df.withColumn(f"_level{suffix}", _level(env, cell))
-    at = at.withColumn(f"_at{suffix}", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"_level{suffix}"))))
+    numbered = df.where(env.isNotNull()).withColumns({f"_id{suffix}": F.monotonically_increasing_id(), f"_level{suffix}": _level(env, cell)})
+    return written(numbered, "spatial-side")
+
+
+def _dealt(rows: DataFrame, geometry: str, cell: float, levels: list[int], suffix: str) -> DataFrame:
+    """(id, envelope, level, at, cell): a row for each cell that a shape covers, at most four a level.
+
+    Pairs meet on the coarser of their levels, so a shape is dealt to the levels of the other side that are coarser than its own, and to its own
+    where the other side has anything as fine.
+    """
+    level = F.col(f"_level{suffix}")
+    env = F.col(quoted(geometry))["env"]
+    others = F.array(*map(F.lit, levels))
+    at = F.explode(F.array_distinct(F.transform(others, lambda k: F.greatest(k, level)))).alias(f"_at{suffix}")
+    placed = rows.select(f"_id{suffix}", env.alias(f"_env{suffix}"), level, at)
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col(f"_at{suffix}"))
-    return at.withColumn(f"_cell{suffix}", F.explode(cells(env, size)))
+    return placed.withColumn(f"_cell{suffix}", F.explode(cells(F.col(f"_env{suffix}"), size)))
 
 
 def join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, cell: float, name: str = "intersects", mask: str | None = None) -> DataFrame:
@@ -132,20 +146,21 @@ def join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry:
     ``cell`` is the size that most shapes fit; larger shapes are dealt by cells doubled until they fit, so no
     shape covers more than four cells a level.  A pair meets on the coarser of its two levels, and there only in the
     cell that holds the lower left corner of the overlap of its envelopes, so no pass over the result is
-    needed to make pairs distinct.  A crowded cell is a skewed key, which adaptive execution splits.
+    needed to make pairs distinct.  Cells carry numbers and envelopes; rows and shapes join the candidate
+    pairs afterwards, each side written once so that its numbers hold.  A crowded cell is a skewed key, which adaptive execution splits.
     """
     if name == "disjoint" or holds_apart(name, mask):
         raise PlanError("pairs of shapes apart from each other are a product and not joined")
-    levels: set[int] = set()
-    for df, g in ((left, left_geometry), (right, right_geometry)):  # the levels in use: some tens of numbers at most
-        levels |= {r[0] for r in df.select(_level(F.col(quoted(g))["env"], cell).alias("k")).where("k is not null").distinct().collect()}
-    a, b = (_dealt(df, g, cell, sorted(levels) or [0], suffix) for df, g, suffix in ((left, left_geometry, "_l"), (right, right_geometry, "_r")))
-    x, y = F.col(quoted(left_geometry))["env"], F.col(quoted(right_geometry))["env"]
+    a, b = _kept(left, left_geometry, cell, "_l"), _kept(right, right_geometry, cell, "_r")
+    used = [sorted(r[0] for r in side.select(f"_level{s}").distinct().collect()) for side, s in ((a, "_l"), (b, "_r"))]  # some tens of numbers at most
+    dealt = _dealt(a, left_geometry, cell, used[1], "_l"), _dealt(b, right_geometry, cell, used[0], "_r")
+    x, y = F.col("_env_l"), F.col("_env_r")
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_at_l"))
     corner = [F.floor(F.greatest(x[c], y[c]) / size).cast("long") for c in ("minx", "miny")]
     same = (F.col("_at_l") == F.col("_at_r")) & (F.col("_cell_l.x") == F.col("_cell_r.x")) & (F.col("_cell_l.y") == F.col("_cell_r.y"))
     owns = (F.col("_at_l") == F.greatest("_level_l", "_level_r")) & (F.col("_cell_l.x") == corner[0]) & (F.col("_cell_l.y") == corner[1])
-    met = a.join(b, same & envelopes_meet(x, y) & owns).drop(*[f"_{n}{s}" for n in ("level", "at", "cell") for s in ("_l", "_r")])
+    pairs = dealt[0].join(dealt[1], same & envelopes_meet(x, y) & owns).select(F.col("_id_l").alias("_pair_l"), F.col("_id_r").alias("_pair_r"))
+    met = a.join(pairs, F.col("_id_l") == F.col("_pair_l")).join(b, F.col("_id_r") == F.col("_pair_r")).drop(*[f"_{n}{s}" for n in ("id", "level", "pair") for s in ("_l", "_r")])
     if name == "envelope" and mask is None:
         return met
     register(left.sparkSession)

@@ -22,8 +22,8 @@ from terrazzo.operators import attachments, edits, identify, raster, related, se
 from terrazzo.plans import execute
 from terrazzo.plans.dataset import ID, Dataset
 from terrazzo.plans.parse import from_wire, parse_filter, parse_where
-from terrazzo.session import shared_path, ship
-from terrazzo.sources import demo, ingest, vector_tiles
+from terrazzo.session import shared_path, ship, written
+from terrazzo.sources import demo, ingest, snapshots, tile_cache, vector_tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -212,6 +212,16 @@ def agg_percentiles(spark, sf_dir):
     return _rounded(execute.aggregate(lineitem(spark, sf_dir), FeatureQuery(), AggregateQuery(specs, ("l_returnflag",))))
 
 
+@query("SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.75), 6) AS p25_desc, round(quantile_disc(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_discount, 0.999), 6) AS p999 FROM lineitem GROUP BY l_linestatus")
+def agg_percentiles_ranked(spark, sf_dir):
+    """By narrowing brackets, as inputs beyond memory are ranked."""
+    specs = (
+        AggregateSpec("percentile_cont", "l_extendedprice", "p90", 0.9), AggregateSpec("percentile_cont", "l_extendedprice", "p25_desc", 0.25, True),
+        AggregateSpec("percentile_disc", "l_quantity", "p50", 0.5), AggregateSpec("percentile_cont", "l_discount", "p999", 0.999),
+    )
+    return _rounded(execute.aggregate(lineitem(spark, sf_dir), FeatureQuery(), AggregateQuery(specs, ("l_linestatus",)), in_memory=0))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_quantity, 0.9), 4) AS p90 FROM lineitem WHERE l_quantity > 30 GROUP BY ALL HAVING count(*) > 10")
 def agg_having(spark, sf_dir):
     specs = (AggregateSpec("count", "*", "n"), AggregateSpec("avg", "l_extendedprice", "mean"), AggregateSpec("percentile_cont", "l_quantity", "p90", 0.9))
@@ -615,6 +625,26 @@ def vector_tile(spark, sf_dir):
     return made.withColumn("read", read).select("z", "x", "y", "n", "over", *[c.alias(k) for k, c in sums.items()])
 
 
+def _tile_counts_sql(z: int) -> str:
+    n = 1 << z
+    return f"""SELECT {z} AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n FROM (
+SELECT x, unnest(range(CAST(greatest(ceil(w * {n}) - 1, 0) AS INTEGER), CAST(least(floor(w * {n}), {n - 1}) AS INTEGER) + 1)) AS y FROM (
+SELECT w, unnest(range(CAST(greatest(ceil(u * {n}) - 1, 0) AS INTEGER), CAST(least(floor(u * {n}), {n - 1}) AS INTEGER) + 1)) AS x FROM (
+SELECT radians(x) * 6378137.0 / (2 * pi() * 6378137.0) + 0.5 AS u, 0.5 - ln(tan(pi() / 4 + radians(y) / 2)) * 6378137.0 / (2 * pi() * 6378137.0) AS w FROM {SITES_SQL} WHERE abs(y) < 85 AND (l_quantity < 50 OR x > 0)))) GROUP BY ALL"""
+
+
+@query(" UNION ALL ".join(map(_tile_counts_sql, (1, 4))))
+def tile_refresh(spark, sf_dir):
+    """Tiles of two zooms after an edit that takes away some points of the western half: dirty ones are encoded anew, the others stay."""
+    mx, my = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
+    before = sites(spark, sf_dir).df.where("abs(y) < 85").withColumn("m", geo.point(mx, my)["wkb"])
+    after = before.where("l_quantity < 50 or x > 0")
+    args = ([1, 4], "m", ["l_orderkey"])
+    cached = written(tile_cache.build(before, *args), "tiles")
+    fresh = tile_cache.refreshed(cached, before, after, ["l_orderkey", "l_linenumber"], *args)
+    return fresh.select("z", "x", "y", geo.call("st_tilecount", vector_tiles.layer_of(F.col("tile"))).alias("n"))
+
+
 @query("SELECT 'point-' || lpad(CAST(k AS VARCHAR), 3, '0') AS __feature_id, CAST(k % 11 - 5 + k // 11 - 4 AS DOUBLE) AS value FROM (SELECT unnest(range(0, 110)) AS k) WHERE k % 11 - 5 BETWEEN -2 AND 3 AND k // 11 - 4 BETWEEN 0 AND 2")
 def demo_points(spark, sf_dir):
     return execute.features(demo.points(spark), FeatureQuery(box=Box(-2, 0, 3, 2.5), projection=("value",)))
@@ -746,6 +776,17 @@ def raster_identify(spark, sf_dir):
     return raster.identify(cells, "r", 7, 11)
 
 
+@query(f"""SELECT 'r' AS raster_id, l_linenumber AS band, l_quantity * 4 AS value, CAST(7 AS BIGINT) AS row, CAST(11 AS BIGINT) AS col,
+(SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM {PARCELS_SQL} WHERE x0 <= 100.5 AND x0 + w >= 100.5 AND y0 <= 100.5 AND y0 + h >= 100.5)) AS items
+FROM lineitem WHERE l_orderkey % 50 = 7 AND l_partkey % 20 = 11""")
+def raster_identify_at(spark, sf_dir):
+    """The values at a location by the raster's place and pixel size, and the footprints there."""
+    cells = _cells(spark, sf_dir).withColumns({"row": (F.col("row") % 50).cast("long"), "col": (F.col("col") % 20).cast("long")})
+    rasters = cells.groupBy("raster_id").agg(*[F.lit(v).alias(n) for n, v in (("minx", 89.0), ("maxy", 108.0), ("pixel_width", 1.0), ("pixel_height", 1.0), ("rows", 50), ("cols", 20))])
+    found = raster.identify_at(cells, rasters, 100.5, 100.5, parcels(spark, sf_dir))
+    return found.withColumn("items", F.array_join("items", ","))
+
+
 _ITEMS_SQL = "(SELECT p_partkey, p_name || ' ' || part.p_brand AS title, p_type AS category, x0, y0, w, h FROM part JOIN " + PARCELS_SQL + " USING (p_partkey))"
 
 
@@ -777,6 +818,26 @@ def edit_snapshot(spark, sf_dir):
     return edits.delete_where(ds.with_df(updated), parse_filter("s_acctbal < 0"))
 
 
+@query("""SELECT 'supplier' AS dataset, 'new' AS seen, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM supplier WHERE s_acctbal >= 0
+UNION ALL SELECT 'supplier', 'old', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier UNION ALL SELECT 'customer', 'new', 2 * count(*), CAST(sum(2 * c_custkey + 1000000) AS BIGINT) FROM customer
+UNION ALL SELECT 'customer', 'old', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer""")
+def snapshot_commit(spark, sf_dir):
+    """Two datasets changed by one commit; the version before it is still there."""
+    store = snapshots.Snapshots(ship(spark), shared_path(spark, "datasets"))
+    first = store.begin()
+    first.stage("supplier", table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"))
+    first.stage("customer", table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
+    old = first.commit()
+    both = edits.Transaction(store)
+    both.stage("supplier", edits.delete_where(store.dataset("supplier", ("s_suppkey",)), parse_filter("s_acctbal < 0")))
+    customers_now = store.scan("customer")
+    both.stage("customer", customers_now.unionByName(customers_now.withColumn("c_custkey", F.col("c_custkey") + 1000000)))
+    both.commit()
+    said = lambda name, key, seen, version: store.scan(name, version).agg(F.count("*").alias("n"), F.sum(key).cast("long").alias("keys")).select(F.lit(name).alias("dataset"), F.lit(seen).alias("seen"), "n", "keys")
+    rows = [said(name, key, seen, version) for name, key in (("supplier", "s_suppkey"), ("customer", "c_custkey")) for seen, version in (("new", None), ("old", old))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query("""SELECT '{"type":"Feature","id":"' || l_orderkey || '|' || l_linenumber || '","geometry":{"type":"Point","coordinates":[' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT) || ']},"properties":{"l_partkey":' || l_partkey || ',"tag":"' || l_suppkey || ' \\"x\\""}}' AS feature
 FROM """ + SITES_SQL)
 def geojson_features(spark, sf_dir):

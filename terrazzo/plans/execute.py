@@ -15,9 +15,12 @@ from terrazzo.plans import compile as compiling
 from terrazzo.plans import validate
 from terrazzo.plans.dataset import ID, Dataset, quoted
 from terrazzo.plans.parse import render
+from terrazzo.session import written
 
 #: The accuracy of the percentile sketch: rank errors are at most one part in this many.
 SKETCH = 10000
+#: Parts that a round cuts a percentile's bracket into, and distinct values that a bracket may hold in the end.
+CUTS, INSIDE = 256, 1 << 16
 #: Inputs of at most this many bytes, by Catalyst's own estimate, have their percentiles in one aggregate with the other statistics.
 IN_MEMORY = 1 << 29
 #: Up to this many ids are a literal list; more become a semi-join.
@@ -182,42 +185,78 @@ def _bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def percentiles(df: DataFrame, group_by: tuple[str, ...], specs: list[AggregateSpec]) -> DataFrame:
-    """The groups' exact percentiles, one field after another: a bounded sketch brackets each wanted rank, then only the bracket is sorted.
+def _target(s: AggregateSpec, n: Column) -> tuple[Column, Column, Column]:
+    """(rank below, rank above, how far between them) of a percentile of ``n`` values, ranks from 0."""
+    if s.statistic == "percentile_cont":
+        at = F.lit(float(s.fraction)) * (n - 1)
+        return F.floor(at), F.ceil(at), at - F.floor(at)
+    rank = F.greatest(F.ceil(F.lit(float(s.fraction)) * n) - 1, F.lit(0).cast("long"))
+    return rank, rank, F.lit(0.0)
 
-    The sketch's rank error is at most one part in SKETCH of a group, so a bracket of a few such parts on both sides
-    holds the rank for certain; what is smaller than it is counted, what lies inside is summed up by value and ranked.
-    Nothing holds a group's values in one task but the bracket.
+
+def brackets(values: DataFrame, names: list[str], specs: list[AggregateSpec], field: list[int], inside: int) -> DataFrame:
+    """For each group and spec (``s``) the ranks wanted and a bracket (low, high; null is open) that holds them among at most ``inside`` distinct values, or so many values in all.
+
+    A round reads the values once: it counts what lies below each bracket, and a bounded sketch cuts what lies inside into CUTS parts, of which a few
+    about the ranks are the next bracket.  All groups, fields and ranks share the rounds.  Their number is that of the digits of the
+    largest group in base CUTS / 4; the driver sees one number a round.
+    """
+    totals = values.groupBy(*names, "f").agg(F.count("*").alias("n"))
+    wanted = []
+    for k, s in enumerate(specs):
+        under, over, part = _target(s, F.col("n"))
+        wanted.append(F.struct(F.lit(k).alias("s"), F.lit(field[k]).alias("of"), under.cast("long").alias("under"), over.cast("long").alias("over"), part.alias("part")))
+    bounds = [F.lit(None).cast("double").alias(c) for c in ("low", "high")]
+    state = written(totals.select(*names, "f", "n", F.inline(F.array(*wanted))).where("f = of").drop("of").select("*", *bounds), "ranks-state")
+    inner = (F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high")))
+    held = F.when(inner, F.col("v"))
+    fractions = [k / CUTS for k in range(CUTS + 1)]
+    rest = ["n", "under", "over", "part", "low", "high"]
+    while True:
+        measured = written(
+            _same_groups(values, state, [*names, "f"])
+            .groupBy(*names, "f", "s")
+            .agg(
+                *[F.first(c).alias(c) for c in rest],
+                F.count_if(F.col("v") < F.col("low")).alias("below"),
+                F.count(held).alias("m"),
+                F.approx_count_distinct(held).alias("d"),
+                F.percentile_approx(held, fractions, SKETCH).alias("cuts"),
+            ),
+            "ranks-state",
+        )
+        if (measured.agg(F.max(F.least("m", "d"))).first()[0] or 0) <= inside:
+            return measured.drop("cuts")
+        first = F.floor((F.col("under") - F.col("below")) / F.col("m") * CUTS).cast("int") - 1
+        last = F.ceil((F.col("over") - F.col("below") + 1) / F.col("m") * CUTS).cast("int") + 1
+        low = F.when(first > 0, F.get("cuts", first)).otherwise(F.col("low"))
+        high = F.when(last < CUTS, F.get("cuts", last)).otherwise(F.col("high"))
+        state = measured.select(*names, "f", "n", "s", "under", "over", "part", low.alias("low"), high.alias("high"))
+
+
+def percentiles(df: DataFrame, group_by: tuple[str, ...], specs: list[AggregateSpec], inside: int = INSIDE) -> DataFrame:
+    """The groups' exact percentiles, all fields and ranks together: brackets about the ranks are narrowed until they hold few values, and only those are sorted.
+
+    What is smaller than a bracket is counted, what lies inside is summed up by value and ranked, some ``inside`` distinct values at
+    most, whatever the size of the group.  The values are written once.
     """
     keys = [F.col(quoted(g)).alias(f"g{k}") for k, g in enumerate(group_by)]
     names = [f"g{k}" for k in range(len(group_by))]
-    out = None
-    for n, s in enumerate(specs):
-        v = F.col(quoted(s.field)).cast("double")
-        values = df.select(*keys, (-v if s.descending else v).alias("v")).where("v is not null")
-        low, high = (min(max(s.fraction + k * 4.0 / SKETCH, 0.0), 1.0) for k in (-1, 1))
-        near = F.percentile_approx("v", [low, high], SKETCH)
-        small = F.count("*") <= SKETCH  # too few for the margin to hold a neighbour: all of them
-        bounds = values.groupBy(*names).agg(F.count("*").alias("n"), F.when(~small, near[0]).alias("low"), F.when(~small, near[1]).alias("high"))
-        joined = _same_groups(values, bounds, names)
-        # of equal values one row: what lies below the bracket is only counted
-        inside = (F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high")))
-        below = F.coalesce(F.col("v") < F.col("low"), F.lit(False))
-        counted = joined.where(inside | below).groupBy(*names, "n", F.when(inside, F.col("v")).alias("v"), below.alias("below")).agg(F.count("*").alias("c"))
-        order = W.partitionBy(*names).orderBy(F.col("below").desc(), "v").rowsBetween(W.unboundedPreceding, 0)
-        ranked = counted.withColumn("last", F.sum("c").over(order))
-        if s.statistic == "percentile_cont":
-            at = F.lit(float(s.fraction)) * (F.col("n") - 1)
-            under, over = F.floor(at), F.ceil(at)
-        else:
-            under = F.greatest(F.ceil(F.lit(float(s.fraction)) * F.col("n")) - 1, F.lit(0))
-            at, over = under, under
-        holds = lambda rank: F.max(F.when(~F.col("below") & (F.col("last") > rank) & (F.col("last") - F.col("c") <= rank), F.col("v")))  # noqa: E731, B023
-        found = ranked.groupBy(*names).agg(holds(under).alias("a"), holds(over).alias("b"), F.max(at - F.floor(at)).alias("part"))
-        value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))
-        found = found.select(*names, (-value if s.descending else value).alias(f"p{n}"))
-        out = found if out is None else _same_groups(out, found, names, "full")
-    return out
+    fields = list(dict.fromkeys((s.field, bool(s.descending)) for s in specs))
+    field = [fields.index((s.field, bool(s.descending))) for s in specs]
+    value = lambda name, down: -F.col(quoted(name)).cast("double") if down else F.col(quoted(name)).cast("double")
+    every = F.array(*[F.struct(F.lit(k).alias("f"), value(*f).alias("v")) for k, f in enumerate(fields)])
+    values = written(df.select(*keys, F.inline(every)).where("v is not null"), "ranks")
+    found = brackets(values, names, specs, field, inside)
+    near = _same_groups(values, found, [*names, "f"]).where((F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high"))))
+    counted = near.groupBy(*names, "s", "v").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("under", "over", "part", "below")])
+    order = W.partitionBy(*names, "s").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.withColumn("last", F.col("below") + F.sum("c").over(order))
+    holds = lambda rank: F.max(F.when((F.col("last") > F.col(rank)) & (F.col("last") - F.col("c") <= F.col(rank)), F.col("v")))
+    ends = ranked.groupBy(*names, "s").agg(holds("under").alias("a"), holds("over").alias("b"), F.first("part").alias("part"))
+    between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))
+    said = lambda k, s: F.max(F.when(F.col("s") == k, -between if s.descending else between)).alias(f"p{k}")
+    return ends.groupBy(*names).agg(*[said(k, s) for k, s in enumerate(specs)])
 
 
 def _same_groups(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
@@ -236,7 +275,7 @@ def _same_groups(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner
 def aggregate(ds: Dataset, q: FeatureQuery, a: AggregateQuery, in_memory: int = IN_MEMORY) -> DataFrame:
     """Groups in first-seen order unless an order is given; HAVING, then the group page.
 
-    Percentiles of inputs beyond ``in_memory`` bytes are ranked by brackets, with the same results.
+    Percentiles of inputs beyond ``in_memory`` bytes are ranked by narrowing brackets, with the same results.
     """
     validate.aggregate_query(ds, a)
     chosen = select(ds, q)

@@ -52,12 +52,30 @@ def test_percentiles_are_exact_beyond_the_sketch(spark, fractions, in_memory):
             assert r[s.name] == pytest.approx(rank(values, s.fraction, s.statistic, s.descending)), (r, s)
 
 
+def test_brackets_hold_few_values(spark):
+    """Whatever the size of a group: distinct values, ties, a third of all rows equal; all fields and ranks in the same rounds."""
+    rng = random.Random(8)
+    rows = [("big", rng.gauss(0, 1), float(rng.randrange(3)), 7.0 if k % 3 else rng.random()) for k in range(60_000)] + [("small", float(k), 1.0, 2.0) for k in range(30)] + [("none", None, None, None)]
+    ds = Dataset(spark.createDataFrame(rows, "g string, a double, b double, c double").repartition(3))
+    specs = [AggregateSpec(kind, f, f"{f}{k}{kind[11]}{d}", p, d) for f in "abc" for k, p in enumerate((0.0, 0.1, 0.5, 0.9999)) for kind in ("percentile_cont", "percentile_disc") for d in (False, True)]
+    for inside in (40, 5000):
+        found = {r["g0"]: r for r in execute.percentiles(ds.df, ("g",), specs, inside).collect()}
+        assert set(found) == {"big", "small"}
+        for g, r in found.items():
+            for k, s in enumerate(specs):
+                values = [row["abc".index(s.field) + 1] for row in rows if row[0] == g]
+                assert r[f"p{k}"] == pytest.approx(rank(values, s.fraction, s.statistic, s.descending)), (g, s)
+    long = ds.df.where("a is not null").select(F.col("g").alias("g0"), F.lit(0).alias("f"), F.col("a").alias("v"))
+    held = execute.brackets(long, ["g0"], [specs[4]], [0], 40).collect()
+    assert {r["g0"] for r in held} == {"big", "small"} and all(min(r["m"], r["d"]) <= 40 and r["below"] <= r["under"] <= r["over"] < r["below"] + r["m"] for r in held)
+
+
 def test_size_decides_how_percentiles_are_ranked(spark, tmp_path):
     spark.range(1000).withColumn("v", F.col("id") / 3).write.parquet(f"{tmp_path}/t")
     ds = Dataset(spark.read.parquet(f"{tmp_path}/t"))
     a = AggregateQuery((AggregateSpec("percentile_cont", "v", "p", 0.5),))
     plan = lambda most: execute.aggregate(ds, FeatureQuery(), a, most)._jdf.queryExecution().optimizedPlan().toString()
-    assert "approx" not in plan(execute.IN_MEMORY) and "approx" in plan(100)
+    assert "percentile" in plan(execute.IN_MEMORY) and "percentile" not in plan(100)  # ranked from what was written
 
 
 # --- merging and joining -----------------------------------------------------------------------
@@ -234,10 +252,86 @@ def test_feature_info(spark):
     layers = {"places": (places(spark), "g")}
     found = identify.feature_info(layers, (0, -10, 100, 10), 1000, 200, 32, 98, pixels=1)
     assert [r["feature_id"] for r in found.collect()] == ["3"]
+    assert identify.feature_info(layers, (0, -10, 100, 10), 1000, 200, 32, 98, pixels=1000, most=1).count() == 1
     with pytest.raises(PlanError):
         identify.feature_info(layers, (0, 0, 1, 1), 10, 10, 10, 0)
 
 
+def test_equal_shapes_are_one(spark):
+    """Ten thousand equal points, and as many scattered ones: no run holds more than its share, and the union is right."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(0.0)).otherwise(F.col("id") * 7 % 997).alias("x"), F.when(F.col("id") % 2 == 0, F.lit(0.0)).otherwise(F.col("id") * 13 % 991).alias("y"))
+    df = rows.select(F.lit("a").alias("k"), geo.box(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1)["wkb"].alias("g"))
+    cells = rows.distinct().count()
+    row = geo.dissolve(df, ["k"], F.col("g")).select(geo.call("st_area", F.col("wkb"))).collect()
+    assert len(row) == 1 and row[0][0] == pytest.approx(cells)
+    assert geo.dissolve(df.where("false"), ["k"], F.col("g")).count() == 0
+    nulls = df.limit(200).withColumn("g", F.lit(None).cast("binary"))
+    assert [r["wkb"] for r in geo.dissolve(nulls, ["k"], F.col("g")).collect()] == [None]
+
+
+def test_neighbours_merge_first(spark):
+    """Along the curve, runs of neighbours lose their inner edges in the first round: fewer positions are left than by hash."""
+    grid = spark.range(4096).select((F.col("id") % 64).cast("double").alias("x"), F.floor(F.col("id") / 64).cast("double").alias("y"))
+    boxes = grid.select("x", "y", geo.box(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1)["wkb"].alias("g"))
+
+    def left(order):
+        runs = boxes.repartitionByRange(4, order).sortWithinPartitions(order).withColumn("run", F.expr("monotonically_increasing_id() div 64"))
+        merged = runs.groupBy("run").agg(geo.call("st_union_all", F.collect_list("g")).alias("g"))
+        return merged.agg(F.sum(F.size(geo.call("st_ordinates", F.col("g"))))).first()[0]
+
+    assert left(geo.along_curve(F.col("x"), F.col("y"), (0.0, 0.0, 63.0, 63.0))) * 3 < left(F.xxhash64("g"))
+    near = spark.range(1).select(*[geo.along_curve(F.lit(float(x)), F.lit(float(y)), (0.0, 0.0, 65535.0, 65535.0)) for x, y in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (65535, 65535))]).first()
+    assert list(near) == [0, 1, 2, 3, 4, (1 << 32) - 1]
+    merged = geo.dissolve(boxes.select("g"), [], F.col("g")).first()
+    assert spark.range(1).select(geo.call("st_area", F.lit(bytes(merged["wkb"])))).first()[0] == pytest.approx(4096)
+
+
+def test_join_deals_keys_alone(spark):
+    """Shapes of twenty levels on one side, one on the other: copies are few, and carry no shape."""
+    from terrazzo.operators import spatial
+
+    left = spark.range(300).select(F.col("id").alias("a"), geo.box(F.col("id"), F.lit(0.0), F.col("id") + F.pow(F.lit(2.0), F.col("id") % 20), F.lit(1.0)).alias("p"))
+    right = spark.range(500).select(F.col("id").alias("b"), geo.box(F.col("id") * 3, F.lit(0.5), F.col("id") * 3 + 0.5, F.lit(2.0)).alias("q"))
+    kept = spatial._kept(left, "p", 1.0, "_l")
+    dealt = spatial._dealt(kept, "p", 1.0, [0], "_l")
+    assert "wkb" not in dealt.schema.simpleString() and dealt.count() <= 4 * 300
+    got = sorted((r["a"], r["b"]) for r in spatial.join(left, right, "p", "q", 1.0).select("a", "b").collect())
+    want = sorted((a, b) for a in range(300) for b in range(500) if a <= b * 3 + 0.5 and a + 2 ** (a % 20) >= b * 3)
+    assert got == want
+
+
+def test_tiles_of_an_edit(spark):
+    """After random edits the refreshed tiles are those built anew, and only dirty ones were encoded."""
+    from terrazzo.sources import tile_cache
+
+    rng = random.Random(12)
+    shape = lambda x, y, size: geo.call("st_box", x, y, x + size, y + size)
+    rows = {k: (rng.uniform(-1.9e7, 1.9e7), rng.uniform(-1.9e7, 1.9e7), rng.choice([1.0, 3e6]), f"n{k % 4}") for k in range(120)}
+    table = lambda: spark.createDataFrame([(k, *v) for k, v in rows.items()], "id long, x double, y double, size double, name string").withColumn("m", shape(F.col("x"), F.col("y"), F.col("size"))).select("id", "name", "m")
+    zooms = [0, 2, 5]
+    before = table()
+    cached = tile_cache.build(before, zooms, "m", ["id", "name"]).cache()
+    for k in rng.sample(list(rows), 6):
+        x, y, size, name = rows[k]
+        rows[k] = (x / 2, y, size, name) if k % 2 else (x, y, size, "renamed")
+    del rows[3]
+    rows[500] = (0.0, 0.0, 5.0, None)
+    after = table()
+    said = lambda df: {(r["z"], r["x"], r["y"]): (r["n"], bytes(r["tile"])) for r in df.collect()}
+    lost = tile_cache.dirty(tile_cache.changed(before, after, ["id"], "m", ["id", "name"]), zooms)
+    assert said(tile_cache.refreshed(cached, before, after, ["id"], zooms, "m", ["id", "name"])) == said(tile_cache.build(after, zooms, "m", ["id", "name"]))
+    assert 3 <= lost.count() < cached.count() and said(tile_cache.refreshed(cached, before, before, ["id"], zooms, "m", ["id", "name"])) == said(cached)
+
+
+def test_raster_at_a_location(spark):
+    cells = spark.createDataFrame([("r", 1, 0, 0, 5.0), ("r", 2, 0, 0, 6.0), ("r", 1, 1, 2, 7.0), ("s", 1, 3, 3, 8.0)], "raster_id string, band int, row long, col long, value double")
+    rasters = spark.createDataFrame([("r", 100.0, 50.0, 10.0, 5.0, 2, 3), ("s", 90.0, 60.0, 10.0, 5.0, 4, 4)], "raster_id string, minx double, maxy double, pixel_width double, pixel_height double, rows int, cols int")
+    at = lambda x, y: sorted((r["raster_id"], r["band"], r["value"]) for r in raster.identify_at(cells, rasters, x, y).collect())
+    assert at(100, 50) == [("r", 1, 5.0), ("r", 2, 6.0)] and at(120.1, 44.9) == [("r", 1, 7.0), ("s", 1, 8.0)] and at(99, 50) == [] and at(130, 41) == []
+    items = Dataset(spark.createDataFrame([(1, 0.0), (2, 115.0)], "id int, x double").withColumn("g", geo.box(F.col("x"), F.lit(0.0), F.col("x") + 10, F.lit(60.0))), ("id",), ("id",), "items")
+    assert [r["items"] for r in raster.identify_at(cells, rasters, 120.1, 44.9, items).collect()] == [["2"], ["2"]]
+
+
 def test_object_ids(spark):
     ds = Dataset(spark.createDataFrame([("b", 5), ("a", 6)], "s string, n int").coalesce(1), ("s",))
     assert [r["object_id"] for r in shapes.with_object_ids(ds).collect()] == [1, 2]
