@@ -19,7 +19,8 @@ The weights in ``models/pii.json`` come from ``train`` on invented sentences.
 Defined results: null is the empty text; empty tables give no rows; positions are
 code points, ends exclusive; repeated rows, and rows with a null doc_id, are read one by
 one; a text of any length is read whole; the field's spans do not overlap each other, and
-one that touches a pattern's span is left out; patterns of different kinds may overlap;
+of one that a pattern's span covers in part the rest stays where it holds REST letters and
+digits; patterns of different kinds may overlap;
 spans are listed by start, then kind, and of equally good segmentations the one with fewer
 spans counts; only doc_id and text are read, whatever other columns are called.
 """
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.llm import semicrf
+from terrazzo.llm.secretscan import uncovered
 from terrazzo.llm.workers import tidy
 
 MODEL = Path(__file__).parent / "models" / "pii.json"
@@ -45,6 +47,8 @@ TYPES = ("email", "ip", "card", "phone")
 #: The field's spans are named apart from the patterns' spans of the same type.
 KINDS = (*TYPES, *(f"crf_{t}" for t in TYPES))
 MAX_TOKENS = 24
+#: Letters and digits that what a pattern leaves of a span must hold.
+REST = 6
 
 # The base patterns.
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -262,9 +266,12 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def find(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans); the field's spans are those that no base span touches."""
+    """(base spans, all spans); the field's are the parts of its spans that no base span covers, of at least REST letters and digits where one covers the rest."""
     base = base_spans(text)
-    added = [(a, len(TYPES) + k, b) for a, k, b in field_spans(text, weights) if not any(s < b and a < e for s, _, e in base)]
+    added = []
+    for a, k, b in field_spans(text, weights):
+        parts = list(uncovered(text, a, b, base))
+        added += [(s, len(TYPES) + k, e) for s, e in parts if (s, e) == (a, b) or sum(map(str.isalnum, text[s:e])) >= REST]
     return base, sorted(base + added)
 
 
