@@ -7,7 +7,9 @@ never products.
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +98,29 @@ def filter_by(df: DataFrame, geometry: str, query: QueryGeometry, name: str = "e
     return df.where(exact) if holds_apart(name, mask) else df.where(near).where(exact)
 
 
+def filter_by_any(df: DataFrame, geometry: str, queries: list[QueryGeometry], name: str = "intersects", mask: str | None = None) -> DataFrame:
+    """Features that stand in a relation to some of the query geometries, each feature once, in one scan.
+
+    The box about all query geometries reaches the scan; a geometry's own envelope test decides whether its relation is looked at.
+    """
+    if not queries:
+        return df.where(F.lit(False))
+    register(df.sparkSession)
+    g = F.col(quoted(geometry))
+    apart = name == "disjoint" or holds_apart(name, mask)
+    tests = []
+    for q in queries:
+        near = F.coalesce(_box_meets(g["env"], q.env), F.lit(False))
+        exact = near if name == "envelope" and mask is None else relation(g["wkb"], F.lit(q.wkb), name, mask)
+        tests.append(exact if apart else near & exact)
+    found = reduce(operator.or_, tests)
+    if apart:
+        return df.where(g.isNotNull() & found)
+    envs = [q.env for q in queries]
+    whole = (min(e[0] for e in envs), min(e[1] for e in envs), max(e[2] for e in envs), max(e[3] for e in envs))
+    return df.where(_box_meets(g["env"], whole)).where(found)
+
+
 def within_distance(df: DataFrame, geometry: str, query: QueryGeometry, distance: float) -> DataFrame:
     """Features at most ``distance`` from the query geometry: exact, without a buffer."""
     register(df.sparkSession)

@@ -6,6 +6,7 @@ in doubles are rounded alike on both sides.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Callable
 
@@ -435,13 +436,9 @@ def relation_crosses(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber FROM " + SITES_SQL + " WHERE x = 10 AND y BETWEEN -30 AND -20")
 def relation_equals(spark, sf_dir):
-    """Points that equal one of eleven positions; the union of the filters, which exclude each other."""
-    df = sites(spark, sf_dir).df
-    found = None
-    for y in range(-30, -19):
-        one = spatial.filter_by(df, "shape", spatial.QueryGeometry(geo.wkb_point(10, y), (10, y, 10, y), 0), "equals")
-        found = one if found is None else found.unionByName(one)
-    return found.select("l_orderkey", "l_linenumber")
+    """Points that equal one of eleven positions, in one scan."""
+    queries = [spatial.QueryGeometry(geo.wkb_point(10, y), (10, y, 10, y), 0) for y in range(-30, -19)]
+    return spatial.filter_by_any(sites(spark, sf_dir).df, "shape", queries, "equals").select("l_orderkey", "l_linenumber")
 
 
 @query(f"SELECT p_partkey FROM {PARCELS_SQL} WHERE NOT ({_MEETS})")
@@ -486,6 +483,39 @@ def hull_aggregate(spark, sf_dir):
     return _rounded(hulls.select("p_brand", geo.call("st_area", "wkb").alias("area")), 4)
 
 
+_DIRECTIONS = 16
+
+
+@query(f"""SELECT p_brand, CAST(k AS INTEGER) AS direction, round(max(greatest(x0 * cos(k * pi() / {_DIRECTIONS // 2}), (x0 + w) * cos(k * pi() / {_DIRECTIONS // 2})) + greatest(y0 * sin(k * pi() / {_DIRECTIONS // 2}), (y0 + h) * sin(k * pi() / {_DIRECTIONS // 2}))), 6) AS reach
+FROM {PARCELS_SQL}, (SELECT unnest(range(0, {_DIRECTIONS})) AS k) GROUP BY p_brand, k""")
+def hull_support(spark, sf_dir):
+    """How far each brand's hull reaches in sixteen directions, which its rectangles' corners fix."""
+    hulls = geo.dissolve(parcels(spark, sf_dir).df, ["p_brand"], F.col("shape.wkb"), "hull")
+    at = geo.call("st_ordinates", F.col("wkb"))
+    placed = hulls.select("p_brand", at.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(_DIRECTIONS - 1))).alias("direction"))
+    turn = F.col("direction") * (math.pi / (_DIRECTIONS // 2))
+    reach = F.array_max(F.transform(F.sequence(F.lit(0), (F.size("at") / 2 - 1).cast("int")), lambda k: F.col("at")[k * 2] * F.cos(turn) + F.col("at")[k * 2 + 1] * F.sin(turn)))
+    return placed.select("p_brand", "direction", F.round(reach, 6).alias("reach"))
+
+
+@query(f"""SELECT p_partkey, FALSE AS before, TRUE AS after, 2 AS parts, round(w * h / 2, 6) AS area, 2 AS kept, round(sqrt(w * w + h * h), 6) AS length FROM {PARCELS_SQL}""")
+def repair_bowtie(spark, sf_dir):
+    """Rings that cross themselves become two triangles; positions on a straight line go, whatever its slope."""
+    df = parcels(spark, sf_dir).df
+    x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
+    pair = lambda x, y: F.concat_ws(" ", x, y)
+    crossed = geo.call("st_fromtext", F.concat(F.lit("POLYGON(("), F.concat_ws(",", pair(x0, y0), pair(x1, y1), pair(x1, y0), pair(x0, y1), pair(x0, y0)), F.lit("))")))
+    line = geo.call("st_fromtext", F.concat(F.lit("LINESTRING("), F.concat_ws(",", pair(x0, y0), pair((x0 + x1) / 2, (y0 + y1) / 2), pair((x0 + x1 * 3) / 4, (y0 + y1 * 3) / 4), pair(x1, y1)), F.lit(")")))
+    whole = geo.call("st_makevalid", crossed)
+    thin = geo.call("st_simplify", line, F.lit(0.001))
+    return _rounded(
+        df.select(
+            "p_partkey", geo.call("st_isvalid", crossed).alias("before"), geo.call("st_isvalid", whole).alias("after"), F.size(geo.call("st_parts", whole)).alias("parts"),
+            geo.call("st_area", whole).alias("area"), (F.size(geo.call("st_ordinates", thin)) / 2).cast("int").alias("kept"), geo.call("st_length", thin).alias("length"),
+        )
+    )
+
+
 @query()
 def buffer_simplify_repair(spark, sf_dir):
     """Constructions without a closed form in SQL; the tests hold them against known shapes."""
