@@ -486,7 +486,7 @@ def hull_aggregate(spark, sf_dir):
 _DIRECTIONS = 16
 
 
-@query(f"""SELECT p_brand, CAST(k AS INTEGER) AS direction, round(max(greatest(x0 * cos(k * pi() / {_DIRECTIONS // 2}), (x0 + w) * cos(k * pi() / {_DIRECTIONS // 2})) + greatest(y0 * sin(k * pi() / {_DIRECTIONS // 2}), (y0 + h) * sin(k * pi() / {_DIRECTIONS // 2}))), 6) AS reach
+@query(f"""SELECT p_brand, CAST(k AS INTEGER) AS direction, round(max(greatest(x0 * cos(k * pi() / {_DIRECTIONS // 2}), (x0 + w) * cos(k * pi() / {_DIRECTIONS // 2})) + greatest(y0 * sin(k * pi() / {_DIRECTIONS // 2}), (y0 + h) * sin(k * pi() / {_DIRECTIONS // 2}))), 6) + 0.0 AS reach
 FROM {PARCELS_SQL}, (SELECT unnest(range(0, {_DIRECTIONS})) AS k) GROUP BY p_brand, k""")
 def hull_support(spark, sf_dir):
     """How far each brand's hull reaches in sixteen directions, which its rectangles' corners fix."""
@@ -495,7 +495,7 @@ def hull_support(spark, sf_dir):
     placed = hulls.select("p_brand", at.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(_DIRECTIONS - 1))).alias("direction"))
     turn = F.col("direction") * (math.pi / (_DIRECTIONS // 2))
     reach = F.array_max(F.transform(F.sequence(F.lit(0), (F.size("at") / 2 - 1).cast("int")), lambda k: F.col("at")[k * 2] * F.cos(turn) + F.col("at")[k * 2 + 1] * F.sin(turn)))
-    return placed.select("p_brand", "direction", F.round(reach, 6).alias("reach"))
+    return placed.select("p_brand", "direction", (F.round(reach, 6) + 0.0).alias("reach"))
 
 
 @query(f"""SELECT p_partkey, FALSE AS before, TRUE AS after, 2 AS parts, round(w * h / 2, 6) AS area, 2 AS kept, round(sqrt(w * w + h * h), 6) AS length FROM {PARCELS_SQL}""")
