@@ -231,9 +231,13 @@ def _members(src: _Source, wanted) -> Iterator[tuple[dict[str, str], bytes | Non
 def _sized(src: _Source, at: int, length: int, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """A member that states its length: its head alone is read and inflated until the record is wanted."""
     d, plain, near = zlib.decompressobj(-15), b"", at
-    while (cut := plain.find(b"\r\n\r\n")) < 0 and near < length - 8:
+    while (cut := plain.find(b"\r\n\r\n")) < 0:
+        if near >= length - 8:
+            raise ValueError("a WARC record ends inside its headers")
         src.fill(min(length, near + 2048))
         upto = min(length - 8, len(src.held), near + 2048)
+        if upto == near:
+            raise ValueError("a gzip member is cut short")
         plain += d.decompress(src.held[near:upto])
         near = upto
     headers = parse_headers(plain[:cut])

@@ -40,6 +40,18 @@ def test_long_and_repeated_turns(spark):
     assert [t["text"] for t in got[1]["turns"]] == [long] * 3 and got[1]["loss"] == long and [t["text"] for t in got[None]["turns"]] == ["a", "b"]
 
 
+def test_clashing_columns(spark):
+    """Extra columns called as the results, and as what the operator makes on its way."""
+    names = ("formatted", "valid", "bad_turn", "n_turns", "turns", "segments", "state", "before", "position")
+    plain = spark.createDataFrame([t[:4] for t in TURNS], "conv_id long, turn long, role string, text string")
+    wide = plain
+    for n in names:
+        wide = wide.withColumn(n, F.lit("x"))
+    columns = ["conv_id", "n_turns", "valid", "bad_turn", "formatted"]
+    got, want = (sorted(map(tuple, chat.format_chats(df).select(*columns).collect()), key=repr) for df in (wide, plain))
+    assert got == want and len(got) == 4
+
+
 def test_native_and_empty(spark):
     df = chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert df.count() == 0

@@ -237,6 +237,28 @@ def test_refused_payloads_are_not_read(tmp_path):
     assert [None if p is None else len(p) for _, p in got] == [None, 500_000]
 
 
+def test_damaged_members_are_refused():
+    """Headers that never end, and members cut short anywhere, with and without a stated length: an error, and no endless reading."""
+    import io
+
+    plain = warc.record_bytes([("WARC-Type", "response"), ("X-N", "0")], b"p" * 5000)
+    endless = b"WARC/1.1\r\nX-N: " + b"v" * 9000
+    whole, forms = warc.member(plain), (warc.member, gzip.compress)
+    assert len(list(warc._members(warc._Source(io.BytesIO(whole), len(whole)), lambda h: True))) == 1
+    for form in forms:
+        for data in (form(endless), form(plain)[:60], form(plain)[:-20], form(endless)[:-9]):
+            with pytest.raises(ValueError, match="cut short|ends inside"):
+                list(warc._members(warc._Source(io.BytesIO(data), len(data)), lambda h: True))
+
+
+def test_page_beyond_a_batch(spark):
+    """A page larger than the batches that pages travel in."""
+    rows = [(1, "http://a/", "é" * 3_000_000), (2, "http://b/", "small")]
+    path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {int(r["headers"]["x-page-id"]): bytes(r["payload"]) for r in warc.read(spark, path).collect()}
+    assert got == {i: h.encode() for i, _, h in rows}
+
+
 def test_repeated_and_null_page_ids(spark):
     big = "z" * 1500
     rows = [(1, "u", big, "a"), (7, "u", big, "b"), (7, "u", big, "c"), (None, "u", big, "d"), (None, None, "y" * 1200, "e"), (None, None, "y" * 1200, "f")]
