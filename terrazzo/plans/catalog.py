@@ -24,7 +24,7 @@ from terrazzo.plans import execute
 from terrazzo.plans.dataset import ID, Dataset
 from terrazzo.plans.parse import from_wire, parse_filter, parse_where
 from terrazzo.session import shared_path, ship, written
-from terrazzo.sources import demo, ingest, snapshots, tile_cache, vector_tiles
+from terrazzo.sources import batches, demo, ingest, snapshots, tile_cache, vector_tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -848,6 +848,15 @@ def edit_snapshot(spark, sf_dir):
     return edits.delete_where(ds.with_df(updated), parse_filter("s_acctbal < 0"))
 
 
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS quantity, (SELECT count(*) FROM lineitem) AS held FROM lineitem GROUP BY l_returnflag")
+def batch_columns(spark, sf_dir):
+    """Line items as framed batches; two columns of them read again, and all rows counted from the frames' heads."""
+    path = shared_path(spark, "batches")
+    batches.write(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate"), path, rows=4096)
+    read = batches.read(spark, path, ["l_returnflag", "l_quantity"])
+    return _rounded(read.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.lit(batches.count(spark, path)).alias("held")), 4)
+
+
 @query("""SELECT 'supplier' AS dataset, 'new' AS seen, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM supplier WHERE s_acctbal >= 0
 UNION ALL SELECT 'supplier', 'old', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier UNION ALL SELECT 'customer', 'new', 2 * count(*), CAST(sum(2 * c_custkey + 1000000) AS BIGINT) FROM customer
 UNION ALL SELECT 'customer', 'old', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer""")

@@ -77,6 +77,16 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot make {path}")
 
 
+def get_text(spark: SparkSession, path: str) -> str:
+    """A small file's text; also one that Spark's readers leave out for its name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def listed(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder; none where there is no such folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
