@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrazzo.session import written
+from terrazzo.session import drop, written
 
 JAR = Path(__file__).parent / "jts" / "terrazzo-geometry.jar"
 TYPE = "struct<wkb:binary,env:struct<minx:double,miny:double,maxx:double,maxy:double>>"
@@ -226,3 +226,5 @@ def dissolve(df: DataFrame, keys: list[str], wkb: Column, how: str = "union", fa
         dealt = pieces.repartitionByRange(max(1, min(parts, total // (4 * fan))), *order).sortWithinPartitions(*order)
         runs = dealt.withColumn("_run", F.expr(f"monotonically_increasing_id() div {int(fan)}"))
         pieces = written(runs.groupBy(*keys, "_run").agg(call(name, F.collect_list("wkb")).alias("wkb"), F.min("_at").alias("_at")).drop("_run"), "dissolve")
+        drop(placed)
+        placed = pieces

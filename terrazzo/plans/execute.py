@@ -15,7 +15,7 @@ from terrazzo.plans import compile as compiling
 from terrazzo.plans import validate
 from terrazzo.plans.dataset import ID, Dataset, quoted
 from terrazzo.plans.parse import render
-from terrazzo.session import written
+from terrazzo.session import drop, written
 
 #: The accuracy of the percentile sketch: rank errors are at most one part in this many.
 SKETCH = 10000
@@ -207,7 +207,7 @@ def brackets(values: DataFrame, names: list[str], specs: list[AggregateSpec], fi
         under, over, part = _target(s, F.col("n"))
         wanted.append(F.struct(F.lit(k).alias("s"), F.lit(field[k]).alias("of"), under.cast("long").alias("under"), over.cast("long").alias("over"), part.alias("part")))
     bounds = [F.lit(None).cast("double").alias(c) for c in ("low", "high")]
-    state = written(totals.select(*names, "f", "n", F.inline(F.array(*wanted))).where("f = of").drop("of").select("*", *bounds), "ranks-state")
+    state = held_at = written(totals.select(*names, "f", "n", F.inline(F.array(*wanted))).where("f = of").drop("of").select("*", *bounds), "ranks-state")
     inner = (F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high")))
     held = F.when(inner, F.col("v"))
     fractions = [k / CUTS for k in range(CUTS + 1)]
@@ -225,6 +225,8 @@ def brackets(values: DataFrame, names: list[str], specs: list[AggregateSpec], fi
             ),
             "ranks-state",
         )
+        drop(held_at)
+        held_at = measured
         if (measured.agg(F.max(F.least("m", "d"))).first()[0] or 0) <= inside:
             return measured.drop("cuts")
         first = F.floor((F.col("under") - F.col("below")) / F.col("m") * CUTS).cast("int") - 1

@@ -57,10 +57,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: computed once, whatever reads it."""
+    """``df`` as a Parquet table in the shared folder, read again: computed once, whatever reads it.
+
+    It lies there as long as a result may be read from it; ``drop`` takes away those of rounds that have ended.
+    """
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made, after its last reader has ended."""
+    at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
