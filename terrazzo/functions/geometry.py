@@ -69,6 +69,7 @@ FUNCTIONS = (
     ("st_reprojectby", "Shifts$Reproject", "binary"),
     ("st_tilefeature", "Tiles$One", "binary"),
     ("st_tilecount", "Tiles$Count", "bigint"),
+    ("st_tilesmet", "Tiles$Met", "array<struct<x:int,y:int>>"),
     ("st_tilefeatures", "Tiles$Read", "array<struct<kind:int,xs:array<bigint>,ys:array<bigint>,properties:map<string,string>>>"),
 )
 

@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.functions import tiles
 from terrazzo.functions.geometry import call, register
 from terrazzo.plans.dataset import quoted
 from terrazzo.sources import vector_tiles
@@ -19,7 +18,7 @@ from terrazzo.sources import vector_tiles
 
 def _met(wkb: Column, zooms: list[int]) -> Column:
     """The tiles (z, x, y) that a Mercator geometry meets."""
-    at = lambda z: F.transform(tiles.tiles_of(call("st_bounds", wkb), z), lambda t: F.struct(F.lit(z).alias("z"), t["x"].alias("x"), t["y"].alias("y")))
+    at = lambda z: F.transform(call("st_tilesmet", wkb, F.lit(z)), lambda t: F.struct(F.lit(z).alias("z"), t["x"].alias("x"), t["y"].alias("y")))
     return F.flatten(F.array(*map(at, zooms)))
 
 

@@ -48,7 +48,7 @@ def meeting(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], lay
     """(x, y, one, at) of every feature and every tile that it meets: a layer of its own, and the row's place."""
     register(df.sparkSession)
     plain = df.select(F.col(quoted(wkb_mercator)).alias("wkb"), F.struct(*[_property(df, p) for p in properties]).alias("properties"))
-    rows = plain.select("wkb", "properties", F.explode(tiles.tiles_of(call("st_bounds", F.col("wkb")), z)).alias("tile"))
+    rows = plain.select("wkb", "properties", F.explode(call("st_tilesmet", F.col("wkb"), F.lit(z))).alias("tile"))
     one = call("st_tilefeature", F.col("wkb"), F.col("properties"), _bounds(F.col("tile.x"), F.col("tile.y"), z), F.lit(layer), F.lit(extent))
     return rows.select(F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), one.alias("one"), F.monotonically_increasing_id().alias("at"))
 
@@ -71,7 +71,7 @@ def _varint(n: Column) -> Column:
 def merged(features: DataFrame, z: int, most: int = MOST_FEATURES) -> DataFrame:
     """(z, x, y, n, over, tile) from the features of ``meeting``."""
     part = F.pmod(F.shiftright("at", 33), F.lit(FAN)).cast("int")  # by task: what a task merges is one part
-    parts = features.withColumn("part", part).groupBy("x", "y", "part").agg(F.count(F.lit(1)).alias("n"), _merged("one").alias("layer"))
+    parts = features.withColumn("part", part).groupBy("x", "y", "part").agg(F.count(F.lit(1)).alias("n"), call("st_layerparts", F.col("one")).alias("layer"))
     whole = parts.groupBy("x", "y").agg(F.sum("n").alias("n"), _merged("layer").alias("layer"))
     return whole.select(F.lit(z).alias("z"), "x", "y", "n", (F.col("n") > most).alias("over"), message(F.col("layer")).alias("tile"))
 

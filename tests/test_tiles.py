@@ -61,6 +61,17 @@ def test_one_tile_with_all_rows(spark):
     assert counts.count() == 40_001 and counts.where("id = -1").first()["count"] == 20_000
 
 
+def test_tiles_met_as_by_expressions(spark):
+    """The JVM's tiles are those of the expressions, edges and what lies outside of the scheme included."""
+    edge = tiles.tile_bounds(3, 5, 2)
+    spots = [(0.0, 0.0), (edge[0], edge[1]), (edge[2], edge[3]), (2.1e7, 0.0), (-2.1e7, 5.0), (1e6, -3e6), (edge[0] + 1, edge[3] - 1)]
+    rows = [(x, y, w) for x, y in spots for w in (0.0, 1.0, 9e6)]
+    df = spark.createDataFrame(rows, "x double, y double, w double").withColumn("g", F.when(F.col("w") == 0, geo.call("st_point", F.col("x"), F.col("y"))).otherwise(geo.call("st_box", F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w"))))
+    for z in (0, 3, 5):
+        both = df.select(F.array_sort(tiles.tiles_of(geo.call("st_bounds", F.col("g")), z)).alias("a"), F.array_sort(geo.call("st_tilesmet", F.col("g"), F.lit(z))).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in both) and (z == 0 or any(len(r["a"]) > 3 for r in both))
+
+
 @pytest.mark.parametrize("n", [1, 127, 128, 16_383, 16_384, 3_000_000])
 def test_lengths(spark, n):
     made = bytes(spark.range(1).select(vector_tiles.message(F.repeat(F.lit("x"), n).cast("binary"))).first()[0])
