@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrazzo.functions import crs, grids, tiles
+from terrazzo.functions import crs, featurejson, grids, tiles
 from terrazzo.functions import geometry as geo
 from terrazzo.functions.expressions import compile_expression, legacy_filter
 from terrazzo.model import AggregateQuery, AggregateSpec, Box, FeatureQuery, OrderTerm
@@ -138,6 +138,74 @@ def bbox_filter(spark, sf_dir):
     return execute.features(sites(spark, sf_dir), q)
 
 
+@query(f"SELECT p_partkey FROM {PARCELS_SQL} WHERE x0 <= 120 AND x0 + w >= 20 AND y0 <= 90 AND y0 + h >= 30")
+def relation_envelope(spark, sf_dir):
+    """By the query's envelope alone: a triangle that half of these shapes do not touch."""
+    triangle = b"\x00" + struct.pack(">III", 3, 1, 4) + struct.pack(">8d", 20, 30, 120, 30, 20, 90, 20, 30)
+    return spatial.filter_by(parcels(spark, sf_dir).df, "shape", spatial.QueryGeometry(triangle, (20, 30, 120, 90), 2), "envelope").select("p_partkey")
+
+
+@query(f"""SELECT p_partkey, round((least(x0 + w, 210.5) - greatest(x0, 100.5)) * (least(y0 + h, 150.25) - greatest(y0, 20.25)), 6) AS area FROM {PARCELS_SQL}
+WHERE least(x0 + w, 210.5) > greatest(x0, 100.5) AND least(y0 + h, 150.25) > greatest(y0, 20.25)""")
+def clip_area(spark, sf_dir):
+    """What a frame leaves of each shape."""
+    bounds = (100.5, 20.25, 210.5, 150.25)
+    df = parcels(spark, sf_dir).df
+    cut = identify.clip(F.col("shape.wkb"), F.col("shape.env"), geo.wkb_box(*bounds), bounds)
+    return _rounded(df.select("p_partkey", geo.call("st_area", cut).alias("area")).where("area > 0"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN (s_suppkey + 3) % 25 ELSE s_nationkey END AS s_nationkey FROM supplier")
+def relate_edits(spark, sf_dir):
+    """Keys set anew for a fifth of the rows, and taken away for another."""
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    pairs = df.where("s_suppkey % 5 < 2").select("s_suppkey", F.expr("if(s_suppkey % 5 = 1, (s_suppkey + 3) % 25, null)").alias("value"))
+    return edits.relate(df, "s_suppkey", pairs, "s_nationkey")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS __origin, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 200000 AND o_orderstatus <> 'F'")
+def related_restricted(spark, sf_dir):
+    """Related records that a predicate of their own layer admits."""
+    relationship = related.Relationship("c_custkey", "o_custkey")
+    where = parse_filter("o_totalprice > 200000 AND o_orderstatus != 'F'")
+    return related.related(customers(spark, sf_dir), orders(spark, sf_dir), relationship, where=where, projection=("o_orderkey", "o_totalprice"))
+
+
+@query("""SELECT c_custkey, round(((c_custkey * 2 + 7) / 4.0 - 1) * 3, 6) AS sum, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' WHEN c_mktsegment = 'FURNITURE' THEN 'home' ELSE 'other' END AS sort,
+round(CAST(coalesce(score, c_custkey) AS DOUBLE), 6) AS filled, round((c_acctbal / 2 + 1) * (c_acctbal / 2), 6) AS bound FROM """ + CUSTOMERS_SQL)
+def expr_arithmetic(spark, sf_dir):
+    """Arithmetic, match, coalesce and names bound to values."""
+    df = customers(spark, sf_dir).df
+    key = ["get", "c_custkey"]
+    bound = ["let", "half", ["/", ["get", "c_acctbal"], 2], ["*", ["+", ["var", "half"], 1], ["var", "half"]]]
+    match = ["match", ["get", "c_mktsegment"], ["BUILDING", "MACHINERY"], "heavy", "FURNITURE", "home", "other"]
+    total = ["*", ["-", ["/", ["+", ["*", key, 2], 7], 4], 1], 3]
+    made = {"sum": total, "sort": match, "filled": ["coalesce", ["get", "score"], key], "bound": bound}
+    columns = {n: compile_expression(df, e) for n, e in made.items()}
+    return _rounded(df.select("c_custkey", *[(c if n == "sort" else c.cast("double")).alias(n) for n, c in columns.items()]))
+
+
+@query("""SELECT '{"attributes":{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","big":' || CASE WHEN p_partkey % 3 = 0 THEN '1' ELSE '0' END || '},"geometry":{"x":' || CAST(x0 AS BIGINT) || ',"y":' || CAST(y0 AS BIGINT) || ',"z":' || CAST(w AS BIGINT) || ',"spatialReference":{"wkid":4326}}}' AS feature
+FROM """ + PARCELS_SQL)
+def feature_json(spark, sf_dir):
+    """Features in the service's JSON: truth as numbers, points with heights."""
+    df = parcels(spark, sf_dir).df
+    point = geo.encode(geo.call("st_pointzm", F.col("x0"), F.col("y0"), F.col("w"), F.lit(None).cast("double")))
+    return featurejson.features(df.select("p_partkey", "p_brand", (F.col("p_partkey") % 3 == 0).alias("big"), point.alias("at")), "at", 4326)
+
+
+@query("""SELECT 'kept' AS reason, count(*) AS n FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 UNION ALL SELECT 'RecordMalformed', count(*) FROM customer WHERE c_custkey % 11 = 0
+UNION ALL SELECT 'GeometryInvalid', count(*) FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 = 0""")
+def ingest_skipped(spark, sf_dir):
+    """Lines that are no features, and features whose shape is none: left out, and listed with the reason."""
+    path = shared_path(spark, "lines")
+    shape = F.expr("""if(c_custkey % 13 = 0, '{"type":"Polygon","coordinates":[[[0,0],[1,1]]]}', '{"type":"Point","coordinates":[1,2]}')""")
+    feature = F.concat(F.lit('{"type":"Feature","id":"'), F.col("c_custkey"), F.lit('","geometry":'), shape, F.lit(',"properties":{"k":'), F.col("c_custkey"), F.lit("}}"))
+    table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 11 == 0, F.lit("no feature")).otherwise(feature).alias("value")).write.text(path)
+    decoded = ingest.decode_ndjson(spark, path, skip_malformed=True)
+    return decoded.features.agg(F.lit("kept").alias("reason"), F.count("*").alias("n")).select("reason", "n").unionByName(decoded.skipped.groupBy("reason").agg(F.count("*").alias("n")))
+
+
 # --- order and paging --------------------------------------------------------------------------
 
 
