@@ -25,6 +25,7 @@ from terrazzo.plans.dataset import ID, Dataset
 from terrazzo.plans.parse import from_wire, parse_filter, parse_where
 from terrazzo.session import shared_path, ship, written
 from terrazzo.sources import batches, demo, ingest, snapshots, tile_cache, vector_tiles
+from terrazzo.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -194,6 +195,30 @@ def feature_json(spark, sf_dir):
     return featurejson.features(df.select("p_partkey", "p_brand", (F.col("p_partkey") % 3 == 0).alias("big"), point.alias("at")), "at", 4326)
 
 
+@query("SELECT count(*) AS n, count(*) AS ids, CAST(count(*) AS BIGINT) AS last, CAST(sum(c_custkey) AS BIGINT) AS keys, count(*) FILTER (c_custkey % 9 = 0) AS skipped FROM customer WHERE c_custkey % 9 <> 0 UNION ALL SELECT 0, 0, 0, 0, count(*) FROM customer WHERE c_custkey % 9 = 0")
+def stream_ids(spark, sf_dir):
+    """A stream of files whose records have no ids, a file a batch: ids 1 to n, once each, and what was skipped beside."""
+    source, target = shared_path(spark, "stream-in"), shared_path(spark, "stream-out")
+    feature = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{"k":'), F.col("c_custkey"), F.lit("}}"))
+    lines = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 9 == 0, F.lit("no feature")).otherwise(feature).alias("value"))
+    lines.repartition(4).write.text(source)
+    streaming.load(spark, source, target, {"k": "long"}, files=1).awaitTermination()
+    features, skipped = streaming.loaded(spark, target)
+    none = F.lit(0).cast("long")
+    kept = features.agg(F.count("*").alias("n"), F.countDistinct("feature_id").alias("ids"), F.max(F.col("feature_id").cast("long")).alias("last"), F.sum("k").alias("keys"), none.alias("skipped"))
+    return kept.unionByName(skipped.agg(none.alias("n"), none.alias("ids"), none.alias("last"), none.alias("keys"), F.count("*").alias("skipped")))
+
+
+@query("SELECT TRUE AS bounded, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM " + SITES_SQL + " WHERE abs(y) < 85")
+def tile_pieces(spark, sf_dir):
+    """The one tile of the whole world in pieces of at most a thousand features, which together hold them all."""
+    mx, my = crs.transform(F.col("x"), F.col("y"), 4326, 3857)
+    rows = sites(spark, sf_dir).df.where("abs(y) < 85").withColumn("m", geo.point(mx, my)["wkb"])
+    cut = vector_tiles.pieces(rows, 0, "m", ["l_orderkey"], most=1000).withColumn("read", vector_tiles.features(F.col("layer")))
+    keys = F.aggregate("read", F.lit(0).cast("long"), lambda s, r: s + r["properties"]["l_orderkey"].cast("long"))
+    return cut.agg((F.max("n") <= 1000).alias("bounded"), F.sum(F.size("read")).cast("long").alias("n"), F.sum(keys).alias("keys"))
+
+
 @query("""SELECT 'kept' AS reason, count(*) AS n FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 UNION ALL SELECT 'RecordMalformed', count(*) FROM customer WHERE c_custkey % 11 = 0
 UNION ALL SELECT 'GeometryInvalid', count(*) FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 = 0""")
 def ingest_skipped(spark, sf_dir):
