@@ -206,26 +206,31 @@ def dissolve(df: DataFrame, keys: list[str], wkb: Column, how: str = "union", fa
     """
     name = {"union": "st_union_all", "hull": "st_hull_all"}[how]
     spark = register(df.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    b = call("st_bounds", F.col("wkb"))
     merged = df.select(*keys, wkb.alias("wkb"))
+    placed = merged.withColumns({"_x": (b[0] + b[2]) / 2, "_y": (b[1] + b[3]) / 2})
     whole = lambda rows: rows.groupBy(*keys).agg(call(name, F.collect_list("wkb")).alias("wkb"))
-    largest = lambda rows: (rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")) if keys else rows.agg(F.count("*"), F.count("*"))).first()
-    most, total = largest(merged)
-    if (most or 0) <= fan:
+
+    def largest(rows: DataFrame, *more: Column) -> tuple:
+        """The largest group, all rows, and what else is asked of them."""
+        groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[c.alias(f"_m{k}") for k, c in enumerate(more)])
+        ends = [f(F.col(f"_m{k}")) for k, f in enumerate((F.min, F.min, F.max, F.max)[: len(more)])]
+        return tuple(groups.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0)), *ends).first())
+
+    most, total, *box = largest(placed, F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y"))
+    if most <= fan:
         return whole(merged)
-    b = call("st_bounds", F.col("wkb"))
-    at = merged.dropDuplicates([*keys, "wkb"]).withColumns({"_x": (b[0] + b[2]) / 2, "_y": (b[1] + b[3]) / 2})
-    placed = written(at, "dissolve")
-    box = placed.agg(F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")).first()
     ends = tuple(float(v) if v is not None else 0.0 for v in box)
-    pieces = placed.select(*keys, "wkb", F.coalesce(along_curve(F.col("_x"), F.col("_y"), ends), F.lit(0)).alias("_at"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        most, total = largest(pieces)
-        if most <= fan:
-            return whole(pieces)
+    pieces = placed.dropDuplicates([*keys, "wkb"]).select(*keys, "wkb", F.coalesce(along_curve(F.col("_x"), F.col("_y"), ends), F.lit(0)).alias("_at"))
+    before = None
+    while most > fan:
         order = [*keys, "_at", F.xxhash64("wkb")]
         dealt = pieces.repartitionByRange(max(1, min(parts, total // (4 * fan))), *order).sortWithinPartitions(*order)
         runs = dealt.withColumn("_run", F.expr(f"monotonically_increasing_id() div {int(fan)}"))
         pieces = written(runs.groupBy(*keys, "_run").agg(call(name, F.collect_list("wkb")).alias("wkb"), F.min("_at").alias("_at")).drop("_run"), "dissolve")
-        drop(placed)
-        placed = pieces
+        if before is not None:
+            drop(before)
+        before = pieces
+        most, total = largest(pieces)
+    return whole(pieces)
