@@ -65,6 +65,7 @@ FUNCTIONS = (
     ("st_ms", "Layout$Ms", "array<double>"),
     ("st_pointzm", "Layout$MakePoint", "binary"),
     ("st_gridshift", "Shifts$Shift", "array<double>"),
+    ("st_gridorigins", "Shifts$Origins", "array<struct<x:double,y:double>>"),
     ("st_movedby", "Shifts$Moved", "array<double>"),
     ("st_reprojectby", "Shifts$Reproject", "binary"),
     ("st_tilefeature", "Tiles$One", "binary"),

@@ -6,6 +6,8 @@ columns from the west, shifts in seconds of arc, north and east positive.
 
 ``deploy`` sends the grids of an operation through Spark's own file server, so an executor reads them once; of
 nested grids the finest one that holds a position counts (``st_gridshift``, and routes of ``crs.transform``).
+Shifts jump at the edges of nested grids, so some positions beside them have two origins or none: the way back
+takes the finest grid's, ``st_gridorigins`` has them all.
 """
 
 from __future__ import annotations

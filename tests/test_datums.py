@@ -225,3 +225,29 @@ def test_areas():
     assert datums.split((170.0, -10.0, -170.0, 10.0)) == ((170.0, -10.0, 180.0, 10.0), (-180.0, -10.0, -170.0, 10.0))
     assert datums.intersect([(0, 0, 10, 10)], [(5, 5, 20, 20), (6, 6, 7, 7), (30, 0, 40, 1)]) == ((5, 5, 10, 10),)
     assert datums.covers([(160.0, -50.0, 180.0, 0.0), (-180.0, -50.0, -170.0, 0.0)], (175.0, -20.0, -175.0, -10.0)) and not datums.covers([], None)
+
+
+def test_positions_on_inner_edges_go_back(spark, tmp_path):
+    """All residues of the query's positions, edges and ties of rounding among them: as its SQL, and every start is an origin of its end."""
+    import duckdb
+
+    from terrazzo.plans import catalog
+
+    duckdb.sql("SELECT range AS p_partkey FROM range(0, 120000)").write_parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["transform_grid"](spark, str(tmp_path)).toPandas().set_index("p_partkey").sort_index()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+        want = c.execute(catalog.oracle_sql()["transform_grid"]).df().set_index("p_partkey").sort_index()
+    assert got.equals(want) and 10_000 < want["lon"].notna().sum() < 110_000
+
+
+def test_a_position_with_two_origins(spark):
+    """North of the fine grid's edge the wide one moves positions back into the fine one: both ways are known, the finest first."""
+    from terrazzo.plans import catalog
+
+    operation = grids.deploy(spark, "NAD27", "NAD83", catalog._planes())
+    df = spark.createDataFrame([(-95.93, 45.0), (-96.0, 43.25), (-95.4, 45.0)], "x double, y double")
+    moved = F.call_function("st_gridshift", F.col("x"), F.col("y"), F.lit(operation.grid), F.lit(True))
+    rows = df.select("x", "y", F.call_function("st_gridorigins", moved[0], moved[1], F.lit(operation.grid)).alias("o"), F.call_function("st_gridshift", moved[0], moved[1], F.lit(operation.grid), F.lit(False)).alias("b")).collect()
+    assert [len(r["o"]) for r in rows] == [2, 1, 1] and all(tuple(r["b"]) == tuple(r["o"][0]) for r in rows)
+    assert all(min(abs(o["x"] - r["x"]) + abs(o["y"] - r["y"]) for o in r["o"]) < 1e-11 for r in rows)
