@@ -68,6 +68,7 @@ FUNCTIONS = (
     ("st_gridorigins", "Shifts$Origins", "array<struct<x:double,y:double>>"),
     ("st_movedby", "Shifts$Moved", "array<double>"),
     ("st_reprojectby", "Shifts$Reproject", "binary"),
+    ("st_layerslices", "Tiles$Slices", "array<binary>"),
     ("st_tilefeature", "Tiles$One", "binary"),
     ("st_tilecount", "Tiles$Count", "bigint"),
     ("st_tilesmet", "Tiles$Met", "array<struct<x:int,y:int>>"),

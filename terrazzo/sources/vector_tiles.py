@@ -28,6 +28,8 @@ EXTENT = 4096
 MOST_FEATURES = 5_000_000
 #: Parts of a tile that are merged before the last round.
 FAN = 32
+#: Features of a layer that are read at once.
+SLICE = 10_000
 _LAYER = 3  # the number of a tile's layers in its message
 _PLAIN = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
@@ -44,13 +46,18 @@ def _bounds(x: Column, y: Column, z: int) -> Column:
     return F.array((x / n - 0.5) * span, (F.lit(0.5) - (y + 1) / n) * span, ((x + 1) / n - 0.5) * span, (F.lit(0.5) - y / n) * span)
 
 
-def meeting(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", extent: int = EXTENT) -> DataFrame:
-    """(x, y, one, at) of every feature and every tile that it meets: a layer of its own, and the row's place."""
+def meeting(df: DataFrame, z: int, wkb_mercator: str, properties: list[str], layer: str = "features", extent: int = EXTENT, only: DataFrame | None = None) -> DataFrame:
+    """(x, y, one, at) of every feature and every tile that it meets: a layer of its own, and the row's place.
+
+    Of tiles ``only`` (x, y), if given: others are left out before anything is encoded.
+    """
     register(df.sparkSession)
     plain = df.select(F.col(quoted(wkb_mercator)).alias("wkb"), F.struct(*[_property(df, p) for p in properties]).alias("properties"))
-    rows = plain.select("wkb", "properties", F.explode(call("st_tilesmet", F.col("wkb"), F.lit(z))).alias("tile"))
-    one = call("st_tilefeature", F.col("wkb"), F.col("properties"), _bounds(F.col("tile.x"), F.col("tile.y"), z), F.lit(layer), F.lit(extent))
-    return rows.select(F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), one.alias("one"), F.monotonically_increasing_id().alias("at"))
+    rows = plain.select("wkb", "properties", F.explode(call("st_tilesmet", F.col("wkb"), F.lit(z))).alias("tile")).select("wkb", "properties", "tile.x", "tile.y")
+    if only is not None:
+        rows = rows.join(only.select("x", "y"), ["x", "y"], "left_semi")
+    one = call("st_tilefeature", F.col("wkb"), F.col("properties"), _bounds(F.col("x"), F.col("y"), z), F.lit(layer), F.lit(extent))
+    return rows.select("x", "y", one.alias("one"), F.monotonically_increasing_id().alias("at"))
 
 
 def _merged(c: str) -> Column:
@@ -93,6 +100,11 @@ def features(layer: Column) -> Column:
     return call("st_tilefeatures", layer)
 
 
+def slices(layer: Column, most: int = SLICE) -> Column:
+    """An encoded layer as layers of at most ``most`` features each, in order: the way to read a large one by many tasks, a slice at a time."""
+    return call("st_layerslices", layer, F.lit(most))
+
+
 def layer_of(tile: Column) -> Column:
     """The one layer of a tile that ``encode`` made."""
     length = F.expr("0")

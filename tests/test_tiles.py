@@ -83,3 +83,25 @@ def test_lengths(spark, n):
         if made[at - 1] < 128:
             break
     assert made[0] == 26 and length == n == back and len(made) == at + n
+
+
+def test_an_edit_encodes_what_dirty_tiles_hold(spark):
+    """Tiles that no edit meets are left out before features are encoded, and which tiles are dirty is found once."""
+    from terrazzo.sources import tile_cache
+
+    before = spark.range(300).select("id", geo.call("st_point", F.col("id") * 60_000.0 - 9e6, F.lit(5e6)).alias("m"))
+    after = before.where("id != 7")
+    only = spark.createDataFrame([(2, 3)], "x int, y int")
+    held = vector_tiles.meeting(before, 3, "m", ["id"], only=only)
+    whole = vector_tiles.meeting(before, 3, "m", ["id"])
+    assert 0 < held.count() == whole.where("x = 2 and y = 3").count() < whole.count()
+    fresh = tile_cache.refreshed(tile_cache.build(before, [0, 3], "m", ["id"]), before, after, ["id"], [0, 3], "m", ["id"])
+    assert "FullOuter" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+    tiles_in = lambda df: {(r["z"], r["x"], r["y"]): (r["n"], bytes(r["tile"])) for r in df.collect()}
+    assert tiles_in(fresh) == tiles_in(tile_cache.build(after, [0, 3], "m", ["id"]))
+
+
+def test_slices_hold_a_layer_in_order(spark):
+    layers = vector_tiles.encode(shapes(spark), 0, "wkb", ["id", "name", "odd", "size"]).select(vector_tiles.layer_of(F.col("tile")).alias("layer"))
+    row = layers.select(vector_tiles.features(F.col("layer")).alias("whole"), F.transform(vector_tiles.slices(F.col("layer"), 16), vector_tiles.features).alias("cut")).first()
+    assert len(row["cut"]) > 10 and max(map(len, row["cut"])) == 16 and [f for part in row["cut"] for f in part] == row["whole"]
