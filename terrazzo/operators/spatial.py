@@ -19,6 +19,11 @@ from terrazzo.model import PlanError
 from terrazzo.plans.dataset import quoted
 from terrazzo.session import written
 
+#: Rows of a shape that are paired at once.
+PART = 256
+#: Pairs of rows that a task of a join makes, and tasks at most.
+TASK, MOST_TASKS = 2_000_000, 20_000
+
 # DE-9IM masks by relation, in the protocol's frame (the feature is the first operand).
 MASKS = {
     "intersects": ("T********", "*T*******", "***T*****", "****T****"),
@@ -150,6 +155,13 @@ def _kept(df: DataFrame, geometry: str, cell: float, suffix: str) -> DataFrame:
     return written(numbered, "spatial-side")
 
 
+def _shapes(kept: DataFrame, geometry: str, suffix: str) -> DataFrame:
+    """One row a distinct shape, written: named by its smallest row, with its level and how many rows have it."""
+    name, level = f"_id{suffix}", f"_level{suffix}"
+    grouped = kept.groupBy(F.col(quoted(geometry))).agg(F.min(name).alias(name), F.first(level).alias(level), F.count(F.lit(1)).alias(f"_rows{suffix}"))
+    return written(grouped, "spatial-shapes")
+
+
 def _dealt(rows: DataFrame, geometry: str, cell: float, levels: list[int], suffix: str) -> DataFrame:
     """(id, envelope, level, at, cell): a row for each cell that a shape covers, at most four a level.
 
@@ -171,12 +183,16 @@ def join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry:
     ``cell`` is the size that most shapes fit; larger shapes are dealt by cells doubled until they fit, so no
     shape covers more than four cells a level.  A pair meets on the coarser of its two levels, and there only in the
     cell that holds the lower left corner of the overlap of its envelopes, so no pass over the result is
-    needed to make pairs distinct.  Cells carry numbers and envelopes; rows and shapes join the candidate
-    pairs afterwards, each side written once so that its numbers hold.  A crowded cell is a skewed key, which adaptive execution splits.
+    needed to make pairs distinct.  Equal shapes are one until the end: cells carry numbers and envelopes of distinct
+    shapes, and the relation is looked at once a pair of them.  Pairs of shapes then become pairs of rows: each side's
+    rows of a shape stand in parts of at most PART rows, and a pair of parts is one piece of work, dealt over as many
+    tasks as the result asks for, so neither a crowded cell nor a frequent shape lands in one task.
     """
     if name == "disjoint" or holds_apart(name, mask):
         raise PlanError("pairs of shapes apart from each other are a product and not joined")
-    a, b = _kept(left, left_geometry, cell, "_l"), _kept(right, right_geometry, cell, "_r")
+    register(left.sparkSession)
+    rows = _kept(left, left_geometry, cell, "_l"), _kept(right, right_geometry, cell, "_r")
+    a, b = _shapes(rows[0], left_geometry, "_l"), _shapes(rows[1], right_geometry, "_r")
     used = [sorted(r[0] for r in side.select(f"_level{s}").distinct().collect()) for side, s in ((a, "_l"), (b, "_r"))]  # some tens of numbers at most
     dealt = _dealt(a, left_geometry, cell, used[1], "_l"), _dealt(b, right_geometry, cell, used[0], "_r")
     x, y = F.col("_env_l"), F.col("_env_r")
@@ -184,9 +200,32 @@ def join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry:
     corner = [F.floor(F.greatest(x[c], y[c]) / size).cast("long") for c in ("minx", "miny")]
     same = (F.col("_at_l") == F.col("_at_r")) & (F.col("_cell_l.x") == F.col("_cell_r.x")) & (F.col("_cell_l.y") == F.col("_cell_r.y"))
     owns = (F.col("_at_l") == F.greatest("_level_l", "_level_r")) & (F.col("_cell_l.x") == corner[0]) & (F.col("_cell_l.y") == corner[1])
-    pairs = dealt[0].join(dealt[1], same & envelopes_meet(x, y) & owns).select(F.col("_id_l").alias("_pair_l"), F.col("_id_r").alias("_pair_r"))
-    met = a.join(pairs, F.col("_id_l") == F.col("_pair_l")).join(b, F.col("_id_r") == F.col("_pair_r")).drop(*[f"_{n}{s}" for n in ("id", "level", "pair") for s in ("_l", "_r")])
-    if name == "envelope" and mask is None:
-        return met
-    register(left.sparkSession)
-    return met.where(relation(F.col(quoted(left_geometry))["wkb"], F.col(quoted(right_geometry))["wkb"], name, mask))
+    pairs = dealt[0].join(dealt[1], same & envelopes_meet(x, y) & owns).select("_id_l", "_id_r")
+    met = pairs.join(a, "_id_l").join(b, "_id_r")
+    if not (name == "envelope" and mask is None):
+        met = met.where(relation(F.col(quoted(left_geometry))["wkb"], F.col(quoted(right_geometry))["wkb"], name, mask))
+    found = written(met.select("_id_l", "_id_r", "_rows_l", "_rows_r", F.col(quoted(left_geometry)).alias("_shape_l"), F.col(quoted(right_geometry)).alias("_shape_r")), "spatial-pairs")
+    lists = _parts(rows[0], a, left_geometry, "_l"), _parts(rows[1], b, right_geometry, "_r")
+    spread = _spread(found, *lists).select("_l", "_shape_l", "_shape_r", F.explode("_list_r").alias("_r"))
+    of = lambda df, g, s: [(F.col(f"_shape{s}") if c == g else F.col(f"_{s[1]}.{quoted(c)}")).alias(c) for c in df.columns]
+    return spread.select(*of(left, left_geometry, "_l"), *of(right, right_geometry, "_r"))
+
+
+def _parts(kept: DataFrame, shapes: DataFrame, geometry: str, suffix: str) -> DataFrame:
+    """(shape's id, part, list): the rows of a shape, without it, in lists of about PART at most."""
+    shape, name = F.col(quoted(geometry)), f"_id{suffix}"
+    held = [F.col(quoted(c)) for c in kept.columns if c not in (geometry, name, f"_level{suffix}")] or [F.col(name)]
+    placed = kept.select(shape, F.struct(*held).alias("_held"), F.xxhash64(name).alias("_hash")).join(shapes.select(shape, name, f"_rows{suffix}"), geometry)
+    part = F.expr(f"pmod(_hash, (_rows{suffix} - 1) div {PART} + 1)").alias(f"_part{suffix}")
+    return placed.groupBy(name, part).agg(F.collect_list("_held").alias(f"_list{suffix}"))
+
+
+def _spread(found: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of the left side, each with a list of rows that it pairs with, in tasks of some TASK pairs each."""
+    total = found.agg(F.coalesce(F.sum(F.col("_rows_l") * F.col("_rows_r")), F.lit(0))).first()[0]
+    tasks = int(max(1, min(MOST_TASKS, total // TASK + 1)))
+    parts = lambda s: F.explode(F.expr(f"sequence(0L, (_rows{s} - 1) div {PART})")).alias(f"_part{s}")
+    work = found.select("_id_l", "_id_r", "_shape_l", "_shape_r", "_rows_r", parts("_l")).select("_id_l", "_id_r", "_shape_l", "_shape_r", "_part_l", parts("_r"))
+    filled = work.join(left, ["_id_l", "_part_l"]).join(right, ["_id_r", "_part_r"])
+    even = filled.repartition(tasks, F.xxhash64("_id_l", "_part_l", "_id_r", "_part_r"))
+    return even.select(F.explode("_list_l").alias("_l"), "_list_r", "_shape_l", "_shape_r")

@@ -300,6 +300,21 @@ def test_join_deals_keys_alone(spark):
     assert got == want
 
 
+def test_equal_shapes_join_once(spark, monkeypatch):
+    """Two thousand rows a side of few shapes: the relation is looked at a pair of shapes, and pairs of rows are dealt over many tasks."""
+    monkeypatch.setattr(spatial, "PART", 64)
+    monkeypatch.setattr(spatial, "TASK", 100_000)
+    box = lambda n, k: geo.box(F.col("id") % n * 2.0, F.lit(0.0), F.col("id") % n * 2.0 + k, F.lit(1.0))
+    left = spark.range(2000).select(F.col("id").alias("a"), box(4, 1.0).alias("p"), (F.col("id") % 3).alias("w"))
+    right = spark.range(2000).select(box(5, 2.0).alias("q"), F.col("id").alias("b"))
+    joined = spatial.join(left, right, "p", "q", 1.0)
+    assert joined.columns == ["a", "p", "w", "q", "b"] and joined.rdd.getNumPartitions() > 10
+    assert "st_related" not in joined._jdf.queryExecution().optimizedPlan().toString()  # done already, for pairs of shapes
+    meets = sum(i * 2 <= j * 2 + 2 and i * 2 + 1 >= j * 2 for i in range(4) for j in range(5))
+    got = joined.agg(F.count("*"), F.countDistinct("a", "b"), F.max(F.abs(F.col("p.env.minx") - F.col("a") % 4 * 2)), F.max(F.abs(F.col("w") - F.col("a") % 3)), F.max(F.abs(F.col("q.env.minx") - F.col("b") % 5 * 2))).first()
+    assert tuple(got) == (meets * 500 * 400, meets * 500 * 400, 0.0, 0, 0.0)
+
+
 def test_tiles_of_an_edit(spark):
     """After random edits the refreshed tiles are those built anew, and only dirty ones were encoded."""
     from terrazzo.sources import tile_cache
