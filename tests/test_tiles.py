@@ -105,3 +105,34 @@ def test_slices_hold_a_layer_in_order(spark):
     layers = vector_tiles.encode(shapes(spark), 0, "wkb", ["id", "name", "odd", "size"]).select(vector_tiles.layer_of(F.col("tile")).alias("layer"))
     row = layers.select(vector_tiles.features(F.col("layer")).alias("whole"), F.transform(vector_tiles.slices(F.col("layer"), 16), vector_tiles.features).alias("cut")).first()
     assert len(row["cut"]) > 10 and max(map(len, row["cut"])) == 16 and [f for part in row["cut"] for f in part] == row["whole"]
+
+
+def test_large_tiles_of_a_cache_stand_in_pieces(spark, monkeypatch):
+    """No row of a cache holds more than a bounded part of a tile, however many features meet there; the pieces merge to the tile."""
+    from terrazzo.sources import tile_cache
+
+    monkeypatch.setattr(vector_tiles, "PIECE", 40_000)
+    before = spark.range(12_000, numPartitions=5).select("id", geo.call("st_point", F.col("id") * 3_000.0 - 1.8e7, F.lit(5e6)).alias("m"))
+    after, zooms = before.where("id % 1000 != 7 or id > 6000"), [0, 4]
+    built = tile_cache.build(after, zooms, "m", ["id"]).cache()
+    held = built.select("z", "n", geo.call("st_tilecount", vector_tiles.layer_of(F.col("tile"))).alias("held"))
+    assert held.where("z = 0").count() > 8 and held.where("z = 4 and n != held").count() == 0
+    assert held.agg(F.max("held")).first()[0] < 2000 and held.where("z = 0").agg(F.sum("held"), F.max("n")).first()[:] == (after.count(), after.count())
+    said = lambda df: {tuple(r[:-1]): bytes(r["tile"]) for r in df.collect()}
+    assert said(tile_cache.build(after.repartition(3, "id"), zooms, "m", ["id"])) == said(built)
+    assert said(tile_cache.refreshed(tile_cache.build(before, zooms, "m", ["id"]), before, after, ["id"], zooms, "m", ["id"])) == said(built)
+    assert said(vector_tiles.whole(built)) == {k: v for z in zooms for k, v in said(vector_tiles.encode(after, z, "m", ["id"])).items()}
+
+
+@pytest.mark.parametrize("properties", [["id"], ["name"], []])
+def test_equal_features_stand_in_pieces_too(spark, monkeypatch, properties):
+    """A spot with most of the features, all alike or not, swells no piece."""
+    from terrazzo.sources import tile_cache
+
+    monkeypatch.setattr(vector_tiles, "PIECE", 40_000)
+    df = spark.range(9_000, numPartitions=5).select("id", F.lit("a").alias("name"), geo.call("st_point", F.when(F.col("id") % 5 == 0, F.col("id") * 9.0 + 2).otherwise(1.0), F.lit(1.0)).alias("m"))
+    built = tile_cache.build(df, [2], "m", properties).cache()
+    held = built.select("n", geo.call("st_tilecount", vector_tiles.layer_of(F.col("tile"))).alias("held")).agg(F.max("held"), F.sum("held"), F.min("n"), F.max("n")).first()
+    assert held["max(held)"] < 2500 and tuple(held)[1:] == (9_000, 9_000, 9_000)
+    (one,), (other,) = vector_tiles.whole(built).collect(), vector_tiles.encode(df, 2, "m", properties).collect()
+    assert (one["n"], one["over"], bytes(one["tile"])) == (other["n"], other["over"], bytes(other["tile"]))
